@@ -17,6 +17,8 @@ CHUNK_BYTES = 4 << 20
 
 _RNG = np.random.Generator(np.random.PCG64(20240607))
 BYTE_VALUE = _RNG.integers(1, 1 << 63, 256, dtype=U64) * U64(2) + U64(1)
+#: A byte's value keeps the byte itself in its lowest bits, so that it can be read back.
+BYTE_VALUE = (BYTE_VALUE & U64(0xFFFFFFFFFFFFFE00)) | (np.arange(256, dtype=U64) << U64(1)) | U64(1)
 BASE = int(_RNG.integers(1 << 62, 1 << 63)) * 2 + 1
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 

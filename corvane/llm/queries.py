@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import bpe, decontaminate
+from corvane.llm import bpe, decontaminate, repeats
 from corvane.sources.tables import table
 
 
+def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.remove_repeated_words(table(spark, folder, "documents"))
+
+
+def op5_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.remove_repeated_bytes(table(spark, folder, "documents"))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.digest(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -23,6 +31,8 @@ def op10_byte_level_bpe(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_substring_dedup,
+        op5_suffix_array_dedup,
         op7_benchmark_decontamination,
         op10_byte_level_bpe,
     )
