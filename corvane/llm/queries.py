@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import bpe, decontaminate, repeats
+from corvane.llm import bpe, decontaminate, quality_rules, repeats, token_files
 from corvane.sources.tables import table
 
 
@@ -14,6 +14,10 @@ def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.remove_repeated_words(table(spark, folder, "documents"))
 
 
+def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules.digest(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op5_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.remove_repeated_bytes(table(spark, folder, "documents"))
 
@@ -22,6 +26,12 @@ def op7_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
     return decontaminate.digest(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_files.digest(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op10_byte_level_bpe(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
@@ -32,8 +42,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_substring_dedup,
+        op2_quality_rules,
         op5_suffix_array_dedup,
         op7_benchmark_decontamination,
+        op9_token_files,
         op10_byte_level_bpe,
     )
 }
