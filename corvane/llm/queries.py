@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import bpe, decontaminate, quality_rules, repeats, token_files
+from corvane.llm import bpe, decontaminate, line_dedup, quality_rules, repeats, sharding, token_files
 from corvane.sources.tables import table
 
 
@@ -18,6 +18,10 @@ def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.digest(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.digest(table(spark, folder, "documents"))
+
+
 def op5_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.remove_repeated_bytes(table(spark, folder, "documents"))
 
@@ -26,6 +30,10 @@ def op7_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
     return decontaminate.digest(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op8_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.assign(table(spark, folder, "documents"))
+
+
 def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
@@ -43,8 +51,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_substring_dedup,
         op2_quality_rules,
+        op3_line_dedup,
         op5_suffix_array_dedup,
         op7_benchmark_decontamination,
+        op8_sharding,
         op9_token_files,
         op10_byte_level_bpe,
     )
