@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import bpe, decontaminate, line_dedup, quality_rules, repeats, sharding, token_files
+from corvane.llm import bpe, decontaminate, line_dedup, ngram_join, quality_rules, repeats, sharding, token_files
 from corvane.sources.tables import table
 
 
@@ -22,6 +22,10 @@ def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.digest(table(spark, folder, "documents"))
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.components(table(spark, folder, "documents"))
+
+
 def op5_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.remove_repeated_bytes(table(spark, folder, "documents"))
 
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_substring_dedup,
         op2_quality_rules,
         op3_line_dedup,
+        op4_ngram_jaccard_join,
         op5_suffix_array_dedup,
         op7_benchmark_decontamination,
         op8_sharding,
