@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import bpe, decontaminate, line_dedup, ngram_join, quality_rules, repeats, sharding, token_files
+from corvane.llm import bpe, decontaminate, line_dedup, ngram_join, quality_classifier, quality_rules, repeats, sharding, token_files
 from corvane.sources.tables import table
 
 
@@ -30,6 +30,10 @@ def op5_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.remove_repeated_bytes(table(spark, folder, "documents"))
 
 
+def op6_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_classifier.digest(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.digest(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_line_dedup,
         op4_ngram_jaccard_join,
         op5_suffix_array_dedup,
+        op6_quality_classifier,
         op7_benchmark_decontamination,
         op8_sharding,
         op9_token_files,
