@@ -14,8 +14,11 @@ not the tokenizer, takes for white space are encoded whole.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -26,46 +29,102 @@ from pyspark.sql import functions as F
 from corvane.llm import kernels as K
 from corvane.sources.shared import new_folder
 
-#: Distinct pieces that a task remembers; it starts anew beyond that.
-REMEMBERED = 1_000_000
+#: Distinct pieces, and distinct stems, that a Python worker remembers; it starts anew beyond that.
+REMEMBERED_PIECES, REMEMBERED_STEMS = 300_000, 600_000
 ROW_GROUP_BYTES = 64 << 20
 PAGE_BYTES = 256 << 10
 #: Python splits words at these, the tokenizer doesn't.
 ODD_SPACES = "\x1c\x1d\x1e\x1f"
 
 
+#: Marks that the tokenizer parts from the letters before them; the apostrophe is not one, as it may start a suffix.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+#: Below this code point every letter is its own normal form and has a one-letter lower case.
+PLAIN_BELOW = "\u0130"
+#: Byte-level vocabularies write printable bytes as themselves, and the others as characters from U+0100 on.
+_PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTE_LEVEL = dict.fromkeys(_PRINTED) | {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+BYTE_LEVEL = {b: b if c is None else c for b, c in BYTE_LEVEL.items()}
+
+
 class PieceEncoder:
-    """Ids of texts as bytes, by a tokenizers file whose pieces never span white space."""
+    """Ids of texts as bytes, by a tokenizers file whose pieces never span white space and are lower-cased.
 
-    def __init__(self, path: str, end_id: int):
+    A piece of letters and trailing marks is its stem's ids and the marks' ids,
+    so what the library encodes, once, are stems: a few hundred thousand of
+    them for millions of different pieces.
+    """
+
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.end, self.known = Tokenizer.from_file(path), int(end_id).to_bytes(4, "little"), {}
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks use all cores
+        self.tokenizer, self.pieces, self.stems = Tokenizer.from_file(path), {}, {}
+        self.tokenize = self.tokenizer.model.tokenize
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        known = self.known
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _stem_ids(self, stem: str) -> bytes:
+        """Lower-case plain letters are one word of the model, without the tokenizer's other steps."""
+        word = stem if stem.isascii() else stem.encode().decode("latin-1").translate(BYTE_LEVEL)
+        ids = [token.id for token in self.tokenize(word)]
+        return pack(f"<{len(ids)}I", *ids)
+
+    def _learn(self, new: set[str]) -> None:
+        if len(self.stems) > REMEMBERED_STEMS:
+            self.stems = {}
+        stems, pieces, other = self.stems, self.pieces, []
+        for piece in new:
+            said = piece.lower()
+            stem = said.rstrip(MARKS)
+            # "<|" may begin a special token, whose case counts.
+            if not stem.isalpha() or max(piece) >= PLAIN_BELOW or "<|" in piece:
+                other.append(piece)
+                continue
+            ids = stems.get(stem)
+            if ids is None:
+                ids = stems[stem] = self._stem_ids(stem)
+            if len(stem) < len(said):
+                marks = said[len(stem) :]
+                tail = stems.get(marks)
+                if tail is None:
+                    tail = stems[marks] = self._ids([marks])[0]
+                ids = ids + tail
+            pieces[piece] = ids
+        for i in range(0, len(other), 10_000):
+            pieces.update(zip(other[i : i + 10_000], self._ids(other[i : i + 10_000])))
+
+    def encode(self, texts: list[str], end: bytes) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers, then ``end``."""
+        if len(self.pieces) > REMEMBERED_PIECES:
+            self.pieces = {}
         split = [None if any(c in t for c in ODD_SPACES) else t.split() for t in texts]
-        new = list(set().union(*filter(None, split)).difference(known))
-        for i in range(0, len(new), 50_000):
-            known.update(zip(new[i : i + 50_000], self._ids(new[i : i + 50_000])))
-        return [(self._ids([t])[0] if s is None else b"".join(map(known.__getitem__, s))) + self.end for t, s in zip(texts, split)]
+        new = set().union(*filter(None, split)).difference(self.pieces)
+        if new:
+            self._learn(new)
+        ids_of = self.pieces.__getitem__
+        return [(self._ids([t])[0] if s is None else b"".join(map(ids_of, s))) + end for t, s in zip(texts, split)]
+
+
+@lru_cache(maxsize=2)
+def _encoder(path: str) -> PieceEncoder:
+    """One encoder for all tasks of a Python worker."""
+    return PieceEncoder(path)
 
 
 def encode(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """part, at, doc_id, n_tokens and ids, ready to be written in ascending order of doc_id (nulls first)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, at = PieceEncoder(path, end_id), TaskContext.get().partitionId(), 0
+        encoder, end, part, at = _encoder(path), int(end_id).to_bytes(4, "little"), TaskContext.get().partitionId(), 0
         for batch in batches:
             _, offsets = K.utf8(batch.column("text"))
             for a, b in K.chunks(offsets):
                 rows = batch.slice(a, b - a)
-                ids = encoder.encode([t or "" for t in rows.column("text").to_pylist()])
+                ids = encoder.encode([t or "" for t in rows.column("text").to_pylist()], end)
                 lengths = np.array([len(x) // 4 for x in ids], np.int64)
                 starts = at + np.cumsum(lengths) - lengths
                 at += int(lengths.sum())
