@@ -22,6 +22,13 @@ BYTE_VALUE = (BYTE_VALUE & U64(0xFFFFFFFFFFFFFE00)) | (np.arange(256, dtype=U64)
 BASE = int(_RNG.integers(1 << 62, 1 << 63)) * 2 + 1
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 
+
+
+def byte_of(symbols: np.ndarray) -> np.ndarray:
+    """The bytes that BYTE_VALUE has made symbols of."""
+    return ((symbols >> U64(1)) & U64(0xFF)).astype(np.uint8)
+
+
 _codes = np.arange(256)
 #: Words between spaces: everything but 0x20 and 0x09-0x0D.
 SPACED_WORD = ~((_codes == 0x20) | ((_codes >= 0x09) & (_codes <= 0x0D)))

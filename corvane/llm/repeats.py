@@ -35,7 +35,7 @@ from corvane.llm import kernels as K
 from corvane.sources.shared import materialize
 
 #: Runs that a task gathers before it settles them and sends them on.
-SHARE_RUNS = 1_000_000
+SHARE_RUNS = 500_000
 NO_ID = (1 << 63) - 1
 
 RUN = K.Records(anchor=K.U64, span=K.U64, doc=np.int64, low=np.uint32, n=np.uint16, at=np.uint16, many=np.uint8)
@@ -45,6 +45,8 @@ _ROWS = "slot int, kind int, payload binary"
 SEEDS, RANGES, ENDS, TEXT_ENDS = range(4)
 
 
+#: Makes a second, independent hash of the same symbols.
+OTHER = K.U64(0x9E3779B97F4A7C15)
 #: Bytes of a suffix by which its range is chosen; the rest of the sort key is a hash of its next symbols.
 LEADING = 5
 
@@ -53,7 +55,7 @@ def leading(symbols: np.ndarray, at: np.ndarray, hashes: np.ndarray) -> np.ndarr
     """Sort key of suffixes: their first bytes, then, to part suffixes with a common beginning, hash bits."""
     key = np.zeros(len(at), K.U64)
     for i in range(LEADING):
-        key = (key << K.U64(8)) | ((symbols[at + i] >> K.U64(1)) & K.U64(0xFF))
+        key = (key << K.U64(8)) | K.byte_of(symbols[at + i]).astype(K.U64)
     return (key << K.U64(64 - 8 * LEADING)) | (hashes >> K.U64(8 * LEADING))
 
 
@@ -73,13 +75,15 @@ class Repeats:
     it too. Otherwise any second occurrence makes both repeats.
     """
 
-    def __init__(self, size: int, k: int, earlier: bool, symbols: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], slots: int, splitters: np.ndarray | None = None):
+    def __init__(self, size: int, k: int, earlier: bool, symbols: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], slots: int, splitters: np.ndarray | None = None, chunk_bytes: int = 1 << 20):
         self.size, self.k, self.earlier, self.symbols, self.slots, self.splitters = size, k, earlier, symbols, slots, splitters
+        self.chunk_bytes = chunk_bytes
+        self.buckets = 2 * slots if splitters is None else len(splitters) + 1
 
     def bucket(self, symbols: np.ndarray, at: np.ndarray, hashes: np.ndarray) -> np.ndarray:
         """The bucket of equal content: by hash, or by range of the suffix's leading symbols if there are splitters."""
         if self.splitters is None:
-            return (hashes % K.U64(self.slots)).astype(np.int64)
+            return (hashes % K.U64(self.buckets)).astype(np.int64)
         return np.searchsorted(self.splitters, leading(symbols, at, hashes), "right")
 
     # Both stages of settling work on records sorted by (identity, document, place).
@@ -121,7 +125,7 @@ class Repeats:
         for batch in batches:
             ids = batch.column("doc_id").to_numpy()
             data, offsets = K.utf8(batch.column("text"))
-            for a, b in K.chunks(offsets, K.CHUNK_BYTES // 2):
+            for a, b in K.chunks(offsets, self.chunk_bytes):
                 symbols, bounds = self.symbols(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 w = K.winnow(symbols, bounds, self.size, self.k)
                 gathered.append({"bucket": self.bucket(symbols, bounds[:-1][w["doc"]] + w["at"], w["anchor"]).astype(np.int32), "anchor": w["anchor"], "span": w["span"], "doc": ids[a:b][w["doc"]], "low": w["low"].astype(np.uint32), "n": (w["high"] - w["low"] + 1).astype(np.uint16), "at": (w["at"] - w["low"]).astype(np.uint16), "many": np.zeros(len(w["low"]), np.uint8)})
@@ -166,12 +170,12 @@ class Ends:
     def __init__(self, repeats: Repeats):
         self.repeats = repeats
 
-    def cut(self, texts: pa.Table, ends: pa.Table) -> pa.Table:
-        """The windows of all end runs in one slot of documents."""
+    def runs(self, texts: pa.Table, ends: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]]:
+        """Chunk by chunk: symbols, where each end run's windows begin in them, and the runs (with ``doc`` of their text)."""
         r = self.repeats
         records = END.unpack_all(ends.column("payload").to_pylist())
         if not len(records["doc"]) or not texts.num_rows:
-            return pa.Table.from_batches([_batch([])])
+            return
         ids = texts.column("doc_id").to_numpy()
         wanted = np.isin(ids, records["doc"])
         texts, ids = texts.filter(pa.array(wanted)), ids[wanted]
@@ -179,29 +183,36 @@ class Ends:
         order = np.argsort(row, kind="stable")
         row, record = row[order], record[order]
         data, offsets = K.utf8(texts.column("text"))
-        parts = []
-        for a, b in K.chunks(offsets, K.CHUNK_BYTES // 2):
+        for a, b in K.chunks(offsets, r.chunk_bytes):
             x, y = np.searchsorted(row, [a, b])
             if x == y:
                 continue
             symbols, bounds = r.symbols(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            own = {name: values[record[x:y]] for name, values in records.items()}
+            begin = bounds[row[x:y] - a] + own["low"]
+            fits = begin + own["n"] + (r.size - 1) <= bounds[row[x:y] - a + 1]  # always, unless two texts share an id
+            yield symbols, begin[fits], {name: values[fits] for name, values in own.items()}
+
+    def cut(self, texts: pa.Table, ends: pa.Table) -> pa.Table:
+        """The windows of all end runs in one slot of documents."""
+        r, parts = self.repeats, []
+        for symbols, begin, own in self.runs(texts, ends):
             h = K.gram_hashes(symbols, r.size)
-            g = K.gram_hashes(K.mix(symbols ^ K.U64(0x9E3779B97F4A7C15)), r.size)
-            of, place = K.spread(records["n"][record[x:y]].astype(np.int64))
-            own = record[x:y][of]
-            low = records["low"][own].astype(np.int64) + place
-            base, top = bounds[row[x:y][of] - a], bounds[row[x:y][of] - a + 1]
-            fits = base + low + r.size <= top  # always, unless two texts share an id
-            at = (base + low)[fits]
-            parts.append({"bucket": r.bucket(symbols, at, h[at]), "h": h[at], "g": g[at], "doc": ids[row[x:y][of]][fits], "low": low[fits].astype(np.uint32)})
+            g = K.gram_hashes(K.mix(symbols ^ OTHER), r.size)
+            of, place = K.spread(own["n"].astype(np.int64))
+            at = begin[of] + place
+            parts.append({"bucket": r.bucket(symbols, at, h[at]), "h": h[at], "g": g[at], "doc": own["doc"][of], "low": (own["low"][of] + place).astype(np.uint32)})
         if not parts:
             return pa.Table.from_batches([_batch([])])
         windows = {name: np.concatenate([p[name] for p in parts]) for name in parts[0]}
         return pa.Table.from_batches([_batch([(slot, TEXT_ENDS, raw) for slot, raw in self.WINDOW.split(windows, windows["bucket"])])])
 
     def settle(self, table: pa.Table) -> pa.Table:
+        return self.settled(self.WINDOW.unpack_all(table.column("payload").to_pylist()))
+
+    def settled(self, w: dict[str, np.ndarray]) -> pa.Table:
+        """Ranges of the repeats among the windows of one bucket."""
         r = self.repeats
-        w = self.WINDOW.unpack_all(table.column("payload").to_pylist())
         if not len(w["doc"]):
             return pa.Table.from_batches([_batch([])])
         order = np.lexsort((w["doc"], w["g"], w["h"]))
@@ -213,15 +224,56 @@ class Ends:
             repeat = w["doc"] > w["doc"][first][group]
         else:
             repeat = (np.diff(np.append(first, len(order))) > 1)[group]
-        # Neighbouring windows of one document that this bucket settles join into one range.
-        return pa.Table.from_batches([_batch(r._ranges(w["doc"][repeat], w["low"][repeat], 1))])
+        order = np.lexsort((w["low"][repeat], w["doc"][repeat]))
+        doc, low = w["doc"][repeat][order], w["low"][repeat][order].astype(np.int64)
+        # Neighbouring windows of one document make one range.
+        new = np.ones(len(doc), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (low[1:] > low[:-1] + 1)
+        first = np.flatnonzero(new)
+        final = np.append(first[1:], len(doc)) - 1
+        return pa.Table.from_batches([_batch(r._ranges(doc[first], low[first], low[final] - low[first] + 1))])
+
+
+class ByteEnds(Ends):
+    """End runs travel as the bytes that their windows cover, which is less than a hash for each window."""
+
+    def cut(self, texts: pa.Table, ends: pa.Table) -> pa.Table:
+        rows, r = [], self.repeats
+        for symbols, begin, own in self.runs(texts, ends):
+            order = np.argsort(bucket := r.bucket(symbols, begin + own["at"], own["anchor"]), kind="stable")
+            begin, own, bucket = begin[order], {name: values[order] for name, values in own.items()}, bucket[order]
+            for key, a, b in zip(*_groups(bucket)):
+                of, place = K.spread(own["n"][a:b].astype(np.int64) + r.size - 1)
+                said = K.byte_of(symbols[begin[a:b][of] + place]).tobytes()
+                rows.append((key, TEXT_ENDS, (b - a).to_bytes(4, "little") + END.pack(own, slice(a, b)) + said))
+        return pa.Table.from_batches([_batch(rows)])
+
+    def settle(self, table: pa.Table) -> pa.Table:
+        r, parts = self.repeats, []
+        for raw in table.column("payload").to_pylist():
+            head = 4 + int.from_bytes(raw[:4], "little") * END.width
+            own = END.unpack(raw[4:head])
+            symbols = K.BYTE_VALUE[np.frombuffer(raw, np.uint8, offset=head)]
+            n = own["n"].astype(np.int64)
+            base = np.cumsum(n + r.size - 1) - (n + r.size - 1)
+            of, place = K.spread(n)
+            at = base[of] + place
+            h, g = K.gram_hashes(symbols, r.size), K.gram_hashes(K.mix(symbols ^ OTHER), r.size)
+            parts.append({"h": h[at], "g": g[at], "doc": own["doc"][of], "low": (own["low"][of] + place).astype(np.uint32)})
+        return self.settled({name: np.concatenate([p[name] for p in parts]) for name in parts[0]} if parts else self.WINDOW.unpack_all([]))
+
+
+def _groups(keys: np.ndarray) -> tuple[list[int], list[int], list[int]]:
+    """For sorted keys: each key, its first place and the place after its last."""
+    found, first = np.unique(keys, return_index=True)
+    return found.tolist(), first.tolist(), [*first[1:].tolist(), len(keys)]
 
 
 def found(docs: DataFrame, repeats: Repeats) -> DataFrame:
     """Rows (slot, kind, payload) with the ranges of all repeats, by slot of documents."""
     texts = slotted(docs, repeats.slots)
     verdicts = materialize(texts.select("doc_id", "text").mapInArrow(repeats.seeds, _ROWS).groupBy("slot").applyInArrow(lambda table: repeats.extend(table), _ROWS), "repeats")
-    ends = Ends(repeats)
+    ends = Ends(repeats) if repeats.splitters is None else ByteEnds(repeats)
     windows = texts.groupBy("slot").cogroup(verdicts.where(F.col("kind") == ENDS).groupBy("slot")).applyInArrow(lambda left, right: ends.cut(left, right), _ROWS)
     more = windows.groupBy("slot").applyInArrow(lambda table: ends.settle(table), _ROWS)
     return verdicts.where(F.col("kind") == RANGES).unionByName(more)
@@ -267,8 +319,8 @@ def pa_fields(schema: str) -> list:
 
 
 def slots_for(docs: DataFrame) -> int:
-    """Four slots of documents, and of anchors, for each shuffle partition of the session."""
-    return 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """A slot of documents for each shuffle partition of the session; anchors have twice as many buckets."""
+    return int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def word_symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -289,8 +341,9 @@ def sampled_splitters(docs: DataFrame, size: int, k: int, ranges: int) -> np.nda
 
     They only balance the ranges; every suffix of every document goes to one.
     """
-    few = docs.select("doc_id", "text").where("text is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLED_DOCS)
-    share = max(1, SAMPLED_SUFFIXES // SAMPLED_DOCS)
+    share = min(1.0, SAMPLED_DOCS / max(1, docs.count()))
+    few = docs.select("doc_id", "text").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    each = max(1, SAMPLED_SUFFIXES // SAMPLED_DOCS)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -299,7 +352,7 @@ def sampled_splitters(docs: DataFrame, size: int, k: int, ranges: int) -> np.nda
                 symbols, bounds = byte_symbols(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 w = K.winnow(symbols, bounds, size, k)
                 key = leading(symbols, bounds[:-1][w["doc"]] + w["at"], w["anchor"])
-                key = np.sort(key)[:: max(1, len(key) // (share * (b - a)))][: share * (b - a) * 2]
+                key = np.sort(key)[:: max(1, len(key) // (each * (b - a)))][: 2 * each * (b - a)]
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64))], names=["key"])
 
     found = np.sort(np.array([r["key"] for r in few.mapInArrow(keys, "key long").toLocalIterator()], np.int64).view(K.U64))
@@ -356,5 +409,5 @@ def remove_repeated_bytes(docs: DataFrame, size: int = 200, k: int = 32) -> Data
     give equal results. Null ids count as one id. Other columns are not read.
     """
     slots = slots_for(docs)
-    repeats = Repeats(size, k, False, byte_symbols, slots, sampled_splitters(docs, size, k, slots))
+    repeats = Repeats(size, k, False, byte_symbols, slots, sampled_splitters(docs, size, k, 2 * slots), 1 << 19)
     return cleaned(docs, repeats, _kept_bytes, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", ["n_bytes", "n_removed", "n_spans", "kept_sha256"])
