@@ -195,10 +195,11 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(measured: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Trees:
-    """Trees from labels.quality of at most ``sample_rows`` labelled documents outside the held-out fold."""
-    label = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"))
-    rows = measured.where(~held_out(F.col("doc_id"))).join(label, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", *BASE).limit(sample_rows)
-    sample = rows.select("quality", *FEATURES).toPandas()
+    """Trees from labels.quality of about ``sample_rows`` labelled documents outside the held-out fold, or all if there are fewer."""
+    label = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality")).where(~held_out(F.col("doc_id")))
+    share = min(1.0, sample_rows / max(1, label.count()))
+    few = label.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    sample = measured.join(few, "doc_id").select("quality", *FEATURES).toPandas().sort_values(["quality", *FEATURES])
     return grow(sample[list(FEATURES)].to_numpy(np.float64), sample["quality"].to_numpy(np.float64), list(FEATURES.values()))
 
 
