@@ -78,7 +78,7 @@ def merged_clusters(members: DataFrame) -> DataFrame:
     """Per component: highest confidence, any flag, all places, the nearest logo, the primary member; numbered from 0."""
     primary = F.struct(F.col("confidence"), -F.col("idx"))
     merged = members.groupBy("component").agg(
-        F.max("confidence").alias("confidence"), F.bool_or("flagged").alias("flagged"), F.array_join(F.array_sort(F.collect_set("idx")), ",").alias("indices"), F.max_by("idx", primary).alias("primary"), F.min("logo_distance").alias("logo_distance"), F.min_by("ocr", F.when(F.col("ocr").isNotNull(), F.col("idx"))).alias("ocr"),
+        F.max("confidence").alias("confidence"), F.bool_or("flagged").alias("flagged"), F.array_join(F.array_sort(F.collect_set("idx")), ",").alias("indices"), F.max_by("idx", primary).alias("primary_idx"), F.min("logo_distance").alias("logo_distance"), F.min_by("ocr", F.when(F.col("ocr").isNotNull(), F.col("idx"))).alias("ocr"),
     )
     return merged
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+from corvane.plans import detection, governance, masking, packages, similarity, streams
 
-
-def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    raise NotImplementedError
+_AREAS = (detection, masking, similarity, governance, packages, streams)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: query for area in _AREAS for name, query in area.QUERIES.items()}
+ORACLE: dict[str, str] = {name: sql for area in _AREAS for name, sql in area.ORACLE.items()}
+flagship = masking.flagship

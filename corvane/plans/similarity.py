@@ -111,7 +111,7 @@ ORACLE = {
     "band_vs_full_scan": "SELECT vec_id AS probe, vec_id AS ref FROM embeddings WHERE false",
     "best_logo": f"SELECT * FROM {_BEST} b",
     "similarity_components": f"SELECT * FROM {_COMPONENTS} c",
-    "merged_clusters": f"SELECT component, max(confidence) AS confidence, bool_or(flagged) AS flagged, string_agg(idx, ',' ORDER BY idx) AS indices, arg_max(idx, confidence * 1000000 - idx) AS \"primary\", min(distance)::INTEGER AS logo_distance, arg_min(ocr, idx) FILTER (ocr IS NOT NULL) AS ocr FROM (SELECT c.component, c.node AS idx, v.flagged, v.confidence::DOUBLE AS confidence, v.ocr, b.distance FROM {_COMPONENTS} c JOIN {values('verdicts')} v ON v.label = c.node % 10 LEFT JOIN {_BEST} b ON b.probe = c.node) GROUP BY component",
+    "merged_clusters": f"SELECT component, max(confidence) AS confidence, bool_or(flagged) AS flagged, string_agg(idx, ',' ORDER BY idx) AS indices, arg_max(idx, confidence * 1000000 - idx) AS primary_idx, min(distance)::INTEGER AS logo_distance, arg_min(ocr, idx) FILTER (ocr IS NOT NULL) AS ocr FROM (SELECT c.component, c.node AS idx, v.flagged, v.confidence::DOUBLE AS confidence, v.ocr, b.distance FROM {_COMPONENTS} c JOIN {values('verdicts')} v ON v.label = c.node % 10 LEFT JOIN {_BEST} b ON b.probe = c.node) GROUP BY component",
     "memo_misses": "SELECT label AS run_id, count(DISTINCT vec_id)::BIGINT AS misses FROM embeddings WHERE label % 2 <> 0 GROUP BY label",
     "image_identity_rules": f"SELECT vec_id, identity, round(c, 3) AS confidence, judgment FROM {_RULES} r",
     "image_approval": f"SELECT vec_id FROM {_RULES} r WHERE (identity AND vec_id % 7 <> 0) OR vec_id % 11 = 0 OR sure",
