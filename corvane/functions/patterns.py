@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The identifier patterns and public mail domains that results depend on.
 EMAIL = r"\b[\w.+-]+@([A-Za-z0-9-]+\.[A-Za-z0-9.-]+)\b"
@@ -64,7 +65,7 @@ def normalized_ascii(value: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.trim(F.lower(value)), r"[^\w@.\s-]", ""), r"\s+", " ")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalized(values: pd.Series) -> pd.Series:
     """The dictionary key of any value; accents fold first. Spark has no Unicode normal forms, hence Arrow batches."""
 
