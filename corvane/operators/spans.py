@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 
 from corvane.functions.patterns import replacement, surface_regex
 
+CANDIDATE = "array<struct<start:int,ord:int,stop:int,surface:string,token:string>>"
 SPAN = "array<struct<start:int,stop:int,surface:string,token:string>>"
 
 
 def match_spans(text: Column, surface: str, token: str, ord_: int) -> Column:
-    """array<struct<ord, start, stop, surface, token>> of every match, half-open code-point offsets."""
+    """array<struct<start, ord, stop, surface, token>> of every match, half-open code-point offsets."""
     pattern = F.lit(surface_regex(surface))
     pieces, found = F.split(text, surface_regex(surface), -1), F.regexp_extract_all(text, pattern, F.lit(0))
     start = F.aggregate(
@@ -26,20 +27,40 @@ def match_spans(text: Column, surface: str, token: str, ord_: int) -> Column:
         F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("starts")),
         lambda acc, x: F.struct((acc["at"] + F.length(x["p"]) + F.coalesce(F.length(x["m"]), F.lit(0))).alias("at"), F.array_append(acc["starts"], acc["at"] + F.length(x["p"])).alias("starts")),
     )["starts"]
-    spans = F.transform(found, lambda m, i: F.struct(F.lit(ord_).alias("ord"), F.get(start, i).alias("start"), (F.get(start, i) + F.length(m)).alias("stop"), m.alias("surface"), F.lit(token).alias("token")))
-    return F.coalesce(spans, F.expr("cast(array() as array<struct<ord:int,start:int,stop:int,surface:string,token:string>>)"))
+    # Zipped first: inside the lambda the offsets would be computed anew for every match.
+    zipped = F.filter(F.arrays_zip(start.alias("s"), found.alias("m")), lambda x: x["m"].isNotNull())
+    spans = F.transform(zipped, lambda x: F.struct(x["s"].alias("start"), F.lit(ord_).alias("ord"), (x["s"] + F.length(x["m"])).alias("stop"), x["m"].alias("surface"), F.lit(token).alias("token")))
+    return F.coalesce(spans, F.expr(f"cast(array() as {CANDIDATE})"))
 
 
 def claimed_spans(text: Column, dictionary: Sequence[tuple[str, str]]) -> Column:
     """Non-overlapping spans, longest dictionary surface first, sorted by start."""
     ranked = sorted(dictionary, key=lambda row: -len(row[0]))
     every = F.array_sort(F.concat(*(match_spans(text, s, t, i) for i, (s, t) in enumerate(ranked))))
-    claimed = F.aggregate(
-        every,
+    # One pass by start: candidates that overlap, in a chain, wait together and are settled when the chain ends.
+    start = F.struct(F.expr(f"cast(array() as {SPAN})").alias("out"), F.expr(f"cast(array() as {CANDIDATE})").alias("chain"), F.lit(-1).alias("stop"))
+
+    def step(acc: Column, x: Column) -> Column:
+        inside = x["start"] < acc["stop"]
+        return F.struct(
+            F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], _settled(acc["chain"]))).alias("out"),
+            F.when(inside, F.array_append(acc["chain"], x)).otherwise(F.array(x)).alias("chain"),
+            F.when(inside, F.greatest(acc["stop"], x["stop"])).otherwise(x["stop"]).alias("stop"),
+        )
+
+    return F.aggregate(every, start, step, lambda acc: F.concat(acc["out"], _settled(acc["chain"])))
+
+
+def _settled(chain: Column) -> Column:
+    """The spans that the longest-first rule takes of overlapping candidates, sorted by start."""
+    order = F.transform(chain, lambda x: F.struct(x["ord"].alias("ord"), x["start"].alias("start"), x["stop"].alias("stop"), x["surface"].alias("surface"), x["token"].alias("token")))
+    span = lambda x: F.struct(*(x[c].alias(c) for c in ("start", "stop", "surface", "token")))
+    taken = F.aggregate(
+        F.array_sort(order),
         F.expr(f"cast(array() as {SPAN})"),
-        lambda acc, x: F.when(F.exists(acc, lambda y: (x["start"] < y["stop"]) & (x["stop"] > y["start"])), acc).otherwise(F.array_append(acc, F.struct(x["start"].alias("start"), x["stop"].alias("stop"), x["surface"].alias("surface"), x["token"].alias("token")))),
+        lambda acc, x: F.when(F.exists(acc, lambda y: (x["start"] < y["stop"]) & (x["stop"] > y["start"])), acc).otherwise(F.array_append(acc, span(x))),
     )
-    return F.array_sort(claimed)
+    return F.when(F.size(chain) < 2, F.transform(chain, span)).otherwise(F.array_sort(taken))
 
 
 def spliced(text: Column, spans: Column, style: str | Column = "token") -> Column:
