@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import bpe, decontaminate, line_dedup, ngram_join, quality_classifier, quality_rules, repeats, sharding, token_files
+from corvane.llm import bpe, decontaminate, line_dedup, ngram_join, oracles, quality_classifier, quality_rules, repeats, sharding, token_files
 from corvane.sources.tables import table
 
 
@@ -70,4 +70,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE = oracles.ORACLE
