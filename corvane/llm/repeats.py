@@ -226,6 +226,8 @@ class Ends:
             repeat = (np.diff(np.append(first, len(order))) > 1)[group]
         order = np.lexsort((w["low"][repeat], w["doc"][repeat]))
         doc, low = w["doc"][repeat][order], w["low"][repeat][order].astype(np.int64)
+        if not len(doc):
+            return pa.Table.from_batches([_batch([])])
         # Neighbouring windows of one document make one range.
         new = np.ones(len(doc), bool)
         new[1:] = (doc[1:] != doc[:-1]) | (low[1:] > low[:-1] + 1)
