@@ -102,7 +102,7 @@ def merged_entities(sources: DataFrame) -> DataFrame:
 
 def gated(scored: DataFrame, thresholds: DataFrame, default: float = 0.6) -> DataFrame:
     """Adds threshold and passes: known entities always do, others from their type's threshold on."""
-    joined = scored.join(F.broadcast(thresholds), "entity_type", "left")
+    joined = scored.join(thresholds, "entity_type", "left")
     limit = F.coalesce("threshold", F.lit(default))
     return joined.withColumn("threshold", limit).withColumn("passes", F.col("known") | (F.col("confidence") >= limit))
 

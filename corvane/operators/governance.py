@@ -27,21 +27,31 @@ def allocated_tokens(new: DataFrame, existing: DataFrame) -> DataFrame:
     rows of prefixes that its pattern takes in, if they come before it.
     """
     wanted = new.withColumn("prefix", prefix_of(F.col("entity_type")))
-    prefixes = wanted.select("prefix").distinct()
-    counted = prefixes.join(existing.select("token"), F.expr(r"token LIKE concat('[', prefix, '_%]')"), "left").groupBy("prefix").agg(F.count("token").alias("n"))
+    kinds = sorted(set(PREFIXES.values()))
+    # One pass over the tokens counts all prefixes; the result has a row for each of these few.
+    counts = existing.agg(*[F.count_if(F.col("token").like(f"[{kind}_%]")).alias(kind) for kind in kinds])
+    counted = counts.select(F.explode(F.array(*[F.struct(F.lit(kind).alias("prefix"), F.col(kind).alias("n")) for kind in kinds])).alias("x")).select("x.*")
     place = F.row_number().over(Window.partitionBy("prefix").orderBy("surface"))
-    return wanted.withColumn("place", place).join(F.broadcast(counted), "prefix").withColumn("token", F.format_string("[%s_%d]", "prefix", F.col("n") + F.col("place"))).drop("prefix", "place", "n")
+    return wanted.withColumn("place", place).join(counted, "prefix").withColumn("token", F.format_string("[%s_%d]", "prefix", F.col("n") + F.col("place"))).drop("prefix", "place", "n")
 
 
 def alias_collisions(proposed: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """(entity_id, replacement, other_id, reason): replacements that name, or repeat that of, another entity."""
-    others = dictionary.select(F.col("entity_id").alias("other_id"), F.trim("surface").alias("surface"), "custom")
-    pairs = proposed.join(F.broadcast(others), F.col("entity_id") != F.col("other_id"))
+    """(entity_id, replacement, other_id, reason): replacements that name, or repeat that of, another entity.
+
+    Surfaces meet replacements on the surface's longest ASCII token, an
+    equi-join, and the pattern confirms; surfaces without one are not compared.
+    """
+    others = dictionary.select(F.col("entity_id").alias("other_id"), F.trim("surface").alias("surface"), F.nullif("custom", F.lit("")).alias("custom"))
+    tokens = lambda c: F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda t: t != "")
+    longest = F.element_at(F.array_sort(F.transform(tokens("surface"), lambda t: F.struct(F.length(t).alias("n"), t.alias("t")))), -1)["t"]
+    keyed = others.where((F.length("surface") >= 3) & (F.size(tokens("surface")) > 0)).select("other_id", "surface", longest.alias("token"))
     quoted = F.concat(F.lit(r"(?iu)(?<![A-Za-z0-9])\Q"), F.replace("surface", F.lit(" "), F.lit(r"\E\s+\Q")), F.lit(r"\E(?![A-Za-z0-9])"))
-    names = (F.length("surface") >= 3) & F.regexp_like("replacement", quoted)
-    repeats = (F.coalesce("custom", F.lit("")) != "") & (normalized("custom") == normalized("replacement"))
-    reasons = F.array_compact(F.array(F.when(names, F.lit("names")), F.when(repeats, F.lit("repeats"))))
-    return pairs.withColumn("reason", F.explode(reasons)).select("entity_id", "replacement", "other_id", "reason").distinct()
+    said = proposed.withColumn("token", F.explode(F.array_distinct(tokens("replacement"))))
+    names = said.join(keyed, "token").where(F.regexp_like("replacement", quoted)).withColumn("reason", F.lit("names"))
+    own = proposed.withColumn("key", normalized("replacement"))
+    repeats = own.join(others.where("custom is not null").select("other_id", normalized("custom").alias("key")), "key").withColumn("reason", F.lit("repeats"))
+    columns = ("entity_id", "replacement", "other_id", "reason")
+    return names.select(*columns).unionByName(repeats.select(*columns)).where("entity_id <> other_id").distinct()
 
 
 def upserted(snapshot: DataFrame, changes: DataFrame, keys: list[str], version: str) -> DataFrame:
@@ -82,10 +92,10 @@ def tag_gate(tags: DataFrame, vocabulary: DataFrame, limit: float = TAG_FROM) ->
     known = vocabulary.where("status = 'approved'").select("category", "value", F.lit(True).alias("known"))
     cleaned = tags.withColumn("value", F.lower(F.trim("value"))).where("category <> '' and value <> ''")
     status = F.when(F.col("known").isNull(), "proposed_new").when(F.col("confidence") >= limit, "applied").otherwise("flagged")
-    return cleaned.join(F.broadcast(known), ["category", "value"], "left").withColumn("status", status).drop("known")
+    return cleaned.join(known, ["category", "value"], "left").withColumn("status", status).drop("known")
 
 
 def allowed(people: DataFrame, capabilities: DataFrame, capability: str) -> DataFrame:
     """People (role) who hold the capability; the admin role holds all."""
     holders = capabilities.where(F.col("capability") == capability).select("role").distinct()
-    return people.where(F.col("role") == EVERYTHING).unionByName(people.where(F.col("role") != EVERYTHING).join(F.broadcast(holders), "role", "left_semi").select(*people.columns))
+    return people.where(F.col("role") == EVERYTHING).unionByName(people.where(F.col("role") != EVERYTHING).join(holders, "role", "left_semi").select(*people.columns))

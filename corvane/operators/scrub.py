@@ -55,7 +55,7 @@ def word_matches(rows: DataFrame, key: str, phrases: DataFrame) -> DataFrame:
     ends = F.element_at(found, -1)
     head = F.slice(found, 1, n - 1) == F.slice(F.col("words"), 1, n - 1)
     same = (F.size(found) == n) & head & ((ends == last) | ends.isin(F.concat(last, F.lit("'s")), F.concat(last, F.lit("’s"))))
-    return bare.join(F.broadcast(wanted), "first").where(same).select(key, "phrase", "place").distinct()
+    return bare.join(wanted, "first").where(same).select(key, "phrase", "place").distinct()
 
 
 def run_pieces(pieces: Column, spans: Column) -> Column:

@@ -17,26 +17,26 @@ def exact_groups(rows: DataFrame, content: Column, key: str) -> DataFrame:
     return rows.groupBy(F.sha2(content, 256).alias("digest")).agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("n"))
 
 
-def bands(hashes: DataFrame, key: str) -> DataFrame:
-    """key, hash, and one row for each of 16 digits by place: hashes within 15 bits share one."""
-    digits = F.transform(F.sequence(F.lit(1), F.lit(16)), lambda i: F.struct(i.alias("place"), F.substring("phash", i, F.lit(1)).alias("digit")))
-    return hashes.select(key, "phash", F.explode(digits).alias("b")).select(key, "phash", "b.place", "b.digit")
+def bands(hashes: DataFrame, key: str, width: int = 4) -> DataFrame:
+    """key, hash, and one row for each band of ``width`` bits by place: 64 / width bands."""
+    bits = F.concat(*(F.lpad(F.conv(F.substring("phash", at, 8), 16, 2), 32, "0") for at in (1, 9)))
+    cut = F.transform(F.sequence(F.lit(0), F.lit(64 // width - 1)), lambda i: F.struct(i.alias("place"), F.substring(bits, i * width + 1, F.lit(width)).alias("digit")))
+    return hashes.select(key, "phash", F.explode(cut).alias("b")).select(key, "phash", "b.place", "b.digit")
 
 
-def hamming_matches(probes: DataFrame, references: DataFrame, limit: int, reference_bytes: int = 8 << 20) -> DataFrame:
-    """probe, ref, distance of all pairs (probe, phash) and (ref, phash) within ``limit`` bits.
+def hamming_matches(probes: DataFrame, references: DataFrame, limit: int) -> DataFrame:
+    """probe, ref, distance of all pairs (probe, phash) and (ref, phash) within ``limit`` bits, up to 31.
 
-    Up to 15 bits, pairs meet on bands, an equi-join that loses none. Only
-    references of a proven small size are broadcast by Spark's own threshold;
-    more distant limits compare all, which is for small reference sets.
+    Pairs meet on a band, an equi-join that loses none as long as there are
+    more bands than differing bits: 16 bands of 4 bits, beyond that 32 of 2.
     """
-    r = references.select("ref", F.col("phash").alias("ref_phash"))
-    if limit < 16:
-        left = bands(probes, "probe")
-        right = bands(references, "ref").select("ref", F.col("phash").alias("ref_phash"), "place", "digit")
-        pairs = left.join(right, ["place", "digit"]).where(hamming(F.col("phash"), F.col("ref_phash")) <= limit)
-        return pairs.select("probe", "ref", hamming(F.col("phash"), F.col("ref_phash")).alias("distance")).distinct()
-    return probes.crossJoin(r).select("probe", "ref", hamming(F.col("phash"), F.col("ref_phash")).alias("distance")).where(F.col("distance") <= limit)
+    if not 0 <= limit < 32:
+        raise ValueError("limit must be from 0 to 31")
+    width = 4 if limit < 16 else 2
+    left = bands(probes, "probe", width)
+    right = bands(references, "ref", width).select("ref", F.col("phash").alias("ref_phash"), "place", "digit")
+    distance = hamming(F.col("phash"), F.col("ref_phash"))
+    return left.join(right, ["place", "digit"]).select("probe", "ref", distance.alias("distance")).where(F.col("distance") <= limit).distinct()
 
 
 def best_match(matches: DataFrame) -> DataFrame:

@@ -72,20 +72,20 @@ def dictionary_sweep(spark, folder):
 def dictionary_lookup(spark, folder):
     aliases = literal(spark, "dictionary").where("status <> 'skipped'").select(P.normalized("surface").alias("key"), "entity_id", "token")
     found = pii_candidates(spark, folder).withColumn("key", P.normalized("surface"))
-    return found.join(F.broadcast(aliases), "key").where(~detect.own_firm(F.col("surface"), OWN_FIRM)).select("doc_id", "key", "entity_id", "token")
+    return found.join(aliases, "key").where(~detect.own_firm(F.col("surface"), OWN_FIRM)).select("doc_id", "key", "entity_id", "token")
 
 
 def skipped_terms(spark, folder):
     words = _docs(spark, folder).select("doc_id", F.explode(F.array_distinct(F.split("text", r"[ \n]+"))).alias("surface")).where("length(surface) >= 8").withColumn("key", P.normalized_ascii(F.col("surface"))).where(~F.col("surface").rlike(r"[^\x00-\x7F]"))
     skipped = literal(spark, "dictionary").where("status = 'skipped'").select(P.normalized_ascii(F.col("surface")).alias("key"))
-    return words.join(F.broadcast(skipped), "key", "left_anti").groupBy("doc_id").agg(F.countDistinct("key").alias("terms"))
+    return words.join(skipped, "key", "left_anti").groupBy("doc_id").agg(F.countDistinct("key").alias("terms"))
 
 
 def _scored(spark, folder):
     found = pii_candidates(spark, folder)
     known = literal(spark, "dictionary").where("status <> 'skipped'").select(F.lower("surface").alias("key"), F.lit(True).alias("known"))
     confidence = (F.col("doc_id") % 10) / 10
-    rows = found.join(F.broadcast(known), "key", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    rows = found.join(known, "key", "left").withColumn("known", F.coalesce("known", F.lit(False)))
     return rows.withColumn("confidence", detect.capped_confidence(F.col("surface"), confidence))
 
 

@@ -105,9 +105,9 @@ def rbac_visibility(spark, folder):
     people = _people(spark, folder)
     managers = governance.allowed(people, literal(spark, "capabilities"), "review_queue_manage").select("user_id")
     orders = table(spark, folder, "orders").groupBy(F.col("o_custkey").alias("user_id")).agg(F.count(F.lit(1)).alias("own"))
-    total = orders.agg(F.sum("own").alias("all_runs"))
-    seen = people.join(orders, "user_id", "left").join(managers.withColumn("manages", F.lit(True)), "user_id", "left").join(F.broadcast(total))
-    return seen.select("user_id", "role", F.when(F.col("manages"), F.col("all_runs")).otherwise(F.coalesce("own", F.lit(0))).alias("visible"))
+    total = table(spark, folder, "orders").count()
+    seen = people.join(orders, "user_id", "left").join(managers.withColumn("manages", F.lit(True)), "user_id", "left")
+    return seen.select("user_id", "role", F.when(F.col("manages"), F.lit(total)).otherwise(F.coalesce("own", F.lit(0))).alias("visible"))
 
 
 def separation_of_duty(spark, folder):

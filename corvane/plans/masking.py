@@ -41,7 +41,7 @@ def occurrence_rows(spark, folder):
     """One row per masked span with its place and entity; a match that wraps a line finds no entity."""
     entity = literal(spark, "dictionary").where("status = 'approved'").groupBy(F.lower("surface").alias("key")).agg(F.min("entity_id").alias("entity_id"))
     rows = _docs(spark, folder).select("doc_id", F.explode(spans.claimed_spans(F.col("text"), approved())).alias("x")).select("doc_id", "x.start", "x.stop", "x.surface", F.lower("x.surface").alias("key"))
-    return rows.join(F.broadcast(entity), "key", "left").select("doc_id", "start", "stop", "surface", "entity_id")
+    return rows.join(entity, "key", "left").select("doc_id", "start", "stop", "surface", "entity_id")
 
 
 def entity_occurrences(spark, folder):

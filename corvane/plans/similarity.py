@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corvane.functions.patterns import sign_hash, surface_regex
+from corvane.functions.patterns import hamming, sign_hash, surface_regex
 from corvane.operators import detect, similarity
 from corvane.plans.fixtures import OWN_FIRM, literal, values
 from corvane.sources.tables import table
@@ -34,11 +34,15 @@ def hamming_matches(spark, folder):
 
 
 def band_vs_full_scan(spark, folder):
-    """Pairs that only one of the banded and the full comparison finds: none."""
+    """Pairs that only one of the banded and the full comparison finds: none.
+
+    The full comparison takes the stated fifty references as one literal array.
+    """
     rows = _hashes(spark, folder)
     probes, refs = rows.select(F.col("vec_id").alias("probe"), "phash"), _references(rows)
     banded = similarity.hamming_matches(probes, refs, WIDE)
-    full = similarity.hamming_matches(probes, refs, 64).where(F.col("distance") <= WIDE)
+    every = F.array(*[F.struct(F.lit(r["ref"]).alias("ref"), F.lit(r["phash"]).alias("h")) for r in refs.collect()])
+    full = probes.select("probe", "phash", F.explode(every).alias("r")).select("probe", "r.ref", hamming(F.col("phash"), F.col("r.h")).alias("distance")).where(F.col("distance") <= WIDE)
     return banded.exceptAll(full).unionByName(full.exceptAll(banded)).select("probe", "ref")
 
 
@@ -60,7 +64,7 @@ def merged_clusters(spark, folder):
     rows = _hashes(spark, folder)
     parts = similarity_components(spark, folder)
     logo = best_logo(spark, folder).select(F.col("probe").alias("idx"), F.col("distance").alias("logo_distance"))
-    verdicts = F.broadcast(literal(spark, "verdicts"))
+    verdicts = literal(spark, "verdicts")
     members = rows.select(F.col("vec_id").alias("idx"), (F.col("vec_id") % 10).cast("int").alias("label")).join(verdicts, "label").withColumn("confidence", F.col("confidence").cast("double"))
     members = members.join(parts.withColumnRenamed("node", "idx"), "idx").join(logo, "idx", "left")
     return similarity.merged_clusters(members)
@@ -73,7 +77,7 @@ def memo_misses(spark, folder):
 
 
 def _judged(spark, folder):
-    rows = table(spark, folder, "embeddings").select("vec_id", (F.col("vec_id") % 10).cast("int").alias("label")).join(F.broadcast(literal(spark, "verdicts")), "label").withColumn("confidence", F.col("confidence").cast("double"))
+    rows = table(spark, folder, "embeddings").select("vec_id", (F.col("vec_id") % 10).cast("int").alias("label")).join(literal(spark, "verdicts"), "label").withColumn("confidence", F.col("confidence").cast("double"))
     logo = best_logo(spark, folder).select(F.col("probe").alias("vec_id"), F.col("distance").alias("logo_distance"))
     rows = rows.join(logo, "vec_id", "left").select("vec_id", "flagged", "confidence", "ocr", "logo_distance")
     known = F.col("ocr").rlike(surface_regex("the")) | F.col("ocr").rlike(surface_regex("ing"))
