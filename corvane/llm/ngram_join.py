@@ -174,20 +174,38 @@ def _signed(k: int, percent: int, buckets: int):
     return run
 
 
-def _grouped(table: pa.Table) -> pa.Table:
-    kinds, payloads = table.column("kind").to_pylist(), table.column("payload").to_pylist()
-    s = SIGNATURE.unpack_all([p for k, p in zip(kinds, payloads) if k == SIGNATURES])
-    e = EDGE.unpack_all([p for k, p in zip(kinds, payloads) if k == EDGES])
-    _, (a, b) = _stars((s["high"].astype(K.U64) << K.U64(16)) | s["low"].astype(K.U64), s["doc"])
-    a, b = forest(np.concatenate([a, e["a"]]), np.concatenate([b, e["b"]]))
-    return pa.table({"a": a, "b": b})
+def _grouped(slots: int):
+    """Stars of one bucket's signatures, packed by slot of their members: a few rows, however many edges."""
+
+    def run(table: pa.Table) -> pa.Table:
+        kinds, payloads = table.column("kind").to_pylist(), table.column("payload").to_pylist()
+        s = SIGNATURE.unpack_all([p for k, p in zip(kinds, payloads) if k == SIGNATURES])
+        e = EDGE.unpack_all([p for k, p in zip(kinds, payloads) if k == EDGES])
+        _, (a, b) = _stars((s["high"].astype(K.U64) << K.U64(16)) | s["low"].astype(K.U64), s["doc"])
+        a, b = forest(np.concatenate([a, e["a"]]), np.concatenate([b, e["b"]]))
+        rows = [(slot, EDGES, raw) for slot, raw in EDGE.split({"a": a, "b": b}, slot_of(a, slots))] if len(a) else []
+        return pa.Table.from_batches([_rows(rows)])
+
+    return run
+
+
+def _different(table: pa.Table) -> pa.Table:
+    """The different edges of one slot."""
+    e = EDGE.unpack_all(table.column("payload").to_pylist())
+    order = np.lexsort((e["b"], e["a"]))
+    a, b = e["a"][order], e["b"][order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return pa.table({"a": a[new], "b": b[new]})
 
 
 def candidate_groups(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """(node, component): documents that share a signature with another, by group."""
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.mapInArrow(_signed(k, percent, 2 * partitions), "bucket int, kind int, payload binary")
-    return connected_components(rows.groupBy("bucket").applyInArrow(_grouped, "a long, b long"))
+    schema = "bucket int, kind int, payload binary"
+    rows = docs.mapInArrow(_signed(k, percent, 2 * partitions), schema)
+    stars = rows.groupBy("bucket").applyInArrow(_grouped(partitions), schema)
+    return connected_components(stars.groupBy("bucket").applyInArrow(_different, "a long, b long"))
 
 
 def _sets(k: int):
@@ -237,8 +255,9 @@ def _product(sets: list[np.ndarray], left: list[int], right: list[int], percent:
     row, column = row[shared], np.unique(column[shared], return_inverse=True)[1]
     a, b = np.array([place[m] for m in left]), np.array([place[m] for m in right])
     overlap = np.zeros((len(a), len(b)), np.float64)
-    width = max(256, (1 << 21) // len(mine))
-    for at in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+    columns = int(column.max(initial=-1)) + 1
+    width = max(1, min(columns, max(256, (1 << 21) // len(mine))))
+    for at in range(0, columns, width):
         x, y = np.searchsorted(column, [at, at + width])
         block = np.zeros((len(mine), width), np.float32)
         block[row[x:y], column[x:y] - at] = 1
@@ -275,7 +294,7 @@ def _multiplied(percent: int):
 
 def _run_tasks(tasks: DataFrame, percent: int) -> DataFrame:
     partitions = int(tasks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bucketed = tasks.withColumn("bucket", F.pmod("task", F.lit(4 * partitions)))
+    bucketed = tasks.select("task", "side", "doc_id", "grams").withColumn("bucket", F.pmod("task", F.lit(4 * partitions)))
     return bucketed.groupBy("bucket").applyInArrow(_multiplied(percent), "a long, b long")
 
 
@@ -295,48 +314,64 @@ def components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
 
     # One document for each different set of a candidate group, with its size class.
     same = ["candidate", "h1", "h2"]
-    classes = sets.where("candidate is not null").groupBy(*same).agg(F.min("doc_id").alias("rep"))
+    classes = sets.where("candidate is not null").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"))
+    linked = _linked(materialize(classes, "classes"), sets.where("grams is not null").select("doc_id", "grams"), percent)
+    final = linked.select(F.col("node").alias("rep"), "component")
+
+    found = classes.join(final, "rep", "left").select(*same, F.coalesce("component", "rep").alias("component"))
+    rows = sets.select("doc_id", "n", *same).join(found, same, "left")
+    component = F.coalesce("component", "doc_id")
+    return rows.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(component, F.lit(NO_ID)).alias("component_id"))
+
+
+def _linked(classes: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
+    """(node, component) of the different sets of each candidate group that have links.
+
+    Tasks are dealt out on rows of ids alone; a set is read only by the tasks
+    that it takes part in.
+    """
     families = Families(percent)
-    largest = sets.agg(F.coalesce(F.max("n"), F.lit(1)).alias("n")).first()["n"]
+    largest = classes.agg(F.coalesce(F.max("n"), F.lit(1)).alias("n")).first()["n"]
     lows = [int(x) for x in families.upto(largest)[0] if x <= largest]
-    reps = classes.join(sets.where("grams is not null").select(F.col("doc_id").alias("rep"), "n", "grams"), "rep").dropDuplicates(["rep"])
     size_class = F.size(F.filter(F.array(*[F.lit(x) for x in lows]), lambda low: low <= F.col("n"))) - 1
-    reps = reps.select("candidate", F.col("rep").alias("doc_id"), "n", size_class.alias("c"), "grams")
-    light = reps.select("candidate", "doc_id", "n", "c")
+    light = classes.select("candidate", F.col("rep").alias("doc_id"), "n", size_class.alias("c"))
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_GRAMS)).cast("int")
     whole = light.groupBy("candidate").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("total")).where("docs > 1")
     small = (F.col("docs") <= BLOCK_DOCS) & (F.col("total") <= 4 * BLOCK_GRAMS)
-    by_class = light.join(whole.where(~small), "candidate").groupBy("candidate", "c").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_GRAMS)).cast("int").alias("blocks"))
-
-    one = reps.join(whole.where(small).select("candidate"), "candidate").select(F.xxhash64("candidate").alias("task"), F.lit(0).alias("side"), "doc_id", "grams")
-    placed = reps.join(by_class, ["candidate", "c"]).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    # Along the chain: block i with block i + 1 of its class, and the first blocks of neighbouring classes.
-    back = F.pmod(F.col("block") - 1, F.col("blocks"))
-    ring = F.array_distinct(F.array(F.col("block"), back))
-    chain = placed.select("doc_id", "grams", F.explode(F.transform(ring, lambda i: F.xxhash64(F.lit("ring"), "candidate", "c", i))).alias("task"))
-    steps = placed.where("block = 0").select("doc_id", "grams", F.explode(F.transform(F.array(F.col("c"), F.col("c") - 1), lambda c: F.xxhash64(F.lit("step"), "candidate", c))).alias("task"))
-    first_round = one.unionByName(chain.unionByName(steps).select("task", F.lit(0).alias("side"), "doc_id", "grams"))
-    edges = materialize(_run_tasks(first_round, percent), "links")
-    # Large groups that are not one component yet: what is outside the largest one meets everything.
-    label = connected_components(edges)
-    labelled = light.join(by_class, ["candidate", "c"]).join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("candidate", "doc_id", "n", "c", "blocks", F.coalesce("component", "doc_id").alias("label"))
-    sizes = labelled.groupBy("candidate", "label").agg(F.count(F.lit(1)).alias("members"))
-    main = sizes.groupBy("candidate").agg(F.max_by("label", F.struct("members", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("candidate", "main")
+    by_class = materialize(light.join(whole.where(~small), "candidate").groupBy("candidate", "c").agg(blocks.alias("blocks")), "blocks")
+
+    # Small groups are one task. Large ones go along a chain: block i with block i + 1 of its
+    # class, and the first blocks of neighbouring classes.
+    tasks = light.join(whole.where(small).select("candidate"), "candidate").select(F.xxhash64("candidate").alias("task"), F.lit(0).alias("side"), "doc_id")
+    placed = light.join(by_class, ["candidate", "c"]).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    some_large = not by_class.isEmpty()
+    if some_large:
+        ring = F.array_distinct(F.array(F.col("block"), F.pmod(F.col("block") - 1, F.col("blocks"))))
+        chain = F.transform(ring, lambda i: F.xxhash64(F.lit("ring"), "candidate", "c", i))
+        steps = F.when(F.col("block") == 0, F.transform(F.array(F.col("c"), F.col("c") - 1), lambda c: F.xxhash64(F.lit("step"), "candidate", c))).otherwise(F.expr("cast(array() as array<bigint>)"))
+        tasks = tasks.unionByName(placed.select(F.explode(F.concat(chain, steps)).alias("task"), F.lit(0).alias("side"), "doc_id"))
+    edges = materialize(_run_tasks(tasks.join(grams.hint("merge"), "doc_id"), percent), "links")
+    component = connected_components(edges)
+    if not some_large:
+        return component
+
+    # Large groups that are not one component yet: what is outside the main one meets everything.
+    label = component.withColumnRenamed("node", "doc_id")
+    labelled = placed.join(label, "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id"))
+    members = labelled.groupBy("candidate", "label").agg(F.count(F.lit(1)).alias("members"))
+    main = members.groupBy("candidate").agg(F.max_by("label", F.struct("members", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("candidate", "main")
     rest = materialize(labelled.join(main, "candidate").where("label <> main").select("candidate", "doc_id", "c", "n"), "rest")
-    rest_blocks = rest.groupBy("candidate", "c").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_GRAMS)).cast("int").alias("rest_blocks"))
-    outside = rest.join(rest_blocks, ["candidate", "c"]).withColumn("rest_block", F.pmod(F.xxhash64("doc_id"), F.col("rest_blocks")).cast("int")).join(reps.select("doc_id", "grams"), "doc_id")
-    near = F.explode(F.array(F.col("c") - 1, F.col("c"), F.col("c") + 1))
+    if rest.isEmpty():
+        return component
+    rest_blocks = materialize(rest.groupBy("candidate", "c").agg(blocks.alias("rest_blocks")), "rest-blocks")
+    outside = rest.join(rest_blocks, ["candidate", "c"]).withColumn("rest_block", F.pmod(F.xxhash64("doc_id"), F.col("rest_blocks")).cast("int"))
     name = F.xxhash64(F.lit("rest"), "candidate", "c", "rest_block", "other", "block")
+    near = lambda c: F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1))
     targets = by_class.select("candidate", F.col("c").alias("other"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    mine = outside.withColumn("other", near).join(targets, ["candidate", "other"]).select(name.alias("task"), F.lit(0).alias("side"), "doc_id", "grams")
     sources = rest_blocks.select("candidate", "c", F.explode(F.sequence(F.lit(0), F.col("rest_blocks") - 1)).alias("rest_block"))
-    others = placed.select("candidate", F.col("c").alias("other"), "block", "doc_id", "grams").withColumn("c", F.explode(F.array(F.col("other") - 1, F.col("other"), F.col("other") + 1))).join(sources, ["candidate", "c"]).select(name.alias("task"), F.lit(1).alias("side"), "doc_id", "grams")
-    edges = edges.unionByName(_run_tasks(mine.unionByName(others), percent))
-    final = connected_components(edges).select(F.col("node").alias("rep"), "component")
-
-    found = classes.join(final, "rep", "left").select(*same, F.coalesce("component", "rep").alias("component"))
-    rows = sets.select("doc_id", "n", *same).join(found, same, "left")
-    component = F.coalesce("component", "doc_id")
-    return rows.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(component, F.lit(NO_ID)).alias("component_id"))
+    mine = outside.withColumn("other", near("c")).join(targets, ["candidate", "other"]).select(name.alias("task"), F.lit(0).alias("side"), "doc_id")
+    others = placed.select("candidate", F.col("c").alias("other"), "block", "doc_id").withColumn("c", near("other")).join(sources, ["candidate", "c"]).select(name.alias("task"), F.lit(1).alias("side"), "doc_id")
+    return connected_components(edges.unionByName(_run_tasks(mine.unionByName(others).join(grams.hint("merge"), "doc_id"), percent)))
 
 
 def _with_slot(slots: int):
@@ -352,4 +387,4 @@ def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The documents, with all their columns, without all but the first of each component."""
     later = components(docs, k, percent).where("component_id <> doc_id or (doc_id is null and component_id is not null)")
     gone = later.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("gone_id")).distinct()
-    return docs.join(gone, F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == gone["gone_id"], "left_anti")
+    return docs.join(gone.hint("merge"), F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == gone["gone_id"], "left_anti")
