@@ -24,6 +24,7 @@ import hashlib
 import heapq
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +34,8 @@ from pyspark.sql import functions as F
 from corvane.llm import kernels as K
 
 #: Distinct pieces that a task remembers; it starts anew beyond that.
-REMEMBERED = 400_000
-PIECE_CHUNK_BYTES = 8 << 20
+REMEMBERED = 250_000
+PIECE_CHUNK_BYTES = 6 << 20
 
 
 class Ranks:
@@ -79,8 +80,8 @@ class Ranks:
         """Ids of each distinct piece."""
         lengths = np.array([len(p) for p in pieces], np.int64)
         symbol = self.of_byte[np.frombuffer(b"".join(pieces), np.uint8)]
-        owner, n = np.repeat(np.arange(len(pieces)), lengths), len(symbol)
-        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)  # -1 and n: piece ends
+        owner, n = np.repeat(np.arange(len(pieces), dtype=np.int32), lengths), len(symbol)
+        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)  # -1 and n: piece ends
         ends = np.cumsum(lengths)
         after[ends[lengths > 0] - 1] = n
         before[(ends - lengths)[lengths > 0]] = -1
@@ -149,6 +150,14 @@ def _ranks(path: str) -> Ranks:
     return Ranks.from_file(path)
 
 
+class _Numbers(dict):
+    """Numbers pieces in the order in which they are first looked up."""
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = n = len(self)
+        return n
+
+
 class Encoder:
     """Encodes texts with one vocabulary and pattern, remembering the pieces it has met."""
 
@@ -156,25 +165,33 @@ class Encoder:
         import regex
 
         self.ranks, self.cut = _ranks(path), regex.compile(pattern).findall
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [self.cut(text) for text in texts]
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        known = self.known
-        new, whole = [], self.ranks.ranks
-        for piece in set().union(*cut).difference(known):
-            rank = whole.get(piece.encode())
+        self.numbers, self.ids = _Numbers(), []
+
+    def _learn(self) -> None:
+        """Ids of the pieces that have a number, but no ids yet."""
+        whole, ids, new = self.ranks.ranks, self.ids, []
+        for piece in islice(self.numbers, len(ids), None):
+            raw = piece.encode()
+            rank = whole.get(raw)
             if rank is None:
-                new.append(piece)
+                new.append((len(ids), raw))
+                ids.append(b"")
             else:  # a piece that is itself in the vocabulary is one id
-                known[piece] = rank.to_bytes(4, "little")
+                ids.append(rank.to_bytes(4, "little"))
         if new:
-            for piece, ids in zip(new, self.ranks.replay([p.encode() for p in new])):
-                known[piece] = ids.astype("<u4", copy=False).tobytes()
-        return [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
+            for (i, _), own in zip(new, self.ranks.replay([raw for _, raw in new])):
+                ids[i] = own.astype("<u4", copy=False).tobytes()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        if len(self.ids) > REMEMBERED:
+            self.numbers, self.ids = _Numbers(), []
+        # Texts wait as piece numbers, not as strings, until their chunk's new pieces are encoded.
+        number = self.numbers.__getitem__
+        waiting = [np.fromiter(map(number, self.cut(text)), np.int32) for text in texts]
+        self._learn()
+        ids_of = self.ids.__getitem__
+        return [b"".join(map(ids_of, numbers.tolist())) for numbers in waiting]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.ranks.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 _RNG = np.random.Generator(np.random.PCG64(20240607))
 BYTE_VALUE = _RNG.integers(1, 1 << 63, 256, dtype=U64) * U64(2) + U64(1)
@@ -54,7 +54,7 @@ def powers(base: int, n: int) -> np.ndarray:
     """base**0 … base**(n-1) modulo 2**64, kept for the next call."""
     have = _tables.get(base)
     if have is None or len(have) < n:
-        size = max(n, 1 << 16, 0 if have is None else 2 * len(have))
+        size = max(n, 1 << 16)
         table = np.full(size, base, U64)
         table[0] = 1
         _tables[base] = have = np.multiply.accumulate(table)

@@ -31,6 +31,7 @@ from corvane.sources.shared import new_folder
 
 #: Distinct pieces, and distinct stems, that a Python worker remembers; it starts anew beyond that.
 REMEMBERED_PIECES, REMEMBERED_STEMS = 300_000, 600_000
+TEXT_CHUNK_BYTES = 4 << 20
 ROW_GROUP_BYTES = 64 << 20
 PAGE_BYTES = 256 << 10
 #: Python splits words at these, the tokenizer doesn't.
@@ -122,7 +123,7 @@ def encode(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         encoder, end, part, at = _encoder(path), int(end_id).to_bytes(4, "little"), TaskContext.get().partitionId(), 0
         for batch in batches:
             _, offsets = K.utf8(batch.column("text"))
-            for a, b in K.chunks(offsets):
+            for a, b in K.chunks(offsets, TEXT_CHUNK_BYTES):
                 rows = batch.slice(a, b - a)
                 ids = encoder.encode([t or "" for t in rows.column("text").to_pylist()], end)
                 lengths = np.array([len(x) // 4 for x in ids], np.int64)
