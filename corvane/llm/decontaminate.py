@@ -124,7 +124,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WO
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<begin:bigint,end:bigint>>)").alias("hits"), F.expr("cast(array() as array<string>)").alias("items"), *([] if carry is None else [carry.alias("carry")]))
     schema = T.StructType(T.StructType.fromDDL(_SCAN).fields + [f for f in out.schema.fields if f.name == "carry"])
     for i in range(n_blocks):
-        items = [(r["item"], r["text"]) for r in sized.where(block == i).toLocalIterator()]
+        items = [(r["item"], r["text"]) for r in sized.where(block == i).collect()]
         shared = spark.sparkContext.broadcast(benchmark_windows(items, window))
         out = out.mapInArrow(_scan(shared), schema)
     return out

@@ -104,7 +104,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     few = label.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
     # The sample's ids and labels are bounded by sample_rows, so they may be broadcast.
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(few), "doc_id").select("label", "text")
-    found = sorted((r["label"], bytes(r["rows"]), bytes(r["counts"])) for r in rows.mapInArrow(_featured, "label int, rows binary, counts binary").toLocalIterator())
+    found = sorted((r["label"], bytes(r["rows"]), bytes(r["counts"])) for r in rows.mapInArrow(_featured, "label int, rows binary, counts binary").collect())
     return train([(np.frombuffer(r, "<u4").astype(np.int64), np.frombuffer(c, "<u4").astype(np.float32)) for _, r, c in found], np.array([y for y, _, _ in found], np.int64))
 
 

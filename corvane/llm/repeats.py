@@ -357,7 +357,7 @@ def sampled_splitters(docs: DataFrame, size: int, k: int, ranges: int) -> np.nda
                 key = np.sort(key)[:: max(1, len(key) // (each * (b - a)))][: 2 * each * (b - a)]
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64))], names=["key"])
 
-    found = np.sort(np.array([r["key"] for r in few.mapInArrow(keys, "key long").toLocalIterator()], np.int64).view(K.U64))
+    found = np.sort(np.array([r["key"] for r in few.mapInArrow(keys, "key long").collect()], np.int64).view(K.U64))
     return found[(np.arange(1, ranges) * len(found)) // ranges] if len(found) else found
 
 
