@@ -10,7 +10,9 @@ sets as connected components.
    its own class's and the next lower family): at least one part must be equal,
    so linked sets share the signature of a part. Parts that are empty say
    nothing; ``spare`` parts make up for them, and the rare set with more empty
-   parts than that also sends those. No link is lost, no n-gram count is needed,
+   parts than that also sends those. Further parts raise the number of
+   signatures that linked sets must share, so a document that shares fewer with
+   all others together drops out. No link is lost, no n-gram count is needed,
    and a passage that many documents share does not bring them together.
 2. Equal signatures join into candidate groups, as stars: one row for each
    document and bucket, however many signatures or copies there are.
@@ -41,10 +43,14 @@ from corvane.sources.shared import materialize
 #: Signatures that a task gathers before it groups them and sends them on.
 SHARE_SIGNATURES = 1_500_000
 BLOCK_DOCS, BLOCK_GRAMS = 512, 1 << 20
-SIGNATURES, EDGES = range(2)
+SIGNATURES, EDGES, NEEDS = range(3)
+#: Parts beyond those that size bounds ask for, as a share of these: so many more signatures must linked sets share.
+EXTRA_PARTS = 0.3
 #: 48 bits of the signature (its bucket adds some) and the document.
 SIGNATURE = K.Records(high=np.uint32, low=np.uint16, doc=np.int64)
 EDGE = K.Records(a=np.int64, b=np.int64)
+#: How many shared signatures a document has (positive), or must have to link with any other (negative).
+NEED = K.Records(doc=np.int64, n=np.int32)
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -73,7 +79,7 @@ class Families:
             low = self.lows[-1]
             top = low * 100 // p
             differ = (top + top * 100 // p) * (100 - p) // (100 + p)
-            spare = math.ceil(1.5 * (differ + 1) * math.exp(-low / (differ + 1))) + 2 if differ else 0
+            spare = math.ceil((differ + 1) * (1.5 * math.exp(-low / (differ + 1)) + EXTRA_PARTS)) + 2 if differ else 0
             self.parts.append(differ + 1 + spare)
             self.spares.append(spare)
             self.lows.append(top + 1)
@@ -83,13 +89,13 @@ class Families:
         return np.searchsorted(self.upto(int(n.max(initial=1)))[0], n, "right") - 1
 
 
-def signatures(grams: np.ndarray, counts: np.ndarray, families: Families) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, row) of every telling part of every non-empty set."""
+def signatures(grams: np.ndarray, counts: np.ndarray, families: Families) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, row) of every telling part of every non-empty set, and how many of them each set must share with a set that it links to."""
     own = families.class_of(counts)
     _, parts, spares = families.upto(int(counts.max(initial=1)))
     row = np.repeat(np.arange(len(counts)), counts)
     cell, element = K.mix(grams ^ K.U64(0xA5A5A5A5A5A5A5A5)), K.mix(grams + K.U64(0x3C6EF372FE94F82A))
-    out = []
+    out, need = [], np.full(len(counts), 1 << 30)
     for down in (0, 1):
         family = own - down
         has = (counts > 0) & (family >= 0)
@@ -102,10 +108,12 @@ def signatures(grams: np.ndarray, counts: np.ndarray, families: Families) -> tup
         filled = np.bincount(at, minlength=len(sums)) > 0
         owner, place = K.spread(n_parts)
         empties = np.bincount(owner[~filled], minlength=len(counts))
-        told = filled | (empties > spares[np.maximum(family, 0)])[owner]
+        spare = spares[np.maximum(family, 0)]
+        told = filled | (empties > spare)[owner]
+        need = np.where(has, np.minimum(need, np.maximum(1 + spare - empties, 1)), need)
         name = K.mix((family[owner].astype(K.U64) << K.U64(32)) + place.astype(K.U64) + K.U64(1))
         out.append((K.mix(sums + name)[told], owner[told]))
-    return np.concatenate([s for s, _ in out]), np.concatenate([r for _, r in out])
+    return np.concatenate([s for s, _ in out]), np.concatenate([r for _, r in out]), need
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -128,15 +136,18 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[other], nodes[label[other]]
 
 
-def _stars(signature: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
-    """Order in which each signature's first document stands first; which places those are; stars of the rest."""
+def _stars(signature: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray], dict[str, np.ndarray]]:
+    """Places of each signature's first document, stars of the others, and how many shared signatures each document has."""
     order = np.lexsort((doc, signature))
     s, d = signature[order], doc[order]
     new = np.ones(len(s), bool)
     new[1:] = s[1:] != s[:-1]
-    lead = d[np.flatnonzero(new)][np.cumsum(new) - 1] if len(s) else d
+    first, group = np.flatnonzero(new), np.cumsum(new) - 1
+    lead = d[first][group] if len(s) else d
     other = d != lead
-    return order[new], forest(d[other], lead[other])
+    shared = np.bincount(group, weights=other, minlength=len(first)) > 0
+    docs, n = np.unique(d[shared[group]], return_counts=True) if len(s) else (d, d)
+    return order[new], forest(d[other], lead[other]), {"doc": docs, "n": n}
 
 
 def _rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
@@ -149,14 +160,16 @@ def _signed(k: int, percent: int, buckets: int):
         families, gathered = Families(percent), []
 
         def sent() -> pa.RecordBatch:
-            signature, doc = (np.concatenate(x) for x in zip(*gathered))
+            signature, doc, needs = (np.concatenate(x, axis=-1) for x in zip(*gathered))
             gathered.clear()
-            first, (a, b) = _stars(signature, doc)
+            first, (a, b), count = _stars(signature, doc)
             signature, doc = signature[first], doc[first]
             columns = {"high": (signature >> K.U64(32)).astype(np.uint32), "low": ((signature >> K.U64(16)) & K.U64(0xFFFF)).astype(np.uint16), "doc": doc}
             rows = [(bucket, SIGNATURES, raw) for bucket, raw in SIGNATURE.split(columns, (signature % K.U64(buckets)).astype(np.int64))]
             if len(a):
                 rows += [(bucket, EDGES, raw) for bucket, raw in EDGE.split({"a": a, "b": b}, slot_of(b, buckets))]
+            told = {"doc": np.r_[count["doc"], needs[0]], "n": np.r_[count["n"], -needs[1]]}
+            rows += [(bucket, NEEDS, raw) for bucket, raw in NEED.split(told, slot_of(told["doc"], buckets))]
             return _rows(rows)
 
         for batch in batches:
@@ -164,8 +177,8 @@ def _signed(k: int, percent: int, buckets: int):
             data, offsets = K.utf8(batch.column("text"))
             for x, y in K.chunks(offsets, 1 << 20):
                 grams, counts = shingles(data[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x], k)
-                signature, row = signatures(grams, counts, families)
-                gathered.append((signature, ids[x:y][row]))
+                signature, row, need = signatures(grams, counts, families)
+                gathered.append((signature, ids[x:y][row], np.stack([ids[x:y], need])[:, counts > 0]))
                 if sum(len(g[0]) for g in gathered) >= SHARE_SIGNATURES:
                     yield sent()
         if gathered:
@@ -181,19 +194,33 @@ def _grouped(slots: int):
         kinds, payloads = table.column("kind").to_pylist(), table.column("payload").to_pylist()
         s = SIGNATURE.unpack_all([p for k, p in zip(kinds, payloads) if k == SIGNATURES])
         e = EDGE.unpack_all([p for k, p in zip(kinds, payloads) if k == EDGES])
-        _, (a, b) = _stars((s["high"].astype(K.U64) << K.U64(16)) | s["low"].astype(K.U64), s["doc"])
-        a, b = forest(np.concatenate([a, e["a"]]), np.concatenate([b, e["b"]]))
-        rows = [(slot, EDGES, raw) for slot, raw in EDGE.split({"a": a, "b": b}, slot_of(a, slots))] if len(a) else []
+        _, (a, b), count = _stars((s["high"].astype(K.U64) << K.U64(16)) | s["low"].astype(K.U64), s["doc"])
+        told = NEED.unpack_all([p for k, p in zip(kinds, payloads) if k == NEEDS])
+        told = {name: np.r_[told[name], count[name]] for name in told}
+        rows = [(slot, EDGES, raw) for slot, raw in EDGE.split(x, slot_of(x["a"], slots))] if len((x := {"a": np.r_[a, e["a"]], "b": np.r_[b, e["b"]]})["a"]) else []
+        rows += [(slot, NEEDS, raw) for slot, raw in NEED.split(told, slot_of(told["doc"], slots))] if len(told["doc"]) else []
         return pa.Table.from_batches([_rows(rows)])
 
     return run
 
 
 def _different(table: pa.Table) -> pa.Table:
-    """The different edges of one slot."""
-    e = EDGE.unpack_all(table.column("payload").to_pylist())
-    order = np.lexsort((e["b"], e["a"]))
-    a, b = e["a"][order], e["b"][order]
+    """The different edges of one slot's documents that share as many signatures as a link needs.
+
+    Counts may be too high (a signature shared within a task's share and
+    beyond counts twice), never too low, so no link is lost. A star's centre
+    stays as a connection even where it cannot link itself.
+    """
+    kinds, payloads = table.column("kind").to_pylist(), table.column("payload").to_pylist()
+    e = EDGE.unpack_all([p for k, p in zip(kinds, payloads) if k == EDGES])
+    told = NEED.unpack_all([p for k, p in zip(kinds, payloads) if k == NEEDS])
+    docs, at = np.unique(told["doc"], return_inverse=True)
+    has = np.bincount(at, weights=np.maximum(told["n"], 0), minlength=len(docs))
+    need = np.full(len(docs), 1 << 30)
+    np.minimum.at(need, at[told["n"] < 0], -told["n"][told["n"] < 0])
+    keeps = np.isin(e["a"], docs[has >= need])
+    order = np.lexsort((e["b"][keeps], e["a"][keeps]))
+    a, b = e["a"][keeps][order], e["b"][keeps][order]
     new = np.ones(len(a), bool)
     new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
     return pa.table({"a": a[new], "b": b[new]})
