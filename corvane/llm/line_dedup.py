@@ -2,15 +2,17 @@
 
 A line goes if an earlier line (smaller doc_id, then smaller line number) is
 equal to it, or within ``edits`` insertions, deletions and substitutions of it.
-Lines under ``min_chars`` code points stay: a few edits turn short lines into
-any other.
+Near matches take lines of ``min_chars`` code points or more: a few edits turn
+short lines into any other. Equal lines go from ``exact_chars`` on, which is
+``min_chars`` unless it is given, as the SQL counterpart has one floor for both.
 
 Of edits + 1 disjoint segments of a line, at least one stands unchanged in any
 line within that many edits. Lines are indexed by length band (``BAND`` code
-points): band b cuts segments of (BAND * b) // (edits + 1) code points, the
-first ones side by side from the line's start, the last one at its end. A line
-probes its own band and, near a border, the next one: the first and the last
-segment where they are, those between at every shift up to ``edits``.
+points; one for each length below 2 * BAND): a band whose shortest line has n
+code points cuts segments of n // (edits + 1) code points, the first ones side
+by side from the line's start, the last one at its end. A line probes every band
+that a line within ``edits`` of it can be in: the first and the last segment
+where they are, those between at every shift up to ``edits``.
 
 Equal lines collapse first, by a partial aggregate, so a line that fills a
 third of the corpus is one row from each task. Keys are hashes; each candidate
@@ -37,9 +39,15 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return docs.select(doc, F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
 
 
+def _band(n: Column) -> Column:
+    """The length band of a line of ``n`` code points: one for each length below 2 * BAND, then one for every BAND lengths."""
+    return F.when(n < 2 * BAND, F.greatest(n, F.lit(0))).otherwise(F.floor(n / BAND) + 2 * BAND - 2).cast("int")
+
+
 def _segment_keys(band: Column, edits: int, shifted: bool) -> list[Column]:
     """Hashes of (band, segment number, segment), at every shift if ``shifted``."""
-    size = F.floor(band * BAND / (edits + 1)).cast("int")
+    shortest = F.when(band < 2 * BAND, band).otherwise((band - 2 * BAND + 2) * BAND)
+    size = F.floor(shortest / (edits + 1)).cast("int")
     n = F.col("n")
     keys = [F.xxhash64(band, F.lit(edits), F.substring(F.col("line"), n - size + 1, size))]
     for i in range(edits):
@@ -48,13 +56,16 @@ def _segment_keys(band: Column, edits: int, shifted: bool) -> list[Column]:
     return keys
 
 
-def keyed_lines(lines: DataFrame, edits: int, min_chars: int) -> DataFrame:
-    """Lines of min_chars or more by place: two content hashes, length, keys to be found by and keys to look up."""
-    rows = lines.withColumn("n", F.length("line")).where(F.col("n") >= max(min_chars, 2 * BAND + edits))
-    low, own, high = (F.floor((F.col("n") + d) / BAND).cast("int") for d in (-edits, 0, edits))
-    probes = F.array(*_segment_keys(low, edits, True))
-    probes = F.when(low == high, probes).otherwise(F.concat(probes, F.array(*_segment_keys(high, edits, True))))
-    return rows.select("doc_id", "line_no", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit("line"), "line").alias("k2"), "n", F.array(*_segment_keys(own, edits, False)).alias("index"), probes.alias("probe"))
+def keyed_lines(lines: DataFrame, edits: int, min_chars: int, exact_chars: int) -> DataFrame:
+    """Lines of exact_chars or more by place: two content hashes, length, and, from min_chars on, keys to be found by and keys to look up."""
+    rows = lines.withColumn("n", F.length("line")).where(F.col("n") >= min(exact_chars, min_chars))
+    low, own, high = (_band(F.col("n") + d) for d in (-edits, 0, edits))
+    # So many bands hold lengths that are 2 * edits apart.
+    steps = (2 * edits if min_chars - edits < 2 * BAND else -(-2 * edits // BAND)) + 1
+    none, near = F.expr("cast(array() as array<bigint>)"), F.col("n") >= min_chars
+    probes = F.concat(*[F.when(near & (low + i <= high), F.array(*_segment_keys(low + i, edits, True))).otherwise(none) for i in range(steps)])
+    index = F.when(near, F.array(*_segment_keys(own, edits, False))).otherwise(none)
+    return rows.select("doc_id", "line_no", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit("line"), "line").alias("k2"), "n", index.alias("index"), probes.alias("probe"))
 
 
 def candidates(first: DataFrame, edits: int) -> DataFrame:
@@ -79,9 +90,9 @@ def near_lines(docs: DataFrame, pairs: DataFrame, edits: int) -> DataFrame:
     return both.where(F.levenshtein("x", "y", edits).between(0, edits)).select(F.col("y_doc").alias("f_doc"), F.col("y_line").alias("f_line")).distinct()
 
 
-def removals(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def removals(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
     """doc_id (null: the largest), exact and near: the numbers of the lines that go, for documents that lose any."""
-    rows = keyed_lines(lines_of(docs), edits, min_chars)
+    rows = keyed_lines(lines_of(docs), edits, min_chars, min_chars if exact_chars is None else exact_chars)
     place = F.struct("doc_id", "line_no")
     grouped = rows.groupBy("k1", "k2").agg(F.min_by(F.struct("doc_id", "line_no", "n", "index", "probe"), place).alias("f"))
     first = materialize(grouped.select("k1", "k2", "f.*"), "lines")
@@ -94,14 +105,14 @@ def removals(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) ->
     return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.when(later, F.col("line_no")))).alias("exact"), F.array_sort(F.collect_set(F.when(~later, F.col("line_no")))).alias("near"))
 
 
-def _with_removals(docs: DataFrame, edits: int, min_chars: int, *columns: Column) -> DataFrame:
-    gone = removals(docs, edits, min_chars).withColumnRenamed("doc_id", "gone_id")
+def _with_removals(docs: DataFrame, edits: int, min_chars: int, exact_chars: int | None, *columns: Column) -> DataFrame:
+    gone = removals(docs, edits, min_chars, exact_chars).withColumnRenamed("doc_id", "gone_id")
     kept = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("gone_id"), *columns)
     none = F.expr("cast(array() as array<int>)")
     return kept.join(gone.hint("merge"), "gone_id", "left").withColumn("exact", F.coalesce("exact", none)).withColumn("near", F.coalesce("near", none))
 
 
-def digest(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def digest(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
     """One row per document: n_lines, n_exact and n_near lines that go, and the numbers of all of them, comma-joined.
 
     Null texts have no lines; an empty text has one, empty, that stays. Rows
@@ -110,14 +121,14 @@ def digest(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> D
     others. Columns besides doc_id and text are not read.
     """
     n_lines = F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
-    rows = _with_removals(docs, edits, min_chars, F.col("doc_id").cast("long").alias("doc_id"), n_lines.alias("n_lines"))
+    rows = _with_removals(docs, edits, min_chars, exact_chars, F.col("doc_id").cast("long").alias("doc_id"), n_lines.alias("n_lines"))
     return rows.select("doc_id", "n_lines", F.size("exact").cast("long").alias("n_exact"), F.size("near").cast("long").alias("n_near"), F.array_join(F.array_sort(F.concat("exact", "near")), ",").alias("removed_lines"))
 
 
-def remove_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def remove_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
     """The documents, with all their columns, without the lines that go."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    rows = _with_removals(docs, edits, min_chars, row.alias("row"))
+    rows = _with_removals(docs, edits, min_chars, exact_chars, row.alias("row"))
     gone = F.concat("exact", "near")
     kept = F.array_join(F.filter(F.split("row.text", "\n", -1), lambda line, i: ~F.array_contains(gone, i)), "\n")
     text = F.when(F.size(gone) == 0, F.col("row.text")).otherwise(kept).alias("text")

@@ -122,6 +122,27 @@ def test_line_dedup_random_edits(spark):
         assert by_id(line_dedup.digest(table(spark, docs), edits), "n_lines", "n_exact", "n_near", "removed_lines") == brute.line_dedup(docs, edits, 30)
 
 
+@pytest.mark.parametrize(("edits", "min_chars", "n"), [(5, 24, 28), (1, 3, 9), (2, 0, 5), (3, 10, 17)])
+def test_line_dedup_in_every_band_and_length(spark, edits, min_chars, n):
+    """Lines whose bands are more than two, and lines shorter than two bands."""
+    rng, docs = random.Random(edits), []
+    for d in range(120):
+        line = [rng.choice("abcdefgh") for _ in range(rng.randint(max(0, n - 3), n + 3))] if d % 4 == 0 else list(docs[d - d % 4][1])
+        for _ in range(edits if d % 4 else 0):
+            at = rng.randrange(len(line) + 1)
+            line[at : at + rng.randint(0, 1)] = rng.choice(["", "z", "é"])
+        docs.append((d, "".join(line)))
+    got = by_id(line_dedup.digest(table(spark, docs), edits, min_chars), "n_lines", "n_exact", "n_near", "removed_lines")
+    assert got == brute.line_dedup(docs, edits, min_chars)
+    assert sum(x[2] for x in got.values()) > 10
+
+
+def test_short_equal_lines_go_from_their_own_floor(spark):
+    docs = table(spark, [(1, "All rights reserved.\n\nHome"), (2, "Text\nAll rights reserved.\n\nHome"), (3, "All rights reserved!")])
+    assert by_id(line_dedup.digest(docs, exact_chars=1), "n_exact", "n_near", "removed_lines") == {1: (0, 0, ""), 2: (2, 0, "1,3"), 3: (0, 0, "")}
+    assert by_id(line_dedup.remove_lines(docs, exact_chars=1), "text")[2] == ("Text\n",)
+
+
 def test_removed_lines_leave_the_text(spark):
     line = "a line of more than thirty characters, said twice"
     docs = table(spark, [(1, f"{line}\nshort\n{line}"), (2, f"x\n{line[:-1]}\ny"), (3, None)])
