@@ -12,7 +12,8 @@ sets as connected components.
    nothing; ``spare`` parts make up for them, and the rare set with more empty
    parts than that also sends those. Further parts raise the number of
    signatures that linked sets must share, so a document that shares fewer with
-   all others together drops out. No link is lost, no n-gram count is needed,
+   all others together drops out of its group once groups are formed; until
+   then it may connect others. No link is lost, no n-gram count is needed,
    and a passage that many documents share does not bring them together.
 2. Equal signatures join into candidate groups, as stars: one row for each
    document and bucket, however many signatures or copies there are.
@@ -205,11 +206,12 @@ def _grouped(slots: int):
 
 
 def _different(table: pa.Table) -> pa.Table:
-    """The different edges of one slot's documents that share as many signatures as a link needs.
+    """The different edges of one slot's documents, and, as edges to themselves, those that share as many signatures as a link needs.
 
     Counts may be too high (a signature shared within a task's share and
-    beyond counts twice), never too low, so no link is lost. A star's centre
-    stays as a connection even where it cannot link itself.
+    beyond counts twice), never too low, so no link is lost. All edges stay:
+    any document may stand for a signature of others, as the first of a share,
+    and so be their only connection, even where it cannot link itself.
     """
     kinds, payloads = table.column("kind").to_pylist(), table.column("payload").to_pylist()
     e = EDGE.unpack_all([p for k, p in zip(kinds, payloads) if k == EDGES])
@@ -218,21 +220,24 @@ def _different(table: pa.Table) -> pa.Table:
     has = np.bincount(at, weights=np.maximum(told["n"], 0), minlength=len(docs))
     need = np.full(len(docs), 1 << 30)
     np.minimum.at(need, at[told["n"] < 0], -told["n"][told["n"] < 0])
-    keeps = np.isin(e["a"], docs[has >= need])
-    order = np.lexsort((e["b"][keeps], e["a"][keeps]))
-    a, b = e["a"][keeps][order], e["b"][keeps][order]
+    able = docs[has >= need]
+    a, b = np.r_[e["a"], able], np.r_[e["b"], able]
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
     new = np.ones(len(a), bool)
     new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
     return pa.table({"a": a[new], "b": b[new]})
 
 
 def candidate_groups(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(node, component): documents that share a signature with another, by group."""
+    """(node, component): documents that share as many signatures with others as a link needs, by the group that signatures connect."""
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     schema = "bucket int, kind int, payload binary"
     rows = docs.mapInArrow(_signed(k, percent, 2 * partitions), schema)
     stars = rows.groupBy("bucket").applyInArrow(_grouped(partitions), schema)
-    return connected_components(stars.groupBy("bucket").applyInArrow(_different, "a long, b long"))
+    edges = materialize(stars.groupBy("bucket").applyInArrow(_different, "a long, b long"), "candidate-edges")
+    able = edges.where("a = b").select(F.col("a").alias("node"))
+    return connected_components(edges.where("a <> b")).join(able.hint("merge"), "node", "left_semi")
 
 
 def _sets(k: int):

@@ -174,6 +174,42 @@ def test_first_of_each_component_stays(spark):
     assert sorted(r["doc_id"] for r in ngram_join.keep_first(docs).collect()) == [1, 2, 4]
 
 
+def test_documents_below_their_need_connect_others():
+    """X is in one share, L and Y in the next: L stands for the signature of Y and X, and cannot link itself."""
+    x, low, y = 1, 2, 3
+    need = {x: 1, low: 5, y: 1}
+    for root in (low, 0):  # the centre of Y in its share is L, or a document with which L shares another signature
+        edges = [(y, root), (low, x)] + [(low, root)] * (root != low)
+        told = [(x, 1), (low, 2), (y, 1), (0, 1)] + [(d, -n) for d, n in (need | {0: 5}).items()]
+        parts = zip(*[np.array(edges, np.int64).T, np.zeros((2, 0), np.int64)])
+        a, b = (np.concatenate(p) for p in parts)
+        doc, n = np.array(told, np.int64).T
+        rows = [(0, ngram_join.EDGES, raw) for _, raw in ngram_join.EDGE.split({"a": a, "b": b}, np.zeros(len(a), np.int64))]
+        rows += [(0, ngram_join.NEEDS, raw) for _, raw in ngram_join.NEED.split({"doc": doc, "n": n}, np.zeros(len(doc), np.int64))]
+        got = ngram_join._different(ngram_join.pa.Table.from_batches([ngram_join._rows(rows)]))
+        pairs = set(zip(got.column("a").to_pylist(), got.column("b").to_pylist()))
+        assert {p for p in pairs if p[0] != p[1]} == set(edges)
+        assert {p[0] for p in pairs if p[0] == p[1]} == {x, y}
+
+
+@pytest.mark.parametrize("share", [1, 300])
+def test_links_across_shares(spark, monkeypatch, share):
+    """Short near copies in shares of a few signatures each: shares meet only through their first documents."""
+    monkeypatch.setattr(ngram_join, "SHARE_SIGNATURES", share)
+    rng, docs = random.Random(8), []
+    for d in range(240):
+        words = [f"w{d % 40}x{i}" for i in range(6 + d % 40 % 12)]
+        for _ in range(rng.randint(0, 2)):
+            words.insert(rng.choice([0, len(words)]), f"y{rng.randint(0, 3)}")
+        docs.append((d, " ".join(words)))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        got = by_id(ngram_join.components(table(spark, docs), 2, 60), "n_shingles", "component_id")
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == brute.near_components(docs, 2, 60)
+
+
 def test_signatures_lose_no_link():
     rng = np.random.default_rng(2)
     for percent in (50, 80, 85):
