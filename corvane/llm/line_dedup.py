@@ -25,12 +25,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvane.llm.own_ids import NO_ID, by_own_ids
 from corvane.sources.shared import materialize
 
 EDITS = 1
 MIN_CHARS = 30
 BAND = 8
-NO_ID = (1 << 63) - 1
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -115,11 +115,16 @@ def _with_removals(docs: DataFrame, edits: int, min_chars: int, exact_chars: int
 def digest(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
     """One row per document: n_lines, n_exact and n_near lines that go, and the numbers of all of them, comma-joined.
 
-    Null texts have no lines; an empty text has one, empty, that stays. Rows
-    that share an id count as one document: equal rows give equal results and
-    do not remove each other's lines. Null ids count as one id, larger than all
-    others. Columns besides doc_id and text are not read.
+    Null texts have no lines; an empty text has one, empty, that stays. Equal
+    rows that share an id count as one document: they give equal results and
+    do not remove each other's lines. Different texts under one id, or without
+    an id, are different documents (see ``by_own_ids``). Null ids are larger
+    than all others. Columns besides doc_id and text are not read.
     """
+    return by_own_ids(docs, lambda told: _digest(told, edits, min_chars, exact_chars))
+
+
+def _digest(docs: DataFrame, edits: int, min_chars: int, exact_chars: int | None) -> DataFrame:
     n_lines = F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
     rows = _with_removals(docs, edits, min_chars, exact_chars, F.col("doc_id").cast("long").alias("doc_id"), n_lines.alias("n_lines"))
     return rows.select("doc_id", "n_lines", F.size("exact").cast("long").alias("n_exact"), F.size("near").cast("long").alias("n_near"), F.array_join(F.array_sort(F.concat("exact", "near")), ",").alias("removed_lines"))
@@ -127,6 +132,10 @@ def digest(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, exac
 
 def remove_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
     """The documents, with all their columns, without the lines that go."""
+    return by_own_ids(docs, lambda told: _remove_lines(told, edits, min_chars, exact_chars))
+
+
+def _remove_lines(docs: DataFrame, edits: int, min_chars: int, exact_chars: int | None) -> DataFrame:
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     rows = _with_removals(docs, edits, min_chars, exact_chars, row.alias("row"))
     gone = F.concat("exact", "near")

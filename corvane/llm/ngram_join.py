@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm import kernels as K
+from corvane.llm.own_ids import by_own_ids
 from corvane.llm.repeats import NO_ID, slot_of, slotted
 from corvane.operators.components import connected_components
 from corvane.sources.shared import materialize
@@ -416,7 +417,15 @@ def _with_slot(slots: int):
 
 
 def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The documents, with all their columns, without all but the first of each component."""
+    """The documents, with all their columns, without all but the first of each component.
+
+    Different texts under one id, or without an id, are different documents
+    (see ``by_own_ids``); equal rows under one id stay together.
+    """
+    return by_own_ids(docs, lambda told: _keep_first(told, k, percent))
+
+
+def _keep_first(docs: DataFrame, k: int, percent: int) -> DataFrame:
     later = components(docs, k, percent).where("component_id <> doc_id or (doc_id is null and component_id is not null)")
     gone = later.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("gone_id")).distinct()
     return docs.join(gone.hint("merge"), F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == gone["gone_id"], "left_anti")

@@ -32,11 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm import kernels as K
+from corvane.llm.own_ids import NO_ID, by_own_ids
 from corvane.sources.shared import materialize
 
 #: Runs that a task gathers before it settles them and sends them on.
 SHARE_RUNS = 500_000
-NO_ID = (1 << 63) - 1
 
 RUN = K.Records(anchor=K.U64, span=K.U64, doc=np.int64, low=np.uint32, n=np.uint16, at=np.uint16, many=np.uint8)
 END = K.Records(anchor=K.U64, doc=np.int64, low=np.uint32, n=np.uint16, at=np.uint16)
@@ -375,10 +375,14 @@ def remove_repeated_words(docs: DataFrame, size: int = 13, k: int = 5, with_text
     Returns doc_id, n_words, n_removed, kept_sha256 (of the kept words joined
     by one space) and, if asked for, kept_text. Null and empty texts, and
     texts under ``size`` words, lose nothing. Null ids count as larger than all
-    others. Rows that share an id count as one document: none of them is
-    earlier than another. Equal rows give equal results. Other columns are not
-    read.
+    others. Equal rows that share an id count as one document: none of them is
+    earlier than another. Different texts under one id, or without an id, are
+    different documents (see ``by_own_ids``). Other columns are not read.
     """
+    return by_own_ids(docs, lambda told: _remove_repeated_words(told, size, k, with_text))
+
+
+def _remove_repeated_words(docs: DataFrame, size: int, k: int, with_text: bool) -> DataFrame:
     repeats = Repeats(size, k, True, word_symbols, slots_for(docs))
     names = ["n_words", "n_removed", "kept_sha256"] + ["kept_text"] * with_text
     schema = "n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
@@ -408,8 +412,12 @@ def remove_repeated_bytes(docs: DataFrame, size: int = 200, k: int = 32) -> Data
     Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and
     kept_sha256. Null and empty texts lose nothing. Bytes may be cut inside a
     character. Rows that share an id count as different documents; equal rows
-    give equal results. Null ids count as one id. Other columns are not read.
+    give equal results, also where ids are null. Other columns are not read.
     """
+    return by_own_ids(docs, lambda told: _remove_repeated_bytes(told, size, k))
+
+
+def _remove_repeated_bytes(docs: DataFrame, size: int, k: int) -> DataFrame:
     slots = slots_for(docs)
     repeats = Repeats(size, k, False, byte_symbols, slots, sampled_splitters(docs, size, k, 2 * slots), 1 << 19)
     return cleaned(docs, repeats, _kept_bytes, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", ["n_bytes", "n_removed", "n_spans", "kept_sha256"])

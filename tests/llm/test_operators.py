@@ -57,6 +57,31 @@ def test_odd_rows_keep_their_rows(spark):
         assert sorted(str(r["doc_id"]) for r in df.collect()) == sorted(str(d) for d, _ in ODD), name
 
 
+def test_different_texts_without_or_under_one_id(spark):
+    """Each is a document of its own, in the order of ids and then of text hashes; no verdict hits another's text."""
+    rng = random.Random(4)
+    prose = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    line, passage = "a line that stands in several documents, word for word", prose(60)
+    docs = [(d, prose(60)) for d in range(5)] + [(3, f"{line}\n{prose(40)}"), (9, f"{prose(30)}\n{line}"), (9, f"{prose(5)} {passage} {prose(30)}")]
+    docs += [(None, f"{prose(8)}\n{line}\n{prose(70)}"), (None, f"{prose(90)}\n{prose(9)}\n{line}"), (None, f"{passage} {prose(40)}"), (None, docs[0][1]), (None, docs[1][1] + " more"), (None, None), (None, prose(50)), (None, prose(70))]
+    rows = spark.createDataFrame([(i, d, t) for i, (d, t) in enumerate(docs)], "i int, d long, t string").selectExpr("i", "coalesce(d, 9223372036854775807) as d", "xxhash64(t) as h").collect()
+    own = {r["i"]: n for n, r in enumerate(sorted(rows, key=lambda r: (r["d"], r["h"])))}
+    numbered = sorted((own[i], t) for i, (_, t) in enumerate(docs))
+    real = {own[i]: d for i, (d, _) in enumerate(docs)}
+    want = lambda out: sorted(((real[n], *x) for n, x in out.items()), key=str)
+    got = lambda df: sorted(map(tuple, df.collect()), key=str)
+    frame = table(spark, docs)
+    assert got(repeats.remove_repeated_words(frame)) == want(brute.substring_dedup(numbered))
+    assert got(repeats.remove_repeated_bytes(frame)) == want(brute.byte_dedup(numbered))
+    lines = brute.line_dedup(numbered, 1, 30)
+    assert got(line_dedup.digest(frame)) == want(lines)
+    cut = {n: (t if not lines[n][3] else "\n".join(x for i, x in enumerate(t.split("\n")) if str(i) not in lines[n][3].split(",")),) for n, t in numbered}
+    removed, kept = line_dedup.remove_lines(frame), ngram_join.keep_first(frame)
+    assert got(removed.select("doc_id", "text")) == want(cut) and removed.schema == frame.schema
+    near = brute.near_components(numbered, 5, 80)
+    assert got(kept.select("doc_id", "text")) == want({n: (t,) for n, t in numbered if near[n][1] == n}) and kept.columns == frame.columns
+
+
 def test_empty_tables(spark):
     for name, df in every_operator(spark, empty(spark)).items():
         assert df.collect() == [], name
