@@ -9,19 +9,23 @@ from corvane.sources.tables import table
 from corvane.streaming import runs
 
 
+def _states(spark, folder):
+    rows = runs.run_states(runs.events_stream(spark, folder), runs.replay_watermark(spark, folder))
+    return runs.run_available(rows, ["user_id"], ["updated_at", "event_id"], "run-states")
+
+
 def stream_run_status(spark, folder):
-    states = runs.run_available(runs.run_states(runs.events_stream(spark, folder)), ["user_id"], ["updated_at", "event_id"], "run-states")
-    return states.select("user_id", "status", "event_id")
+    return _states(spark, folder).select("user_id", "status", "event_id")
 
 
 def stream_stale(spark, folder):
-    states = runs.run_available(runs.run_states(runs.events_stream(spark, folder)), ["user_id"], ["updated_at", "event_id"], "run-states")
+    states = _states(spark, folder)
     now = table(spark, folder, "events").agg(F.max("ts").alias("ts")).first()["ts"]
     return runs.stale(states, now).select("user_id", "status")
 
 
 def stream_windowed_counts(spark, folder):
-    counts = runs.windowed_counts(runs.events_stream(spark, folder))
+    counts = runs.windowed_counts(runs.events_stream(spark, folder), watermark=runs.replay_watermark(spark, folder))
     return runs.run_available(counts, ["start", "event_type"], ["n"], "window-counts").select(F.col("start").cast("date").alias("day"), "event_type", "n")
 
 

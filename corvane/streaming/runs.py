@@ -31,6 +31,13 @@ def _is_file(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(hadoop).isFile()
 
 
+def replay_watermark(spark: SparkSession, folder: str, name: str = "events") -> str:
+    """A watermark longer than the table's time span: in a replay no event is late, in whatever order its files come."""
+    seconds = F.unix_seconds(F.col("ts").cast("timestamp"))
+    span = spark.read.parquet(f"{folder}/{name}.parquet").agg((F.max(seconds) - F.min(seconds)).alias("span")).first()["span"]
+    return f"{(span or 0) + 86_400} seconds"
+
+
 def run_states(events: DataFrame, watermark: str = "1 day") -> DataFrame:
     """A row for each user and batch with the state of the run's latest event so far (ties by event id).
 
