@@ -39,14 +39,19 @@ def alias_collisions(proposed: DataFrame, dictionary: DataFrame) -> DataFrame:
     """(entity_id, replacement, other_id, reason): replacements that name, or repeat that of, another entity.
 
     Surfaces meet replacements on the surface's longest ASCII token, an
-    equi-join, and the pattern confirms; surfaces without one are not compared.
+    equi-join, and the pattern confirms; surfaces without one meet them on the
+    first two characters, blanks and case made alike.
     """
     others = dictionary.select(F.col("entity_id").alias("other_id"), F.trim("surface").alias("surface"), F.nullif("custom", F.lit("")).alias("custom"))
     tokens = lambda c: F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda t: t != "")
     longest = F.element_at(F.array_sort(F.transform(tokens("surface"), lambda t: F.struct(F.length(t).alias("n"), t.alias("t")))), -1)["t"]
-    keyed = others.where((F.length("surface") >= 3) & (F.size(tokens("surface")) > 0)).select("other_id", "surface", longest.alias("token"))
+    alike = lambda c: F.upper(F.lower(F.replace(F.regexp_replace(c, r"\s+", " "), F.lit("İ"), F.lit("i"))))
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(alike("replacement")), F.lit(1))), lambda i: F.substring(alike("replacement"), i, F.lit(2)))
+    # Tokens are in lower case and pairs start with a mark, so the two kinds of key never meet.
+    start = F.concat(F.lit("="), F.substring(alike("surface"), 1, 2))
+    keyed = others.where(F.length("surface") >= 3).select("other_id", "surface", F.when(F.size(tokens("surface")) > 0, longest).otherwise(start).alias("token"))
     quoted = F.concat(F.lit(r"(?iu)(?<![A-Za-z0-9])\Q"), F.replace("surface", F.lit(" "), F.lit(r"\E\s+\Q")), F.lit(r"\E(?![A-Za-z0-9])"))
-    said = proposed.withColumn("token", F.explode(F.array_distinct(tokens("replacement"))))
+    said = proposed.withColumn("token", F.explode(F.array_distinct(F.concat(tokens("replacement"), F.transform(pairs, lambda x: F.concat(F.lit("="), x))))))
     names = said.join(keyed, "token").where(F.regexp_like("replacement", quoted)).withColumn("reason", F.lit("names"))
     own = proposed.withColumn("key", normalized("replacement"))
     repeats = own.join(others.where("custom is not null").select("other_id", normalized("custom").alias("key")), "key").withColumn("reason", F.lit("repeats"))

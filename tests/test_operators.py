@@ -118,6 +118,13 @@ def test_review_additions_and_deltas(spark):
     assert [r["surface"] for r in governance.review_additions(proposed, added).collect()] == ["New"]
 
 
+def test_surfaces_without_ascii_tokens_collide(spark):
+    proposed = spark.createDataFrame([(1, "Bank of 東京都 East"), (1, "ΟΔΟΣ ΑΒ"), (1, "Plain name")], "entity_id int, replacement string")
+    known = spark.createDataFrame([(2, "東京都", None), (3, "οδος", None), (4, "京都府", None), (5, "name", None)], "entity_id int, surface string, custom string")
+    got = {(r["replacement"], r["other_id"]) for r in governance.alias_collisions(proposed, known).collect()}
+    assert got == {("Bank of 東京都 East", 2), ("ΟΔΟΣ ΑΒ", 3), ("Plain name", 5)}
+
+
 def test_token_numbers_count_longer_prefixes(spark):
     have = spark.createDataFrame([("[CLIENT_1]",), ("[CLIENT_PERSON_1]",)], "token string")
     new = spark.createDataFrame([("CLIENT_NAME", "x"), ("CLIENT_PERSON", "y"), ("ODD", "z")], "entity_type string, surface string")
