@@ -7,17 +7,30 @@ short lines into any other. Equal lines go from ``exact_chars`` on, which is
 ``min_chars`` unless it is given, as the SQL counterpart has one floor for both.
 
 Of edits + 1 disjoint segments of a line, at least one stands unchanged in any
-line within that many edits. Lines are indexed by length band (``BAND`` code
-points; one for each length below 2 * BAND): a band whose shortest line has n
-code points cuts segments of n // (edits + 1) code points, the first ones side
-by side from the line's start, the last one at its end. A line probes every band
-that a line within ``edits`` of it can be in: the first and the last segment
-where they are, those between at every shift up to ``edits``.
-
-Equal lines collapse first, by a partial aggregate, so a line that fills a
-third of the corpus is one row from each task. Keys are hashes; each candidate
-pair of different lines is then verified on the texts by Spark's levenshtein()
-with a threshold, which computes only the band of diagonals that can matter.
+line within that many edits. Equal lines collapse first, by a partial
+aggregate, so a line that fills a third of the corpus is one row from each task.
+
+One edit (the default). A line is indexed by both lengths of a pair that it can
+be in: a substitution leaves its length, an insertion or deletion pairs it with
+the next one. For each, the places where the edit can be are cut in two; the
+key is all that stands before and after them. A key that up to ``MET`` lines
+share brings these together. One that more lines share is cut again: the places
+left are parted in ``PIECES``, and only lines that still agree meet, until one
+place is left, where all lines of a key are within one edit, and the earliest
+speaks for it. So thousands of near copies of one line cost a few keys each
+and never meet pair by pair.
+
+More edits. Lines are indexed by length band (``BAND`` code points; one for
+each length below 2 * BAND): a band whose shortest line has n code points cuts
+segments of n // (edits + 1) code points, the first ones side by side from the
+line's start, the last one at its end. A line probes every band that a line
+within ``edits`` of it can be in: the first and the last segment where they
+are, those between at every shift up to ``edits``. Here lines that share a
+segment and nearly a length meet pair by pair.
+
+Keys are hashes; each candidate pair is then verified on the texts by a banded
+bit-parallel edit distance: the band's 2 * edits + 1 diagonals are the bits of
+one number, and one step of a few bit operations takes in one code point.
 """
 
 from __future__ import annotations
@@ -31,6 +44,10 @@ from corvane.sources.shared import materialize
 EDITS = 1
 MIN_CHARS = 30
 BAND = 8
+#: Lines of one key that meet pair by pair; keys of more lines are cut again, in so many pieces.
+MET, PIECES = 8, 8
+#: Bits of a band that one number holds.
+WORD = 62
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -56,48 +73,160 @@ def _segment_keys(band: Column, edits: int, shifted: bool) -> list[Column]:
     return keys
 
 
+def _parted(kind: Column, short: Column, before: Column, after: Column, pieces: int) -> Column:
+    """The places where one edit can be, between ``before`` and ``after`` code points that stand, parted in ``pieces``.
+
+    ``kind`` 0 is a substitution in lines of ``short`` code points, 1 a
+    deletion that leaves ``short``: a place more than code points.
+    """
+    last = short - before - after + kind - 1
+    size = F.floor(F.greatest(last, F.lit(0)) / pieces).cast("int") + 1
+    parts = F.sequence(F.lit(0), F.floor(F.greatest(last, F.lit(0)) / size).cast("int"))
+    struct = lambda i: F.struct(kind.alias("kind"), short.alias("short"), (before + i * size).alias("before"), (after + F.greatest(last - i * size - size + 1, F.lit(0))).alias("after"))
+    return F.when(last >= 0, F.transform(parts, struct)).otherwise(F.expr("cast(array() as array<struct<kind:int,short:int,before:int,after:int>>)"))
+
+
+def _with_key(states: Column, line: Column, n: Column) -> Column:
+    """States with a hash of their lengths and of what stands before and after the places left."""
+    key = lambda s: F.xxhash64(s.kind, s.short, s.before, s.after, F.substring(line, F.lit(1), s.before), F.substring(line, n - s.after + 1, s.after))
+    return F.transform(states, lambda s: F.struct(s.kind.alias("kind"), s.short.alias("short"), s.before.alias("before"), s.after.alias("after"), key(s).alias("key")))
+
+
+def _halves(n: Column) -> Column:
+    """The first states of a line: a substitution, a character too few, one too many; places in two halves each."""
+    zero, kinds = F.lit(0), ((0, n), (1, n), (1, n - 1))
+    return F.concat(*[_parted(F.lit(kind), short, zero, zero, 2) for kind, short in kinds])
+
+
 def keyed_lines(lines: DataFrame, edits: int, min_chars: int, exact_chars: int) -> DataFrame:
-    """Lines of exact_chars or more by place: two content hashes, length, and, from min_chars on, keys to be found by and keys to look up."""
+    """Lines of exact_chars or more by place: two content hashes, length, and, from min_chars on, the keys that near lines share."""
     rows = lines.withColumn("n", F.length("line")).where(F.col("n") >= min(exact_chars, min_chars))
-    low, own, high = (_band(F.col("n") + d) for d in (-edits, 0, edits))
-    # So many bands hold lengths that are 2 * edits apart.
-    steps = (2 * edits if min_chars - edits < 2 * BAND else -(-2 * edits // BAND)) + 1
-    none, near = F.expr("cast(array() as array<bigint>)"), F.col("n") >= min_chars
-    probes = F.concat(*[F.when(near & (low + i <= high), F.array(*_segment_keys(low + i, edits, True))).otherwise(none) for i in range(steps)])
-    index = F.when(near, F.array(*_segment_keys(own, edits, False))).otherwise(none)
-    return rows.select("doc_id", "line_no", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit("line"), "line").alias("k2"), "n", index.alias("index"), probes.alias("probe"))
+    near, line, n = F.col("n") >= min_chars, F.col("line"), F.col("n")
+    if edits == 1:
+        found = [F.when(near, _with_key(_halves(n), line, n)).alias("states")]
+    else:
+        low, own, high = (_band(n + d) for d in (-edits, 0, edits))
+        # So many bands hold lengths that are 2 * edits apart.
+        steps = (2 * edits if min_chars - edits < 2 * BAND else -(-2 * edits // BAND)) + 1
+        none = F.expr("cast(array() as array<bigint>)")
+        probes = F.concat(*[F.when(near & (low + i <= high), F.array(*_segment_keys(low + i, edits, True))).otherwise(none) for i in range(steps)])
+        found = [F.when(near, F.array(*_segment_keys(own, edits, False))).otherwise(none).alias("index"), probes.alias("probe")]
+    return rows.select("doc_id", "line_no", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit("line"), "line").alias("k2"), "n", *found)
 
 
-def candidates(first: DataFrame, edits: int) -> DataFrame:
-    """Pairs of places of different lines, the earlier one first, that share a segment and nearly a length."""
-    index = first.select(F.col("doc_id").alias("x_doc"), F.col("line_no").alias("x_line"), F.col("n").alias("x_n"), F.explode("index").alias("key"))
-    probe = first.select(F.col("doc_id").alias("y_doc"), F.col("line_no").alias("y_line"), F.col("n").alias("y_n"), F.explode(F.array_distinct("probe")).alias("key"))
-    earlier = (F.col("x_doc") < F.col("y_doc")) | ((F.col("x_doc") == F.col("y_doc")) & (F.col("x_line") < F.col("y_line")))
-    near = F.abs(F.col("x_n") - F.col("y_n")) <= edits
-    return index.join(probe, "key").where(earlier & near).select("x_doc", "x_line", "y_doc", "y_line").distinct()
+def _pairs(index: DataFrame, probe: DataFrame, *keys: str) -> DataFrame:
+    """Places of index and probe rows with equal keys, the index row's first and earlier."""
+    x = index.select(*keys, F.col("doc_id").alias("x_doc"), F.col("line_no").alias("x_line"), F.col("n").alias("x_n"))
+    y = probe.select(*keys, F.col("doc_id").alias("y_doc"), F.col("line_no").alias("y_line"), F.col("n").alias("y_n"))
+    return x.join(y.hint("merge"), list(keys)).where((F.col("x_doc") < F.col("y_doc")) | ((F.col("x_doc") == F.col("y_doc")) & (F.col("x_line") < F.col("y_line"))))
 
 
-def near_lines(docs: DataFrame, pairs: DataFrame, edits: int) -> DataFrame:
-    """Places of the later lines of the candidate pairs that are within ``edits``."""
-    places = pairs.select(F.col("x_doc").alias("doc_id"), F.col("x_line").alias("line_no")).unionByName(pairs.select(F.col("y_doc").alias("doc_id"), F.col("y_line").alias("line_no")))
+_PAIR = ["x_doc", "x_line", "y_doc", "y_line"]
+
+
+def said_lines(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """doc_id, line_no, line of the places."""
     wanted = places.groupBy("doc_id").agg(F.collect_set("line_no").alias("wanted"))
     # The wanted lines grow with the corpus: they meet the texts by a shuffle at every size, never by a broadcast.
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text").join(wanted.hint("merge"), "doc_id")
-    said = texts.select("doc_id", F.explode("wanted").alias("line_no"), F.get(F.split("text", "\n", -1), F.col("line_no")).alias("line")).where("line is not null")
-    x = said.select(F.col("doc_id").alias("x_doc"), F.col("line_no").alias("x_line"), F.col("line").alias("x"))
-    y = said.select(F.col("doc_id").alias("y_doc"), F.col("line_no").alias("y_line"), F.col("line").alias("y"))
-    both = pairs.join(x, ["x_doc", "x_line"]).join(y, ["y_doc", "y_line"])
-    return both.where(F.levenshtein("x", "y", edits).between(0, edits)).select(F.col("y_doc").alias("f_doc"), F.col("y_line").alias("f_line")).distinct()
+    rows = texts.select("doc_id", F.explode("wanted").alias("line_no"), F.split("text", "\n", -1).alias("lines"))
+    # Rows that are one document have the same lines; one of them is enough.
+    return rows.select("doc_id", "line_no", F.get("lines", F.col("line_no")).alias("line")).where("line is not null").dropDuplicates(["doc_id", "line_no"])
+
+
+def _meeting(states: DataFrame) -> DataFrame:
+    """States whose key several lines share: how many do, and the place of the earliest."""
+    shared = states.groupBy("key").agg(F.count(F.lit(1)).alias("lines"), F.min(F.struct("doc_id", "line_no")).alias("lead")).where("lines > 1")
+    return states.join(shared.hint("merge"), "key")
+
+
+def one_edit_pairs(first: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs of lines that may be within one edit, a few for each line, and the lines that they name."""
+    met = materialize(_meeting(first.select("doc_id", "line_no", "n", F.inline("states"))), "line-keys")
+    said, pairs = materialize(said_lines(docs, met), "said-lines"), []
+    one_place = F.col("short") - F.col("before") - F.col("after") + F.col("kind") <= 1
+    while True:
+        few = met.where((F.col("lines") <= MET) & ~one_place)
+        pairs.append(_pairs(few, few, "key").select(*_PAIR))
+        led = met.where(one_place & ((F.col("doc_id") != F.col("lead.doc_id")) | (F.col("line_no") != F.col("lead.line_no"))))
+        pairs.append(led.select(F.col("lead.doc_id").alias("x_doc"), F.col("lead.line_no").alias("x_line"), F.col("doc_id").alias("y_doc"), F.col("line_no").alias("y_line")))
+        many = met.where((F.col("lines") > MET) & ~one_place).select("doc_id", "line_no", "n", "kind", "short", "before", "after")
+        if many.isEmpty():
+            break
+        again = many.join(said.hint("merge"), ["doc_id", "line_no"])
+        parts = _with_key(_parted(*(F.col(c) for c in ("kind", "short", "before", "after")), PIECES), F.col("line"), F.col("n"))
+        met = materialize(_meeting(again.select("doc_id", "line_no", "n", F.inline(parts))), "line-keys")
+    out = pairs[0]
+    for more in pairs[1:]:
+        out = out.unionByName(more)
+    return materialize(out.distinct(), "line-pairs"), said
+
+
+def band_pairs(first: DataFrame, docs: DataFrame, edits: int) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs of lines that share a segment and nearly a length, and the lines that they name."""
+    place = ["doc_id", "line_no", "n"]
+    index = first.select(*place, F.explode("index").alias("key"))
+    probe = first.select(*place, F.explode(F.array_distinct("probe")).alias("key"))
+    pairs = materialize(_pairs(index, probe, "key").where(F.abs(F.col("x_n") - F.col("y_n")) <= edits).select(*_PAIR).distinct(), "line-pairs")
+    places = [pairs.select(F.col(f"{side}_doc").alias("doc_id"), F.col(f"{side}_line").alias("line_no")) for side in "xy"]
+    return pairs, materialize(said_lines(docs, places[0].unionByName(places[1])), "said-lines")
+
+
+def banded_distance(x: Column, y: Column, edits: int) -> Column:
+    """Edit distance of two arrays of characters whose lengths differ by ``edits`` at most; right up to ``edits``, larger beyond.
+
+    Bit b of column j stands for the cell of row j - edits + b of the distance
+    matrix. ``up`` and ``down`` mark where a cell is one more or less than the
+    one above it, ``same`` where it equals the one before it on its diagonal.
+    The count runs along the diagonal that ends in the last cell.
+    """
+    if 2 * edits + 1 > WORD:
+        return F.levenshtein(F.array_join(x, ""), F.array_join(y, ""))
+    full = (1 << (2 * edits + 1)) - 1
+    bits = lambda n: F.lit(n).cast("long")
+    end = F.size(x) - F.size(y) + edits
+
+    def step(s: Column, j: Column) -> Column:
+        equal = bits(0)
+        for b in range(2 * edits + 1):
+            equal = equal.bitwiseOR(F.when(F.get(x, j - edits + b - 1) == F.get(y, j - 1), bits(1 << b)).otherwise(bits(0)))
+
+        def taken(same: Column) -> Column:
+            more = s.down.bitwiseOR(F.bitwise_not(same.bitwiseOR(s.up)).bitwiseAND(bits(full)))
+            before = F.shiftright(same, 1)
+            up = same.bitwiseAND(s.up).bitwiseOR(F.bitwise_not(before.bitwiseOR(more)).bitwiseAND(bits(full)))
+            stays = F.call_function("shiftright", same, end).bitwiseAND(bits(1))
+            return F.struct(up.alias("up"), more.bitwiseAND(before).alias("down"), (s.n + 1 - stays).alias("n"))
+
+        def same(e: Column) -> Column:
+            carried = (e.bitwiseAND(s.up) + s.up).bitwiseXOR(s.up)
+            return carried.bitwiseOR(e).bitwiseOR(s.down).bitwiseAND(bits(full))
+
+        return F.get(F.transform(F.transform(F.array(equal), same), taken), F.lit(0))
+
+    start = F.struct(bits(full - (1 << edits) + 1).alias("up"), bits(0).alias("down"), F.greatest(F.size(x) - F.size(y), F.lit(0)).cast("long").alias("n"))
+    columns = F.when(F.size(y) > 0, F.sequence(F.lit(1), F.size(y))).otherwise(F.expr("cast(array() as array<int>)"))
+    return F.aggregate(columns, start, step, lambda s: s.n)
+
+
+def near_lines(said: DataFrame, pairs: DataFrame, edits: int) -> DataFrame:
+    """Places of the later lines of the candidate pairs that are within ``edits``."""
+    characters = F.filter(F.split("line", ""), lambda c: c != "")
+    x = said.select(F.col("doc_id").alias("x_doc"), F.col("line_no").alias("x_line"), characters.alias("x"))
+    y = said.select(F.col("doc_id").alias("y_doc"), F.col("line_no").alias("y_line"), characters.alias("y"))
+    both = pairs.join(x.hint("merge"), ["x_doc", "x_line"]).join(y.hint("merge"), ["y_doc", "y_line"])
+    close = (F.abs(F.size("x") - F.size("y")) <= edits) & (banded_distance(F.col("x"), F.col("y"), edits) <= edits)
+    return both.where(close).select(F.col("y_doc").alias("f_doc"), F.col("y_line").alias("f_line")).distinct()
 
 
 def removals(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
     """doc_id (null: the largest), exact and near: the numbers of the lines that go, for documents that lose any."""
     rows = keyed_lines(lines_of(docs), edits, min_chars, min_chars if exact_chars is None else exact_chars)
     place = F.struct("doc_id", "line_no")
-    grouped = rows.groupBy("k1", "k2").agg(F.min_by(F.struct("doc_id", "line_no", "n", "index", "probe"), place).alias("f"))
+    grouped = rows.groupBy("k1", "k2").agg(F.min_by(F.struct(*[c for c in rows.columns if c not in ("k1", "k2")]), place).alias("f"))
     first = materialize(grouped.select("k1", "k2", "f.*"), "lines")
-    pairs = materialize(candidates(first, edits), "line-pairs")
-    near = materialize(near_lines(docs, pairs, edits), "near-lines")
+    pairs, said = one_edit_pairs(first, docs) if edits == 1 else band_pairs(first, docs, edits)
+    near = materialize(near_lines(said, pairs, edits), "near-lines")
     verdict = first.select("k1", "k2", F.col("doc_id").alias("f_doc"), F.col("line_no").alias("f_line")).join(near.withColumn("near", F.lit(True)), ["f_doc", "f_line"], "left")
     judged = rows.select("doc_id", "line_no", "k1", "k2").join(verdict, ["k1", "k2"])
     later = (F.col("doc_id") != F.col("f_doc")) | (F.col("line_no") != F.col("f_line"))

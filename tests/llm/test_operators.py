@@ -162,6 +162,41 @@ def test_line_dedup_in_every_band_and_length(spark, edits, min_chars, n):
     assert sum(x[2] for x in got.values()) > 10
 
 
+@pytest.mark.parametrize(("n", "size"), [(31, 250), (120, 60)])
+def test_line_dedup_in_a_large_group_of_near_copies(spark, n, size):
+    """Many of lines that differ from one text at any place: settled without meeting pair by pair."""
+    rng, docs = random.Random(n), []
+    base = "".join(rng.choice("abcdefghij klm") for _ in range(n))
+    for d in range(size):
+        line = list(base)
+        for _ in range(rng.choice([0, 1, 1, 1, 2])):
+            at = rng.randrange(len(line) + 1)
+            line[at : at + rng.randint(0, 1)] = rng.choice(["", "1", "2"])
+        docs.append((d, "".join(line)))
+    docs = docs[1:] + [(700, base)]  # the text itself comes last
+    assert by_id(line_dedup.digest(table(spark, docs)), "n_lines", "n_exact", "n_near", "removed_lines") == brute.line_dedup(docs, 1, 30)
+    rows = line_dedup.keyed_lines(line_dedup.lines_of(table(spark, docs)), 1, 30, 30).dropDuplicates(["k1", "k2"])
+    assert line_dedup.one_edit_pairs(rows, table(spark, docs))[0].count() < 12 * len(docs)
+
+
+def test_banded_distance(spark):
+    rng, pairs = random.Random(6), []
+    for _ in range(400):
+        a = [rng.choice("abé") for _ in range(rng.randint(0, 14))]
+        b = list(a)
+        for _ in range(rng.randint(0, 6)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randint(0, 1)] = rng.choice(["", "a", "漢"])
+        pairs.append((a, b))
+    frame = spark.createDataFrame(pairs, "x array<string>, y array<string>")
+    for edits in (1, 2, 5):
+        got = frame.where(f"abs(size(x) - size(y)) <= {edits}").select("x", "y", line_dedup.banded_distance(frame["x"], frame["y"], edits).alias("d")).collect()
+        assert len(got) > 100
+        for r in got:
+            near = [n for n in range(edits + 1) if brute.within(r["x"], r["y"], n)][:1]
+            assert [r["d"]] == near if near else r["d"] > edits
+
+
 def test_short_equal_lines_go_from_their_own_floor(spark):
     docs = table(spark, [(1, "All rights reserved.\n\nHome"), (2, "Text\nAll rights reserved.\n\nHome"), (3, "All rights reserved!")])
     assert by_id(line_dedup.digest(docs, exact_chars=1), "n_exact", "n_near", "removed_lines") == {1: (0, 0, ""), 2: (2, 0, "1,3"), 3: (0, 0, "")}
