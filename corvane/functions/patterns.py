@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# The identifier patterns and public mail domains that results depend on.
+# The identifier patterns, public mail domains and legal suffixes that results depend on.
 EMAIL = r"\b[\w.+-]+@([A-Za-z0-9-]+\.[A-Za-z0-9.-]+)\b"
 URL_HOST = r"\bhttps?://([A-Za-z0-9.-]+\.[A-Za-z]{2,})"
 PHONE = r"\b(?:\+?\d[\d\s().-]{7,}\d)\b"
@@ -29,6 +29,11 @@ def surface_regex(surface: str, ignore_case: bool = True) -> str:
     return ("(?iu)" if ignore_case else "") + rf"(?<![A-Za-z0-9]){body}(?![A-Za-z0-9])"
 
 
+def alike(value: Column) -> Column:
+    """The value with white space collapsed and case folded both ways, so that what a pattern calls equal is equal."""
+    return F.upper(F.lower(F.replace(F.regexp_replace(value, r"\s+", " "), F.lit("İ"), F.lit("i"))))
+
+
 def any_surface_regex(surfaces: list[str]) -> str:
     """One pattern that finds any of the surfaces; it matches nothing if there are none."""
     found = [surface_regex(s.strip(), False) for s in surfaces if s.strip()]
@@ -78,12 +83,6 @@ def normalized(values: pd.Series) -> pd.Series:
     return values.map(key)
 
 
-def replacement(surface: Column, token: Column, style: str | Column) -> Column:
-    """What stands for a masked surface: its token, a bar of at least three blocks, or nothing; unknown styles are tokens."""
-    style = F.lit(style) if isinstance(style, str) else style
-    return F.when(style == "remove", F.lit("")).when(style == "black", F.repeat(F.lit("█"), F.greatest(F.length(surface), F.lit(3)))).otherwise(token)
-
-
 def boundary_regex(token: str) -> str:
     """A token, up to three capitalised words and a legal suffix: what is left of a name masked in part."""
     return rf"\Q{token}\E\s*((?:[A-Z][A-Za-z&]*\s+){{0,3}}(?:{'|'.join(LEGAL_SUFFIXES)})\.?)(?!\w)"

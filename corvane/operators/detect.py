@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.functions.patterns import any_surface_regex, context_window, identifiers, surface_regex
+from corvane.functions.patterns import alike, any_surface_regex, context_window, identifiers, surface_regex
 
 CHUNK_LINES = 8
 SOURCE_PRIORITY = ("dictionary", "model", "image", "alt_text")
@@ -72,19 +72,26 @@ def sweep(docs: DataFrame, aliases: list[tuple[int, int, str]], own_names: tuple
 
 
 def sweep_indexed(docs: DataFrame, aliases: DataFrame) -> DataFrame:
-    """The same for large dictionaries: (entity_id, alias_id, surface) as a table, by an inverted token index.
+    """The same for large dictionaries: (entity_id, alias_id, surface) as a table, by an inverted index.
 
     Each alias is keyed by its longest ASCII alphanumeric token, each text by
     its distinct tokens; the equi-join loses nothing, as alias edges are token
     boundaries, and the pattern then confirms. Aliases without such a token are
-    not found here.
+    keyed by their first two characters, texts by all their distinct pairs of
+    characters; that index is built only if there are such aliases.
     """
     tokens = F.filter(F.split(F.lower("surface"), "[^a-z0-9]+"), lambda t: t != "")
-    keyed = aliases.where(F.length(F.trim("surface")) >= 3).select("entity_id", "alias_id", F.trim("surface").alias("surface"), F.element_at(F.array_sort(F.transform(tokens, lambda t: F.struct(F.length(t).alias("n"), t.alias("t")))), -1)["t"].alias("token")).where("token is not null")
+    longest = F.try_element_at(F.array_sort(F.transform(tokens, lambda t: F.struct(F.length(t).alias("n"), t.alias("t")))), F.lit(-1))["t"]
+    keyed = aliases.where(F.length(F.trim("surface")) >= 3).select("entity_id", "alias_id", F.trim("surface").alias("surface")).withColumn("token", longest)
     words = docs.select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z0-9]+"))).alias("token")).where("token <> ''")
-    pairs = words.join(keyed, "token").join(docs.select("doc_id", "text"), "doc_id")
+    pairs = words.join(keyed.where("token is not null"), "token")
+    odd = keyed.where("token is null").withColumn("token", F.substring(alike(F.col("surface")), 1, 2))
+    if not odd.isEmpty():
+        doubles = F.array_distinct(F.regexp_extract_all(alike(F.col("text")), F.lit("(?s)(?=([^A-Z0-9].))"), F.lit(1)))
+        pairs = pairs.unionByName(docs.select("doc_id", F.explode(doubles).alias("token")).join(odd, "token"))
     quoted = F.concat(F.lit(r"(?iu)(?<![A-Za-z0-9])\Q"), F.replace("surface", F.lit(" "), F.lit(r"\E\s+\Q")), F.lit(r"\E(?![A-Za-z0-9])"))
-    return pairs.where(F.expr("true") & F.regexp_like("text", quoted)).groupBy("doc_id", "entity_id").agg(F.min_by("surface", "alias_id").alias("surface"))
+    said = pairs.distinct().join(docs.select("doc_id", "text"), "doc_id")
+    return said.where(F.regexp_like("text", quoted)).groupBy("doc_id", "entity_id").agg(F.min_by("surface", "alias_id").alias("surface"))
 
 
 def occurrence_counts(docs: DataFrame, surfaces: list[str]) -> DataFrame:

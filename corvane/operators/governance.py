@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.functions.patterns import normalized
+from corvane.functions.patterns import alike, normalized
+from corvane.operators.ranking import ranked, running
 
 # The token prefix of each entity type; unknown types use the first.
 PREFIXES = {"CLIENT_NAME": "CLIENT", "CLIENT_PERSON": "CLIENT_PERSON", "CLIENT_LOCATION": "CLIENT_LOCATION", "CLIENT_EMAIL_DOMAIN": "CLIENT_DOMAIN", "CLIENT_SYSTEM_NAME": "CLIENT_SYSTEM", "CLIENT_CONTRACT_ID": "CLIENT_CONTRACT"}
@@ -19,20 +20,39 @@ def prefix_of(entity_type: Column) -> Column:
 
 
 def allocated_tokens(new: DataFrame, existing: DataFrame) -> DataFrame:
-    """Adds token to (entity_type, surface) rows: numbered on from the existing tokens that the prefix pattern counts.
+    """Adds token to (entity_type, surface) rows, as one insert after another in surface order gives them.
 
-    In that pattern the underscore matches any character, so longer prefixes
-    that begin alike count as well. New rows of one prefix are numbered in
-    surface order, as one insert after another would; each also counts the new
-    rows of prefixes that its pattern takes in, if they come before it.
+    An insert of a prefix starts from one more than the tokens so far that the
+    pattern [prefix_%] counts, and goes on to the first number that no token
+    has. In that pattern the underscore matches any character, so longer
+    prefixes that begin alike count as well, new ones too.
+
+    In closed form, for the rows of a prefix in order: ``start`` is where an
+    insert begins; among the numbers that are free in ``existing``, it is at
+    place ``open``, and the j-th row takes the place j + max(open - j) over the
+    rows up to it. All three steps are running folds over range partitions.
     """
-    wanted = new.withColumn("prefix", prefix_of(F.col("entity_type")))
     kinds = sorted(set(PREFIXES.values()))
     # One pass over the tokens counts all prefixes; the result has a row for each of these few.
     counts = existing.agg(*[F.count_if(F.col("token").like(f"[{kind}_%]")).alias(kind) for kind in kinds])
-    counted = counts.select(F.explode(F.array(*[F.struct(F.lit(kind).alias("prefix"), F.col(kind).alias("n")) for kind in kinds])).alias("x")).select("x.*")
-    place = F.row_number().over(Window.partitionBy("prefix").orderBy("surface"))
-    return wanted.withColumn("place", place).join(counted, "prefix").withColumn("token", F.format_string("[%s_%d]", "prefix", F.col("n") + F.col("place"))).drop("prefix", "place", "n")
+    by_kind = lambda made: F.coalesce(*[F.when(F.col("prefix") == kind, made(i, kind)) for i, kind in enumerate(kinds)])
+    wanted = ranked(new.withColumn("prefix", prefix_of(F.col("entity_type"))), "surface", "entity_type")
+    one = lambda test: test.cast("long")
+    counted = {f"_n{i}": one(F.col("prefix").startswith(kind)) for i, kind in enumerate(kinds)} | {f"_j{i}": one(F.col("prefix") == kind) for i, kind in enumerate(kinds)}
+    placed = running(wanted, F.sum, **counted).join(F.broadcast(counts)).select(
+        *new.columns, "prefix", by_kind(lambda i, kind: F.col(f"_n{i}") + F.col(kind)).alias("number"), by_kind(lambda i, kind: F.col(f"_j{i}")).alias("j"), F.lit(0).alias("taken")
+    )
+    token = r"^\[(.+)_([1-9][0-9]{0,17})\]$"
+    numbers = existing.select(F.regexp_extract("token", token, 1).alias("prefix"), F.try_to_number(F.regexp_extract("token", token, 2), F.lit("9" * 18)).cast("long").alias("number")).where(F.col("prefix").isin(kinds)).distinct()
+    below = F.struct(*[F.sum(one(F.col("prefix") < kind)).alias(f"_t{i}") for i, kind in enumerate(kinds)])
+    base = numbers.agg(below.alias("base"))
+    taken = lambda rows: running(rows, F.sum, t=F.col("taken").cast("long")).join(F.broadcast(base)).withColumn("t", F.col("t") - by_kind(lambda i, kind: F.coalesce(F.col("base")[f"_t{i}"], F.lit(0)))).drop("base")
+
+    starts = taken(ranked(placed.unionByName(numbers.withColumn("taken", F.lit(1)), allowMissingColumns=True), "prefix", "number", "taken"))
+    ahead = F.when(F.col("taken") == 0, F.struct("prefix", (F.col("number") - F.col("t") - F.col("j")).alias("d")))
+    opened = running(starts, F.max, most=ahead).withColumn("number", F.when(F.col("taken") == 0, F.col("j") + F.col("most.d")).otherwise(F.col("number") - F.col("t"))).drop("t", "most", "_at")
+    given = taken(ranked(opened, "prefix", "number", "taken")).where("taken = 0")
+    return given.select(*new.columns, F.format_string("[%s_%d]", "prefix", F.col("number") + F.col("t")).alias("token"))
 
 
 def alias_collisions(proposed: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -45,10 +65,9 @@ def alias_collisions(proposed: DataFrame, dictionary: DataFrame) -> DataFrame:
     others = dictionary.select(F.col("entity_id").alias("other_id"), F.trim("surface").alias("surface"), F.nullif("custom", F.lit("")).alias("custom"))
     tokens = lambda c: F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda t: t != "")
     longest = F.element_at(F.array_sort(F.transform(tokens("surface"), lambda t: F.struct(F.length(t).alias("n"), t.alias("t")))), -1)["t"]
-    alike = lambda c: F.upper(F.lower(F.replace(F.regexp_replace(c, r"\s+", " "), F.lit("İ"), F.lit("i"))))
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(alike("replacement")), F.lit(1))), lambda i: F.substring(alike("replacement"), i, F.lit(2)))
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(alike(F.col("replacement"))), F.lit(1))), lambda i: F.substring(alike(F.col("replacement")), i, F.lit(2)))
     # Tokens are in lower case and pairs start with a mark, so the two kinds of key never meet.
-    start = F.concat(F.lit("="), F.substring(alike("surface"), 1, 2))
+    start = F.concat(F.lit("="), F.substring(alike(F.col("surface")), 1, 2))
     keyed = others.where(F.length("surface") >= 3).select("other_id", "surface", F.when(F.size(tokens("surface")) > 0, longest).otherwise(start).alias("token"))
     quoted = F.concat(F.lit(r"(?iu)(?<![A-Za-z0-9])\Q"), F.replace("surface", F.lit(" "), F.lit(r"\E\s+\Q")), F.lit(r"\E(?![A-Za-z0-9])"))
     said = proposed.withColumn("token", F.explode(F.array_distinct(F.concat(tokens("replacement"), F.transform(pairs, lambda x: F.concat(F.lit("="), x))))))

@@ -58,27 +58,6 @@ def word_matches(rows: DataFrame, key: str, phrases: DataFrame) -> DataFrame:
     return bare.join(wanted, "first").where(same).select(key, "phrase", "place").distinct()
 
 
-def run_pieces(pieces: Column, spans: Column) -> Column:
-    """Masked runs of one paragraph: a span's replacement goes to the first run it touches, the others lose their share.
-
-    ``pieces``: the runs' texts; ``spans``: disjoint spans of the joined text.
-    """
-    before = F.transform(pieces, lambda p, i: F.aggregate(F.slice(pieces, 1, i), F.lit(0), lambda s, x: s + F.length(x)))
-    zipped = F.arrays_zip(pieces.alias("text"), before.alias("at"))
-
-    def piece(x: Column) -> Column:
-        start, stop = x["at"], x["at"] + F.length(x["text"])
-        touching = F.filter(spans, lambda s: (s["start"] < stop) & (s["stop"] > start))
-        done = F.aggregate(
-            touching,
-            F.struct(F.lit("").alias("out"), start.alias("at")),
-            lambda acc, s: F.struct(F.concat(acc["out"], F.substring(x["text"], acc["at"] - start + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), F.when(s["start"] >= start, s["token"]).otherwise("")).alias("out"), F.least(s["stop"], stop).alias("at")),
-        )
-        return F.concat(done["out"], F.substring(x["text"], done["at"] - start + 1, F.length(x["text"])))
-
-    return F.transform(zipped, piece)
-
-
 def residual_message(description: Column, matched: Column, read: Column) -> Column:
     """What to tell of an image that still shows an identity: its description, the match, the text read, or a default."""
     return F.coalesce(F.nullif(F.trim(description), F.lit("")), F.nullif(matched, F.lit("")), F.nullif(F.array_join(read, ", "), F.lit("")), F.lit("client identity in an image"))

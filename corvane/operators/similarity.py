@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+from itertools import combinations
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.functions.patterns import hamming
 from corvane.operators.components import connected_components
 
 CONFIDENT, UNCERTAIN, MERGE, CLUSTER_CAP = 4, 10, 10, 150
@@ -17,26 +19,48 @@ def exact_groups(rows: DataFrame, content: Column, key: str) -> DataFrame:
     return rows.groupBy(F.sha2(content, 256).alias("digest")).agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("n"))
 
 
-def bands(hashes: DataFrame, key: str, width: int = 4) -> DataFrame:
-    """key, hash, and one row for each band of ``width`` bits by place: 64 / width bands."""
-    bits = F.concat(*(F.lpad(F.conv(F.substring("phash", at, 8), 16, 2), 32, "0") for at in (1, 9)))
-    cut = F.transform(F.sequence(F.lit(0), F.lit(64 // width - 1)), lambda i: F.struct(i.alias("place"), F.substring(bits, i * width + 1, F.lit(width)).alias("digit")))
-    return hashes.select(key, "phash", F.explode(cut).alias("b")).select(key, "phash", "b.place", "b.digit")
+HASH = "^[0-9a-fA-F]{16}$"
 
 
-def hamming_matches(probes: DataFrame, references: DataFrame, limit: int) -> DataFrame:
-    """probe, ref, distance of all pairs (probe, phash) and (ref, phash) within ``limit`` bits, up to 31.
+def _parts(limit: int, hashes: int) -> int:
+    """How many parts to cut 64 bits in: about log2(hashes) bits each, so that a part tells most hashes apart.
 
-    Pairs meet on a band, an equi-join that loses none as long as there are
-    more bands than differing bits: 16 bands of 4 bits, beyond that 32 of 2.
+    Never more than limit + 1, where one part must be equal, nor so few that
+    more than two bits of a part may differ.
+    """
+    telling = math.ceil(64 / max(1.0, math.log2(max(hashes, 2))))
+    return max(min(telling, limit + 1), -(-(limit + 1) // 3))
+
+
+def near_hashes(left: DataFrame, right: DataFrame, limit: int) -> DataFrame:
+    """(phash, ref_phash, distance) of all different hashes of both sides within ``limit`` bits, up to 31; each pair once.
+
+    Of m parts of 64 bits at least one has limit // m differing bits or fewer.
+    Right hashes are indexed by their parts, left ones probe with all values of
+    a part that are so near; the first part by which a pair meets emits it.
+    Equal hashes collapse first. What is not 16 hexadecimal digits is left out.
     """
     if not 0 <= limit < 32:
         raise ValueError("limit must be from 0 to 31")
-    width = 4 if limit < 16 else 2
-    left = bands(probes, "probe", width)
-    right = bands(references, "ref", width).select("ref", F.col("phash").alias("ref_phash"), "place", "digit")
-    distance = hamming(F.col("phash"), F.col("ref_phash"))
-    return left.join(right, ["place", "digit"]).select("probe", "ref", distance.alias("distance")).where(F.col("distance") <= limit).distinct()
+    one, two = (rows.where(F.col("phash").rlike(HASH)).select(F.lower("phash").alias("phash")).distinct() for rows in (left, right))
+    m = _parts(limit, max(one.count(), two.count()))
+    slack, ends = limit // m, [64 * k // m for k in range(m + 1)]
+    bits = F.concat(*(F.lpad(F.conv(F.substring("phash", at, 8), 16, 2), 32, "0") for at in (1, 9)))
+    values = F.array(*[F.conv(F.substring(bits, a + 1, b - a), 2, 10).cast("long") for a, b in zip(ends, ends[1:])])
+    near = F.array(*[F.array(*[F.lit(sum(1 << x for x in flips)).cast("long") for n in range(slack + 1) for flips in combinations(range(b - a), n)]) for a, b in zip(ends, ends[1:])])
+    probes = one.withColumn("own", values).select("phash", "own", F.posexplode("own").alias("place", "value")).withColumn("value", F.explode(F.transform(F.get(near, F.col("place")), lambda flip: F.col("value").bitwiseXOR(flip))))
+    index = two.withColumn("other", values).select(F.col("phash").alias("ref_phash"), "other", F.posexplode("other").alias("place", "value"))
+    differ = F.zip_with("own", "other", lambda a, b: F.bit_count(a.bitwiseXOR(b)))
+    met = probes.join(index, ["place", "value"]).withColumn("differ", differ)
+    first = F.array_position(F.transform("differ", lambda n: n <= slack), True) - 1
+    distance = F.aggregate("differ", F.lit(0), lambda s, n: s + n)
+    return met.where(first == F.col("place")).select("phash", "ref_phash", distance.alias("distance")).where(F.col("distance") <= limit)
+
+
+def hamming_matches(probes: DataFrame, references: DataFrame, limit: int) -> DataFrame:
+    """probe, ref, distance of all pairs (probe, phash) and (ref, phash) within ``limit`` bits, up to 31."""
+    near = near_hashes(probes, references, limit)
+    return probes.select("probe", F.lower("phash").alias("phash")).join(near, "phash").join(references.select("ref", F.lower("phash").alias("ref_phash")), "ref_phash").select("probe", "ref", "distance").distinct()
 
 
 def best_match(matches: DataFrame) -> DataFrame:
@@ -69,9 +93,13 @@ def greedy_clusters(hashes: DataFrame, limit: int = CONFIDENT, cap: int = CLUSTE
 
 
 def similar_components(items: DataFrame, limit: int = MERGE) -> DataFrame:
-    """node, component over (key, phash): linked within ``limit`` bits, transitively."""
-    pairs = hamming_matches(items.select(F.col("key").alias("probe"), "phash"), items.select(F.col("key").alias("ref"), "phash"), limit)
-    return connected_components(pairs.where("probe >= ref"), "probe", "ref")
+    """node, component over (key, phash): linked within ``limit`` bits, transitively; equal hashes are one node until the end."""
+    rows = items.where(F.col("phash").rlike(HASH)).select("key", F.lower("phash").alias("phash"))
+    first = rows.groupBy("phash").agg(F.min("key").alias("rep"))
+    near = near_hashes(first, first, limit).where("phash <= ref_phash")
+    edges = near.join(first, "phash").join(first.select(F.col("phash").alias("ref_phash"), F.col("rep").alias("ref")), "ref_phash")
+    found = connected_components(edges, "rep", "ref").withColumnRenamed("node", "rep")
+    return rows.join(first, "phash").join(found, "rep").select(F.col("key").alias("node"), "component")
 
 
 def merged_clusters(members: DataFrame) -> DataFrame:

@@ -1,76 +1,120 @@
-"""Match offsets, longest-first claims and splicing, in built-in expressions.
+"""Match offsets, longest-first claims and splicing.
 
-For each surface the pieces between matches and the matches themselves give
-all offsets. The claim goes over the candidates longest surface first (ties in
-dictionary order), then by start, and takes what does not overlap a claim.
+The claim goes over the surfaces longest first (ties in dictionary order), and
+takes every match that does not overlap an earlier claim. Spark's expressions
+have no match offsets, and arrays that grow match by match cost the square of
+a text's matches; so one Arrow pass per batch searches each text once for each
+surface and marks what is claimed, in time linear in the text.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corvane.functions.patterns import replacement, surface_regex
+from corvane.functions.patterns import surface_regex
 
-CANDIDATE = "array<struct<start:int,ord:int,stop:int,surface:string,token:string>>"
 SPAN = "array<struct<start:int,stop:int,surface:string,token:string>>"
+Claim = Callable[[str], list[tuple[int, int, str]]]
 
 
-def match_spans(text: Column, surface: str, token: str, ord_: int) -> Column:
-    """array<struct<start, ord, stop, surface, token>> of every match, half-open code-point offsets."""
-    pattern = F.lit(surface_regex(surface))
-    pieces, found = F.split(text, surface_regex(surface), -1), F.regexp_extract_all(text, pattern, F.lit(0))
-    start = F.aggregate(
-        F.arrays_zip(pieces.alias("p"), found.alias("m")),
-        F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("starts")),
-        lambda acc, x: F.struct((acc["at"] + F.length(x["p"]) + F.coalesce(F.length(x["m"]), F.lit(0))).alias("at"), F.array_append(acc["starts"], acc["at"] + F.length(x["p"])).alias("starts")),
-    )["starts"]
-    # Zipped first: inside the lambda the offsets would be computed anew for every match.
-    zipped = F.filter(F.arrays_zip(start.alias("s"), found.alias("m")), lambda x: x["m"].isNotNull())
-    spans = F.transform(zipped, lambda x: F.struct(x["s"].alias("start"), F.lit(ord_).alias("ord"), (x["s"] + F.length(x["m"])).alias("stop"), x["m"].alias("surface"), F.lit(token).alias("token")))
-    return F.coalesce(spans, F.expr(f"cast(array() as {CANDIDATE})"))
+def _python_pattern(surface: str) -> re.Pattern:
+    """A surface between ASCII non-alphanumerics; its spaces match any run of white space."""
+    body = r"\s+".join(re.escape(part) for part in surface.split(" "))
+    return re.compile(rf"(?<![A-Za-z0-9]){body}(?![A-Za-z0-9])", re.IGNORECASE)
+
+
+def _claimer(dictionary: Sequence[tuple[str, str]]) -> Claim:
+    """Finds (start, stop, token) of all claimed spans of a text, sorted by start."""
+    ranked = [(_python_pattern(s), t) for s, t in sorted(dictionary, key=lambda row: -len(row[0]))]
+
+    def claim(text: str) -> list[tuple[int, int, str]]:
+        taken, out = bytearray(len(text)), []
+        for pattern, token in ranked:
+            for found in pattern.finditer(text):
+                start, stop = found.span()
+                if start < stop and taken.find(1, start, stop) < 0:
+                    taken[start:stop] = b"\1" * (stop - start)
+                    out.append((start, stop, token))
+        return sorted(out)
+
+    return claim
+
+
+def replaced(surface: str, token: str, style: str | None) -> str:
+    """What stands for a masked surface: its token, a bar of at least three blocks, or nothing; unknown styles are tokens."""
+    return {"remove": "", "black": "█" * max(len(surface), 3)}.get(style, token)
+
+
+def _spliced(text: str, spans: list[tuple[int, int, str]], style: str | None) -> str:
+    parts, at = [], 0
+    for start, stop, token in spans:
+        parts += [text[at:start], replaced(text[start:stop], token, style)]
+        at = stop
+    return "".join([*parts, text[at:]])
 
 
 def claimed_spans(text: Column, dictionary: Sequence[tuple[str, str]]) -> Column:
-    """Non-overlapping spans, longest dictionary surface first, sorted by start."""
-    ranked = sorted(dictionary, key=lambda row: -len(row[0]))
-    every = F.array_sort(F.concat(*(match_spans(text, s, t, i) for i, (s, t) in enumerate(ranked))))
-    # One pass by start: candidates that overlap, in a chain, wait together and are settled when the chain ends.
-    start = F.struct(F.expr(f"cast(array() as {SPAN})").alias("out"), F.expr(f"cast(array() as {CANDIDATE})").alias("chain"), F.lit(-1).alias("stop"))
-
-    def step(acc: Column, x: Column) -> Column:
-        inside = x["start"] < acc["stop"]
-        return F.struct(
-            F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], _settled(acc["chain"]))).alias("out"),
-            F.when(inside, F.array_append(acc["chain"], x)).otherwise(F.array(x)).alias("chain"),
-            F.when(inside, F.greatest(acc["stop"], x["stop"])).otherwise(x["stop"]).alias("stop"),
-        )
-
-    return F.aggregate(every, start, step, lambda acc: F.concat(acc["out"], _settled(acc["chain"])))
-
-
-def _settled(chain: Column) -> Column:
-    """The spans that the longest-first rule takes of overlapping candidates, sorted by start."""
-    order = F.transform(chain, lambda x: F.struct(x["ord"].alias("ord"), x["start"].alias("start"), x["stop"].alias("stop"), x["surface"].alias("surface"), x["token"].alias("token")))
-    span = lambda x: F.struct(*(x[c].alias(c) for c in ("start", "stop", "surface", "token")))
-    taken = F.aggregate(
-        F.array_sort(order),
-        F.expr(f"cast(array() as {SPAN})"),
-        lambda acc, x: F.when(F.exists(acc, lambda y: (x["start"] < y["stop"]) & (x["stop"] > y["start"])), acc).otherwise(F.array_append(acc, span(x))),
-    )
-    return F.when(F.size(chain) < 2, F.transform(chain, span)).otherwise(F.array_sort(taken))
-
-
-def spliced(text: Column, spans: Column, style: str | Column = "token") -> Column:
-    """The text with each span replaced in the given style."""
-    done = F.aggregate(
-        spans,
-        F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
-        lambda acc, x: F.struct(F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), replacement(x["surface"], x["token"], style)).alias("out"), x["stop"].alias("at")),
-    )
-    return F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))
+    """array<struct<start, stop, surface, token>>: non-overlapping half-open code-point spans, longest surface first, sorted by start; null of null."""
+    claim = _claimer(dictionary)
+
+    def run(texts: pd.Series) -> pd.Series:
+        spans = lambda t: [{"start": a, "stop": b, "surface": t[a:b], "token": token} for a, b, token in claim(t)]
+        return texts.map(lambda t: None if t is None else spans(t))
+
+    return F.pandas_udf(run, SPAN)(text)
+
+
+def masked(text: Column, dictionary: Sequence[tuple[str, str]], style: str | Column = "token") -> Column:
+    """Longest-first masked text."""
+    claim = _claimer(dictionary)
+
+    def run(texts: pd.Series, styles: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else _spliced(t, claim(t), s) for t, s in zip(texts, styles)], dtype=object)
+
+    return F.pandas_udf(run, "string")(text, F.lit(style) if isinstance(style, str) else style)
+
+
+def masked_and_counted(text: Column, dictionary: Sequence[tuple[str, str]], style: str = "token") -> Column:
+    """struct<masked, n>: the masked text and the number of its spans, found in one pass."""
+    claim = _claimer(dictionary)
+
+    def run(texts: pd.Series) -> pd.DataFrame:
+        found = [(None, 0) if t is None else (_spliced(t, spans := claim(t), style), len(spans)) for t in texts]
+        return pd.DataFrame(found, columns=["masked", "n"])
+
+    return F.pandas_udf(run, "masked string, n long")(text)
+
+
+def masked_pieces(pieces: Column, dictionary: Sequence[tuple[str, str]], style: str = "token") -> Column:
+    """Masked runs of one paragraph: a span's replacement goes to the first run it touches, the others lose their share.
+
+    ``pieces``: array of the runs' texts; matches are found in the joined text.
+    """
+    claim = _claimer(dictionary)
+
+    def one(runs: list[str]) -> list[str]:
+        text = "".join(r or "" for r in runs)
+        spans, out, at, i = claim(text), [], 0, 0
+        for run in (r or "" for r in runs):
+            end, parts, place = at + len(run), [], at
+            while i < len(spans) and spans[i][0] < end:
+                start, stop, token = spans[i]
+                if start >= at:
+                    parts += [text[place:start], replaced(text[start:stop], token, style)]
+                place = min(stop, end)
+                if stop > end:
+                    break
+                i += 1
+            out.append("".join([*parts, text[place:end]]))
+            at = end
+        return out
+
+    return F.pandas_udf(lambda rows: rows.map(lambda runs: None if runs is None else one(list(runs))), "array<string>")(pieces)
 
 
 def substituted(text: Column, dictionary: Sequence[tuple[str, str]], style: str = "token") -> Column:
@@ -79,8 +123,3 @@ def substituted(text: Column, dictionary: Sequence[tuple[str, str]], style: str
         bar = "█" * max(len(surface), 3)
         text = F.regexp_replace(text, F.lit(surface_regex(surface)), F.lit({"remove": "", "black": bar}.get(style, token).replace("\\", r"\\").replace("$", r"\$")))
     return text
-
-
-def masked(text: Column, dictionary: Sequence[tuple[str, str]], style: str = "token") -> Column:
-    """Longest-first masked text."""
-    return spliced(text, claimed_spans(text, dictionary), style)

@@ -9,14 +9,20 @@ from corvane.plans import detection
 from corvane.plans.fixtures import literal, values
 from corvane.sources.tables import table
 
+NEW_KINDS = ("CLIENT_NAME", "CLIENT_PERSON", "CLIENT_EMAIL_DOMAIN", "OTHER")
+TOKENS = ("[CLIENT_1]", "[CLIENT_3]", "[CLIENT_9]", "[CLIENT_10]", "[CLIENT_40]", "[CLIENT_PERSON_2]", "[CLIENT_PERSON_7]", "[CLIENT_DOMAIN_1]", "[CLIENT_DOMAIN_3]", "[CLIENT_DOMAIN_4]")
+
 
 def token_allocation(spark, folder):
-    new = detection.pii_candidates(spark, folder).groupBy("key").agg(F.min("surface").alias("surface"), F.min("entity_type").alias("entity_type"))
-    return governance.allocated_tokens(new.select("surface", "entity_type"), literal(spark, "dictionary")).select("surface", "entity_type", "token")
+    """New surfaces of all kinds, numbered beside tokens whose numbers have gaps."""
+    kinds = F.array(*[F.lit(x) for x in NEW_KINDS])
+    new = detection.pii_candidates(spark, folder).groupBy("key").agg(F.min("surface").alias("surface"))
+    typed = new.select("surface", F.element_at(kinds, (F.length("surface") % len(NEW_KINDS) + 1).cast("int")).alias("entity_type"))
+    return governance.allocated_tokens(typed, spark.createDataFrame([(t,) for t in TOKENS], "token string")).select("surface", "entity_type", "token")
 
 
 def alias_collision(spark, folder):
-    proposed = table(spark, folder, "nation").select(F.col("n_nationkey").alias("entity_id"), F.concat(F.lit("Group of the "), F.col("n_name")).alias("replacement")).where("entity_id < 8")
+    proposed = table(spark, folder, "nation").select(F.col("n_nationkey").alias("entity_id"), F.concat(F.lit("Group of the "), F.col("n_name")).alias("replacement"))
     own = proposed.unionByName(spark.sql("SELECT 9 AS entity_id, 'partner' AS replacement"))
     return governance.alias_collisions(own, literal(spark, "dictionary"))
 
@@ -33,19 +39,25 @@ def snapshot_insert(spark, folder):
     return governance.inserted(old, new, ["category", "value"])
 
 
+def _words(spark, folder):
+    words = F.filter(F.split("text", "[ \n]+"), lambda x: x != "")
+    return table(spark, folder, "documents").where("text is not null").select(F.col("doc_id").alias("run_id"), F.posexplode(words).alias("ord", "surface"))
+
+
 def _proposed(spark, folder):
-    return table(spark, folder, "documents").where("text is not null").select(F.col("doc_id").alias("run_id"), F.explode(F.array_distinct(F.slice(F.filter(F.split("text", "[ \n]+"), lambda x: x != ""), 1, 6))).alias("surface"))
+    return _words(spark, folder).where("length(surface) > 3").select("run_id", "surface").distinct()
 
 
 def review_removals(spark, folder):
-    removed = table(spark, folder, "labels").where("toxic = 1 or quality = 0").select(F.col("doc_id").alias("run_id")).join(_proposed(spark, folder), "run_id").where("length(surface) > 3").select("run_id", F.upper("surface").alias("surface"))
+    """What stays of every document's words of four letters or more; reviewers of bad documents remove the longer ones."""
+    bad = table(spark, folder, "labels").where("toxic = 1 or quality = 0").select(F.col("doc_id").alias("run_id"))
+    removed = bad.join(_proposed(spark, folder), "run_id").where("length(surface) > 5").select("run_id", F.upper("surface").alias("surface"))
     return governance.review_removals(_proposed(spark, folder), removed).groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 def review_additions(spark, folder):
-    words = F.filter(F.split("text", "[ \n]+"), lambda x: x != "")
-    added = table(spark, folder, "documents").where("text is not null").select(F.col("doc_id").alias("run_id"), F.posexplode(F.slice(words, 4, 8)).alias("ord", "surface"))
-    return governance.review_additions(_proposed(spark, folder), added).select("run_id", "surface")
+    """Reviewers add every word of the text; those that were proposed do not count again."""
+    return governance.review_additions(_proposed(spark, folder), _words(spark, folder)).select("run_id", "surface")
 
 
 def review_deltas(spark, folder):
@@ -169,18 +181,26 @@ def auto_chain(spark, folder):
 
 _STATUS = "CASE event_type WHEN 'signup' THEN 'pending' WHEN 'view' THEN 'detecting' WHEN 'click' THEN 'awaiting_review' WHEN 'purchase' THEN 'completed' ELSE 'failed' END"
 _WORDS = "list_filter(regexp_split_to_array(text, '[ \\n]+'), lambda x: x <> '')"
-_PROPOSED = f"(SELECT DISTINCT doc_id AS run_id, unnest({_WORDS}[1:6]) AS surface FROM documents)"
+_PROPOSED = f"(SELECT DISTINCT doc_id AS run_id, unnest(list_filter({_WORDS}, lambda x: length(x) > 3)) AS surface FROM documents)"
 _LATEST = f"(SELECT user_id, arg_max({_STATUS}, (ts, event_id)) AS status, arg_max(event_id, (ts, event_id)) AS event_id, max(ts) AS updated_at FROM events GROUP BY user_id)"
 _PEOPLE = "(SELECT c_custkey AS user_id, c_nationkey, ['admin', 'km_governance', 'km_reviewer', 'practice_lead', 'delivery', 'read_only'][c_custkey % 6 + 1] AS role FROM customer)"
 _ALIKE = "(?i)(^|[^A-Za-z0-9])"
+# One insert after another, with all tokens so far in a list.
+_ALLOCATED = f"""WITH RECURSIVE c AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY surface) AS i, CASE kind WHEN 'CLIENT_PERSON' THEN 'CLIENT_PERSON' WHEN 'CLIENT_EMAIL_DOMAIN' THEN 'CLIENT_DOMAIN' ELSE 'CLIENT' END AS p
+FROM (SELECT min(surface) AS surface, {list(NEW_KINDS)}[length(min(surface)) % 4 + 1] AS kind FROM ({detection._CAND}) GROUP BY key)),
+r AS (SELECT 0::BIGINT AS i, NULL::VARCHAR AS surface, NULL::VARCHAR AS kind, {list(TOKENS)}::VARCHAR[] AS tokens
+UNION ALL SELECT c.i, c.surface, c.kind, list_append(r.tokens, '[' || c.p || '_' || list_filter(generate_series(
+  len(list_filter(r.tokens, lambda t: t LIKE '[' || c.p || '_%]')) + 1, 2 * len(r.tokens) + 100), lambda k: NOT list_contains(r.tokens, '[' || c.p || '_' || k || ']'))[1] || ']')
+FROM r JOIN c ON c.i = r.i + 1)
+SELECT surface, kind AS entity_type, tokens[-1] AS token FROM r WHERE i > 0"""
 
 ORACLE = {
-    "token_allocation": f"SELECT surface, entity_type, '[' || p || '_' || (n + row_number() OVER (PARTITION BY p ORDER BY surface))::VARCHAR || ']' AS token FROM (SELECT min(surface) AS surface, min(entity_type) AS entity_type, CASE min(entity_type) WHEN 'CLIENT_EMAIL_DOMAIN' THEN 'CLIENT_DOMAIN' ELSE 'CLIENT_CONTRACT' END AS p FROM ({detection._CAND}) GROUP BY key) c JOIN (SELECT p, (SELECT count(*) FROM {values('dictionary')} d WHERE token LIKE '[' || p || '_%]') AS n FROM (VALUES ('CLIENT_DOMAIN'), ('CLIENT_CONTRACT')) AS t(p)) k USING (p)",
-    "alias_collision": f"SELECT DISTINCT p.entity_id, replacement, d.entity_id AS other_id, 'names' AS reason FROM (SELECT n_nationkey AS entity_id, 'Group of the ' || n_name AS replacement FROM nation WHERE n_nationkey < 8) p JOIN {values('dictionary')} d ON d.entity_id <> p.entity_id AND length(surface) >= 3 AND regexp_matches(replacement, '{_ALIKE}' || replace(surface, ' ', '\\s+') || '([^A-Za-z0-9]|$)') UNION ALL SELECT 9, 'partner', 2, 'repeats'",
+    "token_allocation": _ALLOCATED,
+    "alias_collision": f"SELECT DISTINCT p.entity_id, replacement, d.entity_id AS other_id, 'names' AS reason FROM (SELECT n_nationkey AS entity_id, 'Group of the ' || n_name AS replacement FROM nation) p JOIN {values('dictionary')} d ON d.entity_id <> p.entity_id AND length(surface) >= 3 AND regexp_matches(replacement, '{_ALIKE}' || replace(surface, ' ', '\\s+') || '([^A-Za-z0-9]|$)') UNION ALL SELECT 9, 'partner', 2, 'repeats'",
     "snapshot_upsert": "SELECT c_custkey AS id, coalesce(o.state, c_mktsegment) AS state, CASE WHEN o.state IS NULL THEN 1 ELSE 2 END AS version FROM customer LEFT JOIN (SELECT o_custkey, arg_max(o_orderpriority, (o_orderdate, o_orderkey)) AS state FROM orders GROUP BY o_custkey) o ON o_custkey = c_custkey",
     "snapshot_insert": f"SELECT category, value, status FROM {values('vocabulary')} v UNION ALL SELECT DISTINCT 'technology', source, 'pending_approval' FROM documents WHERE source NOT IN (SELECT value FROM {values('vocabulary')} v WHERE category = 'technology')",
-    "review_removals": f"SELECT run_id, count(*)::BIGINT AS n FROM {_PROPOSED} p WHERE (run_id, lower(surface)) NOT IN (SELECT run_id, lower(surface) FROM {_PROPOSED} q JOIN labels l ON l.doc_id = q.run_id WHERE (toxic = 1 OR quality = 0) AND length(surface) > 3) GROUP BY run_id",
-    "review_additions": f"SELECT run_id, arg_min(surface, i) AS surface FROM (SELECT doc_id AS run_id, unnest(w) AS surface, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, {_WORDS}[4:11] AS w FROM documents)) a WHERE (run_id, lower(surface)) NOT IN (SELECT run_id, lower(surface) FROM {_PROPOSED} p) GROUP BY run_id, lower(surface)",
+    "review_removals": f"SELECT run_id, count(*)::BIGINT AS n FROM {_PROPOSED} p WHERE (run_id, lower(surface)) NOT IN (SELECT run_id, lower(surface) FROM {_PROPOSED} q JOIN labels l ON l.doc_id = q.run_id WHERE (toxic = 1 OR quality = 0) AND length(surface) > 5) GROUP BY run_id",
+    "review_additions": f"SELECT run_id, arg_min(surface, i) AS surface FROM (SELECT doc_id AS run_id, unnest(w) AS surface, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, {_WORDS} AS w FROM documents)) a WHERE (run_id, lower(surface)) NOT IN (SELECT run_id, lower(surface) FROM {_PROPOSED} p) GROUP BY run_id, lower(surface)",
     "review_deltas": "SELECT lang AS entity_type, coalesce(sum((length(text) >= 400 AND quality = 0)::INT), 0)::BIGINT AS recall_misses, coalesce(sum((length(text) < 400 AND quality = 1)::INT), 0)::BIGINT AS precision_misses FROM documents JOIN labels USING (doc_id) GROUP BY lang HAVING recall_misses + precision_misses > 0",
     "tag_gate": f"SELECT category, value, CASE WHEN v.status IS NULL THEN 'proposed_new' WHEN confidence >= 0.7::DOUBLE THEN 'applied' ELSE 'flagged' END AS status, count(*)::BIGINT AS n FROM (SELECT 'domain' AS category, lang AS value, (doc_id % 10) / 10 AS confidence FROM documents UNION ALL SELECT 'technology', source, (doc_id % 10) / 10 FROM documents) t LEFT JOIN (SELECT * FROM {values('vocabulary')} x WHERE status = 'approved') v USING (category, value) GROUP BY ALL",
     "vocabulary_by_category": f"SELECT ord, c.category, coalesce(string_agg(value, ',' ORDER BY value), '') AS terms FROM {values('categories')} c LEFT JOIN {values('vocabulary')} v ON v.category = c.category AND v.status = 'approved' GROUP BY ALL",

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corvane.functions.patterns import surface_regex
 from corvane.operators import channels, spans
 from corvane.plans.detection import _DOUBLED, _found
 from corvane.plans.fixtures import approved, literal, values
 from corvane.sources.tables import table
 
+LEFT = ["the", "of the", "ing", "is"]
 LEAKY = ["anon", "the", "of the"]
 PLANTED = [(0, "[CLIENT_1] Turbine Ltd. and more"), (1, "[CLIENT_2] Big Power Holdings, [CLIENT_2] BIG Power Holdings"), (2, "nothing [CLIENT_1] here"), (3, "[CLIENT_1] Capital"), (4, "[CLIENT_2] one Ltd")]
 
@@ -50,7 +52,7 @@ def entity_occurrences(spark, folder):
 
 def residual_text(spark, folder):
     masked = mask_token_text(spark, folder).select("doc_id", F.col("masked").alias("text"))
-    return channels.residual(masked, ["the", "of the", "ing", "is"]).select("doc_id", "surface")
+    return channels.residual(masked, LEFT).select("doc_id", "surface")
 
 
 def _residual(channel):
@@ -70,7 +72,10 @@ def unconditional_identity(spark, folder):
 
 
 def channel_coverage(spark, folder):
-    return channels.part_warnings(literal(spark, "parts"))
+    """Each page is a part, of one of the listed paths in a package of its own."""
+    paths = literal(spark, "parts").agg(F.sort_array(F.collect_list("part")).alias("paths"))
+    pages = table(spark, folder, "pages").join(F.broadcast(paths)).select("page_id", F.element_at("paths", (F.col("page_id") % F.size("paths") + 1).cast("int")).alias("part"))
+    return channels.part_warnings(pages)
 
 
 def channel_verdict(spark, folder):
@@ -79,15 +84,18 @@ def channel_verdict(spark, folder):
 
 
 def boundary_leaks(spark, folder):
-    rows = spark.createDataFrame(PLANTED, "doc_id int, text string")
+    """Every document with one of the planted lines at its end."""
+    lines = F.element_at(F.array(*[F.lit(line) for _, line in PLANTED]), (F.col("doc_id") % len(PLANTED) + 1).cast("int"))
+    rows = table(spark, folder, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), lines).alias("text"))
     return channels.boundary_leaks(rows, ["[CLIENT_1]", "[CLIENT_2]"])
 
 
 def completeness_score(spark, folder):
-    n_masked = mask_spans(spark, folder).groupBy("doc_id").agg(F.sum("n_spans").alias("masked"))
-    left = residual_text(spark, folder).groupBy("doc_id").agg(F.count(F.lit(1)).alias("residual"))
-    both = _docs(spark, folder).select("doc_id").join(n_masked, "doc_id", "left").join(left, "doc_id", "left").na.fill(0)
-    return both.select("doc_id", "masked", "residual", channels.completeness(F.col("masked"), F.col("residual")).alias("score"))
+    """Masked spans and residual surfaces of each document, found in one pass without a shuffle."""
+    rows = _docs(spark, folder).select("doc_id", spans.masked_and_counted(F.col("text"), approved()).alias("x"))
+    left = sum((F.col("x.masked").rlike(surface_regex(s)).cast("long") for s in LEFT), F.lit(0))
+    counted = rows.select("doc_id", F.col("x.n").alias("masked"), left.cast("long").alias("residual"))
+    return counted.withColumn("score", channels.completeness(F.col("masked"), F.col("residual")))
 
 
 def flagship(spark, folder):
@@ -133,7 +141,7 @@ for _s, _t in sorted(approved(), key=lambda x: -len(x[0])):
     for _ in range(2):
         _text = f"regexp_replace({_text}, '(^|[^A-Za-z0-9]){_body}([^A-Za-z0-9]|$)', '\\1##\\2', 'gi')"
 _SPANS = "(" + " UNION ALL ".join(_COUNTED) + ")"
-_DOC_RESIDUAL = _left(f"(SELECT doc_id, {_MASKED} AS text FROM documents)", "doc_id", ["the", "of the", "ing", "is"])
+_DOC_RESIDUAL = _left(f"(SELECT doc_id, {_MASKED} AS text FROM documents)", "doc_id", LEFT)
 
 ORACLE = {
     # Doubling widens only the white space inside two-word surfaces: one character for every space between.
@@ -145,9 +153,9 @@ ORACLE = {
     "mask_sequential": f"SELECT page_id, channel, item::BIGINT AS item, {_MASKED} AS masked FROM {_PAGE} p WHERE channel IN ('hyperlinks', 'metadata')",
     "residual_text": _DOC_RESIDUAL,
     "unconditional_identity": f"SELECT page_id, count(*)::BIGINT AS n_fields FROM {_PAGE} p WHERE channel = 'metadata' AND trim(text, ' ') <> '' GROUP BY ALL",
-    "channel_coverage": "SELECT part FROM " + values("parts") + " p WHERE regexp_matches(lower(part), '" + "|".join(channels.IDENTITY_WORDS) + "') AND NOT regexp_matches(part, '" + "|".join(channels.COVERED + channels.SAFE) + "')",
+    "channel_coverage": "SELECT page_id, part FROM (SELECT page_id, l[page_id % len(l) + 1] AS part FROM pages, (SELECT list(part ORDER BY part) AS l FROM " + values("parts") + " x)) p WHERE regexp_matches(lower(part), '" + "|".join(channels.IDENTITY_WORDS) + "') AND NOT regexp_matches(part, '" + "|".join(channels.COVERED + channels.SAFE) + "')",
     "channel_verdict": f"SELECT page_id, bool_and(NOT hit) AS clean, count(DISTINCT CASE WHEN hit THEN channel END)::BIGINT AS n_dirty FROM (SELECT page_id, channel, ({_hits(LEAKY)}) AS hit FROM {_PAGE} p) GROUP BY ALL",
-    "boundary_leaks": "SELECT * FROM (VALUES (0, '[CLIENT_1]', 'Turbine Ltd.'), (1, '[CLIENT_2]', 'Big Power Holdings'), (3, '[CLIENT_1]', 'Capital')) AS t(doc_id, token, leaked)",
+    "boundary_leaks": "SELECT doc_id, token, leaked FROM documents JOIN (VALUES (0, '[CLIENT_1]', 'Turbine Ltd.'), (1, '[CLIENT_2]', 'Big Power Holdings'), (3, '[CLIENT_1]', 'Capital')) AS t(place, token, leaked) ON doc_id % 5 = place",
     "completeness_score": f"SELECT d.doc_id, coalesce(m.n, 0)::BIGINT AS masked, coalesce(r.n, 0)::BIGINT AS residual, CASE WHEN coalesce(m.n, 0) + coalesce(r.n, 0) = 0 THEN 100.0::DOUBLE ELSE round_even(100.0::DOUBLE * coalesce(m.n, 0) / (coalesce(m.n, 0) + coalesce(r.n, 0)), 1)::DOUBLE END AS score FROM documents d LEFT JOIN (SELECT doc_id, sum(len(m)) AS n FROM {_SPANS} s GROUP BY ALL) m USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM ({_DOC_RESIDUAL}) GROUP BY ALL) r USING (doc_id)",
 } | {f"residual_{c}": _left(f"(SELECT page_id, item, text FROM {_PAGE} p WHERE channel = '{c}')", "page_id, item::BIGINT AS item", LEAKY) for c in ("hyperlinks", "comments", "metadata")}
 QUERIES = {name: globals()[name] for name in [*ORACLE, "occurrence_rows"]}

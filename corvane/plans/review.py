@@ -37,9 +37,9 @@ def phrase_places(spark, folder):
 
 def masked_runs(spark, folder):
     """Runs of nine characters, masked run by run, join to the masked text."""
-    docs = table(spark, folder, "documents").where("text is not null").select("doc_id", F.substring("text", 1, 180).alias("text"))
-    pieces = F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: F.substring(F.col("text"), i * 9 + 1, F.lit(9)))
-    return docs.select("doc_id", F.array_join(scrub.run_pieces(pieces, spans.claimed_spans(F.col("text"), approved())), "").alias("masked"))
+    docs = table(spark, folder, "documents").where("text is not null")
+    pieces = F.regexp_extract_all("text", F.lit("(?s).{1,9}"), F.lit(0))
+    return docs.select("doc_id", F.array_join(spans.masked_pieces(pieces, approved()), "").alias("masked"))
 
 
 def alt_text_ladder(spark, folder):
@@ -50,13 +50,12 @@ def alt_text_ladder(spark, folder):
     return scrub.alt_text_entities(titles, detect.own_firm(F.col("text"), OWN_FIRM), known, number).select("page_id", "item", "entity", "confidence")
 
 
-def _entities(spark):
-    return literal(spark, "dictionary").select(F.col("entity_id").alias("entity"), "surface")
-
-
 def entity_merges(spark, folder):
-    merges = spark.sql("SELECT * FROM VALUES ('ING', 'the'), ('is', 'nowhere'), ('anon', 'Of The') AS t(surface, canonical)")
-    return review.merged_surfaces(_entities(spark), merges)
+    """Of every seven suppliers one is merged into its neighbour, and one into a name that nobody has."""
+    entities = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("entity"), F.col("s_name").alias("surface"))
+    named = lambda key: F.format_string("supplier#%09d", key)
+    canonical = F.when(F.col("entity") % 7 == 1, named(F.col("entity") - 1)).when(F.col("entity") % 7 == 2, F.lit("nobody"))
+    return review.merged_surfaces(entities, entities.select(F.upper("surface").alias("surface"), canonical.alias("canonical")).where("canonical is not null"))
 
 
 def run_mask_map(spark, folder):
@@ -70,7 +69,7 @@ def _images(spark, folder):
 
 
 def redacted_images(spark, folder):
-    groups = _images(spark, folder).where("label < 3").groupBy(F.col("label").alias("group_id")).agg(F.sort_array(F.collect_list("idx")).alias("indices"), F.min("digest").alias("digest"))
+    groups = _images(spark, folder).groupBy(F.col("label").alias("group_id")).agg(F.sort_array(F.collect_list("idx")).alias("indices"), F.min("digest").alias("digest"))
     moved = groups.withColumn("indices", F.when(F.col("group_id") == 1, F.transform("indices", lambda i: i + 1000000)).otherwise(F.col("indices")))
     return review.approved_images(moved, _images(spark, folder))
 
@@ -132,11 +131,11 @@ ORACLE = {
     "scrub_hyperlinks": f"SELECT page_id, count(*) FILTER (text <> {_replaced('text', lambda s, t: t)})::BIGINT AS changed FROM {_PAGE} p WHERE channel = 'hyperlinks' GROUP BY page_id",
     "brand_keys": "SELECT s_suppkey, lower(trim(regexp_replace(replace(s_name, '#', '  ' || chr(10) || ' '), '\\s+', ' ', 'g'))) AS brand FROM supplier",
     "phrase_places": f"WITH w AS MATERIALIZED (SELECT doc_id, {_WORDS} AS ws FROM documents) " + " UNION ALL ".join(map(_phrase, ("of the", "the", "and the"))),
-    "masked_runs": f"SELECT doc_id, {_replaced('substr(text, 1, 180)', lambda s, t: t)} AS masked FROM documents",
+    "masked_runs": f"SELECT doc_id, {_replaced('text', lambda s, t: t)} AS masked FROM documents WHERE text IS NOT NULL",
     "alt_text_ladder": f"""SELECT page_id, item::BIGINT AS item, CASE WHEN a THEN 'of the' WHEN b THEN 'the' WHEN n <> '' THEN n ELSE trim(text, ' ') END AS entity, CASE WHEN a OR b THEN 1.0 WHEN n <> '' THEN 0.9 ELSE 0.5 END::DOUBLE AS confidence FROM (SELECT *, regexp_matches(text, '(?i)(^|[^A-Za-z0-9])of\\s+the([^A-Za-z0-9]|$)') AS a, regexp_matches(text, '(?i)(^|[^A-Za-z0-9])the([^A-Za-z0-9]|$)') AS b, regexp_extract(text, '\\d{{4,}}') AS n FROM {_PAGE} p WHERE channel = 'metadata' AND length(trim(text, ' ')) >= 2 AND NOT regexp_matches(text, '(?i)(^|[^A-Za-z0-9])(anon|firm)([^A-Za-z0-9]|$)'))""",
-    "entity_merges": f"SELECT surface, CASE lower(surface) WHEN 'ing' THEN 1 WHEN 'anon' THEN 2 ELSE entity_id END AS entity, surface = 'is' AS missed FROM {_D} d",
+    "entity_merges": "SELECT s_name AS surface, CASE WHEN s_suppkey % 7 = 1 THEN s_suppkey - 1 ELSE s_suppkey END AS entity, s_suppkey % 7 = 2 AS missed FROM supplier",
     "run_mask_map": f"SELECT run_id, surface, token FROM (SELECT l_orderkey AS run_id, CASE WHEN l_partkey % 2 = 0 THEN upper(l_returnflag) ELSE lower(l_returnflag) END AS surface, l_partkey % 9 AS e FROM lineitem WHERE l_partkey % 9 <> 0 QUALIFY row_number() OVER (PARTITION BY l_orderkey, lower(l_returnflag) ORDER BY l_linenumber, l_partkey) = 1) o JOIN (SELECT entity_id, arg_min(token, alias_id) AS token FROM {_D} d GROUP BY entity_id) t ON t.entity_id = o.e",
-    "redacted_images": "SELECT label AS group_id, vec_id AS idx FROM embeddings WHERE label IN (0, 2) UNION ALL SELECT 1, arg_min(vec_id, md5(vec_id::VARCHAR)) FROM embeddings WHERE label = 1",
+    "redacted_images": "SELECT label AS group_id, vec_id AS idx FROM embeddings WHERE label <> 1 UNION ALL SELECT 1, arg_min(vec_id, md5(vec_id::VARCHAR)) FROM embeddings WHERE label = 1",
     "surviving_images": "SELECT vec_id AS idx FROM embeddings WHERE label = 2 AND vec_id % 3 = 0",
     "image_labels": f"SELECT DISTINCT v.label AS group_id, coalesce(nullif(a.custom, ''), 'Partner') AS label FROM {values('verdicts')} v LEFT JOIN {_D} a ON lower(a.surface) = lower(v.ocr)",
     "logo_attribution": f"SELECT v.label AS group_id, coalesce(a.entity_id, CASE WHEN v.label % 2 = 0 THEN 4 END) AS entity_id FROM {values('verdicts')} v LEFT JOIN {_D} a ON lower(a.surface) = lower(v.ocr) WHERE coalesce(a.entity_id, CASE WHEN v.label % 2 = 0 THEN 4 END) IS NOT NULL",

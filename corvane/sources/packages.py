@@ -1,18 +1,27 @@
-"""Office packages (zip of XML parts): parts, chunks, alternative texts, identities and links as rows."""
+"""Office packages (zip of XML parts): parts, relations, text blocks, alternative texts, identities, links and images as rows.
+
+A small helper turns one part into rows; how parts hang together (slides and
+their layouts, charts and notes, sheets and their strings) is joins on
+relations. ``corvane.sources.chunks`` builds the chunks of each document.
+"""
 
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterator
+from xml.etree import ElementTree
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SUPPORTED = ("docx", "pptx", "xlsx", "pdf")
-#: A part larger than this is not unpacked: its row has a null text.
-PART_BYTES = 64 << 20
+#: Bytes of parts that a task gathers before it passes them on; a larger part goes alone and whole.
+BATCH_BYTES = 16 << 20
+#: Files inside a file whose own parts are read as well.
+EMBEDDED = re.compile(r"(^|/)embeddings/[^/]+\.(docx|pptx|xlsx)$")
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -29,26 +38,176 @@ def _named(files: DataFrame) -> DataFrame:
     return files.select("path", "length", "content", F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)).alias("extension"))
 
 
+def _opened(content: bytes, prefix: str = "") -> Iterator[tuple[str | None, str | None, bytes | None]]:
+    """(part, xml, raw) of each entry; those of embedded packages follow under their own name and a bar."""
+    try:
+        with zipfile.ZipFile(io.BytesIO(content)) as package:
+            for entry in package.infolist():
+                raw = package.read(entry)
+                xml = raw.decode("utf-8", "replace") if entry.filename.endswith((".xml", ".rels")) else None
+                yield prefix + entry.filename, xml, None if xml is not None else raw
+                if EMBEDDED.search(entry.filename):
+                    yield from _opened(raw, f"{prefix}{entry.filename}|")
+    except (zipfile.BadZipFile, OSError):
+        yield prefix or None, None, None
+
+
 def parts(files: DataFrame) -> DataFrame:
-    """path, part, xml of every part; xml is null for parts that are not XML; an unreadable file gives one row with a null part."""
+    """path, part, xml, content of every part, whole; one of xml and content is null; an unreadable file gives one row with a null part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        size = 0
+
+        def sent() -> pa.RecordBatch:
+            columns = list(zip(*rows))
+            rows.clear()
+            return pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in columns[:3]), pa.array(columns[3], pa.binary())], names=["path", "part", "xml", "content"])
+
         for batch in batches:
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
-                names: list[str | None] = []
-                texts: list[str | None] = []
+            for path, content in zip(batch.column("path"), batch.column("content")):
+                for part, xml, raw in _opened(content.as_py() or b""):
+                    rows.append((path.as_py(), part, xml, raw))
+                    size += len(xml or raw or b"")
+                    if size >= BATCH_BYTES:
+                        yield sent()
+                        size = 0
+        if rows:
+            yield sent()
+
+    return files.select("path", "content").mapInArrow(run, "path string, part string, xml string, content binary")
+
+
+def relations(rows: DataFrame) -> DataFrame:
+    """path, owner, id, type (its last word), target (a part's name, or an address outside), external."""
+    tags = F.explode(F.regexp_extract_all("xml", F.lit(r"<(?:\w+:)?Relationship\b[^>]*>"), F.lit(0))).alias("tag")
+    name = r"^(.*?)_rels/([^/]*)\.rels$"
+    said = rows.where(F.col("part").rlike(name)).select("path", F.regexp_extract("part", name, 1).alias("folder"), F.regexp_extract("part", name, 2).alias("file"), tags)
+    attribute = lambda a: unescaped(F.regexp_extract("tag", rf'\b{a}="([^"]*)"', 1))
+    external, target = attribute("TargetMode") == "External", attribute("Target")
+    inside = F.regexp_extract("folder", r"^(.*\|)?", 0)
+    full = F.when(target.startswith("/"), F.concat(inside, F.substring(target, F.lit(2), F.length(target)))).otherwise(F.concat("folder", target))
+    for _ in range(6):
+        full = F.regexp_replace(full, r"[^/|]+/\.\./", "")
+    return said.select("path", F.concat("folder", "file").alias("owner"), attribute("Id").alias("id"), F.element_at(F.split(attribute("Type"), "/"), -1).alias("type"), F.when(external, target).otherwise(full).alias("target"), external.alias("external"))
+
+
+def _local(e: ElementTree.Element) -> str:
+    return e.tag.rpartition("}")[2]
+
+
+def _attribute(e: ElementTree.Element, name: str) -> str | None:
+    return next((v for k, v in e.attrib.items() if k.rpartition("}")[2] == name), None)
+
+
+def _under(e: ElementTree.Element, *names: str, past: tuple[str, ...] = ()) -> Iterator[ElementTree.Element]:
+    """Descendants of these local names, in order; nothing below an element of ``past``."""
+    for child in e:
+        if _local(child) in names:
+            yield child
+        if _local(child) not in past:
+            yield from _under(child, *names, past=past)
+
+
+def _word_text(paragraph: ElementTree.Element) -> str:
+    marks = {"tab": "\t", "br": "\n", "cr": "\n"}
+    return "".join(marks.get(_local(x), x.text or "") for x in _under(paragraph, "t", "tab", "br", "cr", past=("txbxContent", "pPr", "t")))
+
+
+def _table(table: ElementTree.Element) -> Iterator[str]:
+    """Paragraphs cell by cell; tables inside a cell follow its own."""
+    for cell in _under(table, "tc", past=("tc",)):
+        yield from (_word_text(p).strip() for p in cell if _local(p) == "p")
+        for nested in cell:
+            if _local(nested) == "tbl":
+                yield from _table(nested)
+
+
+def _word(root: ElementTree.Element, part: str) -> Iterator[tuple[str, int, str]]:
+    file = part.rpartition("/")[2]
+    if file.startswith(("footnotes", "endnotes")):
+        yield from (("note", 0, "".join(t.text or "" for t in _under(p, "t")).strip()) for p in _under(root, "p"))
+    elif file.startswith(("header", "footer")):
+        yield from (("header_footer", 0, _word_text(p).strip()) for p in root if _local(p) == "p")
+    else:
+        for body in (x for x in root if _local(x) == "body"):
+            yield from (("paragraph", 0, _word_text(p)) for p in body if _local(p) == "p")
+            yield from (("table", 0, line) for t in body if _local(t) == "tbl" for line in _table(t))
+        for box in _under(root, "txbxContent"):
+            yield from (("text_box", 0, "".join(t.text or "" for t in _under(p, "t")).strip()) for p in _under(box, "p"))
+
+
+def _shapes(root: ElementTree.Element, body_only: bool) -> Iterator[tuple[str, int, str]]:
+    """Paragraphs of shapes and of tables' cells, groups included; of notes only the body's."""
+    for shape in _under(root, "sp", "graphicFrame", past=("sp", "graphicFrame")):
+        if body_only and not any(_attribute(ph, "type") == "body" for ph in _under(shape, "ph")):
+            continue
+        for p in _under(shape, "p", past=("p",)):
+            yield "line", 0, "".join(t.text or "" for r in p if _local(r) == "r" for t in r if _local(t) == "t").strip()
+
+
+def _sheet(root: ElementTree.Element) -> Iterator[tuple[str, int, str]]:
+    """Header and footer texts, then cells: row, kind of value and value."""
+    for e in _under(root, "oddHeader", "evenHeader", "firstHeader", "oddFooter", "evenFooter", "firstFooter"):
+        for side in re.split(r"&[LCR]", e.text or ""):
+            yield "header", 0, re.sub(r'&"[^"]*"|&\d+|&K[0-9A-Fa-f]{6}', "", side).strip()
+    for n, row in enumerate(_under(root, "row", past=("row",))):
+        for cell in _under(row, "c", past=("c",)):
+            kind = cell.get("t", "n")
+            said = "".join(t.text or "" for t in _under(cell, "t" if kind == "inlineStr" else "v"))
+            if kind == "b":
+                said = {"1": "True", "0": "False"}.get(said, said)
+            yield "shared" if kind == "s" else "cell", n, said.strip()
+
+
+def _blocks(part: str, root: ElementTree.Element) -> Iterator[tuple[str, int, str]]:
+    """(kind, row, text) of one part, in order."""
+    name = part.rpartition("|")[2]
+    if re.match(r"word/(document|header\d*|footer\d*|footnotes|endnotes)\.xml$", name):
+        yield from _word(root, name)
+    elif m := re.match(r"ppt/(slides|slideLayouts|slideMasters|notesSlides)/", name):
+        yield from _shapes(root, m[1] == "notesSlides")
+        if root.get("showMasterSp") in ("0", "false"):
+            yield "hides", 0, "master"
+    elif name == "ppt/presentation.xml":
+        yield from (("slide_id", 0, next((v for k, v in e.attrib.items() if k.endswith('}id')), '')) for e in _under(root, "sldId"))
+    elif re.match(r"ppt/charts/chart[^/]*\.xml$", name):
+        yield from (("line", 0, (e.text or "").strip()) for e in _under(root, "t", "v") if _local(e) == "t" or not re.fullmatch(r"-?[\d.]+(E[+-]?\d+)?", (e.text or "").strip()))
+    elif re.match(r"ppt/diagrams/data[^/]*\.xml$", name):
+        yield from (("line", 0, "".join(t.text or "" for t in _under(p, "t")).strip()) for p in _under(root, "p", past=("p",)))
+    elif name == "xl/workbook.xml":
+        yield from ((f"sheet {next((v for k, v in e.attrib.items() if k.endswith('}id')), '')}", 0, e.get("name", "")) for e in _under(root, "sheet"))
+    elif name == "xl/sharedStrings.xml":
+        yield from (("string", n, "".join(t.text or "" for t in _under(si, "t", past=("rPh",)))) for n, si in enumerate(_under(root, "si")))
+    elif re.match(r"xl/worksheets/[^/]+\.xml$", name):
+        yield from _sheet(root)
+
+
+def blocks(rows: DataFrame) -> DataFrame:
+    """path, part, ord, kind, row, text of every block of text; parts that are no valid XML have none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["path", "part", "ord", "kind", "row", "text"]
+        types = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string()]
+        for batch in batches:
+            for path, part, xml in zip(*(batch.column(c) for c in ("path", "part", "xml"))):
                 try:
-                    with zipfile.ZipFile(io.BytesIO(content or b"")) as package:
-                        for entry in package.infolist():
-                            names.append(entry.filename)
-                            xml = entry.filename.endswith((".xml", ".rels")) and entry.file_size <= PART_BYTES
-                            texts.append(package.read(entry).decode("utf-8", "replace") if xml else None)
-                except (zipfile.BadZipFile, OSError):
-                    names.append(None)
-                    texts.append(None)
-                yield pa.RecordBatch.from_arrays([pa.array([path] * len(names), pa.string()), pa.array(names, pa.string()), pa.array(texts, pa.string())], names=["path", "part", "xml"])
+                    found = list(_blocks(part.as_py(), ElementTree.fromstring(xml.as_py())))
+                except ElementTree.ParseError:
+                    continue
+                out = [(path.as_py(), part.as_py(), n, *block) for n, block in enumerate(found)]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
+
+    wanted = rows.where("xml is not null and part is not null and part not like '%.rels'")
+    return wanted.select("path", "part", "xml").mapInArrow(run, "path string, part string, ord int, kind string, row int, text string")
+
 
-    return files.select("path", "content").mapInArrow(run, "path string, part string, xml string")
+def images(rows: DataFrame) -> DataFrame:
+    """path, part, label, format, digest, n_bytes of every image part of word files, decks and workbooks."""
+    kind = F.regexp_extract("part", r"^(?:.*\|)?(word|ppt|xl)/media/", 1)
+    label = F.create_map(*[F.lit(x) for x in ("word", "document image", "ppt", "slide image", "xl", "sheet image")])[kind]
+    return rows.where((kind != "") & F.col("content").isNotNull()).select("path", "part", label.alias("label"), image_format(F.col("content")).alias("format"), F.sha2("content", 256).alias("digest"), F.length("content").cast("long").alias("n_bytes"))
 
 
 def unescaped(text: Column) -> Column:
@@ -58,23 +217,6 @@ def unescaped(text: Column) -> Column:
     return text
 
 
-def text_chunks(rows: DataFrame) -> DataFrame:
-    """path, kind, chunk_id, text: paragraphs of word files by eights, slides and sheets' shared strings one each."""
-    word = rows.where(F.col("part") == "word/document.xml")
-    paragraphs = F.transform(F.regexp_extract_all("xml", F.lit(r"(?s)<w:p[ >].*?</w:p>"), F.lit(0)), lambda p: F.array_join(F.regexp_extract_all(p, F.lit(r"(?s)<w:t(?: [^>]*)?>(.*?)</w:t>"), F.lit(1)), ""))
-    spoken = F.filter(F.transform(paragraphs, unescaped), lambda p: F.trim(p) != "")
-    starts = F.sequence(F.lit(0), F.greatest(F.floor((F.size(spoken) - 1) / 8), F.lit(0)).cast("int"))
-    groups = F.transform(starts, lambda i: F.array_join(F.slice(spoken, i * 8 + 1, 8), "\n\n"))
-    chunks = word.select("path", F.lit("paragraph_group").alias("kind"), F.posexplode(groups).alias("chunk_id", "text")).where("text <> ''")
-    slide = rows.where(F.col("part").rlike(r"^ppt/slides/slide\d+\.xml$"))
-    lines = F.regexp_extract_all("xml", F.lit(r"(?s)<a:t(?: [^>]*)?>(.*?)</a:t>"), F.lit(1))
-    slides = slide.select("path", F.lit("slide").alias("kind"), F.regexp_extract("part", r"(\d+)", 1).cast("int").alias("chunk_id"), unescaped(F.array_join(lines, "\n")).alias("text"))
-    sheet = rows.where(F.col("part") == "xl/sharedStrings.xml")
-    cells = F.regexp_extract_all("xml", F.lit(r"(?s)<t(?: [^>]*)?>(.*?)</t>"), F.lit(1))
-    sheets = sheet.select("path", F.lit("sheet").alias("kind"), F.lit(0).alias("chunk_id"), unescaped(F.array_join(cells, " | ")).alias("text"))
-    return chunks.unionByName(slides).unionByName(sheets)
-
-
 def alt_texts(rows: DataFrame) -> DataFrame:
     """path, part, text: non-blank descriptions and titles of pictures and shapes."""
     tags = F.regexp_extract_all("xml", F.lit(r"<(?:\w+:)?(?:cNvPr|docPr)\b[^>]*>"), F.lit(0))
@@ -91,9 +233,16 @@ def identities(rows: DataFrame) -> DataFrame:
 
 def external_links(rows: DataFrame) -> DataFrame:
     """path, part, target of external hyperlinks in relationship parts."""
-    tags = F.regexp_extract_all("xml", F.lit(r"<Relationship\b[^>]*>"), F.lit(0))
-    external = F.filter(tags, lambda t: t.contains('TargetMode="External"') & t.contains("/hyperlink"))
-    return rows.where(F.col("part").endswith(".rels")).select("path", "part", F.explode(F.transform(external, lambda t: unescaped(F.regexp_extract(t, r'\bTarget="([^"]*)"', 1)))).alias("target"))
+    links = relations(rows).where(F.col("external") & (F.col("type") == "hyperlink"))
+    part = F.concat(F.regexp_extract("owner", r"^(.*/)?", 0), F.lit("_rels/"), F.regexp_extract("owner", r"([^/]*)$", 1), F.lit(".rels"))
+    return links.select("path", part.alias("part"), "target")
+
+
+def comment_parts(rows: DataFrame) -> DataFrame:
+    """path, part of every part that holds comments or their authors: by name, or because a relation says so."""
+    by_name = rows.select("path", "part").where(F.col("part").rlike(r"(?i)(comment|threadedComment|commentAuthors|/authors|people|persons/)[^/]*\.xml$|xl/persons/"))
+    by_relation = relations(rows).where(~F.col("external") & F.col("type").rlike("(?i)comment|author|person|people")).select("path", F.col("target").alias("part"))
+    return by_name.unionByName(by_relation.join(rows.select("path", "part"), ["path", "part"], "left_semi")).distinct()
 
 
 def image_format(content: Column) -> Column:

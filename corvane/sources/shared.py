@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; where that is unset (a local session), a new temporary folder."""
+    """The session's spark.checkpoint.dir; where that is unset, which only a local session may leave it, a new temporary folder."""
     conf = spark.sparkContext.getConf()
     folder = conf.get("spark.checkpoint.dir") or spark.conf.get("corvane.shared.dir", None)
     if not folder:
+        if not re.match(r"local(\[[^,]*(,[^,]*)?\])?$", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("corvane.shared.dir", folder)
     return folder.rstrip("/")

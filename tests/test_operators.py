@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -125,10 +126,56 @@ def test_surfaces_without_ascii_tokens_collide(spark):
     assert got == {("Bank of 東京都 East", 2), ("ΟΔΟΣ ΑΒ", 3), ("Plain name", 5)}
 
 
+def inserted_one_by_one(new, tokens):
+    """The rule as it reads: each insert counts what its pattern matches, then goes on to a free number."""
+    tokens, out = list(tokens), {}
+    for surface, kind in sorted((s, k) for k, s in new):
+        prefix = governance.PREFIXES.get(kind, "CLIENT")
+        number = 1 + sum(bool(re.fullmatch(rf"\[{prefix}..*\]|\[{prefix}.\]", t)) for t in tokens)
+        while f"[{prefix}_{number}]" in tokens:
+            number += 1
+        tokens.append(f"[{prefix}_{number}]")
+        out[surface] = tokens[-1]
+    return out
+
+
+@pytest.mark.parametrize(
+    ("new", "tokens"),
+    [
+        ([("CLIENT_PERSON", "a"), ("CLIENT_NAME", "b"), ("CLIENT_NAME", "c")], []),
+        ([("CLIENT_NAME", "a"), ("CLIENT_NAME", "b")], ["[CLIENT_1]", "[CLIENT_3]"]),
+        ([(k, f"s{i:03}") for i, k in enumerate([*governance.PREFIXES, "ODD", "CLIENT_NAME"] * 12)], ["[CLIENT_7]", "[CLIENT_8]", "[CLIENT_30]", "[CLIENT_31]", "[CLIENT_PERSON_2]", "[CLIENT_PERSON_9]", "[CLIENT_DOMAIN_x]", "[CLIENT_02]", "odd"]),
+    ],
+)
+def test_tokens_are_those_of_single_inserts(spark, new, tokens):
+    rows = governance.allocated_tokens(spark.createDataFrame(new, "entity_type string, surface string"), spark.createDataFrame([(t,) for t in tokens], "token string")).collect()
+    got = {r["surface"]: r["token"] for r in rows}
+    assert got == inserted_one_by_one(new, tokens) and len({*got.values(), *tokens}) == len(got) + len(tokens)
+
+
+def test_indexed_sweep_finds_names_without_ascii_tokens(spark):
+    docs = spark.createDataFrame([(1, "株式漢字社会 Acme"), (2, "漢字 社"), (3, "ÉÉ  é corp"), (4, None)], "doc_id int, text string")
+    names = spark.createDataFrame([(1, 1, "漢字社"), (2, 2, "acme"), (3, 3, "éé é"), (4, 4, "!?"), (5, 5, " ")], "entity_id int, alias_id int, surface string")
+    assert {(r["doc_id"], r["entity_id"]) for r in detect.sweep_indexed(docs, names).collect()} == {(1, 1), (1, 2), (3, 3)}
+
+
+def test_masking_is_linear_in_the_text(spark):
+    text, dictionary = "the cat of the dog " * 40000, [("the", "[1]"), ("of the", "[2]")]
+    began = time.time()
+    assert one(spark, F.length(spans.masked(F.col("t"), dictionary)), t=text) == len("[1] cat [2] dog ") * 40000
+    assert time.time() - began < 20
+
+
+def test_masked_pieces(spark):
+    rows = spark.createDataFrame([(["x Ac", "me", " Corp and", "", " the Acme"],), ([],), (None,)], "p array<string>")
+    got = [r[0] for r in rows.select(spans.masked_pieces(F.col("p"), [("Acme Corp", "[1]"), ("Acme", "[2]")])).collect()]
+    assert got == [["x [1]", "", " and", "", " the [2]"], [], None]
+
+
 def test_token_numbers_count_longer_prefixes(spark):
     have = spark.createDataFrame([("[CLIENT_1]",), ("[CLIENT_PERSON_1]",)], "token string")
     new = spark.createDataFrame([("CLIENT_NAME", "x"), ("CLIENT_PERSON", "y"), ("ODD", "z")], "entity_type string, surface string")
-    assert {r["surface"]: r["token"] for r in governance.allocated_tokens(new, have).collect()} == {"x": "[CLIENT_3]", "y": "[CLIENT_PERSON_2]", "z": "[CLIENT_4]"}
+    assert {r["surface"]: r["token"] for r in governance.allocated_tokens(new, have).collect()} == {"x": "[CLIENT_3]", "y": "[CLIENT_PERSON_2]", "z": "[CLIENT_5]"}
 
 
 @pytest.mark.parametrize(("text", "want"), [('a ```json {"a": 1} ``` b ```json {"b": 2} ```', '{"b":2}'), ('x {"c": 3} y', '{"c":3}'), ("none", None), ('``` nope ``` {"d": 4}', '{"d":4}')])
