@@ -86,16 +86,15 @@ def _parted(kind: Column, short: Column, before: Column, after: Column, pieces:
     return F.when(last >= 0, F.transform(parts, struct)).otherwise(F.expr("cast(array() as array<struct<kind:int,short:int,before:int,after:int>>)"))
 
 
-def _with_key(states: Column, line: Column, n: Column) -> Column:
-    """States with a hash of their lengths and of what stands before and after the places left."""
-    key = lambda s: F.xxhash64(s.kind, s.short, s.before, s.after, F.substring(line, F.lit(1), s.before), F.substring(line, n - s.after + 1, s.after))
-    return F.transform(states, lambda s: F.struct(s.kind.alias("kind"), s.short.alias("short"), s.before.alias("before"), s.after.alias("after"), key(s).alias("key")))
+def _key(s: Column, line: Column, n: Column) -> Column:
+    """A hash of a state's lengths and of what stands before and after the places left; null of none."""
+    return F.when(s.isNotNull(), F.xxhash64(s.kind, s.short, s.before, s.after, F.substring(line, F.lit(1), s.before), F.substring(line, n - s.after + 1, s.after)))
 
 
-def _halves(n: Column) -> Column:
-    """The first states of a line: a substitution, a character too few, one too many; places in two halves each."""
+def _halves(n: Column) -> list[Column]:
+    """The first states of a line of ``n``: a substitution, a character too few, one too many; places in two halves each, null where there is none."""
     zero, kinds = F.lit(0), ((0, n), (1, n), (1, n - 1))
-    return F.concat(*[_parted(F.lit(kind), short, zero, zero, 2) for kind, short in kinds])
+    return [F.get(_parted(F.lit(kind), short, zero, zero, 2), F.lit(half)) for kind, short in kinds for half in (0, 1)]
 
 
 def keyed_lines(lines: DataFrame, edits: int, min_chars: int, exact_chars: int) -> DataFrame:
@@ -103,7 +102,7 @@ def keyed_lines(lines: DataFrame, edits: int, min_chars: int, exact_chars: int)
     rows = lines.withColumn("n", F.length("line")).where(F.col("n") >= min(exact_chars, min_chars))
     near, line, n = F.col("n") >= min_chars, F.col("line"), F.col("n")
     if edits == 1:
-        found = [F.when(near, _with_key(_halves(n), line, n)).alias("states")]
+        found = [F.when(near, F.array(*[_key(s, line, n) for s in _halves(n)])).alias("keys")]
     else:
         low, own, high = (_band(n + d) for d in (-edits, 0, edits))
         # So many bands hold lengths that are 2 * edits apart.
@@ -134,28 +133,40 @@ def said_lines(docs: DataFrame, places: DataFrame) -> DataFrame:
     return rows.select("doc_id", "line_no", F.get("lines", F.col("line_no")).alias("line")).where("line is not null").dropDuplicates(["doc_id", "line_no"])
 
 
-def _meeting(states: DataFrame) -> DataFrame:
-    """States whose key several lines share: how many do, and the place of the earliest."""
-    shared = states.groupBy("key").agg(F.count(F.lit(1)).alias("lines"), F.min(F.struct("doc_id", "line_no")).alias("lead")).where("lines > 1")
+def _shared(states: DataFrame) -> DataFrame:
+    """States whose key several lines share."""
+    shared = states.groupBy("key").agg(F.count(F.lit(1)).alias("lines")).where("lines > 1")
     return states.join(shared.hint("merge"), "key")
 
 
+def _led(met: DataFrame) -> DataFrame:
+    """With the place of each key's earliest line."""
+    return met.join(met.groupBy("key").agg(F.min(F.struct("doc_id", "line_no")).alias("lead")).hint("merge"), "key")
+
+
+_STATE = ["kind", "short", "before", "after"]
+
+
 def one_edit_pairs(first: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Candidate pairs of lines that may be within one edit, a few for each line, and the lines that they name."""
-    met = materialize(_meeting(first.select("doc_id", "line_no", "n", F.inline("states"))), "line-keys")
+    # Most keys have one line: until those are gone, a row is its key, its place and which of the first states it is.
+    keys = first.select("doc_id", "line_no", "n", F.posexplode("keys").alias("which", "key")).where("key is not null")
+    state = F.get(F.array(*_halves(F.col("n"))), F.col("which"))
+    met = materialize(_shared(keys).withColumn("state", state).select("doc_id", "line_no", "n", "key", "lines", *[F.col("state")[c].alias(c) for c in _STATE]), "line-keys")
     said, pairs = materialize(said_lines(docs, met), "said-lines"), []
     one_place = F.col("short") - F.col("before") - F.col("after") + F.col("kind") <= 1
     while True:
         few = met.where((F.col("lines") <= MET) & ~one_place)
         pairs.append(_pairs(few, few, "key").select(*_PAIR))
-        led = met.where(one_place & ((F.col("doc_id") != F.col("lead.doc_id")) | (F.col("line_no") != F.col("lead.line_no"))))
+        led = _led(met.where(one_place)).where((F.col("doc_id") != F.col("lead.doc_id")) | (F.col("line_no") != F.col("lead.line_no")))
         pairs.append(led.select(F.col("lead.doc_id").alias("x_doc"), F.col("lead.line_no").alias("x_line"), F.col("doc_id").alias("y_doc"), F.col("line_no").alias("y_line")))
-        many = met.where((F.col("lines") > MET) & ~one_place).select("doc_id", "line_no", "n", "kind", "short", "before", "after")
+        many = met.where((F.col("lines") > MET) & ~one_place).select("doc_id", "line_no", "n", *_STATE)
         if many.isEmpty():
             break
         again = many.join(said.hint("merge"), ["doc_id", "line_no"])
-        parts = _with_key(_parted(*(F.col(c) for c in ("kind", "short", "before", "after")), PIECES), F.col("line"), F.col("n"))
-        met = materialize(_meeting(again.select("doc_id", "line_no", "n", F.inline(parts))), "line-keys")
+        parts = again.select("doc_id", "line_no", "n", "line", F.explode(_parted(*(F.col(c) for c in _STATE), PIECES)).alias("s"))
+        states = parts.select("doc_id", "line_no", "n", *[F.col("s")[c].alias(c) for c in _STATE], _key(F.col("s"), F.col("line"), F.col("n")).alias("key"))
+        met = materialize(_shared(states), "line-keys")
     out = pairs[0]
     for more in pairs[1:]:
         out = out.unionByName(more)
