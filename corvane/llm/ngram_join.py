@@ -38,12 +38,12 @@ from pyspark.sql import functions as F
 
 from corvane.llm import kernels as K
 from corvane.llm.own_ids import by_own_ids
-from corvane.llm.repeats import NO_ID, slot_of, slotted
+from corvane.llm.repeats import NO_ID, numbered, slot_of, slots_for
 from corvane.operators.components import connected_components
 from corvane.sources.shared import materialize
 
 #: Signatures that a task gathers before it groups them and sends them on.
-SHARE_SIGNATURES = 1_500_000
+SHARE_SIGNATURES = 800_000
 BLOCK_DOCS, BLOCK_GRAMS = 512, 1 << 20
 SIGNATURES, EDGES, NEEDS = range(3)
 #: Parts beyond those that size bounds ask for, as a share of these: so many more signatures must linked sets share.
@@ -230,43 +230,38 @@ def _different(table: pa.Table) -> pa.Table:
     return pa.table({"a": a[new], "b": b[new]})
 
 
-def candidate_groups(docs: DataFrame, k: int, percent: int) -> DataFrame:
+def candidate_groups(docs: DataFrame, k: int, percent: int, slots: int) -> DataFrame:
     """(node, component): documents that share as many signatures with others as a link needs, by the group that signatures connect."""
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     schema = "bucket int, kind int, payload binary"
-    rows = docs.mapInArrow(_signed(k, percent, 2 * partitions), schema)
-    stars = rows.groupBy("bucket").applyInArrow(_grouped(partitions), schema)
+    rows = docs.mapInArrow(_signed(k, percent, 2 * slots), schema)
+    stars = rows.groupBy("bucket").applyInArrow(_grouped(slots), schema)
     edges = materialize(stars.groupBy("bucket").applyInArrow(_different, "a long, b long"), "candidate-edges")
     able = edges.where("a = b").select(F.col("a").alias("node"))
     return connected_components(edges.where("a <> b")).join(able.hint("merge"), "node", "left_semi")
 
 
 def _sets(k: int):
-    def run(texts: pa.Table, groups: pa.Table) -> pa.Table:
-        ids = texts.column("doc_id").to_numpy()
-        node, group = groups.column("node").to_numpy(), groups.column("component").to_numpy()
-        order = np.argsort(node)
-        node, group = node[order], group[order]
-        at = np.minimum(np.searchsorted(node, ids), max(len(node) - 1, 0))
-        member = node[at] == ids if len(node) else np.zeros(len(ids), bool)
-        data, offsets = K.utf8(texts.column("text"))
-        counts, h1, h2, sets = [], [], [], []
-        for x, y in K.chunks(offsets, 1 << 20):
-            grams, n = shingles(data[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x], k)
-            ends = np.cumsum(n)
-            for sums, salt in ((h1, 1), (h2, 2)):
-                total = np.r_[K.U64(0), np.cumsum(K.mix(grams + K.U64(salt)), dtype=K.U64)]
-                sums.append(total[ends] - total[ends - n])
-            counts.append(n)
-            sets += [grams[e - c : e].tobytes() if m and c else None for e, c, m in zip(ends.tolist(), n.tolist(), member[x:y].tolist())]
-        n, one, two = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (counts, h1, h2))
-        # Of equal sets in this slot only the first document's is needed.
-        seen: dict[tuple, int] = {}
-        for i in np.argsort(ids, kind="stable").tolist():
-            if sets[i] is not None and seen.setdefault((int(one[i]), int(two[i])), i) != i:
-                sets[i] = None
-        candidate = pa.array(np.where(member, group[at], 0) if len(node) else np.zeros(len(ids), np.int64), mask=~(member & (n > 0)))
-        return pa.table({"doc_id": ids, "n": n, "h1": one.view(np.int64), "h2": two.view(np.int64), "candidate": candidate, "grams": pa.array(sets, pa.binary())})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Of equal sets in this task only the smallest document's is needed.
+        first: dict[tuple, int] = {}
+        for batch in batches:
+            data, offsets = K.utf8(batch.column("text"))
+            for x, y in K.chunks(offsets, 1 << 20):
+                rows = batch.slice(x, y - x)
+                ids, candidate = rows.column("doc_id").to_pylist(), rows.column("component").to_pylist()
+                grams, n = shingles(data[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x], k)
+                ends, sums = np.cumsum(n), []
+                for salt in (1, 2):
+                    total = np.r_[K.U64(0), np.cumsum(K.mix(grams + K.U64(salt)), dtype=K.U64)]
+                    sums.append((total[ends] - total[ends - n]).view(np.int64))
+                sets: list[bytes | None] = []
+                for doc, group, end, count, one, two in zip(ids, candidate, ends.tolist(), n.tolist(), *(h.tolist() for h in sums)):
+                    needed = group is not None and count and doc < first.get((one, two), doc + 1)
+                    if needed:
+                        first[one, two] = doc
+                    sets.append(grams[end - count : end].tobytes() if needed else None)
+                told = pa.array([g if c else None for g, c in zip(candidate, n.tolist())], pa.int64())
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(n), *(pa.array(h) for h in sums), told, pa.array(sets, pa.binary())], names=["doc_id", "n", "h1", "h2", "candidate", "grams"])
 
     return run
 
@@ -325,9 +320,8 @@ def _multiplied(percent: int):
     return run
 
 
-def _run_tasks(tasks: DataFrame, percent: int) -> DataFrame:
-    partitions = int(tasks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bucketed = tasks.select("task", "side", "doc_id", "grams").withColumn("bucket", F.pmod("task", F.lit(4 * partitions)))
+def _run_tasks(tasks: DataFrame, percent: int, slots: int) -> DataFrame:
+    bucketed = tasks.select("task", "side", "doc_id", "grams").withColumn("bucket", F.pmod("task", F.lit(4 * slots)))
     return bucketed.groupBy("bucket").applyInArrow(_multiplied(percent), "a long, b long")
 
 
@@ -338,17 +332,16 @@ def components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     words are one n-gram; equal texts, repeated rows included, are linked; null
     ids count as one id, larger than all others. Other columns are not read.
     """
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    texts = slotted(docs, partitions)
-    groups = materialize(candidate_groups(texts.select("doc_id", "text"), k, percent), "groups")
+    texts, slots = numbered(docs), slots_for(docs)
+    groups = materialize(candidate_groups(texts, k, percent, slots), "groups").withColumnRenamed("node", "doc_id")
     schema = "doc_id long, n long, h1 long, h2 long, candidate long, grams binary"
-    slotted_groups = groups.mapInArrow(_with_slot(partitions), "node long, component long, slot int")
-    sets = materialize(texts.groupBy("slot").cogroup(slotted_groups.groupBy("slot")).applyInArrow(_sets(k), schema), "sets")
+    # The groups grow with the corpus: they meet the texts by a shuffle at every size, and the texts pass batch by batch.
+    sets = materialize(texts.join(groups.hint("merge"), "doc_id", "left").mapInArrow(_sets(k), schema), "sets")
 
     # One document for each different set of a candidate group, with its size class.
     same = ["candidate", "h1", "h2"]
     classes = sets.where("candidate is not null").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"))
-    linked = _linked(materialize(classes, "classes"), sets.where("grams is not null").select("doc_id", "grams"), percent)
+    linked = _linked(materialize(classes, "classes"), sets.where("grams is not null").select("doc_id", "grams"), percent, slots)
     final = linked.select(F.col("node").alias("rep"), "component")
 
     found = classes.join(final, "rep", "left").select(*same, F.coalesce("component", "rep").alias("component"))
@@ -357,7 +350,7 @@ def components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     return rows.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(component, F.lit(NO_ID)).alias("component_id"))
 
 
-def _linked(classes: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
+def _linked(classes: DataFrame, grams: DataFrame, percent: int, slots: int) -> DataFrame:
     """(node, component) of the different sets of each candidate group that have links.
 
     Tasks are dealt out on rows of ids alone; a set is read only by the tasks
@@ -383,7 +376,7 @@ def _linked(classes: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
         chain = F.transform(ring, lambda i: F.xxhash64(F.lit("ring"), "candidate", "c", i))
         steps = F.when(F.col("block") == 0, F.transform(F.array(F.col("c"), F.col("c") - 1), lambda c: F.xxhash64(F.lit("step"), "candidate", c))).otherwise(F.expr("cast(array() as array<bigint>)"))
         tasks = tasks.unionByName(placed.select(F.explode(F.concat(chain, steps)).alias("task"), F.lit(0).alias("side"), "doc_id"))
-    edges = materialize(_run_tasks(tasks.join(grams.hint("merge"), "doc_id"), percent), "links")
+    edges = materialize(_run_tasks(tasks.join(grams.hint("merge"), "doc_id"), percent, slots), "links")
     component = connected_components(edges)
     if not some_large:
         return component
@@ -404,16 +397,7 @@ def _linked(classes: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
     sources = rest_blocks.select("candidate", "c", F.explode(F.sequence(F.lit(0), F.col("rest_blocks") - 1)).alias("rest_block"))
     mine = outside.withColumn("other", near("c")).join(targets, ["candidate", "other"]).select(name.alias("task"), F.lit(0).alias("side"), "doc_id")
     others = placed.select("candidate", F.col("c").alias("other"), "block", "doc_id").withColumn("c", near("other")).join(sources, ["candidate", "c"]).select(name.alias("task"), F.lit(1).alias("side"), "doc_id")
-    return connected_components(edges.unionByName(_run_tasks(mine.unionByName(others).join(grams.hint("merge"), "doc_id"), percent)))
-
-
-def _with_slot(slots: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            slot = slot_of(batch.column("node").to_numpy(), slots)
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("component"), pa.array(slot, pa.int32())], names=["node", "component", "slot"])
-
-    return run
+    return connected_components(edges.unionByName(_run_tasks(mine.unionByName(others).join(grams.hint("merge"), "doc_id"), percent, slots)))
 
 
 def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

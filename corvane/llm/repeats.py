@@ -35,8 +35,8 @@ from corvane.llm import kernels as K
 from corvane.llm.own_ids import NO_ID, by_own_ids
 from corvane.sources.shared import materialize
 
-#: Runs that a task gathers before it settles them and sends them on.
-SHARE_RUNS = 500_000
+#: Runs, or windows, that a task gathers before it settles them and sends them on; bytes of text likewise.
+SHARE_RUNS, SENT_BYTES = 500_000, 16 << 20
 
 RUN = K.Records(anchor=K.U64, span=K.U64, doc=np.int64, low=np.uint32, n=np.uint16, at=np.uint16, many=np.uint8)
 END = K.Records(anchor=K.U64, doc=np.int64, low=np.uint32, n=np.uint16, at=np.uint16)
@@ -153,16 +153,8 @@ class Repeats:
         return pa.Table.from_batches([_batch(rows)])
 
 
-def _rows_of(ids: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For records of documents: pairs (row, record) of every row with that document's id."""
-    order = np.argsort(ids, kind="stable")
-    first, last = np.searchsorted(ids[order], docs, "left"), np.searchsorted(ids[order], docs, "right")
-    record, place = K.spread(last - first)
-    return order[first[record] + place], record
-
-
 class Ends:
-    """Settles windows at the ends of repeats: (slot of text, its end records) to ranges."""
+    """Settles windows at the ends of repeats: texts, each with its end records, to ranges."""
 
     #: A window by two independent 64-bit hashes of its symbols.
     WINDOW = K.Records(h=K.U64, g=K.U64, doc=np.int64, low=np.uint32)
@@ -170,42 +162,39 @@ class Ends:
     def __init__(self, repeats: Repeats):
         self.repeats = repeats
 
-    def runs(self, texts: pa.Table, ends: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]]:
-        """Chunk by chunk: symbols, where each end run's windows begin in them, and the runs (with ``doc`` of their text)."""
+    def runs(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]]:
+        """Chunk by chunk: symbols, where each end run's windows begin in them, and the runs."""
         r = self.repeats
-        records = END.unpack_all(ends.column("payload").to_pylist())
-        if not len(records["doc"]) or not texts.num_rows:
-            return
-        ids = texts.column("doc_id").to_numpy()
-        wanted = np.isin(ids, records["doc"])
-        texts, ids = texts.filter(pa.array(wanted)), ids[wanted]
-        row, record = _rows_of(ids, records["doc"])
-        order = np.argsort(row, kind="stable")
-        row, record = row[order], record[order]
-        data, offsets = K.utf8(texts.column("text"))
-        for a, b in K.chunks(offsets, r.chunk_bytes):
-            x, y = np.searchsorted(row, [a, b])
-            if x == y:
-                continue
-            symbols, bounds = r.symbols(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            own = {name: values[record[x:y]] for name, values in records.items()}
-            begin = bounds[row[x:y] - a] + own["low"]
-            fits = begin + own["n"] + (r.size - 1) <= bounds[row[x:y] - a + 1]  # always, unless two texts share an id
-            yield symbols, begin[fits], {name: values[fits] for name, values in own.items()}
-
-    def cut(self, texts: pa.Table, ends: pa.Table) -> pa.Table:
-        """The windows of all end runs in one slot of documents."""
+        for batch in batches:
+            payloads = batch.column("payload").to_pylist()
+            data, offsets = K.utf8(batch.column("text"))
+            for a, b in K.chunks(offsets, r.chunk_bytes):
+                own = END.unpack_all(payloads[a:b])
+                row = np.repeat(np.arange(b - a), [len(p) // END.width for p in payloads[a:b]])
+                symbols, bounds = r.symbols(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                begin = bounds[row] + own["low"]
+                fits = begin + own["n"] + (r.size - 1) <= bounds[row + 1]  # always, unless two texts share an id
+                yield symbols, begin[fits], {name: values[fits] for name, values in own.items()}
+
+    def cut(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The windows of all end runs, by bucket of their content."""
         r, parts = self.repeats, []
-        for symbols, begin, own in self.runs(texts, ends):
+
+        def sent() -> pa.RecordBatch:
+            windows = {name: np.concatenate([p[name] for p in parts]) for name in parts[0]}
+            parts.clear()
+            return _batch([(bucket, TEXT_ENDS, raw) for bucket, raw in self.WINDOW.split(windows, windows["bucket"])])
+
+        for symbols, begin, own in self.runs(batches):
             h = K.gram_hashes(symbols, r.size)
             g = K.gram_hashes(K.mix(symbols ^ OTHER), r.size)
             of, place = K.spread(own["n"].astype(np.int64))
             at = begin[of] + place
             parts.append({"bucket": r.bucket(symbols, at, h[at]), "h": h[at], "g": g[at], "doc": own["doc"][of], "low": (own["low"][of] + place).astype(np.uint32)})
-        if not parts:
-            return pa.Table.from_batches([_batch([])])
-        windows = {name: np.concatenate([p[name] for p in parts]) for name in parts[0]}
-        return pa.Table.from_batches([_batch([(slot, TEXT_ENDS, raw) for slot, raw in self.WINDOW.split(windows, windows["bucket"])])])
+            if sum(len(p["h"]) for p in parts) >= SHARE_RUNS:
+                yield sent()
+        if parts:
+            yield sent()
 
     def settle(self, table: pa.Table) -> pa.Table:
         return self.settled(self.WINDOW.unpack_all(table.column("payload").to_pylist()))
@@ -239,16 +228,21 @@ class Ends:
 class ByteEnds(Ends):
     """End runs travel as the bytes that their windows cover, which is less than a hash for each window."""
 
-    def cut(self, texts: pa.Table, ends: pa.Table) -> pa.Table:
-        rows, r = [], self.repeats
-        for symbols, begin, own in self.runs(texts, ends):
+    def cut(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r, rows, size = self.repeats, [], 0
+        for symbols, begin, own in self.runs(batches):
             order = np.argsort(bucket := r.bucket(symbols, begin + own["at"], own["anchor"]), kind="stable")
             begin, own, bucket = begin[order], {name: values[order] for name, values in own.items()}, bucket[order]
             for key, a, b in zip(*_groups(bucket)):
                 of, place = K.spread(own["n"][a:b].astype(np.int64) + r.size - 1)
                 said = K.byte_of(symbols[begin[a:b][of] + place]).tobytes()
                 rows.append((key, TEXT_ENDS, (b - a).to_bytes(4, "little") + END.pack(own, slice(a, b)) + said))
-        return pa.Table.from_batches([_batch(rows)])
+                size += len(rows[-1][-1])
+            if size >= SENT_BYTES:
+                yield _batch(rows)
+                rows, size = [], 0
+        if rows:
+            yield _batch(rows)
 
     def settle(self, table: pa.Table) -> pa.Table:
         r, parts = self.repeats, []
@@ -271,46 +265,61 @@ def _groups(keys: np.ndarray) -> tuple[list[int], list[int], list[int]]:
     return found.tolist(), first.tolist(), [*first[1:].tolist(), len(keys)]
 
 
+def _by_document(records: K.Records):
+    """All records of one slot as (doc_id, payload): one row for each document."""
+
+    def run(table: pa.Table) -> pa.Table:
+        own = records.unpack_all(table.column("payload").to_pylist())
+        docs, at = np.unique(own["doc"], return_inverse=True)
+        payloads = [raw for _, raw in records.split(own, at)] if len(docs) else []
+        return pa.Table.from_arrays([pa.array(docs, pa.int64()), pa.array(payloads, pa.binary())], names=["doc_id", "payload"])
+
+    return run
+
+
+def of_documents(rows: DataFrame, records: K.Records) -> DataFrame:
+    """(doc_id, payload) of the records in (slot, payload) rows; slots are those of ``slot_of``."""
+    return rows.select("slot", "payload").groupBy("slot").applyInArrow(_by_document(records), "doc_id long, payload binary")
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """doc_id (nulls as the largest id) and text."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
+
+
 def found(docs: DataFrame, repeats: Repeats) -> DataFrame:
     """Rows (slot, kind, payload) with the ranges of all repeats, by slot of documents."""
-    texts = slotted(docs, repeats.slots)
-    verdicts = materialize(texts.select("doc_id", "text").mapInArrow(repeats.seeds, _ROWS).groupBy("slot").applyInArrow(lambda table: repeats.extend(table), _ROWS), "repeats")
+    texts = numbered(docs)
+    verdicts = materialize(texts.mapInArrow(repeats.seeds, _ROWS).groupBy("slot").applyInArrow(lambda table: repeats.extend(table), _ROWS), "repeats")
     ends = Ends(repeats) if repeats.splitters is None else ByteEnds(repeats)
-    windows = texts.groupBy("slot").cogroup(verdicts.where(F.col("kind") == ENDS).groupBy("slot")).applyInArrow(lambda left, right: ends.cut(left, right), _ROWS)
+    own = of_documents(verdicts.where(F.col("kind") == ENDS), END)
+    windows = texts.join(own.hint("merge"), "doc_id").mapInArrow(lambda batches: ends.cut(batches), _ROWS)
     more = windows.groupBy("slot").applyInArrow(lambda table: ends.settle(table), _ROWS)
     return verdicts.where(F.col("kind") == RANGES).unionByName(more)
 
 
-def slotted(docs: DataFrame, slots: int) -> DataFrame:
-    """doc_id (nulls as the largest id), text and the slot of the id."""
-
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            slot = slot_of(batch.column("doc_id").to_numpy(), slots)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(slot, pa.int32())], names=["doc_id", "text", "slot"])
-
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text").mapInArrow(number, "doc_id long, text string, slot int")
-
-
 def cleaned(docs: DataFrame, repeats: Repeats, kept: Callable[[bytes, np.ndarray | None], tuple], schema: str, names: list[str]) -> DataFrame:
-    """One row per document: doc_id and what ``kept`` makes of the text and the mask of its covered symbols (None: none)."""
+    """One row per document: doc_id and what ``kept`` makes of the text and its covered ranges (None: none).
+
+    Texts meet their ranges in a join that sorts and may spill, and then pass
+    batch by batch, so no task holds a whole slot of texts.
+    """
     types = [f.dataType for f in pa_fields(schema)]
     arrow = [pa.int64() if t.simpleString() == "bigint" else pa.string() for t in types]
 
-    def finish(texts: pa.Table, ranges: pa.Table) -> pa.Table:
-        found = RANGE.unpack_all(ranges.column("payload").to_pylist())
-        ids = texts.column("doc_id").to_numpy()
-        order = np.argsort(found["doc"], kind="stable")
-        begin, end, doc = found["begin"][order].astype(np.int64), found["end"][order].astype(np.int64), found["doc"][order]
-        first, last = np.searchsorted(doc, ids, "left"), np.searchsorted(doc, ids, "right")
-        out = []
-        for i, text in enumerate(texts.column("text").to_pylist()):
-            spans = (begin[first[i] : last[i]], end[first[i] : last[i]]) if last[i] > first[i] else None
-            out.append(kept((text or "").encode(), spans))
-        columns = list(zip(*out)) if out else [()] * len(arrow)
-        return pa.Table.from_arrays([pa.array(ids), *(pa.array(c, t) for c, t in zip(columns, arrow))], names=["doc_id", *names])
-
-    rows = slotted(docs, repeats.slots).groupBy("slot").cogroup(found(docs, repeats).select("slot", "payload").groupBy("slot")).applyInArrow(finish, f"doc_id long, {schema}")
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text, payload in zip(batch.column("text"), batch.column("payload")):
+                spans = None
+                if payload.is_valid:
+                    own = RANGE.unpack(payload.as_py())
+                    spans = own["begin"].astype(np.int64), own["end"].astype(np.int64)
+                out.append(kept((text.as_py() or "").encode(), spans))
+            columns = list(zip(*out)) if out else [()] * len(arrow)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, arrow))], names=["doc_id", *names])
+
+    rows = numbered(docs).join(of_documents(found(docs, repeats), RANGE).hint("merge"), "doc_id", "left").mapInArrow(finish, f"doc_id long, {schema}")
     return rows.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
 
@@ -320,9 +329,15 @@ def pa_fields(schema: str) -> list:
     return T.StructType.fromDDL(schema).fields
 
 
+#: Bytes of text whose records one task of a grouped step holds at once.
+SLOT_BYTES = 64 << 20
+
+
 def slots_for(docs: DataFrame) -> int:
-    """A slot of documents for each shuffle partition of the session; anchors have twice as many buckets."""
-    return int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Slots of documents: one for every ``SLOT_BYTES`` of text, or for each shuffle partition if these are more; anchors have twice as many buckets."""
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("n")).first()["n"]
+    return max(partitions, -(-total // SLOT_BYTES))
 
 
 def word_symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
