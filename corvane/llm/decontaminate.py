@@ -2,8 +2,8 @@
 
 The windows of the benchmark are hashed once on the driver, which holds one
 block of items at a time; a block never has more than ``block_bytes`` of text,
-so what is broadcast is bounded whatever the benchmark's size, and every block
-scans every document. Training texts are scanned in Arrow tasks without a
+so what is broadcast is bounded whatever the benchmark's size. Every block
+scans every document, and its result is written before the next one is made. Training texts are scanned in Arrow tasks without a
 shuffle; each hash hit is verified word by word.
 
 Defined results: a null or empty text has no words, no hits and is never
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corvane.llm import kernels as K
+from corvane.sources.shared import materialize
 
 WINDOW_WORDS = 13
 BLOCK_BYTES = 16 << 20
@@ -127,6 +128,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WO
         items = [(r["item"], r["text"]) for r in sized.where(block == i).collect()]
         shared = spark.sparkContext.broadcast(benchmark_windows(items, window))
         out = out.mapInArrow(_scan(shared), schema)
+        if i + 1 < n_blocks:  # written, so that only one block's windows are in memory at a time
+            out = materialize(out, "benchmark-block")
+            shared.unpersist()
     return out
 
 
