@@ -67,14 +67,28 @@ class Ranks:
         return np.where(self.pairs[at] == key, self.merged[at], -1)
 
     def alone(self, piece: bytes) -> list[int]:
-        """The ordinary rule on one piece: merge the lowest rank, leftmost first."""
-        parts = [piece[i : i + 1] for i in range(len(piece))]
-        while len(parts) > 1:
-            best = min(((self.ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in self.ranks), default=None)
-            if best is None:
-                break
-            parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
-        return [self.ranks[p] for p in parts]
+        """The ordinary rule on one piece: merge the lowest rank, leftmost first; a heap holds what can merge."""
+        parts: list[bytes | None] = [piece[i : i + 1] for i in range(len(piece))]
+        after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
+        heap: list[tuple[int, int, bytes]] = []
+
+        def offer(i: int) -> None:
+            if i >= 0 and after[i] < len(parts) and (both := parts[i] + parts[after[i]]) in self.ranks:
+                heapq.heappush(heap, (self.ranks[both], i, both))
+
+        for i in range(len(parts)):
+            offer(i)
+        while heap:
+            _, i, both = heapq.heappop(heap)
+            if parts[i] is None or after[i] >= len(parts) or parts[i] + parts[after[i]] != both:
+                continue  # one of the two has merged meanwhile
+            gone = after[i]
+            parts[i], parts[gone], after[i] = both, None, after[gone]
+            if after[i] < len(parts):
+                before[after[i]] = i
+            offer(i)
+            offer(before[i])
+        return [self.ranks[p] for p in parts if p is not None]
 
     def replay(self, pieces: list[bytes]) -> list[np.ndarray]:
         """Ids of each distinct piece."""

@@ -194,12 +194,16 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("long").cast("string")) % 4 == 2
 
 
-def fit(measured: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Trees:
-    """Trees from labels.quality of about ``sample_rows`` labelled documents outside the held-out fold, or all if there are fewer."""
+def sampled(labels: DataFrame, sample_rows: int) -> DataFrame:
+    """doc_id and quality of about ``sample_rows`` labelled documents outside the held-out fold, or all if there are fewer."""
     label = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality")).where(~held_out(F.col("doc_id")))
     share = min(1.0, sample_rows / max(1, label.count()))
-    few = label.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    sample = measured.join(few, "doc_id").select("quality", *FEATURES).toPandas().sort_values(["quality", *FEATURES])
+    return label.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+
+
+def fit(measured: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Trees:
+    """Trees from labels.quality of the measured documents among the sampled ones."""
+    sample = measured.join(sampled(labels, sample_rows), "doc_id").select("quality", *FEATURES).toPandas().sort_values(["quality", *FEATURES])
     return grow(sample[list(FEATURES)].to_numpy(np.float64), sample["quality"].to_numpy(np.float64), list(FEATURES.values()))
 
 
@@ -230,8 +234,10 @@ def digest(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The documents, with all their columns, that pass the base rule and the trees."""
-    measured = materialize(measure(docs), "statistics")
-    shared = docs.sparkSession.sparkContext.broadcast(fit(measured, labels, sample_rows))
+    # Only the sample is measured apart; all others are measured where they are judged. Its ids are as bounded as it is.
+    few = F.broadcast(sampled(labels, sample_rows).select("doc_id"))
+    sample = docs.withColumn("doc_id", F.col("doc_id").cast("long")).join(few, "doc_id", "left_semi")
+    shared = docs.sparkSession.sparkContext.broadcast(fit(measure(sample), labels, sample_rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = shared.value
