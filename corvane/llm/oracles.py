@@ -58,7 +58,7 @@ FROM dw LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id)"""
 SHARDING = f"""
 WITH h AS MATERIALIZED (SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS n_bytes, lpad(bin(('0x' || substr(md5(doc_id::VARCHAR), 1, {HASH_BITS // 4}))::BIGINT), {HASH_BITS}, '0') AS bits FROM documents),
 s AS (SELECT doc_id, depth, sum(n_bytes) OVER (PARTITION BY depth, left(bits, depth)) AS size FROM h, (SELECT unnest(generate_series(0, {HASH_BITS})) AS depth)),
-d AS (SELECT doc_id, min(depth) AS depth, arg_min(size, depth) AS size FROM s WHERE size <= {SHARD_BYTES} GROUP BY doc_id)
+d AS (SELECT doc_id, min(depth) AS depth, arg_min(size, depth) AS size FROM s WHERE size <= {SHARD_BYTES} OR depth = {HASH_BITS} GROUP BY doc_id)
 SELECT doc_id, n_bytes, left(bits, d.depth) AS shard, d.depth::INTEGER AS depth, size::BIGINT AS shard_bytes FROM h JOIN d USING (doc_id)"""
 
 ORACLE = {

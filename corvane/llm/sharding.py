@@ -6,8 +6,9 @@ is the shallowest bucket that fits, whatever the sizes below it.
 
 Bucket sizes come from sums over cells: first cells of about an even split,
 summed at every depth above them; then, only inside cells that are still too
-large, cells of ``SPARE_BITS`` more bits. The directory is a table and is
-joined, never collected.
+large, cells of ``ROUND_BITS`` more bits, round by round until every bucket
+fits or the hash has no more bits. The directory is a table and is joined,
+never collected.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from corvane.sources.shared import materialize
 
 SHARD_BYTES = 1 << 20
 HASH_BITS = 60
-#: Bits that an oversized cell may split on, and no further.
-SPARE_BITS = 16
+#: Bits that oversized cells split on in one round.
+ROUND_BITS = 16
 
 
 def hashed(docs: DataFrame) -> DataFrame:
@@ -37,10 +38,10 @@ def _cell(bits: int):
 
 
 def _shards(cells: DataFrame, low: int, high: int, limit: int) -> DataFrame:
-    """For cells of ``high`` bits: the shallowest bucket from ``low`` bits on that fits; at ``high`` bits any does if it must."""
+    """For cells of ``high`` bits: the shallowest bucket from ``low`` bits on that fits; one of all the hash's bits always does."""
     up = F.lit(high) - F.col("depth")
     levels = cells.select("cell", "size", F.explode(F.sequence(F.lit(low), F.lit(high))).alias("depth")).withColumn("prefix", F.call_function("shiftright", F.col("cell"), up))
-    fits = levels.groupBy("depth", "prefix").agg(F.sum("size").alias("shard_bytes")).where((F.col("shard_bytes") <= limit))
+    fits = levels.groupBy("depth", "prefix").agg(F.sum("size").alias("shard_bytes")).where((F.col("shard_bytes") <= limit) | (F.col("depth") == HASH_BITS))
     return levels.join(fits, ["depth", "prefix"]).groupBy("cell").agg(F.min_by(F.struct("depth", "prefix", "shard_bytes"), "depth").alias("shard")).select("cell", "shard.*")
 
 
@@ -48,26 +49,28 @@ def assign(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """doc_id, n_bytes, shard (its hash bits as text), depth, shard_bytes (all that the shard holds).
 
     One document, or several of one hash, over the limit cannot be parted and
-    end in a bucket of the deepest bits. Null texts count no bytes; rows with
-    one id share a shard; rows with null ids are placed by their text; an empty
-    table gives no rows. Other columns are not read.
+    end in a bucket of all ``HASH_BITS`` bits. Null texts count no bytes; rows
+    with one id share a shard; rows with null ids are placed by their text; an
+    empty table gives no rows. Other columns are not read.
     """
     rows = materialize(hashed(docs), "hashed")
     total = rows.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("n")).first()["n"]
-    even = min(HASH_BITS - SPARE_BITS, max(0, math.ceil(math.log2(max(1, total / shard_bytes)))) + 1)
-    deep = even + SPARE_BITS
-    cells = materialize(rows.groupBy(_cell(even).alias("cell")).agg(F.sum("n_bytes").alias("size")), "cells")
-    shallow = _shards(cells, 0, even, shard_bytes)
-    large = cells.where(F.col("size") > shard_bytes).select("cell")
-    inside = rows.withColumn("cell", _cell(even)).join(large, "cell", "left_semi").groupBy(_cell(deep).alias("cell")).agg(F.sum("n_bytes").alias("size"))
-    below = _shards(inside, even + 1, deep, shard_bytes)
-    # What does not fit at the deepest bits is a bucket all the same.
-    whole = inside.where(F.col("size") > shard_bytes).select("cell", F.lit(deep).alias("depth"), F.col("cell").alias("prefix"), F.col("size").alias("shard_bytes"))
-    split = below.unionByName(whole).select(F.col("cell").alias("deep_cell"), *(F.col(c).alias(f"d_{c}") for c in ("depth", "prefix", "shard_bytes")))
-    out = rows.withColumn("cell", _cell(even)).withColumn("deep_cell", _cell(deep)).join(shallow, "cell", "left").join(split, "deep_cell", "left")
-    depth, prefix, size = (F.coalesce(c, f"d_{c}") for c in ("depth", "prefix", "shard_bytes"))
-    bits = F.when(depth == 0, F.lit("")).otherwise(F.call_function("lpad", F.bin(prefix), depth, F.lit("0")))
-    return out.select("doc_id", "n_bytes", bits.alias("shard"), depth.cast("int").alias("depth"), size.alias("shard_bytes"))
+    low, high, parts = 0, min(HASH_BITS, max(0, math.ceil(math.log2(max(1, total / shard_bytes)))) + 1), []
+    while True:
+        rows = rows.withColumn("cell", _cell(high))
+        cells = materialize(rows.groupBy("cell").agg(F.sum("n_bytes").alias("size")), "cells")
+        placed = materialize(_shards(cells, low, high, shard_bytes), "directory")
+        parts.append(rows.join(placed, "cell"))
+        left = cells.join(placed, "cell", "left_anti").select("cell")
+        if high == HASH_BITS or left.isEmpty():
+            break
+        rows = materialize(rows.join(left, "cell", "left_semi").drop("cell"), "oversized")
+        low, high = high + 1, min(HASH_BITS, high + ROUND_BITS)
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    bits = F.when(F.col("depth") == 0, F.lit("")).otherwise(F.call_function("lpad", F.bin("prefix"), F.col("depth"), F.lit("0")))
+    return out.select("doc_id", "n_bytes", bits.alias("shard"), F.col("depth").cast("int").alias("depth"), "shard_bytes")
 
 
 def write_shards(docs: DataFrame, path: str, shard_bytes: int = SHARD_BYTES) -> None:
