@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import bpe, decontaminate, line_dedup, ngram_join, oracles, quality_classifier, quality_rules, repeats, sharding, token_files
+from corvane.llm import bpe, decontaminate, line_dedup, ngram_join, oracles, quality_classifier, quality_rules, repeats, sharding, suffixes, token_files
 from corvane.sources.tables import table
 
 
@@ -27,7 +27,7 @@ def op4_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op5_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return repeats.remove_repeated_bytes(table(spark, folder, "documents"))
+    return suffixes.remove_repeated_bytes(table(spark, folder, "documents"))
 
 
 def op6_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:

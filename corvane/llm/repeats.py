@@ -35,11 +35,11 @@ from corvane.llm import kernels as K
 from corvane.llm.own_ids import NO_ID, by_own_ids
 from corvane.sources.shared import materialize
 
-#: Runs, or windows, that a task gathers before it settles them and sends them on; bytes of text likewise.
-SHARE_RUNS, SENT_BYTES = 500_000, 16 << 20
+#: Runs, or windows, that a task gathers before it settles them and sends them on.
+SHARE_RUNS = 500_000
 
 RUN = K.Records(anchor=K.U64, span=K.U64, doc=np.int64, low=np.uint32, n=np.uint16, at=np.uint16, many=np.uint8)
-END = K.Records(anchor=K.U64, doc=np.int64, low=np.uint32, n=np.uint16, at=np.uint16)
+END = K.Records(doc=np.int64, low=np.uint32, n=np.uint16, at=np.uint16)
 RANGE = K.Records(doc=np.int64, begin=np.uint32, end=np.uint32)
 _ROWS = "slot int, kind int, payload binary"
 SEEDS, RANGES, ENDS, TEXT_ENDS = range(4)
@@ -47,18 +47,6 @@ SEEDS, RANGES, ENDS, TEXT_ENDS = range(4)
 
 #: Makes a second, independent hash of the same symbols.
 OTHER = K.U64(0x9E3779B97F4A7C15)
-#: Bytes of a suffix by which its range is chosen; the rest of the sort key is a hash of its next symbols.
-LEADING = 5
-
-
-def leading(symbols: np.ndarray, at: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Sort key of suffixes: their first bytes, then, to part suffixes with a common beginning, hash bits."""
-    key = np.zeros(len(at), K.U64)
-    for i in range(LEADING):
-        key = (key << K.U64(8)) | K.byte_of(symbols[at + i]).astype(K.U64)
-    return (key << K.U64(64 - 8 * LEADING)) | (hashes >> K.U64(8 * LEADING))
-
-
 def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     slots, kinds, payloads = zip(*rows) if rows else ((), (), ())
     return pa.RecordBatch.from_arrays([pa.array(slots, pa.int32()), pa.array(kinds, pa.int32()), pa.array(payloads, pa.binary())], names=["slot", "kind", "payload"])
@@ -75,16 +63,20 @@ class Repeats:
     it too. Otherwise any second occurrence makes both repeats.
     """
 
-    def __init__(self, size: int, k: int, earlier: bool, symbols: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], slots: int, splitters: np.ndarray | None = None, chunk_bytes: int = 1 << 20):
-        self.size, self.k, self.earlier, self.symbols, self.slots, self.splitters = size, k, earlier, symbols, slots, splitters
-        self.chunk_bytes = chunk_bytes
-        self.buckets = 2 * slots if splitters is None else len(splitters) + 1
+    #: What a run is sent as.
+    run = RUN
+
+    def __init__(self, size: int, k: int, earlier: bool, symbols: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], slots: int, chunk_bytes: int = 1 << 20):
+        self.size, self.k, self.earlier, self.symbols, self.slots, self.chunk_bytes = size, k, earlier, symbols, slots, chunk_bytes
+        self.buckets = 2 * slots
 
-    def bucket(self, symbols: np.ndarray, at: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-        """The bucket of equal content: by hash, or by range of the suffix's leading symbols if there are splitters."""
-        if self.splitters is None:
-            return (hashes % K.U64(self.buckets)).astype(np.int64)
-        return np.searchsorted(self.splitters, leading(symbols, at, hashes), "right")
+    def sought(self, symbols: np.ndarray, at: np.ndarray, hashes: np.ndarray) -> dict[str, np.ndarray]:
+        """The bucket where equal content meets, by its hash; further columns by which it is compared there."""
+        return {"bucket": (hashes % K.U64(self.buckets)).astype(np.int32)}
+
+    def told(self, runs: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        """The runs of one bucket with ``anchor``, equal for equal anchors."""
+        return runs
 
     # Both stages of settling work on records sorted by (identity, document, place).
 
@@ -119,7 +111,7 @@ class Repeats:
             runs, repeat, speaks = self._settle(runs)
             rows = self._ranges(runs["doc"][repeat], runs["low"][repeat], runs["n"][repeat])
             kept = {name: values[speaks] for name, values in runs.items()}
-            rows += [(slot, SEEDS, raw) for slot, raw in RUN.split(kept, kept["bucket"])]
+            rows += [(slot, SEEDS, raw) for slot, raw in self.run.split(kept, kept["bucket"])]
             return _batch(rows)
 
         for batch in batches:
@@ -128,7 +120,8 @@ class Repeats:
             for a, b in K.chunks(offsets, self.chunk_bytes):
                 symbols, bounds = self.symbols(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 w = K.winnow(symbols, bounds, self.size, self.k)
-                gathered.append({"bucket": self.bucket(symbols, bounds[:-1][w["doc"]] + w["at"], w["anchor"]).astype(np.int32), "anchor": w["anchor"], "span": w["span"], "doc": ids[a:b][w["doc"]], "low": w["low"].astype(np.uint32), "n": (w["high"] - w["low"] + 1).astype(np.uint16), "at": (w["at"] - w["low"]).astype(np.uint16), "many": np.zeros(len(w["low"]), np.uint8)})
+                own = {"anchor": w["anchor"], "span": w["span"], "doc": ids[a:b][w["doc"]], "low": w["low"].astype(np.uint32), "n": (w["high"] - w["low"] + 1).astype(np.uint16), "at": (w["at"] - w["low"]).astype(np.uint16), "many": np.zeros(len(w["low"]), np.uint8)}
+                gathered.append(own | self.sought(symbols, bounds[:-1][w["doc"]] + w["at"], w["anchor"]))
                 if sum(len(g["low"]) for g in gathered) >= SHARE_RUNS:
                     yield sent()
         if gathered:
@@ -138,7 +131,7 @@ class Repeats:
         """Verdicts on the runs of one bucket of anchors; ranges settled earlier pass through."""
         kinds, payloads = table.column("kind").to_numpy(), table.column("payload").to_pylist()
         rows = [(s, RANGES, p) for s, k, p in zip(table.column("slot").to_pylist(), kinds.tolist(), payloads) if k == RANGES]
-        runs, repeat, speaks = self._settle(RUN.unpack_all([p for k, p in zip(kinds.tolist(), payloads) if k == SEEDS]))
+        runs, repeat, speaks = self._settle(self.told(self.run.unpack_all([p for k, p in zip(kinds.tolist(), payloads) if k == SEEDS])))
         rows += self._ranges(runs["doc"][repeat], runs["low"][repeat], runs["n"][repeat])
         if len(speaks):
             new = np.ones(len(speaks), bool)
@@ -190,7 +183,7 @@ class Ends:
             g = K.gram_hashes(K.mix(symbols ^ OTHER), r.size)
             of, place = K.spread(own["n"].astype(np.int64))
             at = begin[of] + place
-            parts.append({"bucket": r.bucket(symbols, at, h[at]), "h": h[at], "g": g[at], "doc": own["doc"][of], "low": (own["low"][of] + place).astype(np.uint32)})
+            parts.append({"bucket": (h[at] % K.U64(r.buckets)).astype(np.int32), "h": h[at], "g": g[at], "doc": own["doc"][of], "low": (own["low"][of] + place).astype(np.uint32)})
             if sum(len(p["h"]) for p in parts) >= SHARE_RUNS:
                 yield sent()
         if parts:
@@ -213,56 +206,19 @@ class Ends:
             repeat = w["doc"] > w["doc"][first][group]
         else:
             repeat = (np.diff(np.append(first, len(order))) > 1)[group]
-        order = np.lexsort((w["low"][repeat], w["doc"][repeat]))
-        doc, low = w["doc"][repeat][order], w["low"][repeat][order].astype(np.int64)
+        return self.ranges(w["doc"][repeat], w["low"][repeat])
+
+    def ranges(self, doc: np.ndarray, low: np.ndarray) -> pa.Table:
+        """The ranges that repeated windows cover; neighbouring windows of one document make one."""
+        order = np.lexsort((low, doc))
+        doc, low = doc[order], low[order].astype(np.int64)
         if not len(doc):
             return pa.Table.from_batches([_batch([])])
-        # Neighbouring windows of one document make one range.
         new = np.ones(len(doc), bool)
         new[1:] = (doc[1:] != doc[:-1]) | (low[1:] > low[:-1] + 1)
         first = np.flatnonzero(new)
         final = np.append(first[1:], len(doc)) - 1
-        return pa.Table.from_batches([_batch(r._ranges(doc[first], low[first], low[final] - low[first] + 1))])
-
-
-class ByteEnds(Ends):
-    """End runs travel as the bytes that their windows cover, which is less than a hash for each window."""
-
-    def cut(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r, rows, size = self.repeats, [], 0
-        for symbols, begin, own in self.runs(batches):
-            order = np.argsort(bucket := r.bucket(symbols, begin + own["at"], own["anchor"]), kind="stable")
-            begin, own, bucket = begin[order], {name: values[order] for name, values in own.items()}, bucket[order]
-            for key, a, b in zip(*_groups(bucket)):
-                of, place = K.spread(own["n"][a:b].astype(np.int64) + r.size - 1)
-                said = K.byte_of(symbols[begin[a:b][of] + place]).tobytes()
-                rows.append((key, TEXT_ENDS, (b - a).to_bytes(4, "little") + END.pack(own, slice(a, b)) + said))
-                size += len(rows[-1][-1])
-            if size >= SENT_BYTES:
-                yield _batch(rows)
-                rows, size = [], 0
-        if rows:
-            yield _batch(rows)
-
-    def settle(self, table: pa.Table) -> pa.Table:
-        r, parts = self.repeats, []
-        for raw in table.column("payload").to_pylist():
-            head = 4 + int.from_bytes(raw[:4], "little") * END.width
-            own = END.unpack(raw[4:head])
-            symbols = K.BYTE_VALUE[np.frombuffer(raw, np.uint8, offset=head)]
-            n = own["n"].astype(np.int64)
-            base = np.cumsum(n + r.size - 1) - (n + r.size - 1)
-            of, place = K.spread(n)
-            at = base[of] + place
-            h, g = K.gram_hashes(symbols, r.size), K.gram_hashes(K.mix(symbols ^ OTHER), r.size)
-            parts.append({"h": h[at], "g": g[at], "doc": own["doc"][of], "low": (own["low"][of] + place).astype(np.uint32)})
-        return self.settled({name: np.concatenate([p[name] for p in parts]) for name in parts[0]} if parts else self.WINDOW.unpack_all([]))
-
-
-def _groups(keys: np.ndarray) -> tuple[list[int], list[int], list[int]]:
-    """For sorted keys: each key, its first place and the place after its last."""
-    found, first = np.unique(keys, return_index=True)
-    return found.tolist(), first.tolist(), [*first[1:].tolist(), len(keys)]
+        return pa.Table.from_batches([_batch(self.repeats._ranges(doc[first], low[first], low[final] - low[first] + 1))])
 
 
 def _by_document(records: K.Records):
@@ -287,18 +243,17 @@ def numbered(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
 
 
-def found(docs: DataFrame, repeats: Repeats) -> DataFrame:
+def found(docs: DataFrame, repeats: Repeats, ends: Ends) -> DataFrame:
     """Rows (slot, kind, payload) with the ranges of all repeats, by slot of documents."""
     texts = numbered(docs)
     verdicts = materialize(texts.mapInArrow(repeats.seeds, _ROWS).groupBy("slot").applyInArrow(lambda table: repeats.extend(table), _ROWS), "repeats")
-    ends = Ends(repeats) if repeats.splitters is None else ByteEnds(repeats)
     own = of_documents(verdicts.where(F.col("kind") == ENDS), END)
     windows = texts.join(own.hint("merge"), "doc_id").mapInArrow(lambda batches: ends.cut(batches), _ROWS)
     more = windows.groupBy("slot").applyInArrow(lambda table: ends.settle(table), _ROWS)
     return verdicts.where(F.col("kind") == RANGES).unionByName(more)
 
 
-def cleaned(docs: DataFrame, repeats: Repeats, kept: Callable[[bytes, np.ndarray | None], tuple], schema: str, names: list[str]) -> DataFrame:
+def cleaned(docs: DataFrame, repeats: Repeats, ends: Ends, kept: Callable[[bytes, np.ndarray | None], tuple], schema: str, names: list[str]) -> DataFrame:
     """One row per document: doc_id and what ``kept`` makes of the text and its covered ranges (None: none).
 
     Texts meet their ranges in a join that sorts and may spill, and then pass
@@ -319,7 +274,7 @@ def cleaned(docs: DataFrame, repeats: Repeats, kept: Callable[[bytes, np.ndarray
             columns = list(zip(*out)) if out else [()] * len(arrow)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, arrow))], names=["doc_id", *names])
 
-    rows = numbered(docs).join(of_documents(found(docs, repeats), RANGE).hint("merge"), "doc_id", "left").mapInArrow(finish, f"doc_id long, {schema}")
+    rows = numbered(docs).join(of_documents(found(docs, repeats, ends), RANGE).hint("merge"), "doc_id", "left").mapInArrow(finish, f"doc_id long, {schema}")
     return rows.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
 
@@ -345,37 +300,6 @@ def word_symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return K.word_hashes(data, starts, ends), bounds
 
 
-def byte_symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return K.BYTE_VALUE[data], offsets
-
-
-#: Documents and suffixes of the sample that the splitters of the ranges are taken from.
-SAMPLED_DOCS, SAMPLED_SUFFIXES = 2_000, 200_000
-
-
-def sampled_splitters(docs: DataFrame, size: int, k: int, ranges: int) -> np.ndarray:
-    """Splitters that part the sampled suffixes of a bounded sample of documents into even ranges.
-
-    They only balance the ranges; every suffix of every document goes to one.
-    """
-    share = min(1.0, SAMPLED_DOCS / max(1, docs.count()))
-    few = docs.select("doc_id", "text").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    each = max(1, SAMPLED_SUFFIXES // SAMPLED_DOCS)
-
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = K.utf8(batch.column("text"))
-            for a, b in K.chunks(offsets, 1 << 20):
-                symbols, bounds = byte_symbols(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                w = K.winnow(symbols, bounds, size, k)
-                key = leading(symbols, bounds[:-1][w["doc"]] + w["at"], w["anchor"])
-                key = np.sort(key)[:: max(1, len(key) // (each * (b - a)))][: 2 * each * (b - a)]
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64))], names=["key"])
-
-    found = np.sort(np.array([r["key"] for r in few.mapInArrow(keys, "key long").collect()], np.int64).view(K.U64))
-    return found[(np.arange(1, ranges) * len(found)) // ranges] if len(found) else found
-
-
 def _kept_words(raw: bytes, spans: tuple | None, text: bool) -> tuple:
     words = raw.split()
     kept = words if spans is None else list(compress(words, (~K.covered(len(words), *spans)).tolist()))
@@ -401,38 +325,4 @@ def _remove_repeated_words(docs: DataFrame, size: int, k: int, with_text: bool)
     repeats = Repeats(size, k, True, word_symbols, slots_for(docs))
     names = ["n_words", "n_removed", "kept_sha256"] + ["kept_text"] * with_text
     schema = "n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    return cleaned(docs, repeats, lambda raw, spans: _kept_words(raw, spans, with_text), schema, names)
-
-
-def _kept_bytes(raw: bytes, spans: tuple | None) -> tuple:
-    if spans is None:
-        return len(raw), 0, 0, hashlib.sha256(raw).hexdigest()
-    gone = K.covered(len(raw), *spans)
-    left = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-    n_spans = int(gone[:1].sum()) + int((gone[1:] & ~gone[:-1]).sum())
-    return len(raw), len(raw) - len(left), n_spans, hashlib.sha256(left).hexdigest()
-
-
-def remove_repeated_bytes(docs: DataFrame, size: int = 200, k: int = 32) -> DataFrame:
-    """Suffix-array dedup: drop each byte covered by a ``size``-byte string that also starts anywhere else, the same document included.
-
-    Not every suffix is sorted: winnowing samples the suffixes, about one in
-    (size - k) / 2, such that equal strings of ``size`` bytes contain equal
-    sampled suffixes. Sampled splitters range-partition these by their leading
-    bytes; equal suffixes never straddle a boundary, as a boundary is a key.
-    Each range sorts by several keys in turn and compares neighbours. Where
-    neighbours agree in part, every suffix of that stretch is sorted the same
-    way, by its first ``size`` bytes.
-
-    Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and
-    kept_sha256. Null and empty texts lose nothing. Bytes may be cut inside a
-    character. Rows that share an id count as different documents; equal rows
-    give equal results, also where ids are null. Other columns are not read.
-    """
-    return by_own_ids(docs, lambda told: _remove_repeated_bytes(told, size, k))
-
-
-def _remove_repeated_bytes(docs: DataFrame, size: int, k: int) -> DataFrame:
-    slots = slots_for(docs)
-    repeats = Repeats(size, k, False, byte_symbols, slots, sampled_splitters(docs, size, k, 2 * slots), 1 << 19)
-    return cleaned(docs, repeats, _kept_bytes, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", ["n_bytes", "n_removed", "n_spans", "kept_sha256"])
+    return cleaned(docs, repeats, Ends(repeats), lambda raw, spans: _kept_words(raw, spans, with_text), schema, names)

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 import public_tokenizers
-from corvane.llm import bpe, decontaminate, line_dedup, ngram_join, quality_classifier, quality_rules, repeats, sharding, token_files
+from corvane.llm import bpe, decontaminate, line_dedup, ngram_join, quality_classifier, quality_rules, repeats, sharding, suffixes, token_files
 from corvane.llm import kernels as K
 from tests.llm import brute
 from tests.llm.conftest import by_id, table
@@ -37,7 +37,7 @@ def every_operator(spark, docs):
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return {
         "repeats": repeats.remove_repeated_words(docs, with_text=True),
-        "bytes": repeats.remove_repeated_bytes(docs),
+        "bytes": suffixes.remove_repeated_bytes(docs),
         "rules": quality_rules.digest(docs, labels(spark, [])),
         "lines": line_dedup.digest(docs),
         "lines removed": line_dedup.remove_lines(docs),
@@ -72,7 +72,7 @@ def test_different_texts_without_or_under_one_id(spark):
     got = lambda df: sorted(map(tuple, df.collect()), key=str)
     frame = table(spark, docs)
     assert got(repeats.remove_repeated_words(frame)) == want(brute.substring_dedup(numbered))
-    assert got(repeats.remove_repeated_bytes(frame)) == want(brute.byte_dedup(numbered))
+    assert got(suffixes.remove_repeated_bytes(frame)) == want(brute.byte_dedup(numbered))
     lines = brute.line_dedup(numbered, 1, 30)
     assert got(line_dedup.digest(frame)) == want(lines)
     cut = {n: (t if not lines[n][3] else "\n".join(x for i, x in enumerate(t.split("\n")) if str(i) not in lines[n][3].split(",")),) for n, t in numbered}
@@ -100,10 +100,41 @@ def test_substring_dedup_text(spark):
 
 @pytest.mark.parametrize("size", [200, 40])
 def test_suffix_array_dedup(spark, corpus, size):
-    got = by_id(repeats.remove_repeated_bytes(table(spark, corpus), size, min(32, size // 3)), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    got = by_id(suffixes.remove_repeated_bytes(table(spark, corpus), size, min(32, size // 3)), "n_bytes", "n_removed", "n_spans", "kept_sha256")
     assert got == brute.byte_dedup(corpus, size)
 
 
+def test_suffixes_sort_by_content():
+    rng = np.random.default_rng(7)
+    for size in (8, 13, 40):
+        raw = rng.choice(np.frombuffer(b"ab\0\xff", np.uint8), 3000, p=[0.6, 0.3, 0.05, 0.05])
+        raw[1000:1500] = raw[:500]
+        start = np.arange(len(raw) - size)
+        words, at = suffixes.words_at(raw), suffixes.word_places(size)
+        place = suffixes.sorted_places(len(start), lambda d, rows: words[start[rows] + at[d]], len(at))
+        text = raw.tobytes()
+        strings = [text[i : i + size] for i in start.tolist()]
+        first = {}
+        for i, x in enumerate(sorted(strings)):
+            first.setdefault(x, i)
+        assert place.tolist() == [first[x] for x in strings]
+
+
+@pytest.mark.parametrize("share", [1, 300])
+def test_suffixes_across_shares_and_ranges(spark, monkeypatch, share):
+    """Copies that differ in places, in shares of a few runs: ranges meet what shares have left open."""
+    monkeypatch.setattr(repeats, "SHARE_RUNS", share)
+    rng, docs = random.Random(9), []
+    base = "".join(rng.choice("abcdef \n") for _ in range(400))
+    for d in range(60):
+        text = list(base[rng.randrange(150) : 400 - rng.randrange(150)])
+        for _ in range(rng.randrange(3)):
+            text[rng.randrange(len(text))] = rng.choice("xyzé")
+        docs.append((d, "".join(text)))
+    got = by_id(suffixes.remove_repeated_bytes(table(spark, docs), 50, 10), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == brute.byte_dedup(docs, 50)
+
+
 def test_quality_statistics(spark, corpus):
     got = by_id(quality_rules.digest(table(spark, corpus), labels(spark, corpus)), *quality_rules.BASE, "base_failed")
     assert got == {d: brute.statistics(t) for d, t in corpus}
