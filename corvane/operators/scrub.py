@@ -2,12 +2,60 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvane.functions.patterns import unescaped
 from corvane.operators.spans import substituted
 
 
+def _escaped(text: Column) -> Column:
+    for char, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        text = F.replace(text, F.lit(char), F.lit(name))
+    return text
+
+
+def _rebuilt(xml: Column, pattern: str, inner: Callable[[Column], Column]) -> Column:
+    """The markup with the text of each match's second group, of three that make up the match, replaced by what ``inner`` makes of it."""
+    found = lambda group: F.regexp_extract_all(xml, F.lit(pattern), F.lit(group))
+    kept = F.split(xml, F.lit(pattern), -1)
+    parts = F.arrays_zip(kept.alias("kept"), found(1).alias("a"), found(2).alias("b"), found(3).alias("c"))
+    said = lambda x: F.when(x["b"].isNull(), F.lit("")).otherwise(F.concat(x["a"], inner(x["b"]), x["c"]))
+    return F.array_join(F.transform(parts, lambda x: F.concat(x["kept"], said(x))), "")
+
+
+def scrubbed_elements(xml: Column, names: list[str], dictionary: list[tuple[str, str]], style: str = "token") -> Column:
+    """The text of the named elements unescaped, with all surfaces substituted, and escaped again; all else stays."""
+    pattern = rf"(?s)(<(?:\w+:)?(?:{'|'.join(names)})(?: [^>]*)?>)([^<]*)(</)"
+    return _rebuilt(xml, pattern, lambda text: _escaped(substituted(unescaped(text), dictionary, style)))
+
+
+def scrubbed_attributes(xml: Column, names: list[str], dictionary: list[tuple[str, str]], style: str = "token") -> Column:
+    """The values of the named attributes, inside tags only, scrubbed in the same way."""
+    for name in names:
+        pattern = rf'(?s)(<[^<>]*?\s(?:\w+:)?{name}=")([^"<]*)(")'
+        xml = _rebuilt(xml, pattern, lambda text: F.replace(_escaped(substituted(unescaped(text), dictionary, style)), F.lit('"'), F.lit("&quot;")))
+    return xml
+
+
+def scrubbed_links(xml: Column, dictionary: list[tuple[str, str]], style: str = "token") -> Column:
+    """A relationship part with the targets of external hyperlinks scrubbed; other relations stay."""
+    pattern = r'(<Relationship\b(?=[^>]*/hyperlink")(?=[^>]*TargetMode="External")[^>]*?\sTarget=")([^"]*)(")'
+    return _rebuilt(xml, pattern, lambda text: F.replace(_escaped(substituted(unescaped(text), dictionary, style)), F.lit('"'), F.lit("&quot;")))
+
+
+def scrubbed_metadata(xml: Column, fields: list[str], others: list[str], dictionary: list[tuple[str, str]]) -> Column:
+    """Identity fields emptied whatever they hold; other fields with all surfaces substituted."""
+    return scrubbed_elements(cleared_fields(xml, fields), others, dictionary)
+
+
+def node_text(xml: Column) -> Column:
+    """All text between tags that is not blank, joined by a space."""
+    return F.array_join(F.filter(F.regexp_extract_all(xml, F.lit(r">([^<>]+)<"), F.lit(1)), lambda t: F.trim(t) != ""), " ")
+
+
 def brand_key(surface: Column) -> Column:
     """Trimmed, white space collapsed, lower-cased; null if nothing is left."""
     return F.nullif(F.lower(F.regexp_replace(F.trim(surface), r"\s+", " ")), F.lit(""))

@@ -102,6 +102,25 @@ def similar_components(items: DataFrame, limit: int = MERGE) -> DataFrame:
     return rows.join(first, "phash").join(found, "rep").select(F.col("key").alias("node"), "component")
 
 
+def visually_merged(items: DataFrame, limit: int = MERGE) -> DataFrame:
+    """node, component over (key, phash, logo, brand): alike within ``limit`` bits, or of one logo entity, or of one brand read.
+
+    What shares a logo or a brand hangs on its first item, so no pairs are made.
+    """
+    alike = similar_components(items, limit).select(F.col("node").alias("a"), F.col("component").alias("b"))
+    edges = alike.unionByName(items.select(F.col("key").alias("a"), F.col("key").alias("b")))
+    for shared in ("logo", "brand"):
+        first = items.where(F.col(shared).isNotNull()).groupBy(shared).agg(F.min("key").alias("b"))
+        edges = edges.unionByName(items.join(first, shared).select(F.col("key").alias("a"), "b"))
+    return connected_components(edges)
+
+
+def near_any(items: DataFrame, references: DataFrame, limit: int = CONFIDENT) -> DataFrame:
+    """The items (phash) within ``limit`` bits of any reference (phash)."""
+    near = near_hashes(items, references, limit).select(F.col("phash").alias("_near")).distinct()
+    return items.join(near, F.lower(items["phash"]) == near["_near"], "left_semi")
+
+
 def merged_clusters(members: DataFrame) -> DataFrame:
     """Per component: highest confidence, any flag, all places, the nearest logo, the primary member; numbered from 0."""
     primary = F.struct(F.col("confidence"), -F.col("idx"))

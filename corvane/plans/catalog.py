@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.plans import detection, governance, masking, packages, review, similarity, streams
+from corvane.plans import detection, governance, masking, packages, review, similarity, streams, upkeep
 
-_AREAS = (detection, masking, similarity, governance, review, packages, streams)
+_AREAS = (detection, masking, similarity, governance, review, packages, upkeep, streams)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: query for area in _AREAS for name, query in area.QUERIES.items()}
 ORACLE: dict[str, str] = {name: sql for area in _AREAS for name, sql in area.ORACLE.items()}
 flagship = masking.flagship

@@ -185,15 +185,21 @@ _PROPOSED = f"(SELECT DISTINCT doc_id AS run_id, unnest(list_filter({_WORDS}, la
 _LATEST = f"(SELECT user_id, arg_max({_STATUS}, (ts, event_id)) AS status, arg_max(event_id, (ts, event_id)) AS event_id, max(ts) AS updated_at FROM events GROUP BY user_id)"
 _PEOPLE = "(SELECT c_custkey AS user_id, c_nationkey, ['admin', 'km_governance', 'km_reviewer', 'practice_lead', 'delivery', 'read_only'][c_custkey % 6 + 1] AS role FROM customer)"
 _ALIKE = "(?i)(^|[^A-Za-z0-9])"
-# One insert after another, with all tokens so far in a list.
-_ALLOCATED = f"""WITH RECURSIVE c AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY surface) AS i, CASE kind WHEN 'CLIENT_PERSON' THEN 'CLIENT_PERSON' WHEN 'CLIENT_EMAIL_DOMAIN' THEN 'CLIENT_DOMAIN' ELSE 'CLIENT' END AS p
-FROM (SELECT min(surface) AS surface, {list(NEW_KINDS)}[length(min(surface)) % 4 + 1] AS kind FROM ({detection._CAND}) GROUP BY key)),
-r AS (SELECT 0::BIGINT AS i, NULL::VARCHAR AS surface, NULL::VARCHAR AS kind, {list(TOKENS)}::VARCHAR[] AS tokens
+
+
+def allocated(rows: str, tokens: str) -> str:
+    """SQL of (surface, entity_type, token) for rows (surface, kind, p): one insert after another, with all tokens so far in a list."""
+    return f"""WITH RECURSIVE c AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY surface) AS i FROM ({rows}) x),
+r AS (SELECT 0::BIGINT AS i, NULL::VARCHAR AS surface, NULL::VARCHAR AS kind, {tokens}::VARCHAR[] AS tokens
 UNION ALL SELECT c.i, c.surface, c.kind, list_append(r.tokens, '[' || c.p || '_' || list_filter(generate_series(
   len(list_filter(r.tokens, lambda t: t LIKE '[' || c.p || '_%]')) + 1, 2 * len(r.tokens) + 100), lambda k: NOT list_contains(r.tokens, '[' || c.p || '_' || k || ']'))[1] || ']')
 FROM r JOIN c ON c.i = r.i + 1)
 SELECT surface, kind AS entity_type, tokens[-1] AS token FROM r WHERE i > 0"""
 
+
+PREFIX_OF = "CASE kind WHEN 'CLIENT_PERSON' THEN 'CLIENT_PERSON' WHEN 'CLIENT_EMAIL_DOMAIN' THEN 'CLIENT_DOMAIN' WHEN 'CLIENT_CONTRACT_ID' THEN 'CLIENT_CONTRACT' ELSE 'CLIENT' END AS p"
+_ALLOCATED = allocated(f"SELECT *, {PREFIX_OF} FROM (SELECT min(surface) AS surface, {list(NEW_KINDS)}[length(min(surface)) % 4 + 1] AS kind FROM ({detection._CAND}) GROUP BY key)", str(list(TOKENS)))
+
 ORACLE = {
     "token_allocation": _ALLOCATED,
     "alias_collision": f"SELECT DISTINCT p.entity_id, replacement, d.entity_id AS other_id, 'names' AS reason FROM (SELECT n_nationkey AS entity_id, 'Group of the ' || n_name AS replacement FROM nation) p JOIN {values('dictionary')} d ON d.entity_id <> p.entity_id AND length(surface) >= 3 AND regexp_matches(replacement, '{_ALIKE}' || replace(surface, ' ', '\\s+') || '([^A-Za-z0-9]|$)') UNION ALL SELECT 9, 'partner', 2, 'repeats'",

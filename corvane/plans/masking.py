@@ -11,6 +11,8 @@ from corvane.plans.fixtures import approved, literal, values
 from corvane.sources.tables import table
 
 LEFT = ["the", "of the", "ing", "is"]
+#: (surface, token) that a second look adds.
+ADDED = [("is", "[CLIENT_5]")]
 LEAKY = ["anon", "the", "of the"]
 PLANTED = [(0, "[CLIENT_1] Turbine Ltd. and more"), (1, "[CLIENT_2] Big Power Holdings, [CLIENT_2] BIG Power Holdings"), (2, "nothing [CLIENT_1] here"), (3, "[CLIENT_1] Capital"), (4, "[CLIENT_2] one Ltd")]
 
@@ -90,14 +92,36 @@ def boundary_leaks(spark, folder):
     return channels.boundary_leaks(rows, ["[CLIENT_1]", "[CLIENT_2]"])
 
 
-def completeness_score(spark, folder):
+def _scored(spark, folder, dictionary):
     """Masked spans and residual surfaces of each document, found in one pass without a shuffle."""
-    rows = _docs(spark, folder).select("doc_id", spans.masked_and_counted(F.col("text"), approved()).alias("x"))
+    rows = _docs(spark, folder).select("doc_id", spans.masked_and_counted(F.col("text"), dictionary).alias("x"))
     left = sum((F.col("x.masked").rlike(surface_regex(s)).cast("long") for s in LEFT), F.lit(0))
     counted = rows.select("doc_id", F.col("x.n").alias("masked"), left.cast("long").alias("residual"))
     return counted.withColumn("score", channels.completeness(F.col("masked"), F.col("residual")))
 
 
+def completeness_score(spark, folder):
+    return _scored(spark, folder, approved())
+
+
+def revalidation(spark, folder):
+    """Masked, counted and scored again with the names that a second look has added."""
+    return _scored(spark, folder, approved() + ADDED)
+
+
+def residual_union(spark, folder):
+    """Leaks at token boundaries and what a second look finds, as a bag."""
+    leaks = boundary_leaks(spark, folder).select("doc_id", F.col("leaked").alias("surface"))
+    return leaks.unionByName(residual_text(spark, folder))
+
+
+def verify_corpus(spark, folder):
+    """Texts and alternative texts that are verified together."""
+    rows = channels.page_channels(table(spark, folder, "pages"))
+    both = rows.where("channel = 'text'").unionByName(rows.where("channel = 'metadata'"))
+    return both.groupBy("page_id").agg(F.count(F.lit(1)).alias("texts"), F.sum(F.length("text")).cast("long").alias("n_chars"))
+
+
 def flagship(spark, folder):
     """Per document: candidates found, surfaces in the dictionary, spans masked, what is left, and the masked text."""
     from corvane.plans import detection
@@ -108,9 +132,9 @@ def flagship(spark, folder):
     return report.join(mask_token_text(spark, folder), "doc_id")
 
 
-def _replaced(text: str, style) -> str:
+def _replaced(text: str, style, dictionary=None) -> str:
     """Nested, never crossing surfaces: successive replacement, twice each as neighbours share a delimiter."""
-    for surface, token in sorted(approved(), key=lambda x: -len(x[0])):
+    for surface, token in sorted(dictionary or approved(), key=lambda x: -len(x[0])):
         body = r"\s+".join(surface.split(" "))
         to = style(surface, token)
         for _ in range(2):
@@ -118,6 +142,17 @@ def _replaced(text: str, style) -> str:
     return text
 
 
+def _spans(dictionary) -> str:
+    """Spans of nested surfaces: the longer ones are blanked before the shorter ones are counted."""
+    counted, text = [], "text"
+    for surface, token in sorted(dictionary, key=lambda x: -len(x[0])):
+        body = r"\s+".join(surface.split(" "))
+        counted.append(f"SELECT doc_id, '{token}' AS token, regexp_extract_all(regexp_replace({text}, '([^A-Za-z0-9])', '\\1\\1', 'g'), '(?i)(?:^|[^A-Za-z0-9])(' || '{body}' || ')(?:[^A-Za-z0-9]|$)', 1) AS m FROM documents")
+        for _ in range(2):
+            text = f"regexp_replace({text}, '(^|[^A-Za-z0-9]){body}([^A-Za-z0-9]|$)', '\\1##\\2', 'gi')"
+    return "(" + " UNION ALL ".join(counted) + ")"
+
+
 _PAGE = f"""(SELECT page_id, 'hyperlinks' AS channel, unnest(l) AS text, generate_subscripts(l, 1) - 1 AS item FROM (SELECT page_id, regexp_extract_all(html, '{channels.HREF}', 1) AS l FROM pages)
 UNION ALL SELECT page_id, 'comments', unnest(l), generate_subscripts(l, 1) - 1 FROM (SELECT page_id, regexp_extract_all(html, '{channels.COMMENT}', 1) AS l FROM pages)
 UNION ALL SELECT page_id, 'metadata', unnest(l), generate_subscripts(l, 1) - 1 FROM (SELECT page_id, list_concat(regexp_extract_all(html, '{channels.TITLE}', 1), regexp_extract_all(html, '{channels.META}', 1)) AS l FROM pages)
@@ -133,14 +168,15 @@ def _hits(surfaces: list[str]) -> str:
 
 
 _MASKED = _replaced("text", lambda s, t: t)
-# Spans of nested surfaces: the longer ones are blanked before the shorter ones are counted.
-_COUNTED, _text = [], "text"
-for _s, _t in sorted(approved(), key=lambda x: -len(x[0])):
-    _body = r"\s+".join(_s.split(" "))
-    _COUNTED.append(f"SELECT doc_id, '{_t}' AS token, regexp_extract_all(regexp_replace({_text}, '([^A-Za-z0-9])', '\\1\\1', 'g'), '(?i)(?:^|[^A-Za-z0-9])(' || '{_body}' || ')(?:[^A-Za-z0-9]|$)', 1) AS m, regexp_extract_all({_text}, '(?i){_body}') AS raw FROM documents")
-    for _ in range(2):
-        _text = f"regexp_replace({_text}, '(^|[^A-Za-z0-9]){_body}([^A-Za-z0-9]|$)', '\\1##\\2', 'gi')"
-_SPANS = "(" + " UNION ALL ".join(_COUNTED) + ")"
+_SPANS = _spans(approved())
+
+
+def _score(dictionary) -> str:
+    masked = _replaced("text", lambda s, t: t, dictionary)
+    left = _left(f"(SELECT doc_id, {masked} AS text FROM documents)", "doc_id", LEFT)
+    return f"SELECT d.doc_id, coalesce(m.n, 0)::BIGINT AS masked, coalesce(r.n, 0)::BIGINT AS residual, CASE WHEN coalesce(m.n, 0) + coalesce(r.n, 0) = 0 THEN 100.0::DOUBLE ELSE round_even(100.0::DOUBLE * coalesce(m.n, 0) / (coalesce(m.n, 0) + coalesce(r.n, 0)), 1)::DOUBLE END AS score FROM documents d LEFT JOIN (SELECT doc_id, sum(len(m)) AS n FROM {_spans(dictionary)} s GROUP BY ALL) m USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM ({left}) GROUP BY ALL) r USING (doc_id) WHERE d.text IS NOT NULL"
+
+
 _DOC_RESIDUAL = _left(f"(SELECT doc_id, {_MASKED} AS text FROM documents)", "doc_id", LEFT)
 
 ORACLE = {
@@ -156,6 +192,9 @@ ORACLE = {
     "channel_coverage": "SELECT page_id, part FROM (SELECT page_id, l[page_id % len(l) + 1] AS part FROM pages, (SELECT list(part ORDER BY part) AS l FROM " + values("parts") + " x)) p WHERE regexp_matches(lower(part), '" + "|".join(channels.IDENTITY_WORDS) + "') AND NOT regexp_matches(part, '" + "|".join(channels.COVERED + channels.SAFE) + "')",
     "channel_verdict": f"SELECT page_id, bool_and(NOT hit) AS clean, count(DISTINCT CASE WHEN hit THEN channel END)::BIGINT AS n_dirty FROM (SELECT page_id, channel, ({_hits(LEAKY)}) AS hit FROM {_PAGE} p) GROUP BY ALL",
     "boundary_leaks": "SELECT doc_id, token, leaked FROM documents JOIN (VALUES (0, '[CLIENT_1]', 'Turbine Ltd.'), (1, '[CLIENT_2]', 'Big Power Holdings'), (3, '[CLIENT_1]', 'Capital')) AS t(place, token, leaked) ON doc_id % 5 = place",
-    "completeness_score": f"SELECT d.doc_id, coalesce(m.n, 0)::BIGINT AS masked, coalesce(r.n, 0)::BIGINT AS residual, CASE WHEN coalesce(m.n, 0) + coalesce(r.n, 0) = 0 THEN 100.0::DOUBLE ELSE round_even(100.0::DOUBLE * coalesce(m.n, 0) / (coalesce(m.n, 0) + coalesce(r.n, 0)), 1)::DOUBLE END AS score FROM documents d LEFT JOIN (SELECT doc_id, sum(len(m)) AS n FROM {_SPANS} s GROUP BY ALL) m USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM ({_DOC_RESIDUAL}) GROUP BY ALL) r USING (doc_id)",
+    "completeness_score": _score(approved()),
+    "revalidation": _score(approved() + ADDED),
+    "verify_corpus": f"SELECT page_id, count(*)::BIGINT AS texts, sum(length(text))::BIGINT AS n_chars FROM {_PAGE} p WHERE channel IN ('text', 'metadata') GROUP BY ALL",
 } | {f"residual_{c}": _left(f"(SELECT page_id, item, text FROM {_PAGE} p WHERE channel = '{c}')", "page_id, item::BIGINT AS item", LEAKY) for c in ("hyperlinks", "comments", "metadata")}
+ORACLE["residual_union"] = f"SELECT doc_id, leaked AS surface FROM ({ORACLE['boundary_leaks']}) a UNION ALL SELECT * FROM ({ORACLE['residual_text']}) b"
 QUERIES = {name: globals()[name] for name in [*ORACLE, "occurrence_rows"]}

@@ -8,6 +8,7 @@ import zipfile
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from corvane.operators import scrub
 from corvane.sources import chunks, packages
 from corvane.sources.tables import table
 
@@ -54,7 +55,7 @@ def _deck(key: int, name: str) -> dict[str, str | bytes]:
         "ppt/_rels/presentation.xml.rels": _relations(("slide", "slides/slide1.xml", ""), ("slide", "/ppt/slides/slide2.xml", "")),
         "ppt/slides/slide1.xml": _tree("sld", f'<p:pic><p:cNvPr id="1" descr="Logo of {name}" title=""/></p:pic>' + _shape(f"First {name}") + table),
         "ppt/slides/slide2.xml": _tree("sld", _shape(f"Second {name}") + f"<p:grpSp><p:grpSp>{_shape('R&amp;D of ' + name)}</p:grpSp></p:grpSp>", hides if key % 2 == 0 else ""),
-        "ppt/slides/_rels/slide1.xml.rels": _relations(("slideLayout", "../slideLayouts/slideLayout1.xml", ""), ("chart", "../charts/chart1.xml", ""), ("notesSlide", "../notesSlides/notesSlide1.xml", ""), ("package", "../embeddings/book.xlsx", ""), ("hyperlink", f"https://{name.lower()}.example.org/", ' TargetMode="External"')),
+        "ppt/slides/_rels/slide1.xml.rels": _relations(("slideLayout", "../slideLayouts/slideLayout1.xml", ""), ("chart", "../charts/chart1.xml", ""), ("notesSlide", "../notesSlides/notesSlide1.xml", ""), ("package", "../embeddings/book.xlsx", ""), ("image", "../media/image1.jpg", ""), ("hyperlink", f"https://{name.lower()}.example.org/", ' TargetMode="External"')),
         "ppt/slides/_rels/slide2.xml.rels": _relations(("slideLayout", "../slideLayouts/slideLayout1.xml", "")),
         "ppt/slideLayouts/slideLayout1.xml": _tree("sldLayout", _shape(f"Layout {name}"), hides if key % 5 == 0 else ""),
         "ppt/slideLayouts/_rels/slideLayout1.xml.rels": _relations(("slideMaster", "../slideMasters/slideMaster1.xml", "")),
@@ -120,6 +121,25 @@ def package_comment_parts(spark, folder):
     return packages.comment_parts(packages.parts(_files(spark, folder)))
 
 
+def package_media(spark, folder):
+    return packages.media_parts(packages.parts(_files(spark, folder)))
+
+
+def package_scrubbed(spark, folder):
+    """What a scrubbed package still tells: alternative texts, link targets and identities."""
+    parts = packages.parts(_files(spark, folder))
+    words, part = [("Logo", "[LOGO]"), ("example", "[SITE]")], F.col("part")
+    xml = F.when(part.endswith(".rels"), scrub.scrubbed_links(F.col("xml"), words)).when(part.startswith("docProps/"), scrub.scrubbed_metadata(F.col("xml"), ["creator"], ["title"], words)).otherwise(scrub.scrubbed_attributes(F.col("xml"), ["descr", "title"], words))
+    clean = parts.withColumn("xml", xml)
+    told = packages.alt_texts(clean).select("path", "text").unionByName(packages.external_links(clean).select("path", F.col("target").alias("text")))
+    return told.unionByName(packages.identities(clean.where(part.startswith("docProps/"))).select("path", F.col("value").alias("text")))
+
+
+def redacted_parts(spark, folder):
+    """How many different image parts each kind of document covers."""
+    return package_images(spark, folder).groupBy("label").agg(F.countDistinct("part").alias("parts"), F.countDistinct("digest").alias("images"))
+
+
 _N = "chr(10)"
 _WORD = [
     ("paragraph_group", 0, "paragraphs 1-8", f"array_to_string(list_transform(generate_series(1, 8), lambda i: n || ' p' || i), {_N} || {_N})"),
@@ -156,6 +176,9 @@ ORACLE = {
     "package_identities": "SELECT s_name AS path, 'docProps/core.xml' AS part, s_name AS value FROM supplier WHERE s_suppkey % 2 = 1 UNION ALL SELECT s_name, 'ppt/authors.xml', unnest([s_name, 'u' || s_suppkey]) FROM supplier WHERE s_suppkey % 3 = 1",
     "package_links": "SELECT s_name AS path, 'ppt/slides/_rels/slide1.xml.rels' AS part, 'https://' || lower(s_name) || '.example.org/' AS target FROM supplier WHERE s_suppkey % 3 = 1",
     "package_images": "SELECT s_name AS path, 'word/media/image1.png' AS part, 'document image' AS label, 'png' AS format, sha256(from_hex('89504E470D0A1A0A' || lpad(to_hex(s_suppkey % 256), 2, '0'))) AS digest, 9::BIGINT AS n_bytes FROM supplier WHERE s_suppkey % 3 = 0 UNION ALL SELECT s_name, 'ppt/media/image1.jpg', 'slide image', 'jpeg', sha256(from_hex('FFD8FF00')), 4 FROM supplier WHERE s_suppkey % 3 = 1",
+    "package_media": "SELECT s_name AS path, CASE s_suppkey % 3 WHEN 0 THEN 'word/media/image1.png' ELSE 'ppt/media/image1.jpg' END AS part, s_suppkey % 3 = 1 AS shown FROM supplier WHERE s_suppkey % 3 < 2",
+    "package_scrubbed": "SELECT s_name AS path, unnest(['[LOGO] of ' || s_name, 'https://' || lower(s_name) || '.[SITE].org/']) AS text FROM supplier WHERE s_suppkey % 3 = 1",
+    "redacted_parts": "SELECT CASE s_suppkey % 3 WHEN 0 THEN 'document image' ELSE 'slide image' END AS label, 1::BIGINT AS parts, count(DISTINCT CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey % 256 ELSE 0 END)::BIGINT AS images FROM supplier WHERE s_suppkey % 3 < 2 GROUP BY ALL",
     "package_comment_parts": "SELECT s_name AS path, ['word/remarks.xml', 'ppt/authors.xml', 'xl/threadedComments/threadedComment1.xml'][s_suppkey % 3 + 1] AS part FROM supplier",
 }
 QUERIES = {name: globals()[name] for name in ORACLE}

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.functions.patterns import unescaped
+
 SUPPORTED = ("docx", "pptx", "xlsx", "pdf")
 #: Bytes of parts that a task gathers before it passes them on; a larger part goes alone and whole.
 BATCH_BYTES = 16 << 20
@@ -210,11 +212,11 @@ def images(rows: DataFrame) -> DataFrame:
     return rows.where((kind != "") & F.col("content").isNotNull()).select("path", "part", label.alias("label"), image_format(F.col("content")).alias("format"), F.sha2("content", 256).alias("digest"), F.length("content").cast("long").alias("n_bytes"))
 
 
-def unescaped(text: Column) -> Column:
-    """XML's named entities as characters."""
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return text
+def media_parts(rows: DataFrame) -> DataFrame:
+    """path, part, shown: image parts that a relation shows, and those in media folders that none does."""
+    related = relations(rows).where((F.col("type") == "image") & ~F.col("external")).select("path", F.col("target").alias("part")).distinct().withColumn("shown", F.lit(True))
+    loose = rows.where(F.col("part").rlike(r"(^|/|\|)media/[^/]+$")).select("path", "part").distinct().join(related, ["path", "part"], "left_anti").withColumn("shown", F.lit(False))
+    return related.unionByName(loose)
 
 
 def alt_texts(rows: DataFrame) -> DataFrame:
