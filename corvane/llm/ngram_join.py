@@ -45,6 +45,8 @@ from corvane.sources.shared import materialize
 #: Signatures that a task gathers before it groups them and sends them on.
 SHARE_SIGNATURES = 800_000
 BLOCK_DOCS, BLOCK_GRAMS = 512, 1 << 20
+#: Counts that a product makes at once; columns of more sets than this, and than an eighth of all, are a dense panel.
+PRODUCT_ENTRIES, DENSE_FROM = 1 << 20, 16
 SIGNATURES, EDGES, NEEDS = range(3)
 #: Parts beyond those that size bounds ask for, as a share of these: so many more signatures must linked sets share.
 EXTRA_PARTS = 0.3
@@ -267,36 +269,69 @@ def _sets(k: int):
 
 
 def _product(sets: list[np.ndarray], left: list[int], right: list[int], percent: int) -> tuple[list[int], list[int]]:
-    """Linked pairs of left and right sets: incidence times incidence, by blocks of columns."""
+    """Linked pairs of left and right sets: incidence times transposed incidence, overlap counts accumulated block by block of columns.
+
+    The product is sparse: for every n-gram of a left set, the right sets that
+    hold it each get a count, and only where sizes allow a link. The few columns
+    that a good part of all sets holds, which near copies of one text have, are
+    counted as a dense panel beside it.
+    """
     if not left or not right:
         return [], []
     mine = sorted({*left, *right})
     place = {m: i for i, m in enumerate(mine)}
+    size = np.array([len(sets[m]) for m in mine])
     flat = np.concatenate([sets[m] for m in mine])
-    row = np.repeat(np.arange(len(mine)), [len(sets[m]) for m in mine])
+    row = np.repeat(np.arange(len(mine)), size)
     order = np.argsort(flat, kind="stable")
     flat, row = flat[order], row[order]
     new = np.ones(len(flat), bool)
     new[1:] = flat[1:] != flat[:-1]
     column = np.cumsum(new) - 1
-    shared = np.bincount(column)[column] > 1
-    row, column = row[shared], np.unique(column[shared], return_inverse=True)[1]
+    held = np.bincount(column)[column]
     a, b = np.array([place[m] for m in left]), np.array([place[m] for m in right])
-    overlap = np.zeros((len(a), len(b)), np.float64)
-    columns = int(column.max(initial=-1)) + 1
-    width = max(1, min(columns, max(256, (1 << 21) // len(mine))))
-    for at in range(0, columns, width):
-        x, y = np.searchsorted(column, [at, at + width])
-        block = np.zeros((len(mine), width), np.float32)
-        block[row[x:y], column[x:y] - at] = 1
-        overlap += block[a] @ block[b].T
-    size = np.array([len(sets[m]) for m in mine])
+    at_left, at_right = (np.full(len(mine), -1) for _ in range(2))
+    at_left[a], at_right[b] = np.arange(len(a)), np.arange(len(b))
+    overlap = np.zeros(len(a) * len(b), np.int32)
+
+    # Sparse columns: row pointers of the right sets by column, gathered for the left entries.
+    dense = held > max(DENSE_FROM, len(mine) // 8)
+    sparse = (held > 1) & ~dense
+    name = np.unique(column[sparse], return_inverse=True)[1]
+    rows = row[sparse]
+    own, other = at_left[rows] >= 0, at_right[rows] >= 0
+    pointer = np.searchsorted(name[other], np.arange((name.max() if len(name) else 0) + 2))
+    posted, entry, of = at_right[rows[other]], at_left[rows[own]], name[own]
+    counts = pointer[of + 1] - pointer[of]
+    for x, y in _spans(counts, PRODUCT_ENTRIES):
+        group, nth = K.spread(counts[x:y])
+        i, j = entry[x:y][group], posted[pointer[of[x:y]][group] + nth]
+        fits = 100 * np.minimum(size[a[i]], size[b[j]]) >= percent * np.maximum(size[a[i]], size[b[j]])
+        overlap += np.bincount(i[fits] * len(b) + j[fits], minlength=len(overlap)).astype(np.int32)
+
+    overlap = overlap.reshape(len(a), len(b))
+    if dense.any():
+        row, column = row[dense], np.unique(column[dense], return_inverse=True)[1]
+        width = max(256, (1 << 21) // len(mine))
+        for at in range(0, int(column.max()) + 1, width):
+            x, y = np.searchsorted(column, [at, at + width])
+            block = np.zeros((len(mine), width), np.float32)
+            block[row[x:y], column[x:y] - at] = 1
+            overlap += (block[a] @ block[b].T).astype(np.int32)
     total = size[a][:, None] + size[b][None, :]
-    linked = (100 + percent) * overlap >= percent * total
-    i, j = np.nonzero(linked)
+    i, j = np.nonzero((100 + percent) * overlap.astype(np.int64) >= percent * total)
     return [left[x] for x in i.tolist()], [right[x] for x in j.tolist()]
 
 
+def _spans(counts: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of entries whose counts sum to ``limit`` at most, or one larger entry."""
+    ends, a = np.cumsum(counts), 0
+    while a < len(counts):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + limit, "right")))
+        yield a, b
+        a = b
+
+
 def _multiplied(percent: int):
     """Spanning forests of the links within each task's blocks; side 0 meets side 0 and 1, unless only sides 0 and 1 meet."""
 
