@@ -86,15 +86,20 @@ def _parted(kind: Column, short: Column, before: Column, after: Column, pieces:
     return F.when(last >= 0, F.transform(parts, struct)).otherwise(F.expr("cast(array() as array<struct<kind:int,short:int,before:int,after:int>>)"))
 
 
-def _key(s: Column, line: Column, n: Column) -> Column:
-    """A hash of a state's lengths and of what stands before and after the places left; null of none."""
-    return F.when(s.isNotNull(), F.xxhash64(s.kind, s.short, s.before, s.after, F.substring(line, F.lit(1), s.before), F.substring(line, n - s.after + 1, s.after)))
+def _key(kind: Column, short: Column, before: Column, after: Column, line: Column, n: Column) -> Column:
+    """A hash of a state's lengths and of what stands before and after the places left."""
+    return F.xxhash64(kind, short, before, after, F.substring(line, F.lit(1), before), F.substring(line, n - after + 1, after))
 
 
-def _halves(n: Column) -> list[Column]:
-    """The first states of a line of ``n``: a substitution, a character too few, one too many; places in two halves each, null where there is none."""
-    zero, kinds = F.lit(0), ((0, n), (1, n), (1, n - 1))
-    return [F.get(_parted(F.lit(kind), short, zero, zero, 2), F.lit(half)) for kind, short in kinds for half in (0, 1)]
+def _halves(n: Column) -> list[tuple[Column, tuple[Column, Column, Column, Column]]]:
+    """The first states of a line of ``n``: a substitution, a character too few, one too many; places in two halves each, and whether there is such a half."""
+    zero, out = F.lit(0), []
+    for kind, short in ((0, n), (1, n), (1, n - 1)):
+        last = short + kind - 1
+        size = F.shiftright(F.greatest(last, zero), 1) + 1
+        out.append((last >= 0, (F.lit(kind), short, zero, F.greatest(last - size + 1, zero))))
+        out.append((last >= size, (F.lit(kind), short, size, F.greatest(last - 2 * size + 1, zero))))
+    return out
 
 
 def keyed_lines(lines: DataFrame, edits: int, min_chars: int, exact_chars: int) -> DataFrame:
@@ -102,7 +107,7 @@ def keyed_lines(lines: DataFrame, edits: int, min_chars: int, exact_chars: int)
     rows = lines.withColumn("n", F.length("line")).where(F.col("n") >= min(exact_chars, min_chars))
     near, line, n = F.col("n") >= min_chars, F.col("line"), F.col("n")
     if edits == 1:
-        found = [F.when(near, F.array(*[_key(s, line, n) for s in _halves(n)])).alias("keys")]
+        found = [F.when(near, F.array(*[F.when(there, _key(*state, line, n)) for there, state in _halves(n)])).alias("keys")]
     else:
         low, own, high = (_band(n + d) for d in (-edits, 0, edits))
         # So many bands hold lengths that are 2 * edits apart.
@@ -151,7 +156,7 @@ def one_edit_pairs(first: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFr
     """Candidate pairs of lines that may be within one edit, a few for each line, and the lines that they name."""
     # Most keys have one line: until those are gone, a row is its key, its place and which of the first states it is.
     keys = first.select("doc_id", "line_no", "n", F.posexplode("keys").alias("which", "key")).where("key is not null")
-    state = F.get(F.array(*_halves(F.col("n"))), F.col("which"))
+    state = F.get(F.array(*[F.struct(*[c.alias(name) for c, name in zip(state, _STATE)]) for _, state in _halves(F.col("n"))]), F.col("which"))
     met = materialize(_shared(keys).withColumn("state", state).select("doc_id", "line_no", "n", "key", "lines", *[F.col("state")[c].alias(c) for c in _STATE]), "line-keys")
     said, pairs = materialize(said_lines(docs, met), "said-lines"), []
     one_place = F.col("short") - F.col("before") - F.col("after") + F.col("kind") <= 1
@@ -165,7 +170,7 @@ def one_edit_pairs(first: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFr
             break
         again = many.join(said.hint("merge"), ["doc_id", "line_no"])
         parts = again.select("doc_id", "line_no", "n", "line", F.explode(_parted(*(F.col(c) for c in _STATE), PIECES)).alias("s"))
-        states = parts.select("doc_id", "line_no", "n", *[F.col("s")[c].alias(c) for c in _STATE], _key(F.col("s"), F.col("line"), F.col("n")).alias("key"))
+        states = parts.select("doc_id", "line_no", "n", *[F.col("s")[c].alias(c) for c in _STATE], _key(*[F.col("s")[c] for c in _STATE], F.col("line"), F.col("n")).alias("key"))
         met = materialize(_shared(states), "line-keys")
     out = pairs[0]
     for more in pairs[1:]:

@@ -9,6 +9,8 @@ import numpy as np
 import pytest
 
 import public_tokenizers
+from pyspark.sql import functions as F
+
 from corvane.llm import bpe, decontaminate, line_dedup, ngram_join, quality_classifier, quality_rules, repeats, sharding, suffixes, token_files
 from corvane.llm import kernels as K
 from tests.llm import brute
@@ -210,6 +212,16 @@ def test_line_dedup_in_a_large_group_of_near_copies(spark, n, size):
     assert line_dedup.one_edit_pairs(rows, table(spark, docs))[0].count() < 12 * len(docs)
 
 
+def test_first_halves_are_parts(spark):
+    """What is written out for the first states is the general rule for two pieces."""
+    n, zero = F.col("n"), F.lit(0)
+    rows = spark.range(40).select(F.col("id").cast("int").alias("n"))
+    halves = [F.when(there, F.concat_ws(",", *state)) for there, state in line_dedup._halves(n)]
+    parts = [F.get(F.transform(line_dedup._parted(F.lit(kind), short, zero, zero, 2), lambda s: F.concat_ws(",", s.kind, s.short, s.before, s.after)), F.lit(half)) for kind, short in ((0, n), (1, n), (1, n - 1)) for half in (0, 1)]
+    for row in rows.select(F.array(*halves).alias("a"), F.array(*parts).alias("b")).collect():
+        assert row["a"] == row["b"]
+
+
 def test_banded_distance(spark):
     rng, pairs = random.Random(6), []
     for _ in range(400):
@@ -301,6 +313,21 @@ def test_links_across_shares(spark, monkeypatch, share):
     assert got == brute.near_components(docs, 2, 60)
 
 
+@pytest.mark.parametrize("limits", [(1 << 20, 16), (7, 0), (50, 1000)])
+def test_products_count_every_overlap(monkeypatch, limits):
+    """In chunks of any size, with and without a dense panel, on one side or between two."""
+    monkeypatch.setattr(ngram_join, "PRODUCT_ENTRIES", limits[0])
+    monkeypatch.setattr(ngram_join, "DENSE_FROM", limits[1])
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 40, 60, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.random(60) < rng.choice([0.2, 0.9, 0.97])], rng.integers(0, 200, rng.integers(1, 6), dtype=np.uint64)])) for _ in range(60)]
+    for left, right in ((list(range(60)), list(range(60))), (list(range(0, 60, 3)), list(range(1, 60, 2)))):
+        for percent in (50, 85):
+            got = {(x, y) for x, y in zip(*ngram_join._product(sets, left, right, percent)) if x != y}
+            want = {(x, y) for x in left for y in right if x != y and 100 * len(both := np.intersect1d(sets[x], sets[y])) >= percent * (len(sets[x]) + len(sets[y]) - len(both))}
+            assert got == want and want
+
+
 def test_signatures_lose_no_link():
     rng = np.random.default_rng(2)
     for percent in (50, 80, 85):
