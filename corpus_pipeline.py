@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from corvane.llm import bpe, decontaminate, line_dedup, ngram_join, quality_rules
-from corvane.sources.shared import materialize
+from corvane.sources.shared import mark, materialize, release
 from corvane.sources.tables import table
 
 
@@ -46,7 +46,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, began = table(spark, sf_dir, "documents"), mark()
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        release(spark, began)  # each stage's result stands on its own once it is written
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corvane.plans import governance
+from corvane.plans.fixtures import literal, values
 from corvane.sources.tables import table
 from corvane.streaming import runs
 
@@ -29,7 +30,15 @@ def stream_windowed_counts(spark, folder):
     return runs.run_available(counts, ["start", "event_type"], ["n"], "window-counts").select(F.col("start").cast("date").alias("day"), "event_type", "n")
 
 
+def stream_dictionary(spark, folder):
+    """Clients named in a stream, entered into the dictionary as they come; which number each gets depends on that, all numbers together do not."""
+    named = runs.events_stream(spark, folder).select(F.concat(F.lit("Client "), F.col("user_id") % 40).alias("surface"), F.lit("CLIENT_NAME").alias("entity_type"))
+    grown = runs.grow_dictionary(named, literal(spark, "dictionary"), "dictionary")
+    return grown.groupBy("entity_type").agg(F.countDistinct("surface").alias("surfaces"), F.array_join(F.array_sort(F.collect_list("token")), ",").alias("tokens"))
+
+
 ORACLE = {
+    "stream_dictionary": "SELECT entity_type, count(DISTINCT surface)::BIGINT AS surfaces, string_agg(token, ',' ORDER BY token) AS tokens FROM (" + governance.allocated("SELECT DISTINCT 'Client ' || (user_id % 40) AS surface, 'CLIENT_NAME' AS kind, 'CLIENT' AS p FROM events", f"(SELECT list(token) FROM {values('dictionary')} d)") + ") t GROUP BY entity_type",
     "stream_run_status": governance.ORACLE["run_status_latest"],
     "stream_stale": governance.ORACLE["stale_runs"],
     "stream_windowed_counts": "SELECT ts::DATE AS day, event_type, count(*)::BIGINT AS n FROM events GROUP BY ALL",

@@ -32,11 +32,27 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+def mark() -> int:
+    """How many paths have been handed out; for release()."""
+    return len(_handed_out)
+
+
+def release(spark: SparkSession, since: int) -> None:
+    """Delete the intermediate tables handed out from the mark on, but for the last: what that one holds no longer needs them."""
+    _delete(spark, _handed_out[since:-1])
+    del _handed_out[since:-1]
+
+
 def clear(spark: SparkSession) -> None:
     """Delete the intermediate tables of this process; call it once all results have been read."""
+    _delete(spark, _handed_out)
+    _handed_out.clear()
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _handed_out:
-        path = jvm.org.apache.hadoop.fs.Path(_handed_out.pop())
+    for name in paths:
+        path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
 
 

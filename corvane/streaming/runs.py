@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from corvane.operators.lifecycle import RESTING, STALE_MINUTES, status_of
+from corvane.operators.upkeep import entities_created
 from corvane.sources.shared import new_folder
 
 _STATE = "ts timestamp, event_id long, status string"
@@ -77,6 +78,26 @@ def run_available(stream: DataFrame, keys: list[str], order: list[str], name: st
     return rows.groupBy(*keys).agg(*[F.max_by(c, newest).alias(c) for c in stream.columns if c not in keys])
 
 
+def grow_dictionary(stream: DataFrame, dictionary: DataFrame, name: str) -> DataFrame:
+    """(surface, entity_type, token) of all new surfaces of a stream (surface, entity_type).
+
+    Each batch meets the dictionary as the batches before it have left it, and
+    enters what it lacks. A replayed batch sees the same state and overwrites
+    its own part.
+    """
+    spark = stream.sparkSession
+    target, checkpoint = new_folder(spark, name), new_folder(spark, f"{name}-checkpoint")
+
+    def write(batch: DataFrame, number: int) -> None:
+        known = dictionary.select("surface", "token")
+        if number:
+            known = known.unionByName(spark.read.parquet(target).where(F.col("part") < number).select("surface", "token"))
+        entities_created(known, batch).write.mode("overwrite").parquet(f"{target}/part={number}")
+
+    stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(target).select("surface", "entity_type", "token")
+
+
 def stale(states: DataFrame, now, minutes: int = STALE_MINUTES) -> DataFrame:
     """Runs at work that had no event for the limit."""
     return states.where(~F.col("status").isin(*RESTING) & (F.col("updated_at") < F.lit(now) - F.expr(f"INTERVAL {minutes} MINUTES")))
