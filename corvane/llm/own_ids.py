@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corvane.sources.shared import materialize
 
+#: Stands for a null id and sorts after all others; a document that really has this id counts as one without.
 NO_ID = (1 << 63) - 1
 _KEY = ["_own_doc", "_own_h1", "_own_h2"]
 

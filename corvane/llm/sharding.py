@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.sources.shared import materialize
@@ -26,11 +26,15 @@ HASH_BITS = 60
 ROUND_BITS = 16
 
 
-def hashed(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes and h: 60 bits of the md5 of the id, or of the text where the id is null."""
+def _hash() -> Column:
+    """60 bits of the md5 of the id, or of the text where the id is null."""
     key = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.concat(F.lit("text:"), F.coalesce("text", F.lit(""))))
-    h = F.conv(F.substring(F.md5(key.cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), h.alias("h"))
+    return F.conv(F.substring(F.md5(key.cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long")
+
+
+def hashed(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes and h, the document's hash."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), _hash().alias("h"))
 
 
 def _cell(bits: int):
@@ -53,6 +57,10 @@ def assign(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     with one id share a shard; rows with null ids are placed by their text; an
     empty table gives no rows. Other columns are not read.
     """
+    return _assigned(docs, shard_bytes).drop("h")
+
+
+def _assigned(docs: DataFrame, shard_bytes: int) -> DataFrame:
     rows = materialize(hashed(docs), "hashed")
     total = rows.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("n")).first()["n"]
     low, high, parts = 0, min(HASH_BITS, max(0, math.ceil(math.log2(max(1, total / shard_bytes)))) + 1), []
@@ -70,10 +78,10 @@ def assign(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     for part in parts[1:]:
         out = out.unionByName(part)
     bits = F.when(F.col("depth") == 0, F.lit("")).otherwise(F.call_function("lpad", F.bin("prefix"), F.col("depth"), F.lit("0")))
-    return out.select("doc_id", "n_bytes", bits.alias("shard"), F.col("depth").cast("int").alias("depth"), "shard_bytes")
+    return out.select("doc_id", "n_bytes", "h", bits.alias("shard"), F.col("depth").cast("int").alias("depth"), "shard_bytes")
 
 
 def write_shards(docs: DataFrame, path: str, shard_bytes: int = SHARD_BYTES) -> None:
-    """Write the documents, with all their columns, as one folder per shard."""
-    shards = assign(docs, shard_bytes).where("doc_id is not null").select("doc_id", "shard").distinct()
-    docs.withColumn("doc_id", F.col("doc_id").cast("long")).join(shards, "doc_id", "left").repartition("shard").write.partitionBy("shard").parquet(path)
+    """Write the documents, with all their columns, as one folder per shard; rows meet their shard by their hash, null ids too."""
+    shards = _assigned(docs, shard_bytes).select(F.col("h").alias("_h"), "shard").distinct()
+    docs.withColumn("_h", _hash()).join(shards, "_h").drop("_h").repartition("shard").write.partitionBy("shard").parquet(path)

@@ -43,6 +43,7 @@ def every_operator(spark, docs):
         "rules": quality_rules.digest(docs, labels(spark, [])),
         "lines": line_dedup.digest(docs),
         "lines removed": line_dedup.remove_lines(docs),
+        "several edits": line_dedup.digest(docs, 2, 20, 1),
         "near": ngram_join.components(docs),
         "classifier": quality_classifier.digest(docs, labels(spark, [])),
         "benchmark": decontaminate.digest(docs, bench),
@@ -84,6 +85,36 @@ def test_different_texts_without_or_under_one_id(spark):
     assert got(kept.select("doc_id", "text")) == want({n: (t,) for n, t in numbered if near[n][1] == n}) and kept.columns == frame.columns
 
 
+def test_filters_and_files_take_odd_rows(spark, tmp_path):
+    """Filters keep rows as they are, or drop them by their rule; files hold every row that has an id."""
+    for name, docs, left in (("odd", odd(spark), len(ODD)), ("empty", empty(spark), 0)):
+        assert quality_rules.keep_good(docs, labels(spark, [])).collect() == []  # all are under 50 words
+        kept = ngram_join.keep_first(docs)
+        # Of the texts under 8, 8 and 9 the first stays, with its equal row; those without words stay.
+        assert kept.columns == docs.columns and kept.count() == (left - 1 if left else 0)
+        sharding.write_shards(docs.drop("bucket"), str(tmp_path / f"{name}-shards"), 5)
+        if left:
+            back = spark.read.parquet(str(tmp_path / f"{name}-shards"))
+            assert sorted(str(r["text"]) for r in back.collect()) == sorted(str(t) for _, t in ODD)
+        token_files.write(token_files.encode(docs, public_tokenizers.path("word_bpe_49k.json"), 2), str(tmp_path / name), "delta")
+        assert token_files.checksums(token_files.read(spark, str(tmp_path / name))).count() == left
+
+
+def test_models_hold_out(spark):
+    """Floors on the held-out quarter of the labels: the rules' verdict, and the classifier's label and order."""
+    folder = "/root/testdata/sf0.1"
+    docs, marks = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    label = {r["doc_id"]: r["quality"] for r in marks.where("quality is not null").collect() if zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2}
+    rules = {r["doc_id"]: r["kept"] for r in quality_rules.digest(docs, marks).collect()}
+    scores = {r["doc_id"]: (r["score"], r["predicted"]) for r in quality_classifier.digest(docs, marks).collect()}
+    own = [d for d in label if d in rules]
+    assert len(own) > 500
+    assert sum(rules[d] == bool(label[d]) for d in own) / len(own) > 0.93
+    assert sum(scores[d][1] == label[d] for d in own) / len(own) > 0.94
+    good, bad = ([scores[d][0] for d in own if label[d] == y] for y in (1, 0))
+    assert np.mean(np.array(good)[:, None] > np.array(bad)[None, :]) > 0.92
+
+
 def test_empty_tables(spark):
     for name, df in every_operator(spark, empty(spark)).items():
         assert df.collect() == [], name
