@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # States in which a run rests, and minutes without an update after which others are stale.
 RESTING = ("pending", "awaiting_review", "completed", "completed_with_issues", "failed", "rejected")
 STALE_MINUTES = 15
-#: USD per thousand tokens, in and out.
+# USD per thousand tokens, in and out.
 PRICE_IN, PRICE_OUT = 0.003, 0.015
 
 
@@ -50,9 +55,40 @@ def chained(runs: DataFrame) -> DataFrame:
     return due.join(have, "run_id", "left_anti").select(F.col("run_id").alias("parent"), F.lit("tagging").alias("agent"), F.lit("pending").alias("status"))
 
 
-def last_json(text: Column) -> Column:
-    """The last fenced block that parses as an object, else the widest braces, as JSON text; null if neither parses."""
-    fenced = F.transform(F.regexp_extract_all(text, F.lit(r"(?s)```(?:json)?\s*(.*?)```"), F.lit(1)), lambda x: F.trim(x))
-    good = F.filter(fenced, lambda x: F.get_json_object(x, "$").startswith("{"))
-    wide = F.regexp_extract(text, r"(?s)\{.*\}", 0)
-    return F.coalesce(F.get(good, F.size(good) - 1), F.when(F.get_json_object(wide, "$").isNotNull(), wide))
+_FENCED = re.compile(r"```(?:json)?\s*(.*?)```", re.DOTALL)
+
+
+def _object(text: str) -> dict | None:
+    try:
+        found = json.loads(text)
+    except ValueError:
+        return None
+    return found if isinstance(found, dict) else None
+
+
+def _last_object(text: str) -> dict | None:
+    for block in reversed(_FENCED.findall(text)):
+        if (found := _object(block.strip())) is not None:
+            return found
+    wide = text[text.find("{") : text.rfind("}") + 1]
+    if not wide.startswith("{") or (found := _object(wide)) is not None:
+        return found if wide.startswith("{") else None
+    # An answer may repeat its schema first and hang the rest on with a comma.
+    try:
+        first, end = json.JSONDecoder().raw_decode(wide)
+    except ValueError:
+        return None
+    more = wide[end:].strip()
+    second = _object("{" + more[1:]) if more.startswith(",") else None
+    return first | second if isinstance(first, dict) and second is not None else None
+
+
+@F.pandas_udf(T.StringType())
+def last_json(texts: pd.Series) -> pd.Series:
+    """The last fenced block that parses as an object, else the widest braces, else two objects glued by a comma as one, as JSON text; null if none parses.
+
+    Whether a whole text is one JSON object is not told by Spark's functions, which pass over what follows, hence Arrow batches.
+    """
+    found = [None if t is None else _last_object(t) for t in texts]
+    return pd.Series([None if x is None else json.dumps(x) for x in found], dtype=object)
+

@@ -111,11 +111,13 @@ def residual_message(description: Column, matched: Column, read: Column) -> Colu
     return F.coalesce(F.nullif(F.trim(description), F.lit("")), F.nullif(matched, F.lit("")), F.nullif(F.array_join(read, ", "), F.lit("")), F.lit("client identity in an image"))
 
 
-def alt_text_entities(items: DataFrame, own: Column, known: Column, identifier: Column, limit: float = 0.6) -> DataFrame:
-    """(text) rows with entity and confidence by the first rung that holds: dictionary, first identifier at 0.9, the text itself below the limit.
+def alt_text_entities(items: DataFrame, own: Column, known: Column, identifier: Column, merged: Column | None = None, skipped: Column | None = None, limit: float = 0.6) -> DataFrame:
+    """(text) rows with entity and confidence by the first rung that holds: already merged, dictionary, first identifier at 0.9, the text itself below the limit.
 
-    Short texts and the firm's own names are left out.
+    Short texts, the firm's own names and skipped terms are left out.
     """
-    confidence = F.when(known.isNotNull(), 1.0).when(identifier.isNotNull(), 0.9).otherwise(min(0.5, limit - 0.01))
-    rows = items.where((F.length(F.trim("text")) >= 2) & ~F.coalesce(own, F.lit(False)))
-    return rows.withColumn("entity", F.coalesce(known, identifier, F.trim("text"))).withColumn("confidence", confidence)
+    named = known if merged is None else F.coalesce(merged, known)
+    confidence = F.when(named.isNotNull(), 1.0).when(identifier.isNotNull(), 0.9).otherwise(min(0.5, limit - 0.01))
+    gone = F.coalesce(own, F.lit(False)) | (F.lit(False) if skipped is None else F.coalesce(skipped, F.lit(False)))
+    rows = items.where((F.length(F.trim("text")) >= 2) & ~gone)
+    return rows.withColumn("entity", F.coalesce(named, identifier, F.trim("text"))).withColumn("confidence", confidence)

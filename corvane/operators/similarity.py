@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.operators.components import connected_components
+from corvane.operators.ranking import ranked, running
 
 CONFIDENT, UNCERTAIN, MERGE, CLUSTER_CAP = 4, 10, 10, 150
 
@@ -122,12 +123,26 @@ def near_any(items: DataFrame, references: DataFrame, limit: int = CONFIDENT) ->
 
 
 def merged_clusters(members: DataFrame) -> DataFrame:
-    """Per component: highest confidence, any flag, all places, the nearest logo, the primary member; numbered from 0."""
+    """Per component: highest confidence, any flag, all places, the nearest logo, the primary member, what was read first and each text once in order; numbered from 0 by first place."""
     primary = F.struct(F.col("confidence"), -F.col("idx"))
+    read = F.array_sort(F.collect_list(F.when(F.col("ocr").isNotNull(), F.struct("idx", "ocr"))))
     merged = members.groupBy("component").agg(
-        F.max("confidence").alias("confidence"), F.bool_or("flagged").alias("flagged"), F.array_join(F.array_sort(F.collect_set("idx")), ",").alias("indices"), F.max_by("idx", primary).alias("primary_idx"), F.min("logo_distance").alias("logo_distance"), F.min_by("ocr", F.when(F.col("ocr").isNotNull(), F.col("idx"))).alias("ocr"),
+        F.max("confidence").alias("confidence"),
+        F.bool_or("flagged").alias("flagged"),
+        F.array_join(F.array_sort(F.collect_set("idx")), ",").alias("indices"),
+        F.max_by("idx", primary).alias("primary_idx"),
+        F.min("logo_distance").alias("logo_distance"),
+        F.min_by("ocr", F.when(F.col("ocr").isNotNull(), F.col("idx"))).alias("ocr"),
+        F.array_join(F.array_distinct(F.transform(read, lambda x: x["ocr"])), ",").alias("ocrs"),
+        F.min("idx").alias("first"),
     )
-    return merged
+    return running(ranked(merged, "first"), F.sum, number=F.lit(1)).withColumn("number", F.col("number") - 1).drop("first", "_at")
+
+
+def mandatory_images(matches: DataFrame, entities: DataFrame, limit: int = CONFIDENT) -> DataFrame:
+    """probe of the matches (probe, ref, distance, entity_id) that must be covered: within ``limit`` bits of a logo whose entity (entity_id, status) is approved."""
+    approved = entities.where("status = 'approved'").select("entity_id").distinct()
+    return matches.where(F.col("distance") <= limit).join(approved, "entity_id", "left_semi").select("probe").distinct()
 
 
 def identity_rules(rows: DataFrame, ocr_match: Column, own_firm: Column) -> DataFrame:

@@ -169,6 +169,8 @@ def conversation_last_json(spark, folder):
     turns = table(spark, folder, "conversations")
     last = turns.groupBy("conv_id").agg(F.max_by("text", "turn").alias("text"), F.max("turn").alias("turn"))
     reply = F.concat(F.lit('schema ```json {"a": 1} ``` answer ```json {"turn": '), F.col("turn").cast("string"), F.lit("} ```"))
+    glued = F.concat(F.lit('echo {"schema": {"turn": 0}}, "turn": '), F.col("turn").cast("string"), F.lit("} end"))
+    reply = F.when(F.col("conv_id") % 3 == 1, glued).otherwise(reply)
     return last.select("conv_id", F.get_json_object(lifecycle.last_json(reply), "$.turn").cast("long").alias("turn"), F.length("text").cast("long").alias("n_chars"))
 
 

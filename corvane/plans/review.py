@@ -47,7 +47,8 @@ def alt_text_ladder(spark, folder):
     titles = channels.page_channels(table(spark, folder, "pages")).where("channel = 'metadata'").select("page_id", F.col("item").cast("long").alias("item"), "text")
     known = F.when(F.col("text").rlike(surface_regex("of the")), "of the").when(F.col("text").rlike(surface_regex("the")), "the")
     number = F.nullif(F.regexp_extract("text", r"\d{4,}", 0), F.lit(""))
-    return scrub.alt_text_entities(titles, detect.own_firm(F.col("text"), OWN_FIRM), known, number).select("page_id", "item", "entity", "confidence")
+    merged, skipped = F.when(F.col("page_id") % 9 == 0, "merged"), F.col("page_id") % 11 == 0
+    return scrub.alt_text_entities(titles, detect.own_firm(F.col("text"), OWN_FIRM), known, number, merged, skipped).select("page_id", "item", "entity", "confidence")
 
 
 def entity_merges(spark, folder):
@@ -132,7 +133,7 @@ ORACLE = {
     "brand_keys": "SELECT s_suppkey, lower(trim(regexp_replace(replace(s_name, '#', '  ' || chr(10) || ' '), '\\s+', ' ', 'g'))) AS brand FROM supplier",
     "phrase_places": f"WITH w AS MATERIALIZED (SELECT doc_id, {_WORDS} AS ws FROM documents) " + " UNION ALL ".join(map(_phrase, ("of the", "the", "and the"))),
     "masked_runs": f"SELECT doc_id, {_replaced('text', lambda s, t: t)} AS masked FROM documents WHERE text IS NOT NULL",
-    "alt_text_ladder": f"""SELECT page_id, item::BIGINT AS item, CASE WHEN a THEN 'of the' WHEN b THEN 'the' WHEN n <> '' THEN n ELSE trim(text, ' ') END AS entity, CASE WHEN a OR b THEN 1.0 WHEN n <> '' THEN 0.9 ELSE 0.5 END::DOUBLE AS confidence FROM (SELECT *, regexp_matches(text, '(?i)(^|[^A-Za-z0-9])of\\s+the([^A-Za-z0-9]|$)') AS a, regexp_matches(text, '(?i)(^|[^A-Za-z0-9])the([^A-Za-z0-9]|$)') AS b, regexp_extract(text, '\\d{{4,}}') AS n FROM {_PAGE} p WHERE channel = 'metadata' AND length(trim(text, ' ')) >= 2 AND NOT regexp_matches(text, '(?i)(^|[^A-Za-z0-9])(anon|firm)([^A-Za-z0-9]|$)'))""",
+    "alt_text_ladder": f"""SELECT page_id, item::BIGINT AS item, CASE WHEN page_id % 9 = 0 THEN 'merged' WHEN a THEN 'of the' WHEN b THEN 'the' WHEN n <> '' THEN n ELSE trim(text, ' ') END AS entity, CASE WHEN page_id % 9 = 0 OR a OR b THEN 1.0 WHEN n <> '' THEN 0.9 ELSE 0.5 END::DOUBLE AS confidence FROM (SELECT *, regexp_matches(text, '(?i)(^|[^A-Za-z0-9])of\\s+the([^A-Za-z0-9]|$)') AS a, regexp_matches(text, '(?i)(^|[^A-Za-z0-9])the([^A-Za-z0-9]|$)') AS b, regexp_extract(text, '\\d{{4,}}') AS n FROM {_PAGE} p WHERE channel = 'metadata' AND page_id % 11 <> 0 AND length(trim(text, ' ')) >= 2 AND NOT regexp_matches(text, '(?i)(^|[^A-Za-z0-9])(anon|firm)([^A-Za-z0-9]|$)'))""",
     "entity_merges": "SELECT s_name AS surface, CASE WHEN s_suppkey % 7 = 1 THEN s_suppkey - 1 ELSE s_suppkey END AS entity, s_suppkey % 7 = 2 AS missed FROM supplier",
     "run_mask_map": f"SELECT run_id, surface, token FROM (SELECT l_orderkey AS run_id, CASE WHEN l_partkey % 2 = 0 THEN upper(l_returnflag) ELSE lower(l_returnflag) END AS surface, l_partkey % 9 AS e FROM lineitem WHERE l_partkey % 9 <> 0 QUALIFY row_number() OVER (PARTITION BY l_orderkey, lower(l_returnflag) ORDER BY l_linenumber, l_partkey) = 1) o JOIN (SELECT entity_id, arg_min(token, alias_id) AS token FROM {_D} d GROUP BY entity_id) t ON t.entity_id = o.e",
     "redacted_images": "SELECT label AS group_id, vec_id AS idx FROM embeddings WHERE label <> 1 UNION ALL SELECT 1, arg_min(vec_id, md5(vec_id::VARCHAR)) FROM embeddings WHERE label = 1",

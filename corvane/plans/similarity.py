@@ -89,9 +89,11 @@ def image_identity_rules(spark, folder):
 
 def image_approval(spark, folder):
     """Redacted images: flagged and not excluded by the reviewer, opted in, or mandatory."""
-    rows = _judged(spark, folder)
-    excluded, included, mandatory = F.col("vec_id") % 7 == 0, F.col("vec_id") % 11 == 0, F.coalesce(F.col("logo_distance") <= similarity.CONFIDENT, F.lit(False))
-    return rows.where((F.col("identity") & ~excluded) | included | mandatory).select("vec_id")
+    matches = hamming_matches(spark, folder).withColumn("entity_id", (F.col("ref") / 100).cast("int") % 8 + 1)
+    must = similarity.mandatory_images(matches, literal(spark, "dictionary"), NEAR).select(F.col("probe").alias("vec_id"), F.lit(True).alias("mandatory"))
+    rows = _judged(spark, folder).join(must, "vec_id", "left")
+    excluded, included = F.col("vec_id") % 7 == 0, F.col("vec_id") % 11 == 0
+    return rows.where((F.col("identity") & ~excluded) | included | F.col("mandatory")).select("vec_id")
 
 
 _BITS = "list_aggregate(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), 'string_agg', '')"
@@ -120,9 +122,9 @@ UNION ALL SELECT g, i, idx, CASE WHEN place IS NULL THEN list_append(heads, bits
 (SELECT h.g, h.i, h.vec_id AS idx, heads, bits, list_position(list_transform(heads, lambda x: list_sum(list_transform(generate_series(1, 64), lambda k: (x[k] <> bits[k])::INT)) <= {NEAR}), true) AS place FROM r JOIN h ON h.g = r.g AND h.i = r.i + 1))
 SELECT g AS owner, idx, (place - 1)::INTEGER AS cluster, place <= 150 AS scanned FROM r WHERE i > 0""",
     "similarity_components": f"SELECT * FROM {_COMPONENTS} c",
-    "merged_clusters": f"SELECT component, max(confidence) AS confidence, bool_or(flagged) AS flagged, string_agg(idx, ',' ORDER BY idx) AS indices, arg_max(idx, confidence * 1000000 - idx) AS primary_idx, min(distance)::INTEGER AS logo_distance, arg_min(ocr, idx) FILTER (ocr IS NOT NULL) AS ocr FROM (SELECT c.component, c.node AS idx, v.flagged, v.confidence::DOUBLE AS confidence, v.ocr, b.distance FROM {_COMPONENTS} c JOIN {values('verdicts')} v ON v.label = c.node % 10 LEFT JOIN {_BEST} b ON b.probe = c.node) GROUP BY component",
+    "merged_clusters": f"WITH m AS MATERIALIZED (SELECT c.component, c.node AS idx, v.flagged, v.confidence::DOUBLE AS confidence, v.ocr, b.distance FROM {_COMPONENTS} c JOIN {values('verdicts')} v ON v.label = c.node % 10 LEFT JOIN {_BEST} b ON b.probe = c.node) SELECT component, max(confidence) AS confidence, bool_or(flagged) AS flagged, string_agg(idx, ',' ORDER BY idx) AS indices, arg_max(idx, confidence * 1000000 - idx) AS primary_idx, min(distance)::INTEGER AS logo_distance, arg_min(ocr, idx) FILTER (ocr IS NOT NULL) AS ocr, coalesce((SELECT string_agg(o, ',' ORDER BY i) FROM (SELECT q.ocr AS o, min(q.idx) AS i FROM m q WHERE q.component = m.component AND q.ocr IS NOT NULL GROUP BY q.ocr)), '') AS ocrs, row_number() OVER (ORDER BY min(idx)) - 1 AS number FROM m GROUP BY component",
     "memo_misses": "SELECT label AS run_id, count(DISTINCT vec_id)::BIGINT AS misses FROM embeddings WHERE label % 2 <> 0 GROUP BY label",
     "image_identity_rules": f"SELECT vec_id, identity, round(c, 3) AS confidence, judgment FROM {_RULES} r",
-    "image_approval": f"SELECT vec_id FROM {_RULES} r WHERE (identity AND vec_id % 7 <> 0) OR vec_id % 11 = 0 OR sure",
+    "image_approval": f"SELECT vec_id FROM {_RULES} r WHERE (identity AND vec_id % 7 <> 0) OR vec_id % 11 = 0 OR vec_id IN (SELECT probe FROM {_PAIRS} p JOIN {values('dictionary')} d ON d.entity_id = ref // 100 % 8 + 1 WHERE d.status = 'approved')",
 }
 QUERIES = {name: globals()[name] for name in ORACLE}
