@@ -126,6 +126,45 @@ def test_surfaces_without_ascii_tokens_collide(spark):
     assert got == {("Bank of 東京都 East", 2), ("ΟΔΟΣ ΑΒ", 3), ("Plain name", 5)}
 
 
+def test_occurrence_rows_equal_a_plain_restatement(spark, small):
+    from corvane.plans import masking
+    from corvane.plans.fixtures import approved, literal
+
+    entity: dict[str, int] = {}
+    for r in literal(spark, "dictionary").where("status = 'approved'").collect():
+        entity[r["surface"].lower()] = min(r["entity_id"], entity.get(r["surface"].lower(), r["entity_id"]))
+    want = set()
+    for r in spark.read.parquet(f"{small}/documents.parquet").where("text is not null").collect():
+        want |= {(r["doc_id"], a, b, r["text"][a:b], entity.get(r["text"][a:b].lower())) for a, b in claimed(r["text"], approved())}
+    rows = [tuple(r) for r in masking.occurrence_rows(spark, small).select("doc_id", "start", "stop", "surface", "entity_id").collect()]
+    assert len(rows) == len(want) and set(rows) == want
+
+
+def test_json_objects_glued_by_a_comma(spark):
+    cases = {'x {"a": 1}, "b": {"c": 2}} y': '{"a": 1, "b": {"c": 2}}', 'x {"a": 1}, "a": 2}': '{"a": 2}', '{"a": 1} and {"b": 2}': None, "none": None, "```json\n[1]\n``` {}": "{}", '```{"a": 1}``` ```broken``` {"b": 2}': '{"a": 1}'}
+    rows = spark.createDataFrame([(t,) for t in [*cases, None]], "t string").select("t", lifecycle.last_json("t").alias("x")).collect()
+    assert {r["t"]: r["x"] for r in rows} == cases | {None: None}
+
+
+def test_parts_of_any_size_and_what_hangs_on_them(spark):
+    import io
+    import zipfile
+
+    from corvane.sources import chunks
+
+    line = "<w:p><w:r><w:t>" + "long " * 400_000 + "</w:t></w:r></w:p>"
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="urn:w"><w:body>{line * 40}</w:body></w:document>')
+        z.writestr("word/endnotes.xml", '<w:endnotes xmlns:w="urn:w"><w:p><w:r><w:t>end</w:t></w:r></w:p></w:endnotes>')
+        z.writestr("word/footnotes.xml", '<w:footnotes xmlns:w="urn:w"><w:p><w:r><w:t>foot</w:t></w:r></w:p></w:footnotes>')
+        z.writestr("word/header1.xml", "<broken")
+    files = spark.createDataFrame([("big.docx", out.getvalue()), ("bad.docx", b"no zip")], "path string, content binary")
+    got = {(r["path"], r["kind"], r["chunk_id"]): len(r["text"]) for r in chunks.text_chunks(packages.parts(files)).collect()}
+    eight = 8 * 2_000_000 + 7 * 2
+    assert got == {("big.docx", "paragraph_group", n): eight for n in range(5)} | {("big.docx", "notes", -3): len("foot\nend")}
+
+
 def inserted_one_by_one(new, tokens):
     """The rule as it reads: each insert counts what its pattern matches, then goes on to a free number."""
     tokens, out = list(tokens), {}
