@@ -21,7 +21,9 @@ BYTE_VALUE = _RNG.integers(1, 1 << 63, 256, dtype=U64) * U64(2) + U64(1)
 BYTE_VALUE = (BYTE_VALUE & U64(0xFFFFFFFFFFFFFE00)) | (np.arange(256, dtype=U64) << U64(1)) | U64(1)
 BASE = int(_RNG.integers(1 << 62, 1 << 63)) * 2 + 1
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
-
+PIECE = 64
+#: A random value for each byte at each place of a piece.
+PLACED_BYTE = _RNG.integers(0, 1 << 64, PIECE * 256, dtype=U64)
 
 
 def byte_of(symbols: np.ndarray) -> np.ndarray:
@@ -107,15 +109,24 @@ def words(data: np.ndarray, offsets: np.ndarray, kept: np.ndarray) -> tuple[np.n
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
+    """A 64-bit hash of the bytes of each word (or line), none of them empty.
+
+    Each byte counts by a random value of itself and its place in a piece of
+    ``PIECE`` bytes, and pieces count by a mixed value of themselves and their
+    number: no sum of powers, whose collisions can be written down.
+    """
     if not len(starts):
         return np.zeros(0, U64)
     lengths = ends - starts
-    before = np.cumsum(lengths) - lengths
-    at = np.arange(int(lengths.sum())) - np.repeat(before, lengths)
-    letters = BYTE_VALUE[data[at + np.repeat(starts, lengths)]]
-    letters *= powers(BASE, int(lengths.max()))[at]
-    return mix(np.add.reduceat(letters, before) + lengths.astype(U64))
+    pieces = (lengths + (PIECE - 1)) // PIECE
+    of, nth = spread(pieces)
+    begin = starts[of] + PIECE * nth
+    size = np.minimum(ends[of] - begin, PIECE)
+    before = np.cumsum(size) - size
+    place = np.arange(int(size.sum())) - np.repeat(before, size)
+    letters = PLACED_BYTE[(place << 8) | data[place + np.repeat(begin, size)]]
+    sums = mix(np.add.reduceat(letters, before) + nth.astype(U64) * U64(0x9E3779B97F4A7C15))
+    return mix(np.add.reduceat(sums, np.cumsum(pieces) - pieces) + lengths.astype(U64))
 
 
 def gram_hashes(symbols: np.ndarray, k: int) -> np.ndarray:
@@ -136,7 +147,7 @@ def gram_hashes(symbols: np.ndarray, k: int) -> np.ndarray:
 
 
 def span_hashes(symbols: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of symbols[begin:end] for each pair, whatever the place."""
+    """Hash of symbols[begin:end] for each pair, whatever the place; the symbols are mixed hashes, not raw bytes."""
     sums = np.zeros(len(symbols) + 1, U64)
     np.cumsum(symbols * powers(BASE, len(symbols)), out=sums[1:])
     return mix((sums[end] - sums[begin]) * powers(BASE_INVERSE, len(symbols) + 1)[begin] + (end - begin).astype(U64))
@@ -168,7 +179,7 @@ def winnow(symbols: np.ndarray, bounds: np.ndarray, window: int, k: int) -> dict
     stand. Consecutive windows with one anchor form a run: ``doc`` (row),
     ``low`` and ``high`` (first and last window start within the text), ``at``
     (anchor within the text), ``anchor`` (its hash), ``span`` (hash of all the
-    symbols the run's windows cover).
+    k-grams, and so of all the symbols, that the run's windows cover).
     """
     counts = np.maximum(np.diff(bounds) - window + 1, 0)
     none = {name: np.zeros(0, kind) for name, kind in (("doc", np.int64), ("low", np.int64), ("high", np.int64), ("at", np.int64), ("anchor", U64), ("span", U64))}
@@ -186,7 +197,7 @@ def winnow(symbols: np.ndarray, bounds: np.ndarray, window: int, k: int) -> dict
     final = np.append(first[1:], len(at)) - 1
     low, high, at, doc = start[first], start[final], at[first], doc[first]
     base = bounds[:-1][doc]
-    return {"doc": doc, "low": low - base, "high": high - base, "at": at - base, "anchor": grams[at], "span": span_hashes(symbols, low, high + window)}
+    return {"doc": doc, "low": low - base, "high": high - base, "at": at - base, "anchor": grams[at], "span": span_hashes(grams, low, high + (window - k + 1))}
 
 
 def covered(n: int, begin: np.ndarray, end: np.ndarray) -> np.ndarray:

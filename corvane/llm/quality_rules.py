@@ -75,7 +75,7 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     lines_of = np.searchsorted(offsets, first, "right") - 1
     said = np.searchsorted(starts, last) > np.searchsorted(starts, first)
     first, last, lines_of = first[said], last[said], lines_of[said]
-    line_key = K.mix(K.span_hashes(K.BYTE_VALUE[data], first, last) ^ K.mix(lines_of.astype(K.U64) + K.U64(1)))
+    line_key = K.mix(K.word_hashes(data, first, last) ^ K.mix(lines_of.astype(K.U64) + K.U64(1)))
     _, seen = np.unique(line_key, return_index=True)
     n_lines = np.bincount(lines_of, minlength=n)
     n_dup_lines = n_lines - np.bincount(lines_of[seen], minlength=n)
