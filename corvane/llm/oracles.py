@@ -61,6 +61,54 @@ s AS (SELECT doc_id, depth, sum(n_bytes) OVER (PARTITION BY depth, left(bits, de
 d AS (SELECT doc_id, min(depth) AS depth, arg_min(size, depth) AS size FROM s WHERE size <= {SHARD_BYTES} OR depth = {HASH_BITS} GROUP BY doc_id)
 SELECT doc_id, n_bytes, left(bits, d.depth) AS shard, d.depth::INTEGER AS depth, size::BIGINT AS shard_bytes FROM h JOIN d USING (doc_id)"""
 
+LEXICAL_SEARCH = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, {_PLAIN.format("coalesce(text, '')")} AS ws FROM documents),
+p AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf, any_value(n) AS n FROM (SELECT doc_id, len(ws) AS n, unnest(ws) AS term FROM d) GROUP BY doc_id, term),
+total AS (SELECT count(*) AS docs, sum(len(ws))::BIGINT AS length FROM d WHERE len(ws) > 0),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM p GROUP BY term), total),
+asked AS (SELECT DISTINCT item_id, unnest({_PLAIN.format("coalesce(text, '')")}) AS term FROM benchmark),
+each AS (SELECT item_id, doc_id, w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // length))) AS score FROM asked JOIN p USING (term) JOIN w USING (term), total),
+summed AS (SELECT item_id, doc_id, sum(score)::BIGINT AS score FROM each GROUP BY item_id, doc_id HAVING sum(score) > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM summed) WHERE rank <= 50"""
+
+# DuckDB has no CRC-32: the checksum of an ASCII key, bit by bit.
+_BITS = "flatten(list_transform(generate_series(1, length(key)), lambda i: list_transform(generate_series(0, 7), lambda b: ((ascii(key[i]) >> b) & 1)::BIGINT)))"
+_CRC = f"xor(list_reduce(list_prepend(4294967295::BIGINT, {_BITS}), lambda c, b: xor(c >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295)"
+_NEXT = "CASE WHEN q = 2 THEN 3 ELSE 2 END"
+CONVERSATION_REPAIR = rf"""
+WITH RECURSIVE src AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+hurt AS MATERIALIZED (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy FROM (SELECT *, {_CRC} % 20 AS kind FROM src) WHERE kind <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth, lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS last_role FROM hurt),
+t AS MATERIALIZED (SELECT *, left(role, 1) AS r, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][ 	-]*$') THEN 'truncated' ELSE 'fine' END AS fault FROM placed),
+n AS MATERIALIZED (SELECT conv_id, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (last_role IS NOT NULL AND left(last_role, 1) || r NOT IN ('su', 'ua', 'au')) AS illegal FROM t GROUP BY conv_id),
+step AS MATERIALIZED (SELECT *, fault IN ('fine', 'truncated') AS free, (fault = 'truncated')::INT AS late FROM t),
+back(conv_id, i, v0, v1, v2, v3) AS (
+  SELECT conv_id, n, 0, 4, 2, 0 FROM n
+  UNION ALL
+  SELECT conv_id, i, least(w0, 2 + c2), least(w1, 2 + c2), c2, c3 FROM (SELECT conv_id, i, w0, w1, least(w2, 2 + w3) AS c2, least(w3, 2 + w2) AS c3 FROM (
+    SELECT b.conv_id, b.i - 1 AS i,
+      least(3 + v0, CASE WHEN free AND r = 's' THEN late + v1 WHEN free AND r = 'u' THEN late + v2 END, CASE WHEN free THEN 2 + late + v2 END) AS w0,
+      least(3 + v1, CASE WHEN free AND r = 'u' THEN late + v2 END, CASE WHEN free THEN 2 + late + v2 END) AS w1,
+      least(3 + v2, CASE WHEN free AND r = 'a' THEN late + v3 END, CASE WHEN free THEN 2 + late + v3 END) AS w2,
+      least(3 + v3, CASE WHEN free AND r = 'u' THEN late + v2 END, CASE WHEN free THEN 2 + late + v2 END) AS w3
+    FROM back b JOIN step s ON s.conv_id IS NOT DISTINCT FROM b.conv_id AND s.i = b.i))),
+v AS MATERIALIZED (SELECT b.conv_id, b.i + 1 AS i, [v0, v1, v2, v3] AS now, s.role, s.text, s.r, s.late, s.free, n.n FROM back b JOIN n ON n.conv_id IS NOT DISTINCT FROM b.conv_id LEFT JOIN step s ON s.conv_id IS NOT DISTINCT FROM b.conv_id AND s.i = b.i + 1),
+fwd(conv_id, i, q, audit, made) AS (
+  SELECT conv_id, 1::BIGINT, 0, '', []::VARCHAR[] FROM n
+  UNION ALL
+  SELECT conv_id, CASE WHEN e = 'I' THEN i ELSE i + 1 END, CASE e WHEN 'D' THEN q WHEN 'K' THEN CASE r WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END ELSE {_NEXT} END, audit || e,
+    CASE e WHEN 'D' THEN made WHEN 'K' THEN list_append(made, role || ':' || text) WHEN 'I' THEN list_append(made, CASE WHEN q = 2 THEN 'assistant:' ELSE 'user:' END) ELSE list_append(made, CASE WHEN q = 2 THEN 'assistant:' ELSE 'user:' END || text) END
+  FROM (SELECT f.*, v.r, v.role, v.text,
+      CASE WHEN v.i <= v.n AND 3 + z.now[q + 1] = v.now[q + 1] THEN 'D'
+        WHEN 2 + v.now[{_NEXT} + 1] = v.now[q + 1] THEN 'I'
+        WHEN v.i <= v.n AND v.free AND ((q = 0 AND v.r = 's' AND v.late + z.now[2] = v.now[1]) OR (q IN (0, 1, 3) AND v.r = 'u' AND v.late + z.now[3] = v.now[q + 1]) OR (q = 2 AND v.r = 'a' AND v.late + z.now[4] = v.now[3])) THEN 'K'
+        WHEN v.i <= v.n THEN 'R' END AS e
+    FROM fwd f JOIN v ON v.conv_id IS NOT DISTINCT FROM f.conv_id AND v.i = f.i LEFT JOIN v z ON z.conv_id IS NOT DISTINCT FROM f.conv_id AND z.i = f.i + 1) WHERE e IS NOT NULL),
+done AS (SELECT f.conv_id, arg_max(audit, length(audit)) AS audit, arg_max(made, length(audit)) AS made FROM fwd f GROUP BY f.conv_id)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+  coalesce(v.now[1], 0)::BIGINT AS cost, coalesce(done.audit, '') AS audit, sha256(coalesce(array_to_string(done.made, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN done ON done.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN v ON v.conv_id IS NOT DISTINCT FROM c.conv_id AND v.i = 1"""
+
 ORACLE = {
     "op1_substring_dedup": SUBSTRING_DEDUP,
     "op3_line_dedup": LINE_DEDUP,
@@ -68,4 +116,6 @@ ORACLE = {
     "op5_suffix_array_dedup": SUFFIX_ARRAY,
     "op7_benchmark_decontamination": DECONTAMINATION,
     "op8_sharding": SHARDING,
+    "op11_lexical_search": LEXICAL_SEARCH,
+    "op12_conversation_repair": CONVERSATION_REPAIR,
 }

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import bpe, decontaminate, line_dedup, ngram_join, oracles, quality_classifier, quality_rules, repeats, sharding, suffixes, token_files
+from corvane.llm import bpe, conversation_repair, decontaminate, lexical_search, line_dedup, ngram_join, oracles, quality_classifier, quality_rules
+from corvane.llm import repeats, sharding, simhash, suffixes, token_files
 from corvane.sources.tables import table
 
 
@@ -54,6 +55,18 @@ def op10_byte_level_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digest(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical_search.ranked(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return conversation_repair.digest(conversation_repair.damage(table(spark, folder, "conversations")))
+
+
+def op13_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.digest(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -67,6 +80,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_sharding,
         op9_token_files,
         op10_byte_level_bpe,
+        op11_lexical_search,
+        op12_conversation_repair,
+        op13_document_fingerprints,
     )
 }
 
