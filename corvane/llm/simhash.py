@@ -22,16 +22,19 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm import kernels as K
 from corvane.sources.shared import materialize
 
 BITS, SHINGLE = 256, 5
+#: Whole texts that pass between Spark and a worker at once.
+BATCH_ROWS = 500
 LANES = BITS // 4
 #: Terms that are summed before 16-bit lanes could overflow: weights are at most 2 * 32.
 RUN = 1000
@@ -211,6 +214,18 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _pairs(r["part"], [(r["doc_id"], r["text"], r["fingerprint"]), (None, r["next_text"], r["next_print"])])
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of so many rows for what is planned and run inside."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def digest(docs: DataFrame) -> DataFrame:
     """One row per document for the contract of operator 13.
 
@@ -222,7 +237,8 @@ def digest(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
     order = [F.desc_nulls_last("doc_id"), F.desc("tie"), F.desc("text")]
     ranges = texts.repartitionByRange(partitions, *order[:2]).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
-    done = materialize(ranges.select("doc_id", "text", "part").mapInArrow(_along, _DONE), "fingerprints")
+    with batches_of(docs.sparkSession, BATCH_ROWS):
+        done = materialize(ranges.select("doc_id", "text", "part").mapInArrow(_along, _DONE), "fingerprints")
 
     heads = done.where(F.col("edge") == HEAD).select("part", F.col("text").alias("next_text"), F.col("fingerprint").alias("next_print"))
     tails = done.where(F.col("edge") == TAIL).select("part", "doc_id", "text", "fingerprint")
