@@ -60,16 +60,25 @@ def term_requests(vocabulary: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def terms_decided(vocabulary: DataFrame, decisions: DataFrame) -> DataFrame:
-    """The vocabulary after decisions (category, value, decision): approve sets the status, delete takes the term out."""
-    rows = vocabulary.join(decisions.select("category", "value", "decision"), ["category", "value"], "left").where(~F.coalesce(F.col("decision") == "delete", F.lit(False)))
-    return rows.select("category", "value", F.when(F.col("decision") == "approve", "approved").otherwise(F.col("status")).alias("status"))
+    """The vocabulary after decisions (category, value, decision): approve sets the status, delete takes the term out for good."""
+    asked = decisions.groupBy("category", "value").agg(F.bool_or(F.col("decision") == "delete").alias("gone"), F.bool_or(F.col("decision") == "approve").alias("approved"))
+    rows = vocabulary.join(asked, ["category", "value"], "left").where(~F.coalesce("gone", F.lit(False)))
+    return rows.select("category", "value", F.when(F.col("approved"), "approved").otherwise(F.col("status")).alias("status"))
 
 
 def statuses_decided(entities: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Entities (entity_id, status) after (entity_id, decision, account): approve may link an account, skip, or unskip back to waiting."""
-    decided = F.when(F.col("decision") == "approve", "approved").when(F.col("decision") == "skip", "skipped").when(F.col("decision") == "unskip", "pending_approval")
-    rows = entities.join(decisions.select("entity_id", "decision", F.col("account").alias("linked")), "entity_id", "left")
-    return rows.select("entity_id", F.coalesce(decided, "status").alias("status"), F.when(F.col("decision") == "approve", F.col("linked")).alias("account"))
+    """Entities (entity_id, status, account) after (entity_id, decision, account, seq), taken in order of ``seq``.
+
+    approve may link an account, and keeps the stored one where it names none;
+    skip; unskip goes back to waiting. The last decision sets the status.
+    """
+    status = F.when(F.col("decision") == "approve", "approved").when(F.col("decision") == "skip", "skipped").when(F.col("decision") == "unskip", "pending_approval")
+    linked = F.when(F.col("decision") == "approve", F.col("account"))
+    # max_by passes over rows whose order is null, so only what decides something counts.
+    last = decisions.groupBy("entity_id").agg(
+        F.max_by(status, F.when(status.isNotNull(), F.col("seq"))).alias("decided"), F.max_by(linked, F.when(linked.isNotNull(), F.col("seq"))).alias("linked")
+    )
+    return entities.join(last, "entity_id", "left").select("entity_id", F.coalesce("decided", "status").alias("status"), F.coalesce("linked", "account").alias("account"))
 
 
 def entities_created(dictionary: DataFrame, seen: DataFrame) -> DataFrame:
@@ -120,7 +129,7 @@ def image_occurrences(groups: DataFrame) -> DataFrame:
 
 def first_known(strings: DataFrame, dictionary: DataFrame, own: Column, identifier: str) -> DataFrame:
     """(key, entity, surface): of the strings (key, ord, text) of each key, the first that the dictionary (surface, entity) knows or that is an identifier; the firm's own are skipped."""
-    rows = strings.where(~F.coalesce(own, F.lit(False))).withColumn("said", normalized_ascii(F.col("text")))
+    rows = strings.where(~F.coalesce(own, F.lit(False)) & (F.trim("text") != "")).withColumn("said", normalized_ascii(F.col("text")))
     known = dictionary.select(normalized_ascii(F.col("surface")).alias("said"), "entity").groupBy("said").agg(F.min("entity").alias("entity"))
     hits = rows.join(known, "said", "left").where(F.col("entity").isNotNull() | F.col("text").rlike(identifier))
     first = hits.groupBy("key").agg(F.min_by(F.struct("entity", "text"), "ord").alias("x"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corvane.functions.patterns import sign_hash, surface_regex
@@ -51,12 +52,29 @@ def alt_text_ladder(spark, folder):
     return scrub.alt_text_entities(titles, detect.own_firm(F.col("text"), OWN_FIRM), known, number, merged, skipped).select("page_id", "item", "entity", "confidence")
 
 
+def _merge_input(spark, folder):
+    """A nation's suppliers are one run's entities, some twice; merges make chains both ways, cycles, misses and blanks."""
+    rows = table(spark, folder, "supplier").select(F.col("s_nationkey").alias("run_id"), F.col("s_suppkey").alias("entity"), "s_name")
+    place = F.row_number().over(Window.partitionBy("run_id").orderBy("entity"))
+    rows = rows.withColumn("place", place.cast("long")).withColumn("kind", F.col("entity") % 6)
+    entities = rows.select("run_id", "entity", "place", (F.col("place") * 2).alias("ord"), F.when(F.col("kind") == 3, F.upper("s_name")).otherwise(F.col("s_name")).alias("surface"))
+    again = entities.where("entity % 5 = 0").select("run_id", (F.col("entity") + 1000000).alias("entity"), "place", (F.col("ord") + 1).alias("ord"), "surface")
+    target = F.when(F.col("kind") == 1, F.col("place") - 1).when(F.col("kind") == 2, F.col("place") - 1).when(F.col("kind") == 4, F.col("place") + 1).when(F.col("kind") == 5, F.greatest(F.col("place") - 1, F.lit(1)))
+    names = rows.select("run_id", F.col("place").alias("target"), F.concat(F.lit(" "), F.lower("s_name")).alias("canonical"))
+    merges = rows.withColumn("target", target).where("kind in (1, 2, 4, 5)").join(names, ["run_id", "target"], "left")
+    canonical = F.when(F.col("entity") % 9 == 4, " ").otherwise(F.coalesce("canonical", F.lit("nobody")))
+    merges = merges.join(entities.select("run_id", "entity", "surface"), ["run_id", "entity"]).select("run_id", "surface", canonical.alias("canonical"))
+    return entities.unionByName(again).select("run_id", "ord", "surface", "entity"), merges
+
+
 def entity_merges(spark, folder):
-    """Of every seven suppliers one is merged into its neighbour, and one into a name that nobody has."""
-    entities = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("entity"), F.col("s_name").alias("surface"))
-    named = lambda key: F.format_string("supplier#%09d", key)
-    canonical = F.when(F.col("entity") % 7 == 1, named(F.col("entity") - 1)).when(F.col("entity") % 7 == 2, F.lit("nobody"))
-    return review.merged_surfaces(entities, entities.select(F.upper("surface").alias("surface"), canonical.alias("canonical")).where("canonical is not null"))
+    return review.merged_surfaces(*_merge_input(spark, folder)).select("run_id", "surface", "entity", "missed")
+
+
+def merge_aliases(spark, folder):
+    """What the merges add to the aliases; the first run's surfaces are aliases already."""
+    entities, merges = _merge_input(spark, folder)
+    return review.merge_aliases(review.merged_surfaces(entities, merges), entities.where("run_id = 0").select("surface"))
 
 
 def run_mask_map(spark, folder):
@@ -127,6 +145,20 @@ def _phrase(phrase: str) -> str:
     return f"SELECT doc_id, '{phrase}' AS phrase, count(*)::BIGINT AS n FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws))) AS i FROM w) WHERE {tests} AND ({last} IN ('{words[-1]}', '{words[-1]}''s', '{words[-1]}’s')) GROUP BY doc_id"
 
 
+_NAME_KEY = r"regexp_replace(regexp_replace(trim(lower({}), ' '), '[^\w@.\s-]', '', 'g'), '\s+', ' ', 'g')"
+#: The rule taken step by step: the surfaces of a run in order, with a map of what has been resolved so far.
+_MERGES = """WITH RECURSIVE s AS (SELECT s_nationkey AS run_id, s_suppkey AS entity, s_name, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS place, s_suppkey % 6 AS kind FROM supplier),
+one AS (SELECT *, CASE WHEN kind = 3 THEN upper(s_name) ELSE s_name END AS surface, CASE kind WHEN 1 THEN place - 1 WHEN 2 THEN place - 1 WHEN 4 THEN place + 1 WHEN 5 THEN greatest(place - 1, 1) END AS target FROM s),
+e AS MATERIALIZED (SELECT run_id, place * 2 AS ord, surface, entity FROM one UNION ALL SELECT run_id, place * 2 + 1, surface, entity + 1000000 FROM one WHERE entity % 5 = 0),
+m AS (SELECT a.run_id, a.surface, CASE WHEN a.entity % 9 = 4 THEN '' ELSE coalesce(lower(b.s_name), 'nobody') END AS canonical FROM one a LEFT JOIN one b ON b.run_id = a.run_id AND b.place = a.target WHERE a.kind IN (1, 2, 4, 5)),
+q AS MATERIALIZED (SELECT e.*, nullif(m.canonical, '') AS canonical, row_number() OVER (PARTITION BY e.run_id ORDER BY nullif(m.canonical, '') IS NOT NULL, ord) AS p FROM e LEFT JOIN m USING (run_id, surface)),
+walk(run_id, p, state, surface, entity, missed, merged) AS (
+  SELECT run_id, 0::BIGINT, MAP([''], [-1::BIGINT]), '', -1::BIGINT, false, false FROM (SELECT DISTINCT run_id FROM q)
+  UNION ALL
+  SELECT run_id, p, map_concat(state, MAP([lower(surface)], [got])), surface, got, canonical IS NOT NULL AND found IS NULL, found IS NOT NULL FROM (
+    SELECT w.run_id, q.p, w.state, q.surface, q.canonical, w.state[q.canonical] AS found, coalesce(w.state[q.canonical], q.entity) AS got FROM walk w JOIN q ON q.run_id = w.run_id AND q.p = w.p + 1)),
+done AS (SELECT * FROM walk WHERE p > 0)"""
+
 ORACLE = {
     "clear_identity_fields": r"""SELECT page_id, md5(regexp_replace(regexp_replace(html, '(?s)(<title(?: [^>]*)?>).*?(</title>)', '\1\2', 'g'), '\b((?:\w+:)?content=)"[^"]*"', '\1""', 'g')) AS digest FROM pages""",
     "scrub_hyperlinks": f"SELECT page_id, count(*) FILTER (text <> {_replaced('text', lambda s, t: t)})::BIGINT AS changed FROM {_PAGE} p WHERE channel = 'hyperlinks' GROUP BY page_id",
@@ -134,7 +166,8 @@ ORACLE = {
     "phrase_places": f"WITH w AS MATERIALIZED (SELECT doc_id, {_WORDS} AS ws FROM documents) " + " UNION ALL ".join(map(_phrase, ("of the", "the", "and the"))),
     "masked_runs": f"SELECT doc_id, {_replaced('text', lambda s, t: t)} AS masked FROM documents WHERE text IS NOT NULL",
     "alt_text_ladder": f"""SELECT page_id, item::BIGINT AS item, CASE WHEN page_id % 9 = 0 THEN 'merged' WHEN a THEN 'of the' WHEN b THEN 'the' WHEN n <> '' THEN n ELSE trim(text, ' ') END AS entity, CASE WHEN page_id % 9 = 0 OR a OR b THEN 1.0 WHEN n <> '' THEN 0.9 ELSE 0.5 END::DOUBLE AS confidence FROM (SELECT *, regexp_matches(text, '(?i)(^|[^A-Za-z0-9])of\\s+the([^A-Za-z0-9]|$)') AS a, regexp_matches(text, '(?i)(^|[^A-Za-z0-9])the([^A-Za-z0-9]|$)') AS b, regexp_extract(text, '\\d{{4,}}') AS n FROM {_PAGE} p WHERE channel = 'metadata' AND page_id % 11 <> 0 AND length(trim(text, ' ')) >= 2 AND NOT regexp_matches(text, '(?i)(^|[^A-Za-z0-9])(anon|firm)([^A-Za-z0-9]|$)'))""",
-    "entity_merges": "SELECT s_name AS surface, CASE WHEN s_suppkey % 7 = 1 THEN s_suppkey - 1 ELSE s_suppkey END AS entity, s_suppkey % 7 = 2 AS missed FROM supplier",
+    "entity_merges": f"{_MERGES} SELECT run_id, surface, arg_max(entity, p) AS entity, arg_max(missed, p) AS missed FROM done GROUP BY run_id, surface",
+    "merge_aliases": f"{_MERGES}, last AS (SELECT run_id, surface, arg_max(entity, p) AS entity, arg_max(merged, p) AS merged FROM done GROUP BY run_id, surface) SELECT arg_min(entity, (surface, entity)) AS entity, min(surface) AS surface FROM (SELECT surface, entity, {_NAME_KEY.format('surface')} AS k FROM last WHERE merged) n WHERE k NOT IN (SELECT {_NAME_KEY.format('surface')} FROM e WHERE run_id = 0) GROUP BY k",
     "run_mask_map": f"SELECT run_id, surface, token FROM (SELECT l_orderkey AS run_id, CASE WHEN l_partkey % 2 = 0 THEN upper(l_returnflag) ELSE lower(l_returnflag) END AS surface, l_partkey % 9 AS e FROM lineitem WHERE l_partkey % 9 <> 0 QUALIFY row_number() OVER (PARTITION BY l_orderkey, lower(l_returnflag) ORDER BY l_linenumber, l_partkey) = 1) o JOIN (SELECT entity_id, arg_min(token, alias_id) AS token FROM {_D} d GROUP BY entity_id) t ON t.entity_id = o.e",
     "redacted_images": "SELECT label AS group_id, vec_id AS idx FROM embeddings WHERE label <> 1 UNION ALL SELECT 1, arg_min(vec_id, md5(vec_id::VARCHAR)) FROM embeddings WHERE label = 1",
     "surviving_images": "SELECT vec_id AS idx FROM embeddings WHERE label = 2 AND vec_id % 3 = 0",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corvane.functions.patterns import ACCOUNT, UNICODE
 from corvane.operators import detect, lifecycle, scrub, similarity, upkeep
 from corvane.plans import detection, governance, review
 from corvane.plans import similarity as images
@@ -55,16 +56,22 @@ def term_requests(spark, folder):
 
 
 def terms_decided(spark, folder):
-    decisions = spark.sql("SELECT * FROM VALUES ('domain', 'de', 'approve'), ('domain', 'it', 'approve'), ('technology', 'src1', 'delete') AS t(category, value, decision)")
-    terms = term_requests(spark, folder).unionByName(spark.sql("SELECT 'domain' AS category, 'xx' AS value, 'pending_approval' AS status"))
-    return upkeep.terms_decided(terms, decisions)
+    """Terms from the documents; every nation's name and language decides on some, more than once."""
+    docs = table(spark, folder, "documents")
+    kinds = docs.select(F.lit("technology").alias("category"), F.col("source").alias("value"), "doc_id").unionByName(docs.select(F.lit("domain").alias("category"), F.col("lang").alias("value"), "doc_id"))
+    decision = F.when(F.col("doc_id") % 97 == 5, "delete").when(F.col("doc_id") % 3 == 1, "approve")
+    decisions = kinds.where("category = 'domain' or doc_id % 2 = 0").select("category", "value", decision.alias("decision")).where("decision is not null and value <> 'en'")
+    return upkeep.terms_decided(term_requests(spark, folder), decisions)
 
 
 def statuses_decided(spark, folder):
+    """A supplier's status and nation, decided on by the orders of the customer with its number, in order of their keys."""
     status = F.element_at(F.array(*[F.lit(x) for x in ("pending_approval", "approved", "skipped")]), (F.col("s_suppkey") % 3 + 1).cast("int"))
-    entities = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("entity_id"), status.alias("status"), "s_nationkey")
-    decision = F.when(F.col("entity_id") % 4 == 0, "approve").when(F.col("entity_id") % 4 == 1, "skip").when(F.col("entity_id") % 4 == 2, "unskip")
-    return upkeep.statuses_decided(entities, entities.select("entity_id", decision.alias("decision"), F.when(F.col("entity_id") % 8 == 0, F.col("s_nationkey")).alias("account")).where("decision is not null"))
+    entities = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("entity_id"), status.alias("status"), F.when(F.col("s_suppkey") % 2 == 0, F.col("s_nationkey")).alias("account"))
+    decision = F.element_at(F.array(*[F.lit(x) for x in ("approve", "skip", "unskip", "look")]), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    linked = F.when(F.col("o_orderkey") % 8 == 0, F.col("o_custkey").cast("int") % 25)
+    decisions = table(spark, folder, "orders").select(F.col("o_custkey").alias("entity_id"), decision.alias("decision"), linked.alias("account"), F.col("o_orderkey").alias("seq"))
+    return upkeep.statuses_decided(entities, decisions)
 
 
 def entities_created(spark, folder):
@@ -112,11 +119,20 @@ def _said(spark, folder):
     return table(spark, folder, "conversations").select("conv_id", "turn", F.posexplode(words).alias("ord", "text"))
 
 
+def _read(spark, folder):
+    """What is read on an image for each turn: its words, at the end a number, and for some, before all, one of the own firm's or a number."""
+    said = _said(spark, folder).select("conv_id", "turn", F.col("ord").cast("long").alias("ord"), "text")
+    number = F.lit(700000) + F.col("conv_id") * 10 + F.col("turn")
+    first = F.when(F.col("conv_id") % 4 == 0, F.concat(F.lit("Anon "), number)).when(F.col("conv_id") % 4 == 1, F.concat(F.lit(" AB-"), number)).when(F.col("conv_id") % 4 == 2, F.lit(" "))
+    ends = F.array(F.struct(F.lit(-1).cast("long").alias("ord"), first.alias("text")), F.struct(F.lit(1000000).cast("long").alias("ord"), number.cast("string").alias("text")))
+    planted = table(spark, folder, "conversations").select("conv_id", "turn", F.inline(ends)).where("text is not null")
+    return said.unionByName(planted).withColumn("key", F.concat_ws("-", "conv_id", "turn"))
+
+
 def first_known(spark, folder):
-    """The first name that each turn of a conversation says."""
+    """The first name or number that is read on the image of each turn of a conversation."""
     names = literal(spark, "dictionary").where("status = 'approved'").select("surface", F.col("entity_id").alias("entity"))
-    strings = _said(spark, folder).withColumn("key", F.concat_ws("-", "conv_id", "turn"))
-    return upkeep.first_known(strings, names, detect.own_firm(F.col("text"), OWN_FIRM), r"\\d{6,}")
+    return upkeep.first_known(_read(spark, folder), names, detect.own_firm(F.col("text"), OWN_FIRM), UNICODE + ACCOUNT)
 
 
 def readable_fragments(spark, folder):
@@ -251,6 +267,8 @@ _IMAGES = f"(SELECT key, sum(size)::BIGINT AS n FROM (SELECT DISTINCT vec_id //
 _ALT = f"(SELECT lower(entity) AS key, count(*)::BIGINT AS n FROM ({review.ORACLE['alt_text_ladder']}) a GROUP BY ALL)"
 _TEXT = f"(SELECT surface AS key, sum(occurrences)::BIGINT AS n FROM ({detection.ORACLE['occurrence_counts']}) o GROUP BY ALL)"
 _SAID = "(SELECT conv_id, turn, unnest(w) AS text, generate_subscripts(w, 1) AS i FROM (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '[ \\n]+'), lambda x: x <> '') AS w FROM conversations))"
+_NUMBER = "(700000 + conv_id * 10 + turn)"
+_READ = f"(SELECT conv_id || '-' || turn AS key, i, text FROM {_SAID} w UNION ALL SELECT conv_id || '-' || turn, 1000000, {_NUMBER}::VARCHAR FROM conversations UNION ALL SELECT conv_id || '-' || turn, -1, CASE conv_id % 4 WHEN 0 THEN 'Anon ' || {_NUMBER} WHEN 1 THEN ' AB-' || {_NUMBER} ELSE ' ' END FROM conversations WHERE conv_id % 4 < 3)"
 _NOT_OWN = "NOT regexp_matches(text, '(?i)(^|[^A-Za-z0-9])(anon|firm)([^A-Za-z0-9]|$)')"
 _COVER = f"(SELECT vec_id, vec_id % 10 = 3 OR len(list_filter(embedding, lambda x: abs(90 * x::DOUBLE) <= 15)) > 0.85::DOUBLE * len(embedding) AS cover FROM embeddings)"
 _MERGED = f"""(WITH RECURSIVE h AS MATERIALIZED {images._H}, e AS MATERIALIZED (SELECT a.vec_id AS x, b.vec_id AS y FROM h a, h b WHERE {images._D} <= {images.WIDE} OR (a.vec_id % 13 = 0 AND b.vec_id % 13 = 0 AND a.vec_id % 7 = b.vec_id % 7) OR (a.vec_id % 17 = 0 AND b.vec_id % 17 = 0 AND a.vec_id % 5 = b.vec_id % 5)),
@@ -264,8 +282,8 @@ ORACLE = {
     "role_changes": f"SELECT user_id, seq, coalesce(lag(role) OVER (PARTITION BY user_id ORDER BY seq), {_ROLE}) AS old, role FROM {_ROLES} q JOIN customer ON c_custkey = user_id",
     "roles_after": f"SELECT c_custkey AS user_id, coalesce(final, {_ROLE}) AS role FROM customer LEFT JOIN (SELECT user_id, arg_max(role, seq) AS final FROM {_ROLES} q GROUP BY user_id) l ON user_id = c_custkey",
     "term_requests": f"SELECT * FROM {_TERMS} t",
-    "terms_decided": f"SELECT category, value, CASE WHEN category = 'domain' AND value IN ('de', 'it') THEN 'approved' ELSE status END AS status FROM (SELECT * FROM {_TERMS} t UNION ALL SELECT 'domain', 'xx', 'pending_approval') WHERE NOT (category = 'technology' AND value = 'src1')",
-    "statuses_decided": "SELECT s_suppkey AS entity_id, CASE s_suppkey % 4 WHEN 0 THEN 'approved' WHEN 1 THEN 'skipped' WHEN 2 THEN 'pending_approval' ELSE ['pending_approval', 'approved', 'skipped'][s_suppkey % 3 + 1] END AS status, CASE WHEN s_suppkey % 8 = 0 THEN s_nationkey END AS account FROM supplier",
+    "terms_decided": f"SELECT category, value, CASE WHEN approved THEN 'approved' ELSE status END AS status FROM {_TERMS} t LEFT JOIN (SELECT category, value, bool_or(doc_id % 97 = 5) AS gone, bool_or(doc_id % 97 <> 5 AND doc_id % 3 = 1) AS approved FROM (SELECT 'technology' AS category, source AS value, doc_id FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT 'domain', lang, doc_id FROM documents) k WHERE value <> 'en' AND (doc_id % 97 = 5 OR doc_id % 3 = 1) GROUP BY ALL) d USING (category, value) WHERE NOT coalesce(gone, false)",
+    "statuses_decided": "SELECT s_suppkey AS entity_id, coalesce(d.status, ['pending_approval', 'approved', 'skipped'][s_suppkey % 3 + 1]) AS status, coalesce(d.account, CASE WHEN s_suppkey % 2 = 0 THEN s_nationkey END)::INTEGER AS account FROM supplier LEFT JOIN (SELECT o_custkey, arg_max(['approved', 'skipped', 'pending_approval'][o_orderkey % 4 + 1], o_orderkey) FILTER (o_orderkey % 4 < 3) AS status, arg_max(o_custkey % 25, o_orderkey) FILTER (o_orderkey % 8 = 0) AS account FROM orders GROUP BY o_custkey) d ON o_custkey = s_suppkey",
     "entities_created": governance.allocated(f"SELECT *, {governance.PREFIX_OF} FROM (SELECT min(surface) AS surface, min(entity_type) AS kind FROM (SELECT surface, entity_type, {detection._KEY.format('surface')} AS key FROM ({detection._CAND})) WHERE key NOT IN (SELECT {detection._KEY.format('surface')} FROM {values('dictionary')} d) GROUP BY key)", f"(SELECT list(token) FROM {values('dictionary')} d)"),
     "references_stored": "SELECT label AS entity_id, count(*)::BIGINT AS n FROM embeddings WHERE vec_id % 2 = 0 GROUP BY label",
     "step_order": "SELECT run_id, seq, coalesce(CASE WHEN l_partkey % 5 = 0 THEN l_linenumber + 100 END, place + (SELECT count(*) FROM lineitem b WHERE b.l_orderkey = run_id AND b.l_linenumber <= 2))::BIGINT AS step_order FROM (SELECT l_orderkey AS run_id, l_linenumber * 10000000 + l_partkey AS seq, l_partkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber * 10000000 + l_partkey) AS place FROM lineitem WHERE l_linenumber > 2) n",
@@ -273,7 +291,7 @@ ORACLE = {
     "image_occurrences": f"SELECT * FROM {_IMAGES} i",
     "alt_text_occurrences": f"SELECT * FROM {_ALT} a",
     "total_occurrences": f"SELECT key, sum(t)::BIGINT AS in_text, sum(i)::BIGINT AS in_images, sum(a)::BIGINT AS in_alt, sum(t + i + a)::BIGINT AS total FROM (SELECT key, n AS t, 0 AS i, 0 AS a FROM {_TEXT} x UNION ALL SELECT key, 0, n, 0 FROM {_IMAGES} y UNION ALL SELECT key, 0, 0, n FROM {_ALT} z) GROUP BY key",
-    "first_known": f"SELECT conv_id || '-' || turn AS key, arg_min(entity, i) AS entity, arg_min(text, i) AS surface FROM (SELECT s.*, coalesce(d.entity, -1) AS entity FROM {_SAID} s LEFT JOIN (SELECT {detection._KEY.format('surface')} AS k, min(entity_id) AS entity FROM {values('dictionary')} d WHERE status = 'approved' GROUP BY ALL) d ON d.k = {detection._KEY.format('text')} WHERE {_NOT_OWN} AND (d.entity IS NOT NULL OR regexp_matches(text, '\\d{{6,}}'))) h GROUP BY ALL",
+    "first_known": f"SELECT key, nullif(arg_min(entity, i), -1) AS entity, arg_min(text, i) AS surface FROM (SELECT s.*, coalesce(d.entity, -1) AS entity FROM {_READ} s LEFT JOIN (SELECT {detection._KEY.format('surface')} AS k, min(entity_id) AS entity FROM {values('dictionary')} d WHERE status = 'approved' GROUP BY ALL) d ON d.k = {detection._KEY.format('text')} WHERE {_NOT_OWN} AND (d.entity IS NOT NULL OR regexp_matches(text, '\\b([A-Z]{{2,}}-?\\d{{4,}}|\\d{{6,}})\\b'))) h GROUP BY key",
     "readable_fragments": f"SELECT conv_id, count(*)::BIGINT AS n FROM {_SAID} s WHERE length(text) >= 2 AND NOT regexp_full_match(text, '\\d+') AND {_NOT_OWN} AND {detection._KEY.format('text')} NOT IN (SELECT {detection._KEY.format('surface')} FROM {values('dictionary')} d WHERE status = 'skipped') GROUP BY ALL",
     "placeholders": f"SELECT * FROM {_COVER} c",
     "residual_images": f"SELECT group_id, idx FROM ({review.ORACLE['redacted_images']}) r WHERE idx NOT IN (SELECT vec_id FROM {_COVER} c WHERE cover)",
