@@ -96,11 +96,16 @@ def _bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(TERM_BUCKETS)).cast("int")
 
 
-def index(docs: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
-    """The written postings in their term buckets; of the terms in ``wanted`` (term) alone, if given."""
+def index(docs: DataFrame, wanted: DataFrame | None = None, small: bool = False) -> DataFrame:
+    """The written postings in their term buckets; of the terms in ``wanted`` (term) alone, if given.
+
+    ``small``: the caller has measured ``wanted``, and it may be broadcast, so
+    that no posting is shuffled; otherwise Spark chooses.
+    """
     rows = postings(docs)
     if wanted is not None:
-        rows = rows.join(wanted.select("term").distinct().unionByName(docs.sparkSession.createDataFrame([(WHOLE,)], "term string")), "term", "left_semi")
+        terms = wanted.select("term").distinct().unionByName(docs.sparkSession.createDataFrame([(WHOLE,)], "term string"))
+        rows = rows.join(F.broadcast(terms) if small else terms, "term", "left_semi")
     return materialize(rows.withColumn("bucket", _bucket(F.col("term"))).sortWithinPartitions("bucket", "term"), "postings")
 
 
@@ -121,9 +126,9 @@ def weights(posted: DataFrame) -> DataFrame:
 def ranked(docs: DataFrame, items: DataFrame, k: int = TOP, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """item_id, rank, doc_id and score of each item's k highest-scoring documents with a score above 0."""
     asked = materialize(item_terms(items), "item-terms")
-    posted = index(docs, asked)
-    known = materialize(weights(posted), "weights")
     size = asked.agg(F.coalesce(F.sum(F.octet_length("term") + 16), F.lit(0)).alias("b")).first()["b"]
+    posted = index(docs, asked, 2 * size <= block_bytes)
+    known = materialize(weights(posted), "weights")
     n_blocks = max(1, -(-2 * size // block_bytes))
     parts = [_scored(posted, known, asked.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == i), k) for i in range(n_blocks)]
     return reduce(DataFrame.unionByName, parts)
