@@ -21,9 +21,15 @@ sets as connected components.
    multiplied block by block, accumulating overlap counts; pairs below the
    overlap that their sizes ask for are discarded, and what is emitted is a
    spanning forest of the links, never the pairs.
-4. Large groups are first multiplied along a chain of blocks. Only documents
-   outside the group's main component then meet all others, so thousands of near
-   copies of one text do not meet pair by pair.
+4. Large groups are first multiplied along a chain of blocks, so thousands of
+   near copies of one text do not meet pair by pair. Where that leaves several
+   components, the group is blocked anew by rarer evidence: the n-grams of each
+   set are put in order of how many sets of a sample of the group hold them,
+   and only as many of the rarest are indexed as linked sets must share one of.
+   Sets of different components that meet in such a column, and whose sizes and
+   places there allow a link, are verified: first each with its column's first
+   set, then, of what is still apart, all. A template that the group shares is
+   in no such column, so its documents do not meet at all.
 """
 
 from __future__ import annotations
@@ -333,19 +339,17 @@ def _spans(counts: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
 
 
 def _multiplied(percent: int):
-    """Spanning forests of the links within each task's blocks; side 0 meets side 0 and 1, unless only sides 0 and 1 meet."""
+    """Spanning forests of the links within each task's blocks."""
 
     def run(table: pa.Table) -> pa.Table:
-        task, side, doc = (table.column(c).to_numpy() for c in ("task", "side", "doc_id"))
+        task, doc = (table.column(c).to_numpy() for c in ("task", "doc_id"))
         sets = [np.frombuffer(g, K.U64) for g in table.column("grams").to_pylist()]
         a, b = [], []
-        order = np.lexsort((doc, side, task))
+        order = np.lexsort((doc, task))
         cut = np.flatnonzero(np.r_[True, task[order][1:] != task[order][:-1]]).tolist()
         for x, y in zip(cut, [*cut[1:], len(order)]):
             members = order[x:y].tolist()
-            left = [m for m in members if side[m] == 0]
-            right = [m for m in members if side[m] == 1]
-            i, j = _product(sets, left, right or left, percent)
+            i, j = _product(sets, members, members, percent)
             a += doc[i].tolist()
             b += doc[j].tolist()
         a, b = np.array(a, np.int64), np.array(b, np.int64)
@@ -356,7 +360,7 @@ def _multiplied(percent: int):
 
 
 def _run_tasks(tasks: DataFrame, percent: int, slots: int) -> DataFrame:
-    bucketed = tasks.select("task", "side", "doc_id", "grams").withColumn("bucket", F.pmod("task", F.lit(4 * slots)))
+    bucketed = tasks.select("task", "doc_id", "grams").withColumn("bucket", F.pmod("task", F.lit(4 * slots)))
     return bucketed.groupBy("bucket").applyInArrow(_multiplied(percent), "a long, b long")
 
 
@@ -403,36 +407,138 @@ def _linked(classes: DataFrame, grams: DataFrame, percent: int, slots: int) -> D
 
     # Small groups are one task. Large ones go along a chain: block i with block i + 1 of its
     # class, and the first blocks of neighbouring classes.
-    tasks = light.join(whole.where(small).select("candidate"), "candidate").select(F.xxhash64("candidate").alias("task"), F.lit(0).alias("side"), "doc_id")
+    tasks = light.join(whole.where(small).select("candidate"), "candidate").select(F.xxhash64("candidate").alias("task"), "doc_id")
     placed = light.join(by_class, ["candidate", "c"]).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     some_large = not by_class.isEmpty()
     if some_large:
         ring = F.array_distinct(F.array(F.col("block"), F.pmod(F.col("block") - 1, F.col("blocks"))))
         chain = F.transform(ring, lambda i: F.xxhash64(F.lit("ring"), "candidate", "c", i))
         steps = F.when(F.col("block") == 0, F.transform(F.array(F.col("c"), F.col("c") - 1), lambda c: F.xxhash64(F.lit("step"), "candidate", c))).otherwise(F.expr("cast(array() as array<bigint>)"))
-        tasks = tasks.unionByName(placed.select(F.explode(F.concat(chain, steps)).alias("task"), F.lit(0).alias("side"), "doc_id"))
+        tasks = tasks.unionByName(placed.select(F.explode(F.concat(chain, steps)).alias("task"), "doc_id"))
     edges = materialize(_run_tasks(tasks.join(grams.hint("merge"), "doc_id"), percent, slots), "links")
     component = connected_components(edges)
     if not some_large:
         return component
 
-    # Large groups that are not one component yet: what is outside the main one meets everything.
-    label = component.withColumnRenamed("node", "doc_id")
-    labelled = placed.join(label, "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id"))
-    members = labelled.groupBy("candidate", "label").agg(F.count(F.lit(1)).alias("members"))
-    main = members.groupBy("candidate").agg(F.max_by("label", F.struct("members", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("candidate", "main")
-    rest = materialize(labelled.join(main, "candidate").where("label <> main").select("candidate", "doc_id", "c", "n"), "rest")
-    if rest.isEmpty():
-        return component
-    rest_blocks = materialize(rest.groupBy("candidate", "c").agg(blocks.alias("rest_blocks")), "rest-blocks")
-    outside = rest.join(rest_blocks, ["candidate", "c"]).withColumn("rest_block", F.pmod(F.xxhash64("doc_id"), F.col("rest_blocks")).cast("int"))
-    name = F.xxhash64(F.lit("rest"), "candidate", "c", "rest_block", "other", "block")
-    near = lambda c: F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1))
-    targets = by_class.select("candidate", F.col("c").alias("other"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    sources = rest_blocks.select("candidate", "c", F.explode(F.sequence(F.lit(0), F.col("rest_blocks") - 1)).alias("rest_block"))
-    mine = outside.withColumn("other", near("c")).join(targets, ["candidate", "other"]).select(name.alias("task"), F.lit(0).alias("side"), "doc_id")
-    others = placed.select("candidate", F.col("c").alias("other"), "block", "doc_id").withColumn("c", near("other")).join(sources, ["candidate", "c"]).select(name.alias("task"), F.lit(1).alias("side"), "doc_id")
-    return connected_components(edges.unionByName(_run_tasks(mine.unionByName(others).join(grams.hint("merge"), "doc_id"), percent, slots)))
+    # Large groups that are not one component yet: sets of different components that share rare n-grams meet.
+    # Twice: once each with its column's first set, then, of what is still apart, all.
+    for stars in (True, False):
+        label = component.withColumnRenamed("node", "doc_id")
+        labelled = placed.join(label, "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id"))
+        apart = labelled.groupBy("candidate").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("total"), (F.min("label") < F.max("label")).alias("several")).where("several")
+        apart = materialize(apart.select("candidate", "docs", "total"), "apart")
+        total = apart.agg(F.sum("total").alias("n")).first()["n"]
+        if not total:
+            break
+        pairs = _rare_pairs(labelled.join(apart, "candidate"), grams, percent, stars, max(slots, -(-total // BLOCK_GRAMS)))
+        edges = materialize(edges.unionByName(_verified_pairs(pairs, grams, percent)), "links")
+        component = connected_components(edges)
+    return component
+
+
+#: A set's place in a column of the group's index of rare n-grams.
+PLACE = K.Records(gram=K.U64, doc=np.int64, label=np.int64, size=np.int32, at=np.int32)
+HELD = K.Records(gram=K.U64, n=np.uint16)
+
+
+def _held(table: pa.Table) -> pa.Table:
+    """The n-grams that several sets of a group's sample hold, and how many do."""
+    sets = [np.frombuffer(g, K.U64) for g in table.column("grams").to_pylist()]
+    grams, n = np.unique(np.concatenate(sets), return_counts=True)
+    several = n > 1
+    payload = HELD.pack({"gram": grams[several], "n": np.minimum(n[several], 65535)})
+    return pa.table({"candidate": table.column("candidate").slice(0, 1), "held": pa.array([payload], pa.binary())})
+
+
+def _placed(percent: int, buckets: int):
+    """Places of the rarest n-grams of a block's sets: one more than may be missing from a set that links."""
+
+    def run(table: pa.Table, held: pa.Table) -> pa.Table:
+        none = pa.table({"bucket": pa.array([], pa.int32()), "payload": pa.array([], pa.binary())})
+        if not table.num_rows:
+            return none
+        sets = [np.frombuffer(g, K.U64) for g in table.column("grams").to_pylist()]
+        size = np.array([len(x) for x in sets])
+        flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+        often = np.zeros(len(flat), np.int64)
+        known = HELD.unpack_all(held.column("held").to_pylist())
+        if len(known["gram"]):
+            at = np.minimum(np.searchsorted(known["gram"], flat), len(known["gram"]) - 1)
+            often = np.where(known["gram"][at] == flat, known["n"][at], 0)
+        order = np.lexsort((flat, often, row))
+        at = K.spread(size)[1]
+        kept = at < (size - (percent * size + 99) // 100 + 1)[row]  # sorted by row, so rows and places are as they were
+        own, at = row[kept], at[kept]
+        candidate = table.column("candidate").to_numpy().astype(K.U64)
+        gram = K.mix(flat[order][kept] ^ K.mix(candidate[own]))  # a column belongs to one group
+        columns = {"gram": gram, "doc": table.column("doc_id").to_numpy()[own], "label": table.column("label").to_numpy()[own], "size": size[own], "at": at}
+        rows = list(PLACE.split(columns, (gram % K.U64(buckets)).astype(np.int64)))
+        return pa.table({"bucket": pa.array([b for b, _ in rows], pa.int32()), "payload": pa.array([x for _, x in rows], pa.binary())})
+
+    return run
+
+
+def pairs_of_columns(places: dict[str, np.ndarray], percent: int, stars: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Sets of different labels that share a column in which sizes and places allow a link; with ``stars`` each only with its column's first."""
+    order = np.lexsort((places["doc"], places["gram"]))
+    gram, doc, label, size, at = (places[c][order] for c in ("gram", "doc", "label", "size", "at"))
+    size, at = size.astype(np.int64), at.astype(np.int64)
+    new = np.r_[True, gram[1:] != gram[:-1]] if len(gram) else np.zeros(0, bool)
+    first = np.flatnonzero(new)
+    column = np.cumsum(new) - 1
+    # Columns of one label have nothing to tell.
+    several = np.minimum.reduceat(label, first) < np.maximum.reduceat(label, first) if len(first) else np.zeros(0, bool)
+    left = np.flatnonzero(several[column] & ~new) if len(first) else first
+    a, b, step = [], [], 1
+    while len(left):
+        left = left if stars else left[left - step >= first[column[left]]]
+        other = first[column[left]] if stars else left - step
+        low, high = np.minimum(size[left], size[other]), np.maximum(size[left], size[other])
+        shared = np.minimum(size[left] - at[left], size[other] - at[other])  # at most, if this is their first column
+        fits = (label[left] != label[other]) & (100 * low >= percent * high) & ((100 + percent) * shared >= percent * (low + high))
+        a.append(doc[left[fits]])
+        b.append(doc[other[fits]])
+        if stars:
+            break
+        step += 1
+    if not a:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
+    return pairs[0], pairs[1]
+
+
+def _rare_pairs(labelled: DataFrame, grams: DataFrame, percent: int, stars: bool, buckets: int) -> DataFrame:
+    """(a, b) of sets that may link across the components of their group (candidate, docs, c, block, doc_id, label)."""
+    sets = labelled.select("candidate", "docs", "c", "block", "doc_id", "label").join(grams.hint("merge"), "doc_id")
+    sampled = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.ceil(F.col("docs") / BLOCK_DOCS)) == 0
+    held = labelled.where(sampled).select("candidate", "doc_id").join(grams.hint("merge"), "doc_id").groupBy("candidate").applyInArrow(_held, "candidate long, held binary")
+    task = F.xxhash64("candidate", "c", "block").alias("task")
+    beside = labelled.select("candidate", task).distinct().join(held, "candidate").select("task", "held")
+    blocks = sets.select(task, "candidate", "doc_id", "label", "grams").groupBy("task").cogroup(beside.groupBy("task"))
+    places = blocks.applyInArrow(_placed(percent, buckets), "bucket int, payload binary")
+
+    def paired(table: pa.Table) -> pa.Table:
+        a, b = pairs_of_columns(PLACE.unpack_all(table.column("payload").to_pylist()), percent, stars)
+        return pa.table({"a": a, "b": b})
+
+    return places.groupBy("bucket").applyInArrow(paired, "a long, b long").distinct()
+
+
+def _verified_pairs(pairs: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sets link."""
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for one, two in zip(batch.column("one").to_pylist(), batch.column("two").to_pylist()):
+                x, y = np.frombuffer(one, K.U64), np.frombuffer(two, K.U64)
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                kept.append((100 + percent) * shared >= percent * (len(x) + len(y)))
+            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+    one = grams.select(F.col("doc_id").alias("a"), F.col("grams").alias("one"))
+    two = grams.select(F.col("doc_id").alias("b"), F.col("grams").alias("two"))
+    return pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").select("a", "b", "one", "two").mapInArrow(verified, "a long, b long")
 
 
 def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

@@ -147,3 +147,46 @@ def test_words_made_to_collide(spark, n):
     assert by_id(ngram_join.components(frame), "n_shingles", "component_id") == brute.near_components(docs)
     raw = docs[4][1].encode()
     assert quality_rules.statistics(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))["n_dup_lines"].tolist() == [1]
+
+
+def templates(rng, n, own=20, common=80):
+    """Documents of one template: most words in common, too many of their own to link."""
+    shared = [f"t{i}" for i in range(common)]
+    return [" ".join(shared[:40] + [f"u{rng.randrange(10**9)}" for _ in range(own)] + shared[40:]) for _ in range(n)]
+
+
+def test_templates_do_not_meet_in_pairs(spark, monkeypatch):
+    """Cells of products and verified pairs for each document stay as they are when a group of unlinked sets doubles."""
+    monkeypatch.setattr(ngram_join, "BLOCK_DOCS", 16)
+    verify, cells = ngram_join._verified_pairs, {}
+
+    def counted(pairs, grams, percent):
+        cells[n] = cells.get(n, 0) + pairs.count()
+        return verify(pairs, grams, percent)
+
+    monkeypatch.setattr(ngram_join, "_verified_pairs", counted)
+    rng = random.Random(8)
+    # One signature less than a link needs, and a shared one, bring all of a template into one candidate group.
+    monkeypatch.setattr(ngram_join, "candidate_groups", lambda texts, k, percent, slots: texts.selectExpr("doc_id as node", "min(doc_id) over () as component"))
+    for n in (120, 240):
+        docs = list(enumerate(templates(rng, n)))
+        assert by_id(ngram_join.components(table(spark, docs)), "n_shingles", "component_id") == brute.near_components(docs)
+    assert cells[240] <= 2 * 1.3 * max(cells[120], 12)
+
+
+def test_many_small_clusters_in_one_group(spark, monkeypatch):
+    """A candidate group with no main component: every link between clusters and within them is found."""
+    monkeypatch.setattr(ngram_join, "BLOCK_DOCS", 8)
+    monkeypatch.setattr(ngram_join, "candidate_groups", lambda texts, k, percent, slots: texts.selectExpr("doc_id as node", "min(doc_id) over () as component"))
+    rng, docs = random.Random(2), []
+    for text in templates(rng, 25):
+        words = text.split(" ")
+        for _ in range(rng.randint(1, 6)):
+            copy = list(words)
+            for _ in range(rng.randint(0, 4)):
+                copy[rng.randrange(len(copy))] = f"v{rng.randrange(10**6)}"
+            docs.append(" ".join(copy[: rng.randint(90, 100)]))
+    rng.shuffle(docs)
+    rows = list(enumerate(docs))
+    for k, percent in ((4, 85), (5, 80), (3, 60)):
+        assert by_id(ngram_join.components(table(spark, rows), k, percent), "n_shingles", "component_id") == brute.near_components(rows, k, percent)
