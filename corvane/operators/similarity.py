@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from corvane.operators.components import connected_components
 from corvane.operators.ranking import ranked, running
+from corvane.sources.shared import materialize
 
 CONFIDENT, UNCERTAIN, MERGE, CLUSTER_CAP = 4, 10, 10, 150
 
@@ -23,39 +24,103 @@ def exact_groups(rows: DataFrame, content: Column, key: str) -> DataFrame:
 HASH = "^[0-9a-fA-F]{16}$"
 
 
-def _parts(limit: int, hashes: int) -> int:
-    """How many parts to cut 64 bits in: about log2(hashes) bits each, so that a part tells most hashes apart.
+#: Rows of one value of a part from which on its bucket is cut further, and how often that is done.
+HOT_BUCKET, DEPTH = 4096, 3
+#: Values that one part of a hash may probe.
+MAX_FLIPS = 4096
 
-    Never more than limit + 1, where one part must be equal, nor so few that
-    more than two bits of a part may differ.
+
+def _flips(width: int, radius: int) -> list[int]:
+    """All numbers of ``width`` bits with up to ``radius`` bits set; none for a radius under 0."""
+    return [sum(1 << x for x in flips) for n in range(radius + 1) for flips in combinations(range(width), n)]
+
+
+def _cuts(width: int, m: int) -> list[tuple[int, int]]:
+    ends = [width * k // m for k in range(m + 1)]
+    return list(zip(ends, (b - a for a, b in zip(ends, ends[1:]))))
+
+
+def planned_radii(widths: list[int], limit: int, rows: int, met: list[float]) -> tuple[list[int], float]:
+    """A radius for each part (-1: not used) that lose no pair within ``limit`` bits, and what they cost for each probe.
+
+    If every part differed in more bits than its radius, more than ``limit``
+    would differ in all: radii and parts that are used sum to limit + 1. The
+    next bit of radius goes where it costs least: values to probe, each with the
+    rows of an even part, and once the share ``met`` of rows that a row's own
+    bucket has.
     """
-    telling = math.ceil(64 / max(1.0, math.log2(max(hashes, 2))))
-    return max(min(telling, limit + 1), -(-(limit + 1) // 3))
+    cost = lambda i, r: sum(math.comb(widths[i], n) for n in range(r + 1)) * (1 + rows * 2.0 ** -widths[i]) + (r >= 0) * rows * met[i]
+    radii = [-1] * len(widths)
+    for _ in range(limit + 1):
+        i = min((i for i in range(len(widths)) if radii[i] < widths[i]), key=lambda i: cost(i, radii[i] + 1) - cost(i, radii[i]))
+        radii[i] += 1
+    return radii, sum(cost(i, r) for i, r in enumerate(radii))
+
+
+def _parts(width: int, limit: int, rows: int) -> int:
+    """The number of parts that costs least if all values of a part were equally often, and that probes few enough values of each."""
+
+    def cost(m: int) -> tuple[bool, float]:
+        widths = [w for _, w in _cuts(width, m)]
+        radii, total = planned_radii(widths, limit, rows, [2.0**-w for w in widths])
+        return any(sum(math.comb(w, n) for n in range(r + 1)) > MAX_FLIPS for w, r in zip(widths, radii)), total
+
+    return min(range(1, min(limit + 1, width) + 1), key=cost)
+
+
+def _met(probes: DataFrame, index: DataFrame, width: int, limit: int, depth: int) -> DataFrame:
+    """(phash, ref_phash) pairs of (bucket, phash, x, own) and (bucket, ref_phash, y, other) that may be within ``limit`` bits, x and y having ``width``."""
+    rows = index.count()
+    cuts = _cuts(width, _parts(width, limit, max(rows, 1)))
+    part = lambda number, a, w: F.shiftrightunsigned(number, a).bitwiseAND(F.lit((1 << w) - 1 if w < 64 else -1))
+    values = lambda number: F.array(*[part(F.col(number), a, w) for a, w in cuts])
+    keyed = index.select("bucket", "ref_phash", "y", "other", F.posexplode(values("y")).alias("place", "value"))
+    sizes = keyed.groupBy("bucket", "place", "value").agg(F.count(F.lit(1)).alias("n"))
+    mass = {r["place"]: r["s"] for r in sizes.groupBy("place").agg(F.sum(F.col("n").cast("double") * F.least("n", F.lit(HOT_BUCKET))).alias("s")).collect()}
+    radii, _ = planned_radii([w for _, w in cuts], limit, rows, [mass.get(i, 0.0) / max(rows, 1) ** 2 for i in range(len(cuts))])
+    flips = F.array(*[F.array(*[F.lit(f).cast("long") for f in _flips(w, r)]) if r >= 0 else F.expr("cast(array() as array<bigint>)") for (_, w), r in zip(cuts, radii)])
+    asked = probes.select("bucket", "phash", "x", "own", F.posexplode(values("x")).alias("place", "value"))
+    asked = asked.select("bucket", "phash", "x", "own", "place", F.explode(F.transform(F.get(flips, F.col("place")), lambda f: F.col("value").bitwiseXOR(f))).alias("value"))
+    key, hot = ["bucket", "place", "value"], sizes.where(F.col("n") > HOT_BUCKET).select("bucket", "place", "value")
+    if depth == 0 or width - max(w for _, w in cuts) <= limit or hot.isEmpty():
+        return _near_pairs(asked, keyed, key, limit)
+    hot = materialize(hot, "hot-parts")
+    out = _near_pairs(asked.join(hot, key, "left_anti"), keyed.join(hot, key, "left_anti"), key, limit)
+    inner = F.xxhash64("bucket", "place", "value").alias("bucket")
+    for i, (a, w) in enumerate(cuts):  # inside a hot bucket the part says nothing more: the other bits are cut again
+        if radii[i] < 0:
+            continue
+        rest = lambda c: F.shiftleft(F.shiftrightunsigned(c, a + w), a).bitwiseOR(F.col(c).bitwiseAND(F.lit((1 << a) - 1))) if a + w < 64 else F.col(c).bitwiseAND(F.lit((1 << a) - 1))  # noqa: E731, B023
+        one = asked.where(F.col("place") == i).join(hot, key, "left_semi").select(inner, "phash", rest("x").alias("x"), "own")
+        two = keyed.where(F.col("place") == i).join(hot, key, "left_semi").select(inner, "ref_phash", rest("y").alias("y"), "other")
+        out = out.unionByName(_met(one, two, width - w, limit, depth - 1))
+    return out
+
+
+def _near_pairs(asked: DataFrame, keyed: DataFrame, key: list[str], limit: int) -> DataFrame:
+    return asked.join(keyed, key).where(F.bit_count(F.col("own").bitwiseXOR(F.col("other"))) <= limit).select("phash", "ref_phash")
 
 
 def near_hashes(left: DataFrame, right: DataFrame, limit: int) -> DataFrame:
     """(phash, ref_phash, distance) of all different hashes of both sides within ``limit`` bits, up to 31; each pair once.
 
-    Of m parts of 64 bits at least one has limit // m differing bits or fewer.
-    Right hashes are indexed by their parts, left ones probe with all values of
-    a part that are so near; the first part by which a pair meets emits it.
+    Hashes are cut into parts, as many as cost least for their number; the
+    right ones are indexed by the values of their parts, the left ones probe
+    with all values within a part's radius, which is smaller where the values
+    are uneven. Buckets that hold many hashes are cut again by their other bits.
     Equal hashes collapse first. What is not 16 hexadecimal digits is left out.
     """
     if not 0 <= limit < 32:
         raise ValueError("limit must be from 0 to 31")
-    one, two = (rows.where(F.col("phash").rlike(HASH)).select(F.lower("phash").alias("phash")).distinct() for rows in (left, right))
-    m = _parts(limit, max(one.count(), two.count()))
-    slack, ends = limit // m, [64 * k // m for k in range(m + 1)]
-    bits = F.concat(*(F.lpad(F.conv(F.substring("phash", at, 8), 16, 2), 32, "0") for at in (1, 9)))
-    values = F.array(*[F.conv(F.substring(bits, a + 1, b - a), 2, 10).cast("long") for a, b in zip(ends, ends[1:])])
-    near = F.array(*[F.array(*[F.lit(sum(1 << x for x in flips)).cast("long") for n in range(slack + 1) for flips in combinations(range(b - a), n)]) for a, b in zip(ends, ends[1:])])
-    probes = one.withColumn("own", values).select("phash", "own", F.posexplode("own").alias("place", "value")).withColumn("value", F.explode(F.transform(F.get(near, F.col("place")), lambda flip: F.col("value").bitwiseXOR(flip))))
-    index = two.withColumn("other", values).select(F.col("phash").alias("ref_phash"), "other", F.posexplode("other").alias("place", "value"))
-    differ = F.zip_with("own", "other", lambda a, b: F.bit_count(a.bitwiseXOR(b)))
-    met = probes.join(index, ["place", "value"]).withColumn("differ", differ)
-    first = F.array_position(F.transform("differ", lambda n: n <= slack), True) - 1
-    distance = F.aggregate("differ", F.lit(0), lambda s, n: s + n)
-    return met.where(first == F.col("place")).select("phash", "ref_phash", distance.alias("distance")).where(F.col("distance") <= limit)
+
+    def told(rows: DataFrame, name: str, number: str, whole: str) -> DataFrame:
+        own = rows.where(F.col("phash").rlike(HASH)).select(F.lower("phash").alias(name)).distinct()
+        value = F.conv(F.col(name), 16, -10).cast("long")
+        return own.select(F.lit(0).cast("long").alias("bucket"), name, value.alias(number), value.alias(whole))
+
+    found = _met(told(left, "phash", "x", "own"), told(right, "ref_phash", "y", "other"), 64, limit, DEPTH).distinct()
+    number = lambda c: F.conv(F.col(c), 16, -10).cast("long")
+    return found.select("phash", "ref_phash", F.bit_count(number("phash").bitwiseXOR(number("ref_phash"))).alias("distance"))
 
 
 def hamming_matches(probes: DataFrame, references: DataFrame, limit: int) -> DataFrame:

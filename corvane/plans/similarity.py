@@ -48,6 +48,17 @@ def best_logo(spark, folder):
     return similarity.best_match(hamming_matches(spark, folder)).withColumn("distance", F.col("distance").cast("int"))
 
 
+def logo_levels(spark, folder):
+    """Pictures that are copies of a stored logo, each with some bits changed, by how sure the nearest one is: confident, uncertain or none."""
+    rows = _hashes(spark, folder)
+    refs = _references(rows)
+    number = F.conv("phash", 16, -10).cast("long").bitwiseXOR(F.expr("shiftleft(1L, cast(vec_id % 20 as int)) - 1"))
+    copies = rows.select("vec_id", (F.col("vec_id") - F.col("vec_id") % 100).alias("ref")).join(refs, "ref").select(F.col("vec_id").alias("probe"), F.lpad(F.lower(F.hex(number)), 16, "0").alias("phash"))
+    best = similarity.best_match(similarity.hamming_matches(copies, refs, similarity.UNCERTAIN))
+    level = F.when(F.col("distance") <= similarity.CONFIDENT, "confident").when(F.col("distance") <= similarity.UNCERTAIN, "uncertain").otherwise("none")
+    return copies.select("probe").join(best, "probe", "left").select("probe", "ref", F.col("distance").cast("int").alias("distance"), level.alias("level"))
+
+
 def greedy_clusters(spark, folder):
     """Every 50 vectors in a row are the images of one document."""
     rows = _hashes(spark, folder).select(F.floor(F.col("vec_id") / 50).alias("group"), F.col("vec_id").alias("idx"), "phash")
@@ -114,6 +125,7 @@ ORACLE = {
     "phash_from_embedding": "SELECT vec_id, string_agg(format('{:x}', (bits[4 * i + 1]::INT * 8 + bits[4 * i + 2]::INT * 4 + bits[4 * i + 3]::INT * 2 + bits[4 * i + 4]::INT)), '' ORDER BY i) AS phash FROM " + _H + " h, generate_series(0, 15) AS g(i) GROUP BY vec_id",
     "hamming_matches": f"SELECT * FROM {_PAIRS} p",
     "band_vs_full_scan": "SELECT vec_id AS probe, vec_id AS ref FROM embeddings WHERE false",
+    "logo_levels": f"WITH h AS MATERIALIZED {_H}, p AS (SELECT e.vec_id AS probe, b.bits, e.vec_id % 20 AS k FROM h e JOIN h b ON b.vec_id = e.vec_id - e.vec_id % 100), m AS (SELECT probe, r.vec_id AS ref, list_sum(list_transform(generate_series(1, 64), lambda i: ((p.bits[i] <> r.bits[i]) <> (i > 64 - k))::INT))::INTEGER AS distance FROM p, h r WHERE r.vec_id % 100 = 0), b AS (SELECT probe, arg_min(ref, distance * 1000000 + ref) AS ref, min(distance) AS distance FROM m WHERE distance <= 10 GROUP BY probe) SELECT p.probe, b.ref, b.distance, CASE WHEN b.distance <= 4 THEN 'confident' WHEN b.distance <= 10 THEN 'uncertain' ELSE 'none' END AS level FROM p LEFT JOIN b USING (probe)",
     "best_logo": f"SELECT * FROM {_BEST} b",
     # One image after another, with the heads of the clusters so far in a list.
     "greedy_clusters": f"""WITH RECURSIVE h AS MATERIALIZED (SELECT vec_id // 50 AS g, vec_id, bits, row_number() OVER (PARTITION BY vec_id // 50 ORDER BY vec_id) AS i FROM {_H} x),
