@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from corvane.llm import bpe, decontaminate, line_dedup, ngram_join, quality_rules
-from corvane.sources.shared import mark, materialize, release
+from corvane.sources.shared import discard, materialize, scratch
 from corvane.sources.tables import table
 
 
@@ -46,8 +46,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, began = table(spark, sf_dir, "documents"), mark()
+    docs, held = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-        release(spark, began)  # each stage's result stands on its own once it is written
+        with scratch() as made:
+            docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        discard(spark, held + made[:-1])  # a stage's result stands on its own once it is written
+        held = made[-1:]
     return STAGES[-1][1](spark, docs, sf_dir)

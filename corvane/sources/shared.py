@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,22 +28,36 @@ def shared_folder(spark: SparkSession) -> str:
 _handed_out: list[str] = []
 
 
+#: Those handed out inside the innermost scratch() of this thread.
+_own: ContextVar[list[str] | None] = ContextVar("corvane_own_folders", default=None)
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path under the shared folder that nothing else uses."""
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     _handed_out.append(path)
+    if (own := _own.get()) is not None:
+        own.append(path)
     return path
 
 
-def mark() -> int:
-    """How many paths have been handed out; for release()."""
-    return len(_handed_out)
+@contextmanager
+def scratch() -> Iterator[list[str]]:
+    """The paths that are handed out inside, in order, to whatever runs in this thread; other queries' are not among them."""
+    own: list[str] = []
+    token = _own.set(own)
+    try:
+        yield own
+    finally:
+        _own.reset(token)
 
 
-def release(spark: SparkSession, since: int) -> None:
-    """Delete the intermediate tables handed out from the mark on, but for the last: what that one holds no longer needs them."""
-    _delete(spark, _handed_out[since:-1])
-    del _handed_out[since:-1]
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete intermediate tables that nothing reads any more."""
+    _delete(spark, paths)
+    for path in paths:
+        if path in _handed_out:
+            _handed_out.remove(path)
 
 
 def clear(spark: SparkSession) -> None:
