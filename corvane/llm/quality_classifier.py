@@ -25,6 +25,8 @@ from corvane.llm import kernels as K
 from corvane.llm.quality_rules import held_out
 
 SAMPLE_ROWS = 2_000
+#: Longer documents are not trained on.
+SAMPLE_TEXT_BYTES = 128 << 10
 BITS = 16
 #: Features of one kind have one part of the table: words, then n-grams by length.
 GRAMS = (3, 4)
@@ -98,12 +100,16 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Train on about ``sample_rows`` labelled documents outside the held-out fold, or on all if there are fewer."""
+    """Train on about ``sample_rows`` labelled documents outside the held-out fold, or on all if there are fewer.
+
+    Documents of more than ``SAMPLE_TEXT_BYTES`` are not in the sample, so that
+    what comes to the driver is bounded in bytes; they are scored like all others.
+    """
     label = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("label")).where(~held_out(F.col("doc_id")))
     share = min(1.0, sample_rows / max(1, label.count()))
     few = label.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
     # The sample's ids and labels are bounded by sample_rows, so they may be broadcast.
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(few), "doc_id").select("label", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_TEXT_BYTES).join(F.broadcast(few), "doc_id").select("label", "text")
     found = sorted((r["label"], bytes(r["rows"]), bytes(r["counts"])) for r in rows.mapInArrow(_featured, "label int, rows binary, counts binary").collect())
     return train([(np.frombuffer(r, "<u4").astype(np.int64), np.frombuffer(c, "<u4").astype(np.float32)) for _, r, c in found], np.array([y for y, _, _ in found], np.int64))
 

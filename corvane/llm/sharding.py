@@ -81,7 +81,17 @@ def _assigned(docs: DataFrame, shard_bytes: int) -> DataFrame:
     return out.select("doc_id", "n_bytes", "h", bits.alias("shard"), F.col("depth").cast("int").alias("depth"), "shard_bytes")
 
 
-def write_shards(docs: DataFrame, path: str, shard_bytes: int = SHARD_BYTES) -> None:
-    """Write the documents, with all their columns, as one folder per shard; rows meet their shard by their hash, null ids too."""
-    shards = _assigned(docs, shard_bytes).select(F.col("h").alias("_h"), "shard").distinct()
-    docs.withColumn("_h", _hash()).join(shards, "_h").drop("_h").repartition("shard").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, shard_bytes: int = SHARD_BYTES) -> str:
+    """Write the documents, with all their columns, as one folder per shard; rows meet their shard by their hash, null ids too.
+
+    Returns the name of the column that the folders tell: ``shard``, or, where
+    the documents have that already in any case, the first of ``shard_``,
+    ``shard__`` … that they lack.
+    """
+    name = "shard"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    shards = _assigned(docs, shard_bytes).select("h", F.col("shard").alias("prefix")).distinct()
+    rows = docs.select(_hash().alias("h"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).join(shards, "h")
+    rows.select("row.*", F.col("prefix").alias(name)).repartition(F.col(f"`{name}`")).write.partitionBy(name).parquet(path)
+    return name

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corvane.llm import conversation_repair, lexical_search, ngram_join, quality_rules, repeats, simhash
+from corvane.llm import conversation_repair, decontaminate, lexical_search, ngram_join, quality_rules, repeats, sharding, simhash, suffixes
 from corvane.llm import kernels as K
 from tests.llm import brute
 from tests.llm.conftest import by_id, table
@@ -190,3 +190,53 @@ def test_many_small_clusters_in_one_group(spark, monkeypatch):
     rows = list(enumerate(docs))
     for k, percent in ((4, 85), (5, 80), (3, 60)):
         assert by_id(ngram_join.components(table(spark, rows), k, percent), "n_shingles", "component_id") == brute.near_components(rows, k, percent)
+
+
+def test_the_largest_id_is_no_null(spark):
+    """A document with the largest id and one without are different documents, each with its own verdict."""
+    last, rng = (1 << 63) - 1, random.Random(9)
+    prose = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    passage = prose(60)
+    docs = [(1, passage), (last, f"{prose(5)} {passage} more of it"), (None, prose(30)), (2, prose(20))]
+    frame = table(spark, docs)
+    want = brute.substring_dedup([(1, docs[0][1]), (2, docs[3][1]), (3, docs[1][1]), (4, docs[2][1])])
+    got = {r["doc_id"]: tuple(r)[1:] for r in repeats.remove_repeated_words(frame).collect()}
+    assert got == {1: want[1], 2: want[2], last: want[3], None: want[4]}
+    assert {r["doc_id"] for r in suffixes.remove_repeated_bytes(frame).collect()} == {1, 2, last, None}
+    same = table(spark, [(last, passage), (None, passage), (5, prose(30))])
+    assert sorted(str(r["doc_id"]) for r in ngram_join.keep_first(same).collect()) == sorted(["5", str(last)])
+
+
+def test_shards_keep_columns_whatever_their_names(spark, tmp_path):
+    docs = spark.createDataFrame([(d, f"text {d}", d % 3, f"h{d}", d, 1, 2) for d in range(20)], "doc_id long, text string, Shard int, _h string, bucket int, h int, prefix int")
+    name = sharding.write_shards(docs, str(tmp_path / "shards"), 40)
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    assert name == "shard_" and set(back.columns) == {*docs.columns, name}
+    assert sorted(map(tuple, back.select(*docs.columns).collect())) == sorted(map(tuple, docs.collect()))
+    assert back.select(name).distinct().count() > 2
+
+
+def test_benchmark_windows_stay_small():
+    """Eight megabytes of items take a few bytes for each byte of text, and every window is there."""
+    rng = np.random.default_rng(1)
+    words = ["".join(chr(97 + c) for c in rng.integers(0, 26, 5)) for _ in range(5000)]
+    items = [(str(i), " ".join(words[j] for j in rng.integers(0, 5000, 1400))) for i in range(1000)]
+    windows = decontaminate.Windows(items, 13)
+    size = len(windows.raw) + windows.starts.nbytes + windows.ends.nbytes + sum(a.nbytes for arrays in windows.by_width.values() for a in arrays)
+    text = sum(len(t) for _, t in items)
+    assert text > 8_000_000 and size < 6 * text
+    keys, places, of = windows.by_width[13]
+    assert len(keys) == sum(len(t.split()) - 12 for _, t in items) and (np.diff(keys.astype(object)) >= 0).all()
+    place = int(places[123])
+    assert " ".join(w.decode() for w in windows.said(place, 13)) in items[of[123]][1]
+
+
+def test_contamination_beyond_one_block(spark, corpus):
+    """A benchmark that stays a table gives what a broadcast one gives: hits, items and verdicts."""
+    docs = dict(corpus)
+    items = [(i, " ".join(docs[d].split()[3 : 3 + 9 * i])) for i, d in enumerate(range(20, 60, 3), 1)] + [(99, "one"), (98, ""), (97, None), (None, "x"), (1, docs[60]), (2, "Same words")]
+    bench = spark.createDataFrame([(i, t, 0) for i, t in items], "item_id long, text string, doc_id int")
+    rows = lambda size: sorted(((r["doc_id"], r["n_words"], tuple(map(tuple, r["hits"])), tuple(r["items"])) for r in decontaminate.contamination(table(spark, corpus + [(7, docs[20])]), bench, block_bytes=size).collect()), key=str)
+    assert rows(100) == rows(1 << 20) and len(rows(100)) == len(corpus) + 1
+    clean = decontaminate.drop_contaminated(table(spark, corpus), bench)
+    assert clean.columns == table(spark, corpus).columns
