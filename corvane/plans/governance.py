@@ -74,9 +74,19 @@ def tag_gate(spark, folder):
     return governance.tag_gate(domain.unionByName(source), literal(spark, "vocabulary")).groupBy("category", "value", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
+def terms(spark, folder):
+    """A vocabulary of the tables' own terms: languages, sources, nations, part types and market segments; some wait for approval."""
+    docs, kinds = table(spark, folder, "documents"), []
+    for category, rows, column in (("domain", docs, "lang"), ("technology", docs, "source"), ("geography", table(spark, folder, "nation"), "n_name"), ("engagement_type", table(spark, folder, "part"), "p_type")):
+        kinds.append(rows.where(F.col(column).isNotNull()).select(F.lit(category).alias("category"), F.lower(column).alias("value")).distinct())
+    every = kinds[0].unionByName(kinds[1]).unionByName(kinds[2]).unionByName(kinds[3])
+    return every.withColumn("status", F.when(F.length("value") % 3 == 0, "pending_approval").otherwise("approved"))
+
+
 def vocabulary_by_category(spark, folder):
-    terms = literal(spark, "vocabulary").where("status = 'approved'").groupBy("category").agg(F.array_join(F.array_sort(F.collect_list("value")), ",").alias("terms"))
-    return literal(spark, "categories").join(terms, "category", "left").select("ord", "category", F.coalesce("terms", F.lit("")).alias("terms"))
+    """Approved terms of each category, all five of them."""
+    own = terms(spark, folder).where("status = 'approved'").groupBy("category").agg(F.array_join(F.array_sort(F.collect_list("value")), ",").alias("terms"))
+    return literal(spark, "categories").join(own, "category", "left").select("ord", "category", F.coalesce("terms", F.lit("")).alias("terms"))
 
 
 def _events(spark, folder):
@@ -138,11 +148,22 @@ def practice_leads(spark, folder):
     return _people(spark, folder).where("role = 'practice_lead'").join(table(spark, folder, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("user_id", "n_name")
 
 
+def dictionary(spark, folder):
+    """A dictionary of nations, their suppliers being their aliases: entity_id, alias_id, surface, token, status, created_days, custom."""
+    rows = table(spark, folder, "supplier").select(F.col("s_nationkey").alias("entity_id"), F.col("s_suppkey").alias("alias_id"), F.col("s_name").alias("surface"))
+    status = F.element_at(F.array(*[F.lit(x) for x in ("pending_approval", "approved", "skipped")]), (F.col("entity_id") % 3 + 1).cast("int"))
+    custom = F.when(F.col("entity_id") % 4 == 1, F.concat(F.lit("Partner "), "entity_id")).when(F.col("entity_id") % 4 == 2, F.lit(""))
+    return rows.select("*", F.format_string("[CLIENT_%d]", F.col("entity_id") + 1).alias("token"), status.alias("status"), (F.col("entity_id") * 2 % 31).alias("created_days"), custom.alias("custom"))
+
+
 def dictionary_view(spark, folder):
-    rows = literal(spark, "dictionary")
-    names = rows.groupBy("entity_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("alias_id", "surface"))), lambda x: x["surface"]), "|").alias("surfaces"), F.min_by("token", "alias_id").alias("token"), F.min_by("status", "alias_id").alias("status"), F.min_by("custom", "alias_id").alias("custom"), F.max("created_days").alias("age"))
+    """Each entity with its aliases, what stands for it, and whether it has waited too long; the newest first."""
+    rows = dictionary(spark, folder)
+    first = lambda c: F.min_by(c, "alias_id").alias(c)
+    surfaces = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("alias_id", "surface"))), lambda x: x["surface"]), "|")
+    names = rows.groupBy("entity_id").agg(surfaces.alias("surfaces"), first("token"), first("status"), F.min("custom").alias("custom"), F.max("created_days").alias("age"))
     old = (F.col("status") == "pending_approval") & (F.col("age") > governance.STALE_DAYS)
-    return names.select("entity_id", "surfaces", F.coalesce(F.nullif("custom", F.lit("")), "token").alias("replacement"), "status", old.alias("stale"))
+    return names.select("entity_id", "surfaces", F.coalesce(F.nullif("custom", F.lit("")), "token").alias("replacement"), "status", old.alias("stale"), "age").orderBy("age", "entity_id")
 
 
 def audit_feed(spark, folder):
@@ -202,6 +223,8 @@ SELECT surface, kind AS entity_type, tokens[-1] AS token FROM r WHERE i > 0"""
 PREFIX_OF = "CASE kind WHEN 'CLIENT_PERSON' THEN 'CLIENT_PERSON' WHEN 'CLIENT_EMAIL_DOMAIN' THEN 'CLIENT_DOMAIN' WHEN 'CLIENT_CONTRACT_ID' THEN 'CLIENT_CONTRACT' ELSE 'CLIENT' END AS p"
 _ALLOCATED = allocated(f"SELECT *, {PREFIX_OF} FROM (SELECT min(surface) AS surface, {list(NEW_KINDS)}[length(min(surface)) % 4 + 1] AS kind FROM ({detection._CAND}) GROUP BY key)", str(list(TOKENS)))
 
+TERMS = "(SELECT *, CASE WHEN length(value) % 3 = 0 THEN 'pending_approval' ELSE 'approved' END AS status FROM (SELECT DISTINCT 'domain' AS category, lower(lang) AS value FROM documents WHERE lang IS NOT NULL UNION ALL SELECT DISTINCT 'technology', lower(source) FROM documents WHERE source IS NOT NULL UNION ALL SELECT DISTINCT 'geography', lower(n_name) FROM nation UNION ALL SELECT DISTINCT 'engagement_type', lower(p_type) FROM part))"
+DICTIONARY = "(SELECT s_nationkey AS entity_id, s_suppkey AS alias_id, s_name AS surface, '[CLIENT_' || (s_nationkey + 1) || ']' AS token, ['pending_approval', 'approved', 'skipped'][s_nationkey % 3 + 1] AS status, s_nationkey * 2 % 31 AS created_days, CASE s_nationkey % 4 WHEN 1 THEN 'Partner ' || s_nationkey WHEN 2 THEN '' END AS custom FROM supplier)"
 ORACLE = {
     "token_allocation": _ALLOCATED,
     "alias_collision": f"SELECT DISTINCT p.entity_id, replacement, d.entity_id AS other_id, 'names' AS reason FROM (SELECT n_nationkey AS entity_id, 'Group of the ' || n_name AS replacement FROM nation) p JOIN {values('dictionary')} d ON d.entity_id <> p.entity_id AND length(surface) >= 3 AND regexp_matches(replacement, '{_ALIKE}' || replace(surface, ' ', '\\s+') || '([^A-Za-z0-9]|$)') UNION ALL SELECT 9, 'partner', 2, 'repeats'",
@@ -211,7 +234,7 @@ ORACLE = {
     "review_additions": f"SELECT run_id, arg_min(surface, i) AS surface FROM (SELECT doc_id AS run_id, unnest(w) AS surface, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, {_WORDS} AS w FROM documents)) a WHERE (run_id, lower(surface)) NOT IN (SELECT run_id, lower(surface) FROM {_PROPOSED} p) GROUP BY run_id, lower(surface)",
     "review_deltas": "SELECT lang AS entity_type, coalesce(sum((length(text) >= 400 AND quality = 0)::INT), 0)::BIGINT AS recall_misses, coalesce(sum((length(text) < 400 AND quality = 1)::INT), 0)::BIGINT AS precision_misses FROM documents JOIN labels USING (doc_id) GROUP BY lang HAVING recall_misses + precision_misses > 0",
     "tag_gate": f"SELECT category, value, CASE WHEN v.status IS NULL THEN 'proposed_new' WHEN confidence >= 0.7::DOUBLE THEN 'applied' ELSE 'flagged' END AS status, count(*)::BIGINT AS n FROM (SELECT 'domain' AS category, lang AS value, (doc_id % 10) / 10 AS confidence FROM documents UNION ALL SELECT 'technology', source, (doc_id % 10) / 10 FROM documents) t LEFT JOIN (SELECT * FROM {values('vocabulary')} x WHERE status = 'approved') v USING (category, value) GROUP BY ALL",
-    "vocabulary_by_category": f"SELECT ord, c.category, coalesce(string_agg(value, ',' ORDER BY value), '') AS terms FROM {values('categories')} c LEFT JOIN {values('vocabulary')} v ON v.category = c.category AND v.status = 'approved' GROUP BY ALL",
+    "vocabulary_by_category": f"SELECT ord, c.category, coalesce(string_agg(value, ',' ORDER BY value), '') AS terms FROM {values('categories')} c LEFT JOIN {TERMS} v ON v.category = c.category AND v.status = 'approved' GROUP BY ALL",
     "run_status_latest": f"SELECT user_id, status, event_id FROM {_LATEST} l",
     "stale_runs": f"SELECT user_id, status FROM {_LATEST} l WHERE status NOT IN ('pending', 'awaiting_review', 'completed', 'completed_with_issues', 'failed', 'rejected') AND updated_at < (SELECT max(ts) FROM events) - INTERVAL 15 MINUTE",
     "fifo_head": "SELECT event_id, user_id FROM events WHERE event_type = 'signup' ORDER BY ts, event_id LIMIT 1",
@@ -221,7 +244,7 @@ ORACLE = {
     "separation_of_duty": f"SELECT o_orderkey, user_id AS reviewer FROM (SELECT o_orderkey, o_custkey AS creator, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey ELSE o_custkey + 1 END AS user_id FROM orders) o JOIN {_PEOPLE} p USING (user_id) WHERE creator <> user_id OR role = 'admin'",
     "accounts_with_owners": "SELECT n_name, coalesce(string_agg(s_name, ',' ORDER BY s_name), '') AS owners FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_suppkey % 2 = 0 GROUP BY n_name",
     "practice_leads": f"SELECT user_id, n_name FROM {_PEOPLE} p JOIN nation ON n_nationkey = c_nationkey WHERE role = 'practice_lead'",
-    "dictionary_view": f"SELECT entity_id, string_agg(surface, '|' ORDER BY alias_id) AS surfaces, coalesce(nullif(arg_min(custom, alias_id), ''), arg_min(token, alias_id)) AS replacement, arg_min(status, alias_id) AS status, arg_min(status, alias_id) = 'pending_approval' AND max(created_days) > 14 AS stale FROM {values('dictionary')} d GROUP BY entity_id",
+    "dictionary_view": f"SELECT entity_id, string_agg(surface, '|' ORDER BY alias_id) AS surfaces, coalesce(nullif(min(custom), ''), any_value(token)) AS replacement, any_value(status) AS status, any_value(status) = 'pending_approval' AND max(created_days) > 14 AS stale, max(created_days) AS age FROM {DICTIONARY} d GROUP BY entity_id",
     "audit_feed": "SELECT event_id, 'role_changed:signup' AS action, c_name AS actor FROM events LEFT JOIN customer ON c_custkey = user_id WHERE event_type = 'signup'",
     "review_queue": "SELECT o_orderkey, c_name AS creator, o_totalprice FROM orders LEFT JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus = 'P'",
     "run_detail_children": "SELECT o_orderkey AS run_id, o_orderstatus, coalesce(s.steps, '') AS steps, coalesce(s.flags, 0)::BIGINT AS flags FROM orders LEFT JOIN (SELECT l_orderkey, string_agg(l_partkey::VARCHAR, ',' ORDER BY l_linenumber, l_partkey) AS steps, sum((l_returnflag = 'R')::INT) AS flags FROM lineitem GROUP BY l_orderkey) s ON s.l_orderkey = o_orderkey",

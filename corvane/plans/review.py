@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions.patterns import sign_hash, surface_regex
 from corvane.operators import channels, detect, review, scrub, spans
-from corvane.plans import similarity
+from corvane.plans import governance, similarity
 from corvane.plans.fixtures import OWN_FIRM, approved, literal, values
 from corvane.plans.masking import _PAGE, _replaced
 from corvane.sources.tables import table
@@ -98,14 +98,19 @@ def surviving_images(spark, folder):
     return review.surviving(rows.where("label = 2"), rows.where("idx % 3 = 0")).select("idx")
 
 
+def _read_names(spark, folder):
+    """Groups of images of one label, and what is read on them: a supplier's name in some case, or nothing; some match a stored token."""
+    read = table(spark, folder, "supplier").select((F.col("s_suppkey") * 3).alias("group_id"), F.upper("s_name").alias("ocr"))
+    token = F.when(F.col("group_id") % 2 == 0, F.format_string("[CLIENT_%d]", F.col("group_id") % 40))
+    return table(spark, folder, "embeddings").select(F.col("vec_id").alias("group_id")).join(read, "group_id", "left").withColumn("token", token)
+
+
 def image_labels(spark, folder):
-    groups = literal(spark, "verdicts").select(F.col("label").alias("group_id"), "ocr")
-    return review.image_labels(groups, literal(spark, "dictionary"), "of the").distinct()
+    return review.image_labels(_read_names(spark, folder), governance.dictionary(spark, folder), "Supplier#000000001")
 
 
 def logo_attribution(spark, folder):
-    groups = literal(spark, "verdicts").select(F.col("label").alias("group_id"), "ocr", F.when(F.col("label") % 2 == 0, "[CLIENT_3]").alias("token"))
-    return review.attributed(groups, literal(spark, "dictionary"))
+    return review.attributed(_read_names(spark, folder), governance.dictionary(spark, folder))
 
 
 def approved_residuals(spark, folder):
@@ -145,6 +150,7 @@ def _phrase(phrase: str) -> str:
     return f"SELECT doc_id, '{phrase}' AS phrase, count(*)::BIGINT AS n FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws))) AS i FROM w) WHERE {tests} AND ({last} IN ('{words[-1]}', '{words[-1]}''s', '{words[-1]}’s')) GROUP BY doc_id"
 
 
+_GROUPS = "(SELECT vec_id AS group_id, upper(s_name) AS ocr, CASE WHEN vec_id % 2 = 0 THEN '[CLIENT_' || (vec_id % 40) || ']' END AS token FROM embeddings LEFT JOIN supplier ON vec_id = s_suppkey * 3)"
 _NAME_KEY = r"regexp_replace(regexp_replace(trim(lower({}), ' '), '[^\w@.\s-]', '', 'g'), '\s+', ' ', 'g')"
 #: The rule taken step by step: the surfaces of a run in order, with a map of what has been resolved so far.
 _MERGES = """WITH RECURSIVE s AS (SELECT s_nationkey AS run_id, s_suppkey AS entity, s_name, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS place, s_suppkey % 6 AS kind FROM supplier),
@@ -171,8 +177,8 @@ ORACLE = {
     "run_mask_map": f"SELECT run_id, surface, token FROM (SELECT l_orderkey AS run_id, CASE WHEN l_partkey % 2 = 0 THEN upper(l_returnflag) ELSE lower(l_returnflag) END AS surface, l_partkey % 9 AS e FROM lineitem WHERE l_partkey % 9 <> 0 QUALIFY row_number() OVER (PARTITION BY l_orderkey, lower(l_returnflag) ORDER BY l_linenumber, l_partkey) = 1) o JOIN (SELECT entity_id, arg_min(token, alias_id) AS token FROM {_D} d GROUP BY entity_id) t ON t.entity_id = o.e",
     "redacted_images": "SELECT label AS group_id, vec_id AS idx FROM embeddings WHERE label <> 1 UNION ALL SELECT 1, arg_min(vec_id, md5(vec_id::VARCHAR)) FROM embeddings WHERE label = 1",
     "surviving_images": "SELECT vec_id AS idx FROM embeddings WHERE label = 2 AND vec_id % 3 = 0",
-    "image_labels": f"SELECT DISTINCT v.label AS group_id, coalesce(nullif(a.custom, ''), 'Partner') AS label FROM {values('verdicts')} v LEFT JOIN {_D} a ON lower(a.surface) = lower(v.ocr)",
-    "logo_attribution": f"SELECT v.label AS group_id, coalesce(a.entity_id, CASE WHEN v.label % 2 = 0 THEN 4 END) AS entity_id FROM {values('verdicts')} v LEFT JOIN {_D} a ON lower(a.surface) = lower(v.ocr) WHERE coalesce(a.entity_id, CASE WHEN v.label % 2 = 0 THEN 4 END) IS NOT NULL",
+    "image_labels": f"SELECT group_id, coalesce(nullif(d.custom, ''), (SELECT min(nullif(custom, '')) FROM {governance.DICTIONARY} c WHERE lower(surface) = 'supplier#000000001')) AS label FROM {_GROUPS} g LEFT JOIN {governance.DICTIONARY} d ON lower(d.surface) = lower(g.ocr)",
+    "logo_attribution": f"SELECT group_id, entity_id FROM (SELECT group_id, coalesce(d.entity_id, t.entity_id) AS entity_id FROM {_GROUPS} g LEFT JOIN {governance.DICTIONARY} d ON lower(d.surface) = lower(g.ocr) LEFT JOIN (SELECT token, min(entity_id) AS entity_id FROM {governance.DICTIONARY} x GROUP BY token) t ON t.token = g.token) a WHERE entity_id IS NOT NULL",
     "approved_residuals": "SELECT o_orderkey AS run_id, (o_custkey % 9)::BIGINT AS place, residual FROM orders JOIN (SELECT l_orderkey, l_partkey AS residual, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS p FROM lineitem) l ON l_orderkey = o_orderkey AND p = o_custkey % 9",
     "resolved_flags": "SELECT user_id AS run_id, CASE WHEN event_type = 'error' THEN 'blocking' ELSE 'info' END AS severity, count(*)::BIGINT AS n FROM events WHERE NOT (event_type = 'error' AND (event_id % 3 = 1 OR (event_id % 3 = 0 AND user_id % 2 = 0))) GROUP BY ALL",
     "reviewed_tags": "SELECT source AS value, CASE WHEN doc_id % 3 = 0 THEN 'applied' ELSE 'confirmed' END AS status, count(*)::BIGINT AS n FROM documents WHERE source IN ('src0', 'src2') GROUP BY ALL",

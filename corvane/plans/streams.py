@@ -37,6 +37,12 @@ def stream_dictionary(spark, folder):
     return grown.groupBy("entity_type").agg(F.countDistinct("surface").alias("surfaces"), F.array_join(F.array_sort(F.collect_list("token")), ",").alias("tokens"))
 
 
+def stream_sessions(spark, folder):
+    """Each user's sessions: events with less than six hours between them."""
+    rows = runs.run_complete(runs.sessions(runs.events_stream(spark, folder)), "sessions")
+    return rows.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
+
+
 def _requests(events):
     """Users are runs; what happens to them are requests of one of three consumers."""
     kind = F.when(F.col("event_type") == "signup", "submit").when(F.col("event_type") == "purchase", "complete").when(F.col("event_type") == "error", "release").otherwise("claim")
@@ -64,7 +70,9 @@ w(run_id, p, seq, consumer, outcome, status, holder, since, until, told) AS (
     FROM (SELECT w.run_id, q.p, q.seq, q.consumer, q.kind, q.ms, CASE WHEN over THEN 'waiting' ELSE w.status END AS status, CASE WHEN over THEN NULL ELSE w.holder END AS holder, CASE WHEN over THEN NULL ELSE w.since END AS since, CASE WHEN over THEN NULL ELSE w.until END AS until
       FROM (SELECT w.*, coalesce(w.status = 'held' AND w.until <= q.ms, false) AS over FROM w JOIN q ON q.run_id = w.run_id AND q.p = w.p + 1) w JOIN q ON q.run_id = w.run_id AND q.p = w.p + 1)))"""
 
+_SIX_HOURS = 6 * 3600 * 1000000
 ORACLE = {
+    "stream_sessions": f"SELECT user_id, min(us) AS start_us, max(us) + {_SIX_HOURS} AS end_us, count(*)::BIGINT AS n FROM (SELECT user_id, us, sum(CASE WHEN us - before < {_SIX_HOURS} THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS session FROM (SELECT user_id, epoch_us(ts) AS us, lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events)) GROUP BY user_id, session",
     "stream_leases": f"{_LEASES} SELECT w.run_id, w.seq, w.consumer, outcome, told AS since_ms, CASE WHEN outcome IN ('granted', 'renewed') THEN until WHEN outcome IN ('released', 'completed') THEN q.ms END AS until_ms FROM w JOIN q USING (run_id, p) WHERE p > 0",
     "stream_dictionary": "SELECT entity_type, count(DISTINCT surface)::BIGINT AS surfaces, string_agg(token, ',' ORDER BY token) AS tokens FROM (" + governance.allocated("SELECT DISTINCT 'Client ' || (user_id % 40) AS surface, 'CLIENT_NAME' AS kind, 'CLIENT' AS p FROM events", f"(SELECT list(token) FROM {values('dictionary')} d)") + ") t GROUP BY entity_type",
     "stream_run_status": governance.ORACLE["run_status_latest"],

@@ -232,7 +232,7 @@ def users_newest(spark, folder):
 
 
 def vocabulary_sorted(spark, folder):
-    return literal(spark, "vocabulary").orderBy("category", "value")
+    return governance.terms(spark, folder).orderBy("category", "value")
 
 
 def proposals(spark, folder):
@@ -309,7 +309,7 @@ ORACLE = {
     "runs_newest": "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC)::INTEGER AS place FROM events",
     "documents_newest": "SELECT doc_id, lang FROM documents WHERE source = 'src1'",
     "users_newest": "SELECT c_custkey, c_name FROM customer",
-    "vocabulary_sorted": f"SELECT * FROM {values('vocabulary')} v",
+    "vocabulary_sorted": f"SELECT * FROM {governance.TERMS} v",
     "proposals": f"SELECT category, value FROM {_TERMS} t WHERE status = 'pending_approval'",
     "accounts_by_name": "SELECT n_name, n_regionkey FROM nation",
     "mask_maps": "SELECT c_custkey, CASE WHEN c_mktsegment < 'x' THEN c_mktsegment || '=new,x=old' ELSE 'x=old,' || c_mktsegment || '=new' END AS entries FROM customer",

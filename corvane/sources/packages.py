@@ -10,6 +10,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
@@ -22,8 +23,12 @@ from corvane.functions.patterns import unescaped
 SUPPORTED = ("docx", "pptx", "xlsx", "pdf")
 #: Bytes of parts that a task gathers before it passes them on; a larger part goes alone and whole.
 BATCH_BYTES = 16 << 20
-#: Files inside a file whose own parts are read as well.
+#: Files inside a file whose own parts are read as well: packages by name, and whatever is one by its first bytes.
 EMBEDDED = re.compile(r"(^|/)embeddings/[^/]+\.(docx|pptx|xlsx)$")
+INSIDE, PACKAGE = re.compile(r"(^|/)embeddings/[^/]+$"), b"PK\x03\x04"
+#: How deep packages are opened inside packages, and how many bytes one upload may unpack to; what lies beyond is
+#: reported as a part without content.
+MAX_DEPTH, MAX_UNPACKED = 4, 1 << 30
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -40,17 +45,30 @@ def _named(files: DataFrame) -> DataFrame:
     return files.select("path", "length", "content", F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)).alias("extension"))
 
 
-def _opened(content: bytes, prefix: str = "") -> Iterator[tuple[str | None, str | None, bytes | None]]:
-    """(part, xml, raw) of each entry; those of embedded packages follow under their own name and a bar."""
+def _opened(content: bytes, prefix: str = "", depth: int = 0, budget: list[int] | None = None) -> Iterator[tuple[str | None, str | None, bytes | None]]:
+    """(part, xml, raw) of each entry; those of embedded packages follow under their own name and a bar.
+
+    An entry that would unpack beyond ``MAX_UNPACKED`` bytes of the upload in
+    all, or a package deeper than ``MAX_DEPTH``, is a row with its name alone.
+    """
+    budget = [MAX_UNPACKED] if budget is None else budget
     try:
         with zipfile.ZipFile(io.BytesIO(content)) as package:
             for entry in package.infolist():
+                budget[0] -= entry.file_size
+                if budget[0] < 0:
+                    budget[0] += entry.file_size
+                    yield prefix + entry.filename, None, None
+                    continue
                 raw = package.read(entry)
                 xml = raw.decode("utf-8", "replace") if entry.filename.endswith((".xml", ".rels")) else None
                 yield prefix + entry.filename, xml, None if xml is not None else raw
-                if EMBEDDED.search(entry.filename):
-                    yield from _opened(raw, f"{prefix}{entry.filename}|")
-    except (zipfile.BadZipFile, OSError):
+                if EMBEDDED.search(entry.filename) or (INSIDE.search(entry.filename) and raw.startswith(PACKAGE)):
+                    if depth == MAX_DEPTH:
+                        yield f"{prefix}{entry.filename}|", None, None
+                    else:
+                        yield from _opened(raw, f"{prefix}{entry.filename}|", depth + 1, budget)
+    except (zipfile.BadZipFile, zlib.error, OSError, NotImplementedError, RuntimeError):
         yield prefix or None, None, None
 
 
@@ -80,6 +98,11 @@ def parts(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, "path string, part string, xml string, content binary")
 
 
+def unopened(rows: DataFrame) -> DataFrame:
+    """path and part of what was not read: broken files and packages, and what lies beyond the bounds of unpacking."""
+    return rows.where("xml is null and content is null").select("path", "part")
+
+
 def relations(rows: DataFrame) -> DataFrame:
     """path, owner, id, type (its last word), target (a part's name, or an address outside), external."""
     tags = F.explode(F.regexp_extract_all("xml", F.lit(r"<(?:\w+:)?Relationship\b[^>]*>"), F.lit(0))).alias("tag")

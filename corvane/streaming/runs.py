@@ -106,3 +106,43 @@ def stale(states: DataFrame, now, minutes: int = STALE_MINUTES) -> DataFrame:
 def windowed_counts(events: DataFrame, width: str = "1 day", watermark: str = "1 hour") -> DataFrame:
     """Events by type in tumbling windows; rows later than the watermark are left out."""
     return events.withWatermark("ts", watermark).groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
+
+
+def sessions(events: DataFrame, gap: str = "6 hours") -> DataFrame:
+    """user_id, start, end, n: a user's events without a pause of ``gap``; the state keeps every session, so none is late."""
+    window = F.session_window("ts", gap)
+    return events.groupBy("user_id", window).agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
+
+
+def run_complete(stream: DataFrame, name: str) -> DataFrame:
+    """Process what is there and read the whole result as of the last batch."""
+    spark = stream.sparkSession
+    target, checkpoint = new_folder(spark, name), new_folder(spark, f"{name}-checkpoint")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/part={number}")
+
+    stream.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.parquet(target)
+    last = rows.agg(F.max("part").alias("part")).first()["part"]
+    return rows.where(F.col("part") == last).drop("part")
+
+
+def on_time_and_late(events: DataFrame, delay: str, name: str) -> DataFrame:
+    """All events with ``late``: whether they came after event time had passed them by ``delay``.
+
+    Event time is that of the batches before, as each has left it; the on-time
+    rows and the late ones are two sides of one output, none is dropped. A
+    replayed batch reads the same marks and overwrites its own part.
+    """
+    spark = events.sparkSession
+    target, marks, checkpoint = (new_folder(spark, f"{name}-{kind}") for kind in ("rows", "marks", "checkpoint"))
+
+    def write(batch: DataFrame, number: int) -> None:
+        seen = spark.read.parquet(marks).where(F.col("part") < number).agg(F.max("ts").alias("ts")).first()["ts"] if number else None
+        passed = F.lit(seen).cast("timestamp") - F.expr(f"interval {delay}")
+        batch.withColumn("late", F.coalesce(F.col("ts") < passed, F.lit(False))).write.mode("overwrite").parquet(f"{target}/part={number}")
+        batch.agg(F.max("ts").alias("ts")).write.mode("overwrite").parquet(f"{marks}/part={number}")
+
+    events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(target).drop("part")
