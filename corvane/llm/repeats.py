@@ -13,7 +13,11 @@ one for every (size - k) / 2 symbols.
 2. Extension: runs equal over all their symbols extend each other's match in
    both directions at once. A run whose anchor stands nowhere else is unique.
    What remains are runs at the ends of repeats: same anchor, other extent.
-3. The ends are settled window by window, from the text itself.
+   An anchor that a task sees with ``HOT_SPANS`` extents or more is hot: its
+   runs are all ends, so they go to buckets of their extent instead, and a
+   marker tells the anchor's bucket.
+3. The ends are settled window by window, from the text itself; equal windows
+   of a task's share are settled there first, and one speaks for them.
 4. Adjacent and overlapping windows merge into maximal repeats per document.
 
 Nothing is compared in pairs, so cost is linear however large a group of
@@ -38,11 +42,15 @@ from corvane.sources.shared import materialize
 #: Runs, or windows, that a task gathers before it settles them and sends them on.
 SHARE_RUNS = 500_000
 
-RUN = K.Records(anchor=K.U64, span=K.U64, doc=np.int64, low=np.uint32, n=np.uint16, at=np.uint16, many=np.uint8)
-END = K.Records(doc=np.int64, low=np.uint32, n=np.uint16, at=np.uint16)
+#: Different extents of one anchor in a task's share from which on its runs are dealt out by extent.
+HOT_SPANS = 8
+PLAIN, HOT, MARKER = range(3)
+
+RUN = K.Records(anchor=K.U64, span=K.U64, doc=np.int64, low=np.uint32, n=np.uint16, at=np.uint16, many=np.uint8, hot=np.uint8)
+END = K.Records(doc=np.int64, low=np.uint32, n=np.uint16, at=np.uint16, hot=np.uint8)
 RANGE = K.Records(doc=np.int64, begin=np.uint32, end=np.uint32)
 _ROWS = "slot int, kind int, payload binary"
-SEEDS, RANGES, ENDS, TEXT_ENDS = range(4)
+SEEDS, RANGES, ENDS, TEXT_ENDS, WINDOW_ENDS = range(5)
 
 
 #: Makes a second, independent hash of the same symbols.
@@ -68,7 +76,7 @@ class Repeats:
 
     def __init__(self, size: int, k: int, earlier: bool, symbols: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], slots: int, chunk_bytes: int = 1 << 20):
         self.size, self.k, self.earlier, self.symbols, self.slots, self.chunk_bytes = size, k, earlier, symbols, slots, chunk_bytes
-        self.buckets = 2 * slots
+        self.buckets, self.hot_spans = 2 * slots, HOT_SPANS
 
     def sought(self, symbols: np.ndarray, at: np.ndarray, hashes: np.ndarray) -> dict[str, np.ndarray]:
         """The bucket where equal content meets, by its hash; further columns by which it is compared there."""
@@ -102,6 +110,22 @@ class Repeats:
         ranges = {"doc": doc, "begin": low, "end": low.astype(np.int64) + n + (self.size - 1)}
         return [(slot, RANGES, raw) for slot, raw in RANGE.split(ranges, slot_of(doc, self.slots))]
 
+    def _dealt(self, runs: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        """Sorted runs with those of hot anchors in buckets of their extents, and a marker of each such anchor."""
+        n = len(runs["anchor"])
+        if not n:
+            return runs
+        new = np.r_[True, runs["anchor"][1:] != runs["anchor"][:-1]]
+        extent = np.r_[True, (runs["span"][1:] != runs["span"][:-1]) | new[1:]]
+        first, anchor = np.flatnonzero(new), np.cumsum(new) - 1
+        hot = np.add.reduceat(extent.astype(np.int64), first) >= self.hot_spans
+        marks = first[hot]
+        runs = {name: np.concatenate([values, values[marks]]) for name, values in runs.items()}
+        runs["hot"] = np.r_[np.where(hot[anchor], HOT, PLAIN), np.full(len(marks), MARKER)].astype(np.uint8)
+        by_extent = self.buckets + (K.mix(runs["span"]) % K.U64(self.buckets)).astype(np.int64)
+        runs["bucket"] = np.where(runs["hot"] == HOT, by_extent, runs["bucket"]).astype(np.int32)
+        return runs
+
     def seeds(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gathered: list[dict[str, np.ndarray]] = []
 
@@ -110,7 +134,7 @@ class Repeats:
             gathered.clear()
             runs, repeat, speaks = self._settle(runs)
             rows = self._ranges(runs["doc"][repeat], runs["low"][repeat], runs["n"][repeat])
-            kept = {name: values[speaks] for name, values in runs.items()}
+            kept = self._dealt({name: values[speaks] for name, values in runs.items()})
             rows += [(slot, SEEDS, raw) for slot, raw in self.run.split(kept, kept["bucket"])]
             return _batch(rows)
 
@@ -120,7 +144,7 @@ class Repeats:
             for a, b in K.chunks(offsets, self.chunk_bytes):
                 symbols, bounds = self.symbols(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 w = K.winnow(symbols, bounds, self.size, self.k)
-                own = {"anchor": w["anchor"], "span": w["span"], "doc": ids[a:b][w["doc"]], "low": w["low"].astype(np.uint32), "n": (w["high"] - w["low"] + 1).astype(np.uint16), "at": (w["at"] - w["low"]).astype(np.uint16), "many": np.zeros(len(w["low"]), np.uint8)}
+                own = {"anchor": w["anchor"], "span": w["span"], "doc": ids[a:b][w["doc"]], "low": w["low"].astype(np.uint32), "n": (w["high"] - w["low"] + 1).astype(np.uint16), "at": (w["at"] - w["low"]).astype(np.uint16), "many": np.zeros(len(w["low"]), np.uint8), "hot": np.zeros(len(w["low"]), np.uint8)}
                 gathered.append(own | self.sought(symbols, bounds[:-1][w["doc"]] + w["at"], w["anchor"]))
                 if sum(len(g["low"]) for g in gathered) >= SHARE_RUNS:
                     yield sent()
@@ -131,7 +155,10 @@ class Repeats:
         """Verdicts on the runs of one bucket of anchors; ranges settled earlier pass through."""
         kinds, payloads = table.column("kind").to_numpy(), table.column("payload").to_pylist()
         rows = [(s, RANGES, p) for s, k, p in zip(table.column("slot").to_pylist(), kinds.tolist(), payloads) if k == RANGES]
-        runs, repeat, speaks = self._settle(self.told(self.run.unpack_all([p for k, p in zip(kinds.tolist(), payloads) if k == SEEDS])))
+        runs = self.told(self.run.unpack_all([p for k, p in zip(kinds.tolist(), payloads) if k == SEEDS]))
+        hot = np.unique(runs["anchor"][runs["hot"] != PLAIN])
+        plain = runs["hot"] != MARKER
+        runs, repeat, speaks = self._settle({name: values[plain] for name, values in runs.items()})
         rows += self._ranges(runs["doc"][repeat], runs["low"][repeat], runs["n"][repeat])
         if len(speaks):
             new = np.ones(len(speaks), bool)
@@ -139,7 +166,8 @@ class Repeats:
             anchor = np.cumsum(new) - 1
             differs = np.zeros(len(speaks), bool)
             differs[1:] = (runs["span"][1:] != runs["span"][:-1]) & ~new[1:]
-            several = np.bincount(anchor, weights=differs) > 0
+            runs["hot"] = np.isin(runs["anchor"], hot).astype(np.uint8)
+            several = (np.bincount(anchor, weights=differs) > 0) | (runs["hot"][new] > 0)
             ends = {name: values[speaks & several[anchor]] for name, values in runs.items()}
             if len(ends["doc"]):
                 rows += [(slot, ENDS, raw) for slot, raw in END.split(ends, slot_of(ends["doc"], self.slots))]
@@ -171,54 +199,66 @@ class Ends:
 
     def cut(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The windows of all end runs, by bucket of their content."""
-        r, parts = self.repeats, []
-
-        def sent() -> pa.RecordBatch:
-            windows = {name: np.concatenate([p[name] for p in parts]) for name in parts[0]}
-            parts.clear()
-            return _batch([(bucket, TEXT_ENDS, raw) for bucket, raw in self.WINDOW.split(windows, windows["bucket"])])
-
+        parts: list[dict[str, np.ndarray]] = []
         for symbols, begin, own in self.runs(batches):
-            h = K.gram_hashes(symbols, r.size)
-            g = K.gram_hashes(K.mix(symbols ^ OTHER), r.size)
-            of, place = K.spread(own["n"].astype(np.int64))
-            at = begin[of] + place
-            parts.append({"bucket": (h[at] % K.U64(r.buckets)).astype(np.int32), "h": h[at], "g": g[at], "doc": own["doc"][of], "low": (own["low"][of] + place).astype(np.uint32)})
+            parts.append(self.windows(symbols, begin, own))
             if sum(len(p["h"]) for p in parts) >= SHARE_RUNS:
-                yield sent()
+                yield _batch(self.sent(parts))
+                parts.clear()
         if parts:
-            yield sent()
+            yield _batch(self.sent(parts))
+
+    def windows(self, symbols: np.ndarray, begin: np.ndarray, own: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        """Every window of the runs, by its two hashes."""
+        r = self.repeats
+        h = K.gram_hashes(symbols, r.size)
+        g = K.gram_hashes(K.mix(symbols ^ OTHER), r.size)
+        of, place = K.spread(own["n"].astype(np.int64))
+        at = begin[of] + place
+        return {"h": h[at], "g": g[at], "doc": own["doc"][of], "low": (own["low"][of] + place).astype(np.uint32)}
+
+    def sent(self, parts: list[dict[str, np.ndarray]]) -> list[tuple[int, int, bytes]]:
+        """Rows of a share's windows: of equal ones only what speaks for them elsewhere, and the ranges of those that are repeats already."""
+        w, repeat, new = self.sorted({name: np.concatenate([p[name] for p in parts]) for name in parts[0]})
+        speaks = ~repeat if self.repeats.earlier else new
+        kept = {name: values[speaks] for name, values in w.items()}
+        rows = [(bucket, WINDOW_ENDS, raw) for bucket, raw in self.WINDOW.split(kept, (kept["h"] % K.U64(self.repeats.buckets)).astype(np.int64))] if speaks.any() else []
+        return rows + self.ranges(w["doc"][repeat], w["low"][repeat])
 
     def settle(self, table: pa.Table) -> pa.Table:
-        return self.settled(self.WINDOW.unpack_all(table.column("payload").to_pylist()))
+        """Ranges of the repeats in one bucket; those that were told earlier pass through."""
+        kinds, payloads, slots = (table.column(c).to_pylist() for c in ("kind", "payload", "slot"))
+        rows = [(s, RANGES, p) for s, k, p in zip(slots, kinds, payloads) if k == RANGES]
+        windows = [p for k, p in zip(kinds, payloads) if k == WINDOW_ENDS]
+        if windows:
+            w, repeat, _ = self.sorted(self.WINDOW.unpack_all(windows))
+            rows += self.ranges(w["doc"][repeat], w["low"][repeat])
+        return pa.Table.from_batches([_batch(rows)])
 
-    def settled(self, w: dict[str, np.ndarray]) -> pa.Table:
-        """Ranges of the repeats among the windows of one bucket."""
-        r = self.repeats
-        if not len(w["doc"]):
-            return pa.Table.from_batches([_batch([])])
+    def sorted(self, w: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+        """Windows by content and document, which of them are repeats, and which are the first of their content."""
         order = np.lexsort((w["doc"], w["g"], w["h"]))
         w = {name: values[order] for name, values in w.items()}
         new = np.ones(len(order), bool)
         new[1:] = (w["h"][1:] != w["h"][:-1]) | (w["g"][1:] != w["g"][:-1])
         first, group = np.flatnonzero(new), np.cumsum(new) - 1
-        if r.earlier:
-            repeat = w["doc"] > w["doc"][first][group]
+        if self.repeats.earlier:
+            repeat = w["doc"] > w["doc"][first][group] if len(order) else new
         else:
-            repeat = (np.diff(np.append(first, len(order))) > 1)[group]
-        return self.ranges(w["doc"][repeat], w["low"][repeat])
+            repeat = (np.diff(np.append(first, len(order))) > 1)[group] if len(order) else new
+        return w, repeat, new
 
-    def ranges(self, doc: np.ndarray, low: np.ndarray) -> pa.Table:
+    def ranges(self, doc: np.ndarray, low: np.ndarray) -> list[tuple[int, int, bytes]]:
         """The ranges that repeated windows cover; neighbouring windows of one document make one."""
         order = np.lexsort((low, doc))
         doc, low = doc[order], low[order].astype(np.int64)
         if not len(doc):
-            return pa.Table.from_batches([_batch([])])
+            return []
         new = np.ones(len(doc), bool)
         new[1:] = (doc[1:] != doc[:-1]) | (low[1:] > low[:-1] + 1)
         first = np.flatnonzero(new)
         final = np.append(first[1:], len(doc)) - 1
-        return pa.Table.from_batches([_batch(self.repeats._ranges(doc[first], low[first], low[final] - low[first] + 1))])
+        return self.repeats._ranges(doc[first], low[first], low[final] - low[first] + 1)
 
 
 def _by_document(records: K.Records):

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from corvane.llm import kernels as K
 from corvane.llm.own_ids import by_own_ids
-from corvane.llm.repeats import END, TEXT_ENDS, Ends, Repeats, _batch, cleaned, slots_for
+from corvane.llm.repeats import END, SHARE_RUNS, TEXT_ENDS, Ends, Repeats, _batch, cleaned, slots_for
 
 #: Bytes of a suffix by which its range is chosen.
 LEADING = 16
@@ -102,7 +102,7 @@ class Suffixes(Repeats):
     def __init__(self, size: int, k: int, slots: int, splitters: np.ndarray):
         super().__init__(size, k, False, byte_symbols, slots, 1 << 19)
         self.splitters, self.places = splitters, word_places(k)
-        self.run = K.Records(span=K.U64, doc=np.int64, low=np.uint32, n=np.uint16, at=np.uint16, many=np.uint8, **{f"word{d}": K.U64 for d in range(len(self.places))})
+        self.run = K.Records(span=K.U64, doc=np.int64, low=np.uint32, n=np.uint16, at=np.uint16, many=np.uint8, hot=np.uint8, **{f"word{d}": K.U64 for d in range(len(self.places))})
 
     def sought(self, symbols: np.ndarray, at: np.ndarray, hashes: np.ndarray) -> dict[str, np.ndarray]:
         raw = K.byte_of(symbols)
@@ -123,11 +123,22 @@ def leading(raw: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
 
 
 class SuffixEnds(Ends):
-    """End runs travel as the bytes that their windows cover, and every suffix of them is sorted."""
+    """End runs travel as the bytes that their windows cover, and every suffix of them is sorted.
+
+    Those of hot anchors would all meet in the range of the anchor: they travel
+    window by window, by two hashes of all its bytes.
+    """
 
     def cut(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r, rows, size = self.repeats, [], 0
+        r, rows, size, parts = self.repeats, [], 0, []
         for symbols, begin, own in self.runs(batches):
+            hot = own["hot"] > 0
+            if hot.any():
+                parts.append(self.windows(symbols, begin[hot], {name: values[hot] for name, values in own.items()}))
+                if sum(len(p["h"]) for p in parts) >= SHARE_RUNS:
+                    yield _batch(self.sent(parts))
+                    parts.clear()
+                begin, own = begin[~hot], {name: values[~hot] for name, values in own.items()}
             raw = K.byte_of(symbols)
             order = np.argsort(bucket := r.range_of(raw, begin + own["at"]), kind="stable")
             begin, own, bucket = begin[order], {name: values[order] for name, values in own.items()}, bucket[order]
@@ -140,12 +151,17 @@ class SuffixEnds(Ends):
             if size >= SENT_BYTES:
                 yield _batch(rows)
                 rows, size = [], 0
+        if parts:
+            rows += self.sent(parts)
         if rows:
             yield _batch(rows)
 
     def settle(self, table: pa.Table) -> pa.Table:
+        other = super().settle(table)
         r, docs, lows, starts, texts, at = self.repeats, [], [], [], [], 0
-        for payload in table.column("payload"):
+        for kind, payload in zip(table.column("kind").to_pylist(), table.column("payload")):
+            if kind != TEXT_ENDS:
+                continue
             raw = payload.as_py()
             head = 4 + int.from_bytes(raw[:4], "little") * END.width
             own = END.unpack(raw[4:head])
@@ -158,12 +174,12 @@ class SuffixEnds(Ends):
             texts.append(raw[head:])
             at += len(raw) - head
         if not docs:
-            return pa.Table.from_batches([_batch([])])
+            return other
         doc, low, start = np.concatenate(docs), np.concatenate(lows), np.concatenate(starts)
         words, places = words_at(np.frombuffer(b"".join(texts), np.uint8)), word_places(r.size)
         place = sorted_places(len(start), lambda d, rows: words[start[rows] + places[d]].astype(K.U64), len(places))
         repeat = np.bincount(place, minlength=len(place))[place] > 1
-        return self.ranges(doc[repeat], low[repeat])
+        return pa.concat_tables([other, pa.Table.from_batches([_batch(self.ranges(doc[repeat], low[repeat]))])])
 
 
 def sampled_splitters(docs: DataFrame, size: int, k: int, ranges: int) -> np.ndarray:

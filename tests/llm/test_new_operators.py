@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -240,3 +241,62 @@ def test_contamination_beyond_one_block(spark, corpus):
     assert rows(100) == rows(1 << 20) and len(rows(100)) == len(corpus) + 1
     clean = decontaminate.drop_contaminated(table(spark, corpus), bench)
     assert clean.columns == table(spark, corpus).columns
+
+
+@pytest.mark.parametrize("hot", [2, 8])
+def test_hot_anchors(spark, corpus, monkeypatch, hot):
+    """A passage too short to be a repeat, and one just long enough, in many documents with other surroundings; all results as by brute force."""
+    monkeypatch.setattr(repeats, "HOT_SPANS", hot)
+    rng = random.Random(hot)
+    word = lambda: "".join(rng.choice("abcdef") for _ in range(rng.randint(2, 8)))
+    short, long = " ".join(word() for _ in range(20))[:121], " ".join(word() for _ in range(60))[:207]
+    docs = [(d, " ".join(word() for _ in range(rng.randint(5, 40))) + rng.choice([short, long, " ".join(short.split()[:13])]) + " ".join(word() for _ in range(rng.randint(5, 40)))) for d in range(90)]
+    docs += [(200 + d, t) for d, t in docs[:5]] + [(300 + d, t) for d, t in corpus if d < 12]
+    frame = table(spark, docs).repartition(5)
+    assert by_id(suffixes.remove_repeated_bytes(frame), "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.byte_dedup(docs)
+    assert by_id(repeats.remove_repeated_words(frame), "n_words", "n_removed", "kept_sha256") == brute.substring_dedup(docs)
+
+
+@pytest.mark.parametrize("kind", ["words", "bytes"])
+def test_no_bucket_holds_all_surroundings_of_a_passage(kind):
+    """One passage in thousands of documents: neither its runs nor its ends gather in one bucket."""
+    rng = np.random.default_rng(4)
+    word = lambda n: " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, 6)) for _ in range(n))
+    passage = word(18)[:121]
+    texts = [f"{word(40)} {passage} {word(40)}" for _ in range(3000)]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.r_[0, np.cumsum([len(t) for t in texts])]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    if kind == "words":
+        r = repeats.Repeats(13, 5, True, repeats.word_symbols, 8)
+        ends = repeats.Ends(r)
+    else:
+        symbols, bounds = suffixes.byte_symbols(data, offsets)
+        w = K.winnow(symbols, bounds, 200, 32)
+        key = np.sort(suffixes.leading(data, bounds[:-1][w["doc"]] + w["at"], 16))
+        r = suffixes.Suffixes(200, 32, 8, key[(np.arange(1, 16) * len(key)) // 16])
+        ends = suffixes.SuffixEnds(r)
+
+    def sizes(rows, kinds):
+        out: dict[int, int] = {}
+        for slot, k, payload in rows:
+            if k in kinds:
+                out[slot] = out.get(slot, 0) + len(payload)
+        return list(out.values())
+
+    rows = lambda batches: [x for b in batches for x in zip(*(b.column(c).to_pylist() for c in ("slot", "kind", "payload")))]
+    seeds = rows(r.seeds(iter([batch])))
+    sent = sizes(seeds, {repeats.SEEDS})
+    by_slot: dict[int, list] = {}
+    for slot, k, payload in seeds:
+        by_slot.setdefault(slot, []).append((slot, k, payload))
+    extended = [x for own in by_slot.values() for x in rows(r.extend(pa.Table.from_batches([repeats._batch(own)])).to_batches())]
+    records = [repeats.END.unpack(p) for _, k, p in extended if k == repeats.ENDS]
+    own = {name: np.concatenate([x[name] for x in records]) for name in records[0]}
+    payloads = {d: repeats.END.pack(own, own["doc"] == d) for d in set(own["doc"].tolist())}
+    some = sorted(payloads)
+    cut = pa.RecordBatch.from_arrays([pa.array(some), pa.array([texts[d] for d in some]), pa.array([payloads[d] for d in some])], names=["doc_id", "text", "payload"])
+    ended = sizes(rows(ends.cut(iter([cut]))), {repeats.TEXT_ENDS, repeats.WINDOW_ENDS})
+    assert len(some) > 1500
+    for found in (sent, ended):
+        assert max(found) < 2.5 * np.mean(found)
