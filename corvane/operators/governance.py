@@ -97,9 +97,9 @@ def review_removals(proposed: DataFrame, removed: DataFrame) -> DataFrame:
 
 
 def review_additions(proposed: DataFrame, added: DataFrame) -> DataFrame:
-    """Reviewer's additions that were not proposed, each key once, the first by ``ord``."""
-    have = proposed.select("run_id", F.lower(F.trim("surface")).alias("key")).distinct()
-    new = added.where(F.trim("surface") != "").withColumn("key", F.lower(F.trim("surface"))).join(have, ["run_id", "key"], "left_anti")
+    """Reviewer's additions that were not proposed, each dictionary key once, the first by ``ord``."""
+    have = proposed.select("run_id", normalized(F.col("surface")).alias("key")).distinct()
+    new = added.where(F.trim("surface") != "").withColumn("key", normalized(F.col("surface"))).join(have, ["run_id", "key"], "left_anti")
     first = Window.partitionBy("run_id", "key").orderBy("ord")
     return new.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n", "key")
 
@@ -111,6 +111,13 @@ def review_deltas(missed: DataFrame, wrong: DataFrame) -> DataFrame:
     return a.join(b, "entity_type", "full_outer").na.fill(0, ["recall_misses", "precision_misses"])
 
 
+def review_delta_totals(runs: DataFrame, missed: DataFrame, wrong: DataFrame) -> DataFrame:
+    """One row: total_runs_checked, and runs_with_data, those of ``runs`` (run_id) that have a miss (run_id) of either kind."""
+    some = missed.select("run_id").unionByName(wrong.select("run_id")).distinct().withColumn("some", F.lit(True))
+    checked = runs.select("run_id").distinct().join(some, "run_id", "left")
+    return checked.agg(F.count(F.lit(1)).alias("total_runs_checked"), F.count("some").alias("runs_with_data"))
+
+
 def tag_gate(tags: DataFrame, vocabulary: DataFrame, limit: float = TAG_FROM) -> DataFrame:
     """Adds status: applied, flagged (known but unsure) or proposed_new (not in the approved vocabulary)."""
     known = vocabulary.where("status = 'approved'").select("category", "value", F.lit(True).alias("known"))

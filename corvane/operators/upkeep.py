@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.patterns import normalized_ascii
-from corvane.operators.governance import allocated_tokens, inserted
+from corvane.operators.governance import EVERYTHING, allocated_tokens, inserted
 
 #: The role that may own accounts.
 OWNER_ROLE = "practice_lead"
@@ -169,3 +169,56 @@ def newest_first(rows: DataFrame, owner: str, *order: str) -> DataFrame:
 def with_new_entries(old: Column, new: Column) -> Column:
     """Two maps as one; where both have a key the new one's value counts."""
     return F.map_concat(F.map_filter(old, lambda k, v: ~F.map_contains_key(new, k)), new)
+
+
+def accounts_created(accounts: DataFrame, requests: DataFrame) -> DataFrame:
+    """(request, name, outcome) of requests (request, seq, name) for new accounts: of one exact name the first is created, unless it is there; all others conflict."""
+    have = accounts.select("name").distinct().withColumn("have", F.lit(True))
+    place = F.row_number().over(Window.partitionBy("name").orderBy("seq"))
+    rows = requests.where(F.trim("name") != "").join(have, "name", "left").withColumn("place", place)
+    return rows.select("request", "name", F.when(F.col("have").isNull() & (F.col("place") == 1), "created").otherwise("conflict").alias("outcome"))
+
+
+def aliases_set(entities: DataFrame, requests: DataFrame) -> DataFrame:
+    """Entities (entity_id, custom) with the last validated replacement of (entity_id, seq, custom); a blank one takes it away."""
+    last = requests.groupBy("entity_id").agg(F.max_by(F.struct("custom"), "seq").alias("x"))
+    rows = entities.join(last, "entity_id", "left")
+    return rows.select("entity_id", F.when(F.col("x").isNotNull(), F.nullif(F.trim("x.custom"), F.lit(""))).otherwise(F.col("custom")).alias("custom"))
+
+
+def reviews_submitted(runs: DataFrame, requests: DataFrame, agents: DataFrame) -> DataFrame:
+    """(request, run_id, seq, reviewer, decision, agent, outcome) of requests (request, run_id, seq, reviewer, role, decision) to decide on runs.
+
+    A run (run_id, created_by, agent, status) that waits for review is decided
+    by the first request that may: not its creator's, unless an admin, and of a
+    known agent (agent). Later ones find it decided; a rejection rejects the
+    run, all else completes it.
+    """
+    known = agents.select("agent").distinct().withColumn("known", F.lit(True))
+    asked = requests.join(runs, "run_id", "left").join(known, "agent", "left")
+    refused = (
+        F.when(F.col("status").isNull(), "no such run").when(F.col("status") != "awaiting_review", F.concat(F.lit("run is "), "status"))
+        .when((F.col("created_by") == F.col("reviewer")) & (F.col("role") != EVERYTHING), "own run").when(F.col("known").isNull(), "unknown agent")
+    )
+    rows = asked.withColumn("refused", refused)
+    first = rows.where("refused is null").groupBy("run_id").agg(F.min("seq").alias("decided_at"), F.min_by("decision", "seq").alias("decided"))
+    after = F.when(F.col("decided") == "rejected", "rejected").otherwise("completed")
+    rows = rows.join(first, "run_id", "left")
+    # A run that is decided is no longer waiting, whoever asks; before that each has its own reason.
+    outcome = F.when(F.col("seq") > F.col("decided_at"), F.concat(F.lit("run is "), after)).otherwise(F.coalesce("refused", F.lit("accepted")))
+    return rows.select("request", "run_id", "seq", "reviewer", "decision", "agent", outcome.alias("outcome"))
+
+
+def review_items_after(items: DataFrame, submitted: DataFrame) -> DataFrame:
+    """(run_id, item, reviewer, decision): accepted decisions stand on the run's latest item (run_id, item, …), or on a first one numbered 1."""
+    accepted = submitted.where("outcome = 'accepted'").select("run_id", F.col("reviewer").alias("new_reviewer"), F.col("decision").alias("new_decision"))
+    last = items.groupBy("run_id").agg(F.max("item").alias("item")).join(accepted, "run_id")
+    changed = items.join(last, ["run_id", "item"], "left")
+    kept = changed.select("run_id", "item", F.coalesce("new_reviewer", "reviewer").alias("reviewer"), F.coalesce("new_decision", "decision").alias("decision"))
+    first = accepted.join(items.select("run_id").distinct(), "run_id", "left_anti")
+    return kept.unionByName(first.select("run_id", F.lit(1).cast("long").alias("item"), F.col("new_reviewer").alias("reviewer"), F.col("new_decision").alias("decision")))
+
+
+def review_audit(submitted: DataFrame) -> DataFrame:
+    """(run_id, actor, action) of the accepted decisions."""
+    return submitted.where("outcome = 'accepted'").select("run_id", F.col("reviewer").alias("actor"), F.concat(F.lit("review_"), "decision", F.lit(": "), "agent").alias("action"))

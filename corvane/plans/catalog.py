@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.plans import automata, detection, files, governance, masking, packages, remediation, review, similarity, streams, upkeep
+from corvane.plans import annotations, automata, detection, files, governance, masking, packages, remediation, requests, review, similarity, streams, upkeep
 
-_AREAS = (automata, detection, masking, similarity, governance, review, packages, upkeep, remediation, files, streams)
+_AREAS = (annotations, automata, detection, masking, similarity, governance, review, packages, upkeep, remediation, files, requests, streams)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: query for area in _AREAS for name, query in area.QUERIES.items()}
 ORACLE: dict[str, str] = {name: sql for area in _AREAS for name, sql in area.ORACLE.items()}
 flagship = masking.flagship

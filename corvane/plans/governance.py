@@ -66,6 +66,13 @@ def review_deltas(spark, folder):
     return governance.review_deltas(both.where("not flag and quality = 0"), both.where("flag and quality = 1"))
 
 
+def review_delta_totals(spark, folder):
+    """Every document is a run; those whose label says that the flag was wrong have data."""
+    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("run_id"), F.coalesce(F.length("text") < 400, F.lit(True)).alias("flag"))
+    both = docs.join(table(spark, folder, "labels").select(F.col("doc_id").alias("run_id"), "quality"), "run_id")
+    return governance.review_delta_totals(docs, both.where("not flag and quality = 0"), both.where("flag and quality = 1"))
+
+
 def tag_gate(spark, folder):
     docs = table(spark, folder, "documents")
     confidence = (F.col("doc_id") % 10) / 10
@@ -223,6 +230,8 @@ SELECT surface, kind AS entity_type, tokens[-1] AS token FROM r WHERE i > 0"""
 PREFIX_OF = "CASE kind WHEN 'CLIENT_PERSON' THEN 'CLIENT_PERSON' WHEN 'CLIENT_EMAIL_DOMAIN' THEN 'CLIENT_DOMAIN' WHEN 'CLIENT_CONTRACT_ID' THEN 'CLIENT_CONTRACT' ELSE 'CLIENT' END AS p"
 _ALLOCATED = allocated(f"SELECT *, {PREFIX_OF} FROM (SELECT min(surface) AS surface, {list(NEW_KINDS)}[length(min(surface)) % 4 + 1] AS kind FROM ({detection._CAND}) GROUP BY key)", str(list(TOKENS)))
 
+#: The dictionary key of any value: accents folded, then punctuation gone and white space as one space.
+_FULL_KEY = r"regexp_replace(regexp_replace(trim(strip_accents(lower({})), ' '), '[^\p{{L}}\p{{N}}_@.\s-]', '', 'g'), '\s+', ' ', 'g')"
 TERMS = "(SELECT *, CASE WHEN length(value) % 3 = 0 THEN 'pending_approval' ELSE 'approved' END AS status FROM (SELECT DISTINCT 'domain' AS category, lower(lang) AS value FROM documents WHERE lang IS NOT NULL UNION ALL SELECT DISTINCT 'technology', lower(source) FROM documents WHERE source IS NOT NULL UNION ALL SELECT DISTINCT 'geography', lower(n_name) FROM nation UNION ALL SELECT DISTINCT 'engagement_type', lower(p_type) FROM part))"
 DICTIONARY = "(SELECT s_nationkey AS entity_id, s_suppkey AS alias_id, s_name AS surface, '[CLIENT_' || (s_nationkey + 1) || ']' AS token, ['pending_approval', 'approved', 'skipped'][s_nationkey % 3 + 1] AS status, s_nationkey * 2 % 31 AS created_days, CASE s_nationkey % 4 WHEN 1 THEN 'Partner ' || s_nationkey WHEN 2 THEN '' END AS custom FROM supplier)"
 ORACLE = {
@@ -231,7 +240,8 @@ ORACLE = {
     "snapshot_upsert": "SELECT c_custkey AS id, coalesce(o.state, c_mktsegment) AS state, CASE WHEN o.state IS NULL THEN 1 ELSE 2 END AS version FROM customer LEFT JOIN (SELECT o_custkey, arg_max(o_orderpriority, (o_orderdate, o_orderkey)) AS state FROM orders GROUP BY o_custkey) o ON o_custkey = c_custkey",
     "snapshot_insert": f"SELECT category, value, status FROM {values('vocabulary')} v UNION ALL SELECT DISTINCT 'technology', source, 'pending_approval' FROM documents WHERE source NOT IN (SELECT value FROM {values('vocabulary')} v WHERE category = 'technology')",
     "review_removals": f"SELECT run_id, count(*)::BIGINT AS n FROM {_PROPOSED} p WHERE (run_id, lower(surface)) NOT IN (SELECT run_id, lower(surface) FROM {_PROPOSED} q JOIN labels l ON l.doc_id = q.run_id WHERE (toxic = 1 OR quality = 0) AND length(surface) > 5) GROUP BY run_id",
-    "review_additions": f"SELECT run_id, arg_min(surface, i) AS surface FROM (SELECT doc_id AS run_id, unnest(w) AS surface, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, {_WORDS} AS w FROM documents)) a WHERE (run_id, lower(surface)) NOT IN (SELECT run_id, lower(surface) FROM {_PROPOSED} p) GROUP BY run_id, lower(surface)",
+    "review_additions": f"SELECT run_id, arg_min(surface, i) AS surface FROM (SELECT doc_id AS run_id, unnest(w) AS surface, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, {_WORDS} AS w FROM documents)) a WHERE (run_id, {_FULL_KEY.format('surface')}) NOT IN (SELECT run_id, {_FULL_KEY.format('surface')} FROM {_PROPOSED} p) GROUP BY run_id, {_FULL_KEY.format('surface')}",
+    "review_delta_totals": "SELECT count(DISTINCT d.doc_id)::BIGINT AS total_runs_checked, count(DISTINCT CASE WHEN (coalesce(length(text) < 400, true) AND quality = 1) OR (NOT coalesce(length(text) < 400, true) AND quality = 0) THEN d.doc_id END)::BIGINT AS runs_with_data FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id",
     "review_deltas": "SELECT lang AS entity_type, coalesce(sum((length(text) >= 400 AND quality = 0)::INT), 0)::BIGINT AS recall_misses, coalesce(sum((length(text) < 400 AND quality = 1)::INT), 0)::BIGINT AS precision_misses FROM documents JOIN labels USING (doc_id) GROUP BY lang HAVING recall_misses + precision_misses > 0",
     "tag_gate": f"SELECT category, value, CASE WHEN v.status IS NULL THEN 'proposed_new' WHEN confidence >= 0.7::DOUBLE THEN 'applied' ELSE 'flagged' END AS status, count(*)::BIGINT AS n FROM (SELECT 'domain' AS category, lang AS value, (doc_id % 10) / 10 AS confidence FROM documents UNION ALL SELECT 'technology', source, (doc_id % 10) / 10 FROM documents) t LEFT JOIN (SELECT * FROM {values('vocabulary')} x WHERE status = 'approved') v USING (category, value) GROUP BY ALL",
     "vocabulary_by_category": f"SELECT ord, c.category, coalesce(string_agg(value, ',' ORDER BY value), '') AS terms FROM {values('categories')} c LEFT JOIN {TERMS} v ON v.category = c.category AND v.status = 'approved' GROUP BY ALL",

@@ -60,7 +60,7 @@ def _deck(key: int, name: str) -> dict[str, str | bytes]:
         "ppt/slideLayouts/slideLayout1.xml": _tree("sldLayout", _shape(f"Layout {name}"), hides if key % 5 == 0 else ""),
         "ppt/slideLayouts/_rels/slideLayout1.xml.rels": _relations(("slideMaster", "../slideMasters/slideMaster1.xml", "")),
         "ppt/slideMasters/slideMaster1.xml": _tree("sldMaster", _shape(f"Master {name}")),
-        "ppt/charts/chart1.xml": f"<c:chart {_NS}><a:t>Chart {name}</a:t><c:v>12.5</c:v><c:v>North {name}</c:v></c:chart>",
+        "ppt/charts/chart1.xml": f"<c:chart {_NS}><a:t>Chart {name}</a:t><c:cat><c:strRef><c:f>Data {name}!$A$2</c:f><c:strCache><c:pt><c:v>North {name}</c:v></c:pt><c:pt><c:v>2024</c:v></c:pt></c:strCache></c:strRef></c:cat><c:val><c:numRef><c:f>Data {name}!$A$2</c:f><c:numCache><c:pt><c:v>12.5</c:v></c:pt></c:numCache></c:numRef></c:val></c:chart>",
         "ppt/notesSlides/notesSlide1.xml": _tree("notes", _shape("7", '<p:nvPr><p:ph type="sldNum"/></p:nvPr>') + _shape(f"Notes {name}", '<p:nvPr><p:ph type="body"/></p:nvPr>')),
         "ppt/embeddings/book.xlsx": book.getvalue(),
         "ppt/authors.xml": f'<p188:author name="{name}" initials="" userId="u{key}"/>',
@@ -153,7 +153,7 @@ _BOTH = "CASE WHEN k % 2 = 1 THEN '[slide 1 {0}] {1} ' || n || chr(10) ELSE '' E
 _DECK = [
     ("slide", 0, "slide 1", f"'Second ' || n || {_N} || 'R&D of ' || n"),
     ("slide", 1, "slide 2", f"'First ' || n || {_N} || 'Cell ' || n"),
-    ("chart", 2, "chart text", f"'[slide 2 chart] Chart ' || n || {_N} || '[slide 2 chart] North ' || n"),
+    ("chart", 2, "chart text", f"'[slide 2 chart] Chart ' || n || {_N} || '[slide 2 chart] North ' || n || {_N} || '[slide 2 chart] 2024' || {_N} || '[slide 2 chart] [chart cell ref] Data ' || n || '!$A$2'"),
     ("ole", 3, "embedded objects", "'[slide 2 embedded object] Inside ' || n"),
     ("layout-text", 4, "layout text", _BOTH.format("layout", "Layout")),
     ("master-text", 5, "master text", f"CASE WHEN k % 5 <> 0 THEN {_BOTH.format('master', 'Master')} END"),
@@ -170,7 +170,15 @@ def _expected(rows: list, turn: int) -> str:
     return " UNION ALL ".join(f"SELECT n AS path, '{kind}' AS kind, ({at})::INTEGER AS chunk_id, {label(name)} AS label, {text} AS text FROM f WHERE k % 3 = {turn}" for kind, at, name, text in rows)
 
 
+def loose_labels(spark, folder):
+    """Labels of image parts that nothing shows: one part of some folder for each supplier."""
+    folders = F.array(*[F.lit(x) for x in ("docProps/thumbnail", "ppt/slideMasters/media/", "ppt/slideLayouts/media/", "ppt/diagrams/media/", "word/media/header", "word/media/footer_of_header", "ppt/media/footer", "xl/media/")])
+    part = F.concat(F.element_at(folders, (F.col("s_suppkey") % 8 + 1).cast("int")), F.col("s_suppkey"), F.lit(".png"))
+    return table(spark, folder, "supplier").select("s_suppkey", packages.loose_label(part).alias("label"))
+
+
 ORACLE = {
+    "loose_labels": f"SELECT s_suppkey, ['document thumbnail', 'slide master graphic', 'slide layout graphic', 'SmartArt graphic', 'header graphic', 'header graphic', 'footer graphic', '{packages.OTHER_LABEL}'][s_suppkey % 8 + 1] AS label FROM supplier",
     "package_chunks": f"WITH f AS (SELECT s_suppkey AS k, s_name AS n FROM supplier) SELECT * FROM ({_expected(_WORD, 0)} UNION ALL {_expected(_DECK, 1)} UNION ALL {_expected(_BOOK, 2)}) x WHERE text IS NOT NULL",
     "package_alt_texts": "SELECT s_name AS path, 'Logo of ' || s_name AS text FROM supplier WHERE s_suppkey % 3 = 1",
     "package_identities": "SELECT s_name AS path, 'docProps/core.xml' AS part, s_name AS value FROM supplier WHERE s_suppkey % 2 = 1 UNION ALL SELECT s_name, 'ppt/authors.xml', unnest([s_name, 'u' || s_suppkey]) FROM supplier WHERE s_suppkey % 3 = 1",

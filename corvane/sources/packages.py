@@ -197,7 +197,9 @@ def _blocks(part: str, root: ElementTree.Element) -> Iterator[tuple[str, int, st
     elif name == "ppt/presentation.xml":
         yield from (("slide_id", 0, next((v for k, v in e.attrib.items() if k.endswith('}id')), '')) for e in _under(root, "sldId"))
     elif re.match(r"ppt/charts/chart[^/]*\.xml$", name):
-        yield from (("line", 0, (e.text or "").strip()) for e in _under(root, "t", "v") if _local(e) == "t" or not re.fullmatch(r"-?[\d.]+(E[+-]?\d+)?", (e.text or "").strip()))
+        # Values of number caches are data; all other cached values are labels, also those that look like numbers.
+        yield from (("line", 0, (e.text or "").strip()) for e in _under(root, "t", "v", past=("numCache", "numLit")))
+        yield from (("line", 0, f"[chart cell ref] {said}") for said in sorted({(e.text or "").strip() for e in _under(root, "f")} - {""}))
     elif re.match(r"ppt/diagrams/data[^/]*\.xml$", name):
         yield from (("line", 0, "".join(t.text or "" for t in _under(p, "t")).strip()) for p in _under(root, "p", past=("p",)))
     elif name == "xl/workbook.xml":
@@ -242,6 +244,19 @@ def media_parts(rows: DataFrame) -> DataFrame:
     return related.unionByName(loose)
 
 
+# What the label of an image part that nothing shows is told by, in order, and the label of all others.
+LABELS = (("docProps/thumbnail", "document thumbnail"), ("slideMasters", "slide master graphic"), ("slideLayouts", "slide layout graphic"), ("diagrams", "SmartArt graphic"), ("header", "header graphic"), ("footer", "footer graphic"))
+OTHER_LABEL = "embedded image (not reachable from body text)"
+
+
+def loose_label(part: Column) -> Column:
+    """The label of an image part that no relation shows."""
+    out = F.lit(None).cast("string")
+    for needle, label in reversed(LABELS):
+        out = F.when(F.contains(part, F.lit(needle)), label).otherwise(out)
+    return F.coalesce(out, F.lit(OTHER_LABEL))
+
+
 def alt_texts(rows: DataFrame) -> DataFrame:
     """path, part, text: non-blank descriptions and titles of pictures and shapes."""
     tags = F.regexp_extract_all("xml", F.lit(r"<(?:\w+:)?(?:cNvPr|docPr)\b[^>]*>"), F.lit(0))

@@ -98,3 +98,31 @@ def test_late_rows_are_a_side_output(spark, unordered):
     assert total == events.count() == rows.select("event_id").distinct().count() and 0 < late < total
     first, last = events.agg(F.min("ts"), F.max("ts")).first()
     assert rows.where("late").agg(F.max("ts")).first()[0] < last and runs.on_time_and_late(runs.events_stream(spark, unordered), "400 days", "late").where("late").isEmpty()
+
+
+def test_annotations_keep_what_stands_above():
+    from xml.etree import ElementTree
+
+    from corvane.sources import annotations
+
+    w = 'xmlns:w="urn:w"'
+    xml = (
+        f'<w:document {w}><w:p><w:ins w:author="A"><w:r><w:t>one</w:t></w:r><w:del w:author="B"><w:r><w:delText>two</w:delText></w:r></w:del></w:ins>'
+        '<w:commentRangeStart w:id="1"/><w:r><w:t>three</w:t></w:r><w:commentRangeStart w:id="2"/><w:r><w:t>four</w:t></w:r><w:commentRangeEnd w:id="1"/><w:r><w:t>five</w:t></w:r><w:commentRangeEnd w:id="2"/><w:r><w:t>six</w:t></w:r></w:p></w:document>'
+    )
+    found = [(kind, author, e.text if key is None else e.attrib[key]) for kind, author, e, key in annotations._walk(ElementTree.fromstring(xml))]
+    assert found == [
+        ("author", None, "A"), ("inserted", "A", "one"), ("author", None, "B"), ("deleted", "B", "two"),
+        ("commented", "1", "three"), ("commented", "1", "four"), ("commented", "2", "four"), ("commented", "2", "five"),
+    ]
+
+
+def test_annotations_of_broken_and_foreign_parts(spark):
+    from corvane.sources import annotations
+
+    rows = spark.createDataFrame([("f", "word/comments.xml", "<broken", None), ("f", "word/other.xml", "<a/>", None), ("f", "word/people.xml", None, None), ("f", None, None, None), ("g", "xl/persons/person.xml", '<p><person displayName="X y"/></p>', None)], "path string, part string, xml string, content binary")
+    found = annotations.annotations(rows)
+    assert [tuple(r)[3:] for r in found.collect()] == [("author", None, "X y")]
+    clean = {r["part"]: (r["xml"], r["changed"]) for r in annotations.scrubbed(rows, [("x", "[T]")]).collect()}
+    assert clean["word/comments.xml"] == ("<broken", 0) and 'displayName=""' in clean["xl/persons/person.xml"][0]
+    assert annotations.annotations(rows.limit(0)).collect() == [] and annotations.residual(found, []).count() == 1
