@@ -90,8 +90,11 @@ def sweep_indexed(docs: DataFrame, aliases: DataFrame) -> DataFrame:
         doubles = F.array_distinct(F.regexp_extract_all(alike(F.col("text")), F.lit("(?s)(?=([^A-Z0-9].))"), F.lit(1)))
         pairs = pairs.unionByName(docs.select("doc_id", F.explode(doubles).alias("token")).join(odd, "token"))
     quoted = F.concat(F.lit(r"(?iu)(?<![A-Za-z0-9])\Q"), F.replace("surface", F.lit(" "), F.lit(r"\E\s+\Q")), F.lit(r"\E(?![A-Za-z0-9])"))
-    said = pairs.distinct().join(docs.select("doc_id", "text"), "doc_id")
-    return said.where(F.regexp_like("text", quoted)).groupBy("doc_id", "entity_id").agg(F.min_by("surface", "alias_id").alias("surface"))
+    # A text meets all its candidates once, however many they are.
+    candidate = F.struct("entity_id", "alias_id", "surface", quoted.alias("pattern"))
+    own = pairs.distinct().groupBy("doc_id").agg(F.collect_list(candidate).alias("candidates"))
+    said = own.join(docs.select("doc_id", "text"), "doc_id").select("doc_id", F.explode(F.filter("candidates", lambda c: F.regexp_like("text", c["pattern"]))).alias("c")).select("doc_id", "c.*")
+    return said.groupBy("doc_id", "entity_id").agg(F.min_by("surface", "alias_id").alias("surface"))
 
 
 def occurrence_counts(docs: DataFrame, surfaces: list[str]) -> DataFrame:

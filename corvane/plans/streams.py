@@ -50,8 +50,8 @@ def _requests(events):
 
 
 def stream_leases(spark, folder):
-    """What became of every request; leases that run out are told apart."""
-    rows = leases.granted(_requests(runs.events_stream(spark, folder)), runs.replay_watermark(spark, folder))
+    """What became of every request, all that are there as one batch; leases that run out are told apart."""
+    rows = leases.granted(_requests(runs.events_stream(spark, folder, per_batch=None)), runs.replay_watermark(spark, folder))
     return rows.where("outcome <> 'expired'").select("run_id", "seq", "consumer", "outcome", "since_ms", "until_ms")
 
 

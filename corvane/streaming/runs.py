@@ -17,11 +17,12 @@ _STATE = "ts timestamp, event_id long, status string"
 _OUT = "user_id long, status string, event_id long, updated_at timestamp"
 
 
-def events_stream(spark: SparkSession, folder: str, name: str = "events") -> DataFrame:
-    """The event table as a file stream."""
+def events_stream(spark: SparkSession, folder: str, name: str = "events", per_batch: int | None = 16) -> DataFrame:
+    """The event table as a file stream, so many files to a batch; None: all that are there, for what depends on the order of rows."""
     path = f"{folder}/{name}.parquet"
     schema = spark.read.parquet(path).schema
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 16)
+    reader = spark.readStream.schema(schema)
+    reader = reader if per_batch is None else reader.option("maxFilesPerTrigger", per_batch)
     # A single file is named by a pattern in its folder, as streams list folders.
     rows = reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder) if _is_file(spark, path) else reader.parquet(path)
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))  # watermarks need a time zone
