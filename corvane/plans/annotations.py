@@ -77,7 +77,16 @@ _FILLED = "(SELECT path, part, kind, replace(author, '@K', k) AS author, replace
 _DEAL = r"old\s+deal"
 ORACLE = {
     "annotation_rows": f"SELECT * FROM {_FILLED} f",
-    "residual_annotations": f"SELECT path, kind, surface, count(*)::BIGINT AS n FROM (SELECT path, kind, NULL AS surface FROM {_FILLED} f WHERE kind = 'author' UNION ALL SELECT path, kind, 'Supplier' FROM {_FILLED} f WHERE kind <> 'author' AND contains(text, 'Supplier') UNION ALL SELECT path, kind, 'old deal' FROM {_FILLED} f WHERE kind <> 'author' AND regexp_matches(text, '{_DEAL}')) x GROUP BY ALL",
-    "scrubbed_annotations": f"SELECT path, count(*) FILTER (kind = 'author' OR contains(text, 'Supplier') OR regexp_matches(text, '{_DEAL}'))::BIGINT AS changed, string_agg(kind || '=' || regexp_replace(replace(text, 'Supplier', '[CLIENT_1]'), '{_DEAL}', '[CLIENT_2]'), ';' ORDER BY kind || '=' || regexp_replace(replace(text, 'Supplier', '[CLIENT_1]'), '{_DEAL}', '[CLIENT_2]')) FILTER (kind <> 'author') AS texts FROM {_FILLED} f GROUP BY path",
+    "residual_annotations": (
+        f"SELECT path, kind, surface, count(*)::BIGINT AS n FROM (SELECT path, kind, NULL AS surface FROM {_FILLED} f WHERE kind = 'author' UNION ALL "
+        f"SELECT path, kind, 'Supplier' FROM {_FILLED} f WHERE kind <> 'author' AND contains(text, 'Supplier') UNION ALL SELECT path, kind, 'old deal' "
+        f"FROM {_FILLED} f WHERE kind <> 'author' AND regexp_matches(text, '{_DEAL}')) x GROUP BY ALL"
+    ),
+    "scrubbed_annotations": (
+        f"SELECT path, count(*) FILTER (kind = 'author' OR contains(text, 'Supplier') OR regexp_matches(text, '{_DEAL}'))::BIGINT AS changed, "
+        f"string_agg(kind || '=' || regexp_replace(replace(text, 'Supplier', '[CLIENT_1]'), '{_DEAL}', '[CLIENT_2]'), ';' "
+        f"ORDER BY kind || '=' || regexp_replace(replace(text, 'Supplier', '[CLIENT_1]'), '{_DEAL}', '[CLIENT_2]')) FILTER (kind <> 'author') AS texts "
+        f"FROM {_FILLED} f GROUP BY path"
+    ),
 }
 QUERIES = {name: globals()[name] for name in ORACLE}

@@ -44,11 +44,20 @@ def alias_masks(spark, folder):
     return automaton.masked(_docs(spark, folder), _dictionary(spark, folder)).select("doc_id", "masked", "n")
 
 
-_ALIASES = f"(SELECT item_id AS entity_id, item_id * 10000 + generate_subscripts(l, 1) - 1 AS alias_id, unnest(l) AS surface FROM (SELECT item_id, list_concat(regexp_extract_all(text, '{PAIR}'), regexp_extract_all(text, '{WORD}')) AS l FROM benchmark))"
+_ALIASES = (
+    f"(SELECT item_id AS entity_id, item_id * 10000 + generate_subscripts(l, 1) - 1 AS alias_id, unnest(l) AS surface FROM (SELECT item_id, "
+    f"list_concat(regexp_extract_all(text, '{PAIR}'), regexp_extract_all(text, '{WORD}')) AS l FROM benchmark))"
+)
 # Pairs that hold the letters at all are few; the pattern then decides.
 _MET = """(SELECT doc_id, doubled, s.surface, '(?i)(^|[^A-Za-z0-9])' || replace(s.surface, ' ', '\\s+') || '([^A-Za-z0-9]|$)' AS pattern FROM (SELECT doc_id, text, @DOUBLED@ AS doubled, lower(regexp_replace(text, '\\s+', ' ', 'g')) AS low FROM documents) d JOIN (SELECT DISTINCT surface FROM @ALIASES@ a) s ON contains(low, lower(s.surface)))""".replace("@DOUBLED@", _DOUBLED).replace("@ALIASES@", _ALIASES)
 ORACLE = {
-    "alias_sweep": f"SELECT doc_id, entity_id, arg_min(a.surface, alias_id) AS surface FROM (SELECT doc_id, surface FROM {_MET} m WHERE regexp_matches(doubled, pattern)) h JOIN {_ALIASES} a USING (surface) GROUP BY doc_id, entity_id",
-    "alias_occurrences": f"SELECT doc_id, count(*)::BIGINT AS aliases, sum(n)::BIGINT AS n FROM (SELECT doc_id, len(regexp_extract_all(doubled, pattern)) AS n FROM {_MET} m) WHERE n > 0 GROUP BY doc_id",
+    "alias_sweep": (
+        f"SELECT doc_id, entity_id, arg_min(a.surface, alias_id) AS surface FROM (SELECT doc_id, surface FROM {_MET} m WHERE regexp_matches(doubled, pattern)) "
+        f"h JOIN {_ALIASES} a USING (surface) GROUP BY doc_id, entity_id"
+    ),
+    "alias_occurrences": (
+        f"SELECT doc_id, count(*)::BIGINT AS aliases, sum(n)::BIGINT AS n FROM (SELECT doc_id, len(regexp_extract_all(doubled, pattern)) AS n FROM {_MET} m) "
+        f"WHERE n > 0 GROUP BY doc_id"
+    ),
 }
 QUERIES = {name: globals()[name] for name in [*ORACLE, "alias_masks"]}

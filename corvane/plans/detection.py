@@ -122,8 +122,14 @@ def _emitted(source: str, columns: str) -> str:
     return "(" + " UNION ALL ".join(parts) + ")"
 
 
-_CAND = f"SELECT doc_id, lower(surface) AS key, arg_min(surface, kind * 1000000 + pos) AS surface, arg_min(entity_type, kind * 1000000 + pos) AS entity_type, count(*)::BIGINT AS occurrences FROM {_emitted('documents', 'doc_id')} e GROUP BY ALL"
-_LINES = "(SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS i FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ') <> '') AS ls FROM documents))"
+_CAND = (
+    f"SELECT doc_id, lower(surface) AS key, arg_min(surface, kind * 1000000 + pos) AS surface, arg_min(entity_type, kind * 1000000 + pos) AS entity_type, "
+    f"count(*)::BIGINT AS occurrences FROM {_emitted('documents', 'doc_id')} e GROUP BY ALL"
+)
+_LINES = (
+    "(SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS i FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), "
+    "lambda x: trim(x, ' ') <> '') AS ls FROM documents))"
+)
 _CHUNKS = f"(SELECT doc_id, (i // 8)::BIGINT AS chunk_id, string_agg(line, chr(10) || chr(10) ORDER BY i) AS text FROM {_LINES} l GROUP BY ALL)"
 _DOUBLED = r"regexp_replace(text, '([^A-Za-z0-9])', '\1\1', 'g')"
 
@@ -134,24 +140,48 @@ def _found(surface: str) -> str:
 
 
 _KEY = r"regexp_replace(regexp_replace(trim(lower({}), ' '), '[^\w@.\s-]', '', 'g'), '\s+', ' ', 'g')"
-_SCORED = f"(SELECT c.*, coalesce(k.known, false) AS known, CASE WHEN length(c.surface) < 4 THEN least((doc_id % 10) / 10, 0.6::DOUBLE - 0.01::DOUBLE) ELSE (doc_id % 10) / 10 END AS confidence FROM ({_CAND}) c LEFT JOIN (SELECT lower(surface) AS key, true AS known FROM {values('dictionary')} d WHERE status <> 'skipped') k USING (key))"
+_SCORED = (
+    f"(SELECT c.*, coalesce(k.known, false) AS known, CASE WHEN length(c.surface) < 4 THEN least((doc_id % 10) / 10, 0.6::DOUBLE - 0.01::DOUBLE) "
+    f"ELSE (doc_id % 10) / 10 END AS confidence FROM ({_CAND}) c LEFT JOIN (SELECT lower(surface) AS key, true AS known FROM {values('dictionary')} d "
+    f"WHERE status <> 'skipped') k USING (key))"
+)
 _GATED = f"(SELECT s.*, coalesce(t.threshold::DOUBLE, 0.6::DOUBLE) AS threshold FROM {_SCORED} s LEFT JOIN {values('thresholds')} t USING (entity_type))"
 
 ORACLE = {
     "pii_candidates": _CAND,
     "pii_type_by_lang": f"SELECT lang, entity_type, count(*)::BIGINT AS n FROM {_emitted('documents', 'lang')} e GROUP BY ALL",
     "email_domain_inventory": f"""SELECT origin, surface AS domain, count(*)::BIGINT AS n FROM {_emitted("(SELECT 'documents' AS origin, text FROM documents UNION ALL SELECT 'pages', concat_ws(' ', url, html) FROM pages)", 'origin')} e WHERE entity_type = 'CLIENT_EMAIL_DOMAIN' GROUP BY ALL""",
-    "phone_account_overlap": f"SELECT doc_id, unnest(regexp_extract_all(text, '{_PH}')) AS found FROM documents INTERSECT SELECT doc_id, unnest(regexp_extract_all(text, '{_AC}')) FROM documents",
-    "candidate_contexts": f"SELECT doc_id, key, replace(substring(text, greatest(place - 40, 1), place + length(surface) + 40 - greatest(place - 40, 1)), chr(10), ' ') AS context FROM (SELECT c.*, d.text, instr(lower(d.text), key) AS place FROM ({_CAND}) c JOIN documents d USING (doc_id))",
+    "phone_account_overlap": (
+        f"SELECT doc_id, unnest(regexp_extract_all(text, '{_PH}')) AS found FROM documents INTERSECT SELECT doc_id, unnest(regexp_extract_all(text, '{_AC}')) "
+        f"FROM documents"
+    ),
+    "candidate_contexts": (
+        f"SELECT doc_id, key, replace(substring(text, greatest(place - 40, 1), place + length(surface) + 40 - greatest(place - 40, 1)), chr(10), ' ') "
+        f"AS context FROM (SELECT c.*, d.text, instr(lower(d.text), key) AS place FROM ({_CAND}) c JOIN documents d USING (doc_id))"
+    ),
     "chunk_paragraphs": f"SELECT doc_id, chunk_id, length(text)::BIGINT AS n_chars, md5(text) AS digest FROM {_CHUNKS} c",
     "chunk_range_scan": f"SELECT doc_id, chunk_id, text FROM {_CHUNKS} c WHERE chunk_id BETWEEN 1 AND 2",
-    "scanned_doc_heuristic": f"SELECT doc_id, sum(length(trim(line, ' ')))::BIGINT AS chars, count(*)::BIGINT AS chunks FROM {_LINES} l GROUP BY ALL HAVING sum(length(trim(line, ' '))) < 50 * count(*)",
+    "scanned_doc_heuristic": (
+        f"SELECT doc_id, sum(length(trim(line, ' ')))::BIGINT AS chars, count(*)::BIGINT AS chunks FROM {_LINES} l GROUP BY ALL HAVING sum(length(trim(line, "
+        f"' '))) < 50 * count(*)"
+    ),
     "occurrence_counts": " UNION ALL ".join(f"SELECT doc_id, '{s}' AS surface, n::BIGINT AS occurrences FROM (SELECT doc_id, len(regexp_extract_all({_DOUBLED}, '{_found(s)}')) AS n FROM documents) WHERE n > 0" for s in SURFACES),
     "dictionary_sweep": "SELECT doc_id, entity_id, arg_min(surface, alias_id) AS surface FROM (" + " UNION ALL ".join(f"SELECT doc_id, {e} AS entity_id, {a} AS alias_id, '{s}' AS surface FROM documents WHERE regexp_matches({_DOUBLED}, '{_found(s)}')" for e, a, s in ((1, 1, "the"), (2, 2, "of the"), (3, 3, "ing"), (4, 4, "and the"), (2, 5, "at the"))) + ") GROUP BY ALL",
-    "dictionary_lookup": f"SELECT doc_id, k AS key, entity_id, token FROM (SELECT doc_id, surface, {_KEY.format('surface')} AS k FROM ({_CAND})) c JOIN (SELECT {_KEY.format('surface')} AS k, entity_id, token FROM {values('dictionary')} d WHERE status <> 'skipped') a USING (k) WHERE NOT regexp_matches(surface, '(?i)(^|[^A-Za-z0-9])(anon|firm)([^A-Za-z0-9]|$)')",
-    "skipped_terms": f"SELECT doc_id, count(DISTINCT key)::BIGINT AS terms FROM (SELECT doc_id, {_KEY.format('surface')} AS key FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '[ \\n]+')) AS surface FROM documents) WHERE length(surface) >= 8 AND NOT regexp_matches(surface, '[^\\x00-\\x7F]')) w WHERE key NOT IN (SELECT {_KEY.format('surface')} FROM {values('dictionary')} d WHERE status = 'skipped') GROUP BY ALL",
+    "dictionary_lookup": (
+        f"SELECT doc_id, k AS key, entity_id, token FROM (SELECT doc_id, surface, {_KEY.format('surface')} AS k FROM ({_CAND})) c "
+        f"JOIN (SELECT {_KEY.format('surface')} AS k, entity_id, token FROM {values('dictionary')} d WHERE status <> 'skipped') a USING (k) "
+        f"WHERE NOT regexp_matches(surface, '(?i)(^|[^A-Za-z0-9])(anon|firm)([^A-Za-z0-9]|$)')"
+    ),
+    "skipped_terms": (
+        f"SELECT doc_id, count(DISTINCT key)::BIGINT AS terms FROM (SELECT doc_id, {_KEY.format('surface')} AS key FROM (SELECT doc_id, "
+        f"unnest(regexp_split_to_array(text, '[ \\n]+')) AS surface FROM documents) WHERE length(surface) >= 8 AND NOT regexp_matches(surface, "
+        f"'[^\\x00-\\x7F]')) w WHERE key NOT IN (SELECT {_KEY.format('surface')} FROM {values('dictionary')} d WHERE status = 'skipped') GROUP BY ALL"
+    ),
     "confidence_gate": f"SELECT doc_id, key, entity_type, round(confidence, 2)::DOUBLE AS confidence FROM {_GATED} g WHERE known OR confidence >= threshold",
     "excluded_candidates": f"SELECT entity_type, threshold, count(*)::BIGINT AS n FROM {_GATED} g WHERE NOT (known OR confidence >= threshold) GROUP BY ALL",
-    "entity_merge_priority": f"SELECT doc_id, key, CASE min(p) WHEN 1 THEN 'dictionary' ELSE 'model' END AS source FROM (SELECT doc_id, lower(surface) AS key, 2 AS p FROM {_emitted('documents', 'doc_id')} e UNION ALL SELECT doc_id, lower(unnest(regexp_extract_all(text, '{_PH}'))), 1 FROM documents) GROUP BY ALL",
+    "entity_merge_priority": (
+        f"SELECT doc_id, key, CASE min(p) WHEN 1 THEN 'dictionary' ELSE 'model' END AS source FROM (SELECT doc_id, lower(surface) AS key, 2 AS p "
+        f"FROM {_emitted('documents', 'doc_id')} e UNION ALL SELECT doc_id, lower(unnest(regexp_extract_all(text, '{_PH}'))), 1 FROM documents) GROUP BY ALL"
+    ),
 }
 QUERIES = {name: globals()[name] for name in ORACLE}

@@ -50,12 +50,20 @@ def masked_read_back(spark, folder):
 
 
 _KEY = "(SELECT s_suppkey AS k, s_name, ['docx', 'pptx', 'xlsx'][s_suppkey % 3 + 1] AS kind FROM supplier)"
-_JUDGED = f"(SELECT s_name || '.' || CASE WHEN k % 13 = 5 THEN 'txt' WHEN k % 17 = 6 THEN 'PDF' WHEN k % 19 = 7 THEN 'bin' ELSE kind END AS path, CASE WHEN k % 19 = 7 THEN kind WHEN k % 13 = 5 THEN NULL WHEN k % 17 = 6 THEN 'pdf' ELSE kind END AS kind, CASE WHEN k % 19 <> 7 AND k % 13 = 5 THEN 'unsupported type' WHEN k % 11 = 4 THEN 'empty' WHEN k % 19 <> 7 AND k % 17 = 6 THEN 'no reader' WHEN k % 7 = 3 THEN 'extraction failed' ELSE 'admitted' END AS outcome FROM {_KEY})"
+_JUDGED = (
+    f"(SELECT s_name || '.' || CASE WHEN k % 13 = 5 THEN 'txt' WHEN k % 17 = 6 THEN 'PDF' WHEN k % 19 = 7 THEN 'bin' ELSE kind END AS path, CASE "
+    f"WHEN k % 19 = 7 THEN kind WHEN k % 13 = 5 THEN NULL WHEN k % 17 = 6 THEN 'pdf' ELSE kind END AS kind, CASE WHEN k % 19 <> 7 "
+    f"AND k % 13 = 5 THEN 'unsupported type' WHEN k % 11 = 4 THEN 'empty' WHEN k % 19 <> 7 AND k % 17 = 6 THEN 'no reader' "
+    f"WHEN k % 7 = 3 THEN 'extraction failed' ELSE 'admitted' END AS outcome FROM {_KEY})"
+)
 _READ = """(SELECT c_custkey AS request, CASE WHEN page_id IS NULL THEN 'no such run' WHEN page_id % 40 <> u AND u >= 2 THEN 'not allowed' WHEN page_id % 8 = 7 THEN 'not a sanitization run' WHEN page_id % 6 IN (2, 3) THEN 'run is ' || ['working', 'failed'][page_id % 6 - 1] WHEN page_id % 23 = 5 THEN 'no file' WHEN page_id % 19 IN (3, 4) THEN 'broken file' ELSE 'read' END AS outcome, url, html
 FROM (SELECT c_custkey, c_custkey % 40 AS u, c_custkey * CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 7 END % 300 AS r FROM customer) q LEFT JOIN pages ON page_id = r)"""
 ORACLE = {
     "uploads_judged": f"SELECT * FROM {_JUDGED} j",
     "uploads_admitted": f"SELECT path FROM {_JUDGED} j WHERE outcome = 'admitted'",
-    "masked_read_back": f"SELECT request, outcome, CASE WHEN outcome = 'read' THEN url END AS filename, CASE WHEN outcome = 'read' THEN len(string_split(html, chr(10))) END::INTEGER AS chunks, CASE WHEN outcome = 'read' THEN md5(replace(html, chr(10), chr(10) || chr(10))) END AS digest FROM {_READ} r",
+    "masked_read_back": (
+        f"SELECT request, outcome, CASE WHEN outcome = 'read' THEN url END AS filename, CASE WHEN outcome = 'read' THEN len(string_split(html, chr(10))) "
+        f"END::INTEGER AS chunks, CASE WHEN outcome = 'read' THEN md5(replace(html, chr(10), chr(10) || chr(10))) END AS digest FROM {_READ} r"
+    ),
 }
 QUERIES = {name: globals()[name] for name in ORACLE}

@@ -209,11 +209,20 @@ def auto_chain(spark, folder):
     return lifecycle.chained(first.unionByName(done))
 
 
-_STATUS = "CASE event_type WHEN 'signup' THEN 'pending' WHEN 'view' THEN 'detecting' WHEN 'click' THEN 'awaiting_review' WHEN 'purchase' THEN 'completed' ELSE 'failed' END"
+_STATUS = (
+    "CASE event_type WHEN 'signup' THEN 'pending' WHEN 'view' THEN 'detecting' WHEN 'click' THEN 'awaiting_review' WHEN 'purchase' THEN 'completed' "
+    "ELSE 'failed' END"
+)
 _WORDS = "list_filter(regexp_split_to_array(text, '[ \\n]+'), lambda x: x <> '')"
 _PROPOSED = f"(SELECT DISTINCT doc_id AS run_id, unnest(list_filter({_WORDS}, lambda x: length(x) > 3)) AS surface FROM documents)"
-_LATEST = f"(SELECT user_id, arg_max({_STATUS}, (ts, event_id)) AS status, arg_max(event_id, (ts, event_id)) AS event_id, max(ts) AS updated_at FROM events GROUP BY user_id)"
-_PEOPLE = "(SELECT c_custkey AS user_id, c_nationkey, ['admin', 'km_governance', 'km_reviewer', 'practice_lead', 'delivery', 'read_only'][c_custkey % 6 + 1] AS role FROM customer)"
+_LATEST = (
+    f"(SELECT user_id, arg_max({_STATUS}, (ts, event_id)) AS status, arg_max(event_id, (ts, event_id)) AS event_id, max(ts) AS updated_at FROM events "
+    f"GROUP BY user_id)"
+)
+_PEOPLE = (
+    "(SELECT c_custkey AS user_id, c_nationkey, ['admin', 'km_governance', 'km_reviewer', 'practice_lead', 'delivery', "
+    "'read_only'][c_custkey % 6 + 1] AS role FROM customer)"
+)
 _ALIKE = "(?i)(^|[^A-Za-z0-9])"
 
 
@@ -227,38 +236,110 @@ FROM r JOIN c ON c.i = r.i + 1)
 SELECT surface, kind AS entity_type, tokens[-1] AS token FROM r WHERE i > 0"""
 
 
-PREFIX_OF = "CASE kind WHEN 'CLIENT_PERSON' THEN 'CLIENT_PERSON' WHEN 'CLIENT_EMAIL_DOMAIN' THEN 'CLIENT_DOMAIN' WHEN 'CLIENT_CONTRACT_ID' THEN 'CLIENT_CONTRACT' ELSE 'CLIENT' END AS p"
+PREFIX_OF = (
+    "CASE kind WHEN 'CLIENT_PERSON' THEN 'CLIENT_PERSON' WHEN 'CLIENT_EMAIL_DOMAIN' THEN 'CLIENT_DOMAIN' WHEN 'CLIENT_CONTRACT_ID' THEN 'CLIENT_CONTRACT' "
+    "ELSE 'CLIENT' END AS p"
+)
 _ALLOCATED = allocated(f"SELECT *, {PREFIX_OF} FROM (SELECT min(surface) AS surface, {list(NEW_KINDS)}[length(min(surface)) % 4 + 1] AS kind FROM ({detection._CAND}) GROUP BY key)", str(list(TOKENS)))
 
 #: The dictionary key of any value: accents folded, then punctuation gone and white space as one space.
 _FULL_KEY = r"regexp_replace(regexp_replace(trim(strip_accents(lower({})), ' '), '[^\p{{L}}\p{{N}}_@.\s-]', '', 'g'), '\s+', ' ', 'g')"
-TERMS = "(SELECT *, CASE WHEN length(value) % 3 = 0 THEN 'pending_approval' ELSE 'approved' END AS status FROM (SELECT DISTINCT 'domain' AS category, lower(lang) AS value FROM documents WHERE lang IS NOT NULL UNION ALL SELECT DISTINCT 'technology', lower(source) FROM documents WHERE source IS NOT NULL UNION ALL SELECT DISTINCT 'geography', lower(n_name) FROM nation UNION ALL SELECT DISTINCT 'engagement_type', lower(p_type) FROM part))"
-DICTIONARY = "(SELECT s_nationkey AS entity_id, s_suppkey AS alias_id, s_name AS surface, '[CLIENT_' || (s_nationkey + 1) || ']' AS token, ['pending_approval', 'approved', 'skipped'][s_nationkey % 3 + 1] AS status, s_nationkey * 2 % 31 AS created_days, CASE s_nationkey % 4 WHEN 1 THEN 'Partner ' || s_nationkey WHEN 2 THEN '' END AS custom FROM supplier)"
+TERMS = (
+    "(SELECT *, CASE WHEN length(value) % 3 = 0 THEN 'pending_approval' ELSE 'approved' END AS status FROM (SELECT DISTINCT 'domain' AS category, "
+    "lower(lang) AS value FROM documents WHERE lang IS NOT NULL UNION ALL SELECT DISTINCT 'technology', lower(source) FROM documents "
+    "WHERE source IS NOT NULL UNION ALL SELECT DISTINCT 'geography', lower(n_name) FROM nation UNION ALL SELECT DISTINCT 'engagement_type', lower(p_type) "
+    "FROM part))"
+)
+DICTIONARY = (
+    "(SELECT s_nationkey AS entity_id, s_suppkey AS alias_id, s_name AS surface, '[CLIENT_' || (s_nationkey + 1) || ']' AS token, ['pending_approval', "
+    "'approved', 'skipped'][s_nationkey % 3 + 1] AS status, s_nationkey * 2 % 31 AS created_days, CASE s_nationkey % 4 "
+    "WHEN 1 THEN 'Partner ' || s_nationkey WHEN 2 THEN '' END AS custom FROM supplier)"
+)
 ORACLE = {
     "token_allocation": _ALLOCATED,
-    "alias_collision": f"SELECT DISTINCT p.entity_id, replacement, d.entity_id AS other_id, 'names' AS reason FROM (SELECT n_nationkey AS entity_id, 'Group of the ' || n_name AS replacement FROM nation) p JOIN {values('dictionary')} d ON d.entity_id <> p.entity_id AND length(surface) >= 3 AND regexp_matches(replacement, '{_ALIKE}' || replace(surface, ' ', '\\s+') || '([^A-Za-z0-9]|$)') UNION ALL SELECT 9, 'partner', 2, 'repeats'",
-    "snapshot_upsert": "SELECT c_custkey AS id, coalesce(o.state, c_mktsegment) AS state, CASE WHEN o.state IS NULL THEN 1 ELSE 2 END AS version FROM customer LEFT JOIN (SELECT o_custkey, arg_max(o_orderpriority, (o_orderdate, o_orderkey)) AS state FROM orders GROUP BY o_custkey) o ON o_custkey = c_custkey",
-    "snapshot_insert": f"SELECT category, value, status FROM {values('vocabulary')} v UNION ALL SELECT DISTINCT 'technology', source, 'pending_approval' FROM documents WHERE source NOT IN (SELECT value FROM {values('vocabulary')} v WHERE category = 'technology')",
-    "review_removals": f"SELECT run_id, count(*)::BIGINT AS n FROM {_PROPOSED} p WHERE (run_id, lower(surface)) NOT IN (SELECT run_id, lower(surface) FROM {_PROPOSED} q JOIN labels l ON l.doc_id = q.run_id WHERE (toxic = 1 OR quality = 0) AND length(surface) > 5) GROUP BY run_id",
-    "review_additions": f"SELECT run_id, arg_min(surface, i) AS surface FROM (SELECT doc_id AS run_id, unnest(w) AS surface, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, {_WORDS} AS w FROM documents)) a WHERE (run_id, {_FULL_KEY.format('surface')}) NOT IN (SELECT run_id, {_FULL_KEY.format('surface')} FROM {_PROPOSED} p) GROUP BY run_id, {_FULL_KEY.format('surface')}",
-    "review_delta_totals": "SELECT count(DISTINCT d.doc_id)::BIGINT AS total_runs_checked, count(DISTINCT CASE WHEN (coalesce(length(text) < 400, true) AND quality = 1) OR (NOT coalesce(length(text) < 400, true) AND quality = 0) THEN d.doc_id END)::BIGINT AS runs_with_data FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id",
-    "review_deltas": "SELECT lang AS entity_type, coalesce(sum((length(text) >= 400 AND quality = 0)::INT), 0)::BIGINT AS recall_misses, coalesce(sum((length(text) < 400 AND quality = 1)::INT), 0)::BIGINT AS precision_misses FROM documents JOIN labels USING (doc_id) GROUP BY lang HAVING recall_misses + precision_misses > 0",
-    "tag_gate": f"SELECT category, value, CASE WHEN v.status IS NULL THEN 'proposed_new' WHEN confidence >= 0.7::DOUBLE THEN 'applied' ELSE 'flagged' END AS status, count(*)::BIGINT AS n FROM (SELECT 'domain' AS category, lang AS value, (doc_id % 10) / 10 AS confidence FROM documents UNION ALL SELECT 'technology', source, (doc_id % 10) / 10 FROM documents) t LEFT JOIN (SELECT * FROM {values('vocabulary')} x WHERE status = 'approved') v USING (category, value) GROUP BY ALL",
-    "vocabulary_by_category": f"SELECT ord, c.category, coalesce(string_agg(value, ',' ORDER BY value), '') AS terms FROM {values('categories')} c LEFT JOIN {TERMS} v ON v.category = c.category AND v.status = 'approved' GROUP BY ALL",
+    "alias_collision": (
+        f"SELECT DISTINCT p.entity_id, replacement, d.entity_id AS other_id, 'names' AS reason FROM (SELECT n_nationkey AS entity_id, "
+        f"'Group of the ' || n_name AS replacement FROM nation) p JOIN {values('dictionary')} d ON d.entity_id <> p.entity_id AND length(surface) >= 3 "
+        f"AND regexp_matches(replacement, '{_ALIKE}' || replace(surface, ' ', '\\s+') || '([^A-Za-z0-9]|$)') UNION ALL SELECT 9, 'partner', 2, 'repeats'"
+    ),
+    "snapshot_upsert": (
+        "SELECT c_custkey AS id, coalesce(o.state, c_mktsegment) AS state, CASE WHEN o.state IS NULL THEN 1 ELSE 2 END AS version FROM customer LEFT "
+        "JOIN (SELECT o_custkey, arg_max(o_orderpriority, (o_orderdate, o_orderkey)) AS state FROM orders GROUP BY o_custkey) o ON o_custkey = c_custkey"
+    ),
+    "snapshot_insert": (
+        f"SELECT category, value, status FROM {values('vocabulary')} v UNION ALL SELECT DISTINCT 'technology', source, 'pending_approval' FROM documents "
+        f"WHERE source NOT IN (SELECT value FROM {values('vocabulary')} v WHERE category = 'technology')"
+    ),
+    "review_removals": (
+        f"SELECT run_id, count(*)::BIGINT AS n FROM {_PROPOSED} p WHERE (run_id, lower(surface)) NOT IN (SELECT run_id, lower(surface) FROM {_PROPOSED} q "
+        f"JOIN labels l ON l.doc_id = q.run_id WHERE (toxic = 1 OR quality = 0) AND length(surface) > 5) GROUP BY run_id"
+    ),
+    "review_additions": (
+        f"SELECT run_id, arg_min(surface, i) AS surface FROM (SELECT doc_id AS run_id, unnest(w) AS surface, generate_subscripts(w, 1) AS i "
+        f"FROM (SELECT doc_id, {_WORDS} AS w FROM documents)) a WHERE (run_id, {_FULL_KEY.format('surface')}) NOT IN (SELECT run_id, "
+        f"{_FULL_KEY.format('surface')} FROM {_PROPOSED} p) GROUP BY run_id, {_FULL_KEY.format('surface')}"
+    ),
+    "review_delta_totals": (
+        "SELECT count(DISTINCT d.doc_id)::BIGINT AS total_runs_checked, count(DISTINCT CASE WHEN (coalesce(length(text) < 400, true) AND quality = 1) "
+        "OR (NOT coalesce(length(text) < 400, true) AND quality = 0) THEN d.doc_id END)::BIGINT AS runs_with_data FROM documents d LEFT "
+        "JOIN labels l ON l.doc_id = d.doc_id"
+    ),
+    "review_deltas": (
+        "SELECT lang AS entity_type, coalesce(sum((length(text) >= 400 AND quality = 0)::INT), 0)::BIGINT AS recall_misses, coalesce(sum((length(text) < 400 "
+        "AND quality = 1)::INT), 0)::BIGINT AS precision_misses FROM documents JOIN labels USING (doc_id) GROUP BY lang "
+        "HAVING recall_misses + precision_misses > 0"
+    ),
+    "tag_gate": (
+        f"SELECT category, value, CASE WHEN v.status IS NULL THEN 'proposed_new' WHEN confidence >= 0.7::DOUBLE THEN 'applied' ELSE 'flagged' END AS status, "
+        f"count(*)::BIGINT AS n FROM (SELECT 'domain' AS category, lang AS value, (doc_id % 10) / 10 AS confidence FROM documents UNION ALL "
+        f"SELECT 'technology', source, (doc_id % 10) / 10 FROM documents) t LEFT JOIN (SELECT * FROM {values('vocabulary')} x WHERE status = 'approved') "
+        f"v USING (category, value) GROUP BY ALL"
+    ),
+    "vocabulary_by_category": (
+        f"SELECT ord, c.category, coalesce(string_agg(value, ',' ORDER BY value), '') AS terms FROM {values('categories')} c LEFT "
+        f"JOIN {TERMS} v ON v.category = c.category AND v.status = 'approved' GROUP BY ALL"
+    ),
     "run_status_latest": f"SELECT user_id, status, event_id FROM {_LATEST} l",
-    "stale_runs": f"SELECT user_id, status FROM {_LATEST} l WHERE status NOT IN ('pending', 'awaiting_review', 'completed', 'completed_with_issues', 'failed', 'rejected') AND updated_at < (SELECT max(ts) FROM events) - INTERVAL 15 MINUTE",
+    "stale_runs": (
+        f"SELECT user_id, status FROM {_LATEST} l WHERE status NOT IN ('pending', 'awaiting_review', 'completed', 'completed_with_issues', 'failed', "
+        f"'rejected') AND updated_at < (SELECT max(ts) FROM events) - INTERVAL 15 MINUTE"
+    ),
     "fifo_head": "SELECT event_id, user_id FROM events WHERE event_type = 'signup' ORDER BY ts, event_id LIMIT 1",
-    "run_kpis": "SELECT user_id, count(*)::BIGINT AS runs, sum(length(props))::BIGINT AS tokens_in, sum(CASE WHEN event_type <> 'error' THEN floor(value) ELSE 0 END)::BIGINT AS tokens_out, round(sum(round(length(props) / 1000 * 0.003::DOUBLE + CASE WHEN event_type <> 'error' THEN floor(value) ELSE 0 END / 1000 * 0.015::DOUBLE, 6)), 4)::DOUBLE AS cost FROM events GROUP BY user_id",
+    "run_kpis": (
+        "SELECT user_id, count(*)::BIGINT AS runs, sum(length(props))::BIGINT AS tokens_in, sum(CASE WHEN event_type <> 'error' THEN floor(value) "
+        "ELSE 0 END)::BIGINT AS tokens_out, round(sum(round(length(props) / 1000 * 0.003::DOUBLE + CASE WHEN event_type <> 'error' THEN floor(value) "
+        "ELSE 0 END / 1000 * 0.015::DOUBLE, 6)), 4)::DOUBLE AS cost FROM events GROUP BY user_id"
+    ),
     "any_blocking_status": "SELECT user_id, CASE WHEN bool_or(event_type = 'error') THEN 'completed_with_issues' ELSE 'completed' END AS status FROM events GROUP BY user_id",
-    "rbac_visibility": f"SELECT user_id, role, CASE WHEN role IN ('admin', 'km_governance', 'km_reviewer') THEN (SELECT count(*) FROM orders) ELSE (SELECT count(*) FROM orders WHERE o_custkey = user_id) END::BIGINT AS visible FROM {_PEOPLE} p",
-    "separation_of_duty": f"SELECT o_orderkey, user_id AS reviewer FROM (SELECT o_orderkey, o_custkey AS creator, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey ELSE o_custkey + 1 END AS user_id FROM orders) o JOIN {_PEOPLE} p USING (user_id) WHERE creator <> user_id OR role = 'admin'",
-    "accounts_with_owners": "SELECT n_name, coalesce(string_agg(s_name, ',' ORDER BY s_name), '') AS owners FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_suppkey % 2 = 0 GROUP BY n_name",
+    "rbac_visibility": (
+        f"SELECT user_id, role, CASE WHEN role IN ('admin', 'km_governance', 'km_reviewer') THEN (SELECT count(*) FROM orders) ELSE (SELECT count(*) "
+        f"FROM orders WHERE o_custkey = user_id) END::BIGINT AS visible FROM {_PEOPLE} p"
+    ),
+    "separation_of_duty": (
+        f"SELECT o_orderkey, user_id AS reviewer FROM (SELECT o_orderkey, o_custkey AS creator, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey "
+        f"ELSE o_custkey + 1 END AS user_id FROM orders) o JOIN {_PEOPLE} p USING (user_id) WHERE creator <> user_id OR role = 'admin'"
+    ),
+    "accounts_with_owners": (
+        "SELECT n_name, coalesce(string_agg(s_name, ',' ORDER BY s_name), '') AS owners FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey "
+        "AND s_suppkey % 2 = 0 GROUP BY n_name"
+    ),
     "practice_leads": f"SELECT user_id, n_name FROM {_PEOPLE} p JOIN nation ON n_nationkey = c_nationkey WHERE role = 'practice_lead'",
-    "dictionary_view": f"SELECT entity_id, string_agg(surface, '|' ORDER BY alias_id) AS surfaces, coalesce(nullif(min(custom), ''), any_value(token)) AS replacement, any_value(status) AS status, any_value(status) = 'pending_approval' AND max(created_days) > 14 AS stale, max(created_days) AS age FROM {DICTIONARY} d GROUP BY entity_id",
+    "dictionary_view": (
+        f"SELECT entity_id, string_agg(surface, '|' ORDER BY alias_id) AS surfaces, coalesce(nullif(min(custom), ''), any_value(token)) AS replacement, "
+        f"any_value(status) AS status, any_value(status) = 'pending_approval' AND max(created_days) > 14 AS stale, max(created_days) AS age FROM {DICTIONARY} d "
+        f"GROUP BY entity_id"
+    ),
     "audit_feed": "SELECT event_id, 'role_changed:signup' AS action, c_name AS actor FROM events LEFT JOIN customer ON c_custkey = user_id WHERE event_type = 'signup'",
     "review_queue": "SELECT o_orderkey, c_name AS creator, o_totalprice FROM orders LEFT JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus = 'P'",
-    "run_detail_children": "SELECT o_orderkey AS run_id, o_orderstatus, coalesce(s.steps, '') AS steps, coalesce(s.flags, 0)::BIGINT AS flags FROM orders LEFT JOIN (SELECT l_orderkey, string_agg(l_partkey::VARCHAR, ',' ORDER BY l_linenumber, l_partkey) AS steps, sum((l_returnflag = 'R')::INT) AS flags FROM lineitem GROUP BY l_orderkey) s ON s.l_orderkey = o_orderkey",
+    "run_detail_children": (
+        "SELECT o_orderkey AS run_id, o_orderstatus, coalesce(s.steps, '') AS steps, coalesce(s.flags, 0)::BIGINT AS flags FROM orders LEFT "
+        "JOIN (SELECT l_orderkey, string_agg(l_partkey::VARCHAR, ',' ORDER BY l_linenumber, l_partkey) AS steps, sum((l_returnflag = 'R')::INT) AS flags "
+        "FROM lineitem GROUP BY l_orderkey) s ON s.l_orderkey = o_orderkey"
+    ),
     "conversation_last_json": "SELECT conv_id, max(turn) AS turn, length(arg_max(text, turn))::BIGINT AS n_chars FROM conversations GROUP BY conv_id",
-    "auto_chain": "SELECT o_orderkey AS parent, 'tagging' AS agent, 'pending' AS status FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 2 = 0 AND o_orderkey % 10 <> 0",
+    "auto_chain": (
+        "SELECT o_orderkey AS parent, 'tagging' AS agent, 'pending' AS status FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 2 = 0 "
+        "AND o_orderkey % 10 <> 0"
+    ),
 }
 QUERIES = {name: globals()[name] for name in ORACLE}

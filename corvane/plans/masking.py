@@ -174,24 +174,42 @@ _SPANS = _spans(approved())
 def _score(dictionary) -> str:
     masked = _replaced("text", lambda s, t: t, dictionary)
     left = _left(f"(SELECT doc_id, {masked} AS text FROM documents)", "doc_id", LEFT)
-    return f"SELECT d.doc_id, coalesce(m.n, 0)::BIGINT AS masked, coalesce(r.n, 0)::BIGINT AS residual, CASE WHEN coalesce(m.n, 0) + coalesce(r.n, 0) = 0 THEN 100.0::DOUBLE ELSE round_even(100.0::DOUBLE * coalesce(m.n, 0) / (coalesce(m.n, 0) + coalesce(r.n, 0)), 1)::DOUBLE END AS score FROM documents d LEFT JOIN (SELECT doc_id, sum(len(m)) AS n FROM {_spans(dictionary)} s GROUP BY ALL) m USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM ({left}) GROUP BY ALL) r USING (doc_id) WHERE d.text IS NOT NULL"
+    return (
+        f"SELECT d.doc_id, coalesce(m.n, 0)::BIGINT AS masked, coalesce(r.n, 0)::BIGINT AS residual, CASE WHEN coalesce(m.n, 0) + coalesce(r.n, 0) "
+        f"= 0 THEN 100.0::DOUBLE ELSE round_even(100.0::DOUBLE * coalesce(m.n, 0) / (coalesce(m.n, 0) + coalesce(r.n, 0)), 1)::DOUBLE END AS score "
+        f"FROM documents d LEFT JOIN (SELECT doc_id, sum(len(m)) AS n FROM {_spans(dictionary)} s GROUP BY ALL) m USING (doc_id) LEFT JOIN (SELECT doc_id, "
+        f"count(*) AS n FROM ({left}) GROUP BY ALL) r USING (doc_id) WHERE d.text IS NOT NULL"
+    )
 
 
 _DOC_RESIDUAL = _left(f"(SELECT doc_id, {_MASKED} AS text FROM documents)", "doc_id", LEFT)
 
 ORACLE = {
     # Doubling widens only the white space inside two-word surfaces: one character for every space between.
-    "mask_spans": f"SELECT doc_id, token, sum(len(m))::BIGINT AS n_spans, sum(list_sum(list_transform(m, lambda x: length(regexp_replace(x, '([^A-Za-z0-9])[^A-Za-z0-9]', '\\1', 'g')))))::BIGINT AS n_chars FROM {_SPANS} s WHERE len(m) > 0 GROUP BY ALL",
+    "mask_spans": (
+        f"SELECT doc_id, token, sum(len(m))::BIGINT AS n_spans, sum(list_sum(list_transform(m, lambda x: length(regexp_replace(x, '([^A-Za-z0-9])[^A-Za-z0-9]', "
+        f"'\\1', 'g')))))::BIGINT AS n_chars FROM {_SPANS} s WHERE len(m) > 0 GROUP BY ALL"
+    ),
     "mask_token_text": f"SELECT doc_id, {_MASKED} AS masked FROM documents",
     "mask_remove": f"SELECT doc_id, replace({_replaced('text', lambda s, t: '##@##')}, '##@##', '') AS masked FROM documents",
     "mask_black": f"SELECT doc_id, {_replaced('text', lambda s, t: '█' * len(s))} AS masked FROM documents",
-    "entity_occurrences": f"SELECT entity_id, count(*)::BIGINT AS n FROM (SELECT lower(regexp_replace(unnest(m), '([^A-Za-z0-9])[^A-Za-z0-9]', '\\1', 'g')) AS key FROM {_SPANS} s) x LEFT JOIN (SELECT lower(surface) AS key, min(entity_id) AS entity_id FROM {values('dictionary')} d WHERE status = 'approved' GROUP BY ALL) e USING (key) GROUP BY ALL",
+    "entity_occurrences": (
+        f"SELECT entity_id, count(*)::BIGINT AS n FROM (SELECT lower(regexp_replace(unnest(m), '([^A-Za-z0-9])[^A-Za-z0-9]', '\\1', 'g')) AS key "
+        f"FROM {_SPANS} s) x LEFT JOIN (SELECT lower(surface) AS key, min(entity_id) AS entity_id FROM {values('dictionary')} d WHERE status = 'approved' "
+        f"GROUP BY ALL) e USING (key) GROUP BY ALL"
+    ),
     "mask_sequential": f"SELECT page_id, channel, item::BIGINT AS item, {_MASKED} AS masked FROM {_PAGE} p WHERE channel IN ('hyperlinks', 'metadata')",
     "residual_text": _DOC_RESIDUAL,
     "unconditional_identity": f"SELECT page_id, count(*)::BIGINT AS n_fields FROM {_PAGE} p WHERE channel = 'metadata' AND trim(text, ' ') <> '' GROUP BY ALL",
     "channel_coverage": "SELECT page_id, part FROM (SELECT page_id, l[page_id % len(l) + 1] AS part FROM pages, (SELECT list(part ORDER BY part) AS l FROM " + values("parts") + " x)) p WHERE regexp_matches(lower(part), '" + "|".join(channels.IDENTITY_WORDS) + "') AND NOT regexp_matches(part, '" + "|".join(channels.COVERED + channels.SAFE) + "')",
-    "channel_verdict": f"SELECT page_id, bool_and(NOT hit) AS clean, count(DISTINCT CASE WHEN hit THEN channel END)::BIGINT AS n_dirty FROM (SELECT page_id, channel, ({_hits(LEAKY)}) AS hit FROM {_PAGE} p) GROUP BY ALL",
-    "boundary_leaks": "SELECT doc_id, token, leaked FROM documents JOIN (VALUES (0, '[CLIENT_1]', 'Turbine Ltd.'), (1, '[CLIENT_2]', 'Big Power Holdings'), (3, '[CLIENT_1]', 'Capital')) AS t(place, token, leaked) ON doc_id % 5 = place",
+    "channel_verdict": (
+        f"SELECT page_id, bool_and(NOT hit) AS clean, count(DISTINCT CASE WHEN hit THEN channel END)::BIGINT AS n_dirty FROM (SELECT page_id, channel, "
+        f"({_hits(LEAKY)}) AS hit FROM {_PAGE} p) GROUP BY ALL"
+    ),
+    "boundary_leaks": (
+        "SELECT doc_id, token, leaked FROM documents JOIN (VALUES (0, '[CLIENT_1]', 'Turbine Ltd.'), (1, '[CLIENT_2]', 'Big Power Holdings'), (3, "
+        "'[CLIENT_1]', 'Capital')) AS t(place, token, leaked) ON doc_id % 5 = place"
+    ),
     "completeness_score": _score(approved()),
     "revalidation": _score(approved() + ADDED),
     "verify_corpus": f"SELECT page_id, count(*)::BIGINT AS texts, sum(length(text))::BIGINT AS n_chars FROM {_PAGE} p WHERE channel IN ('text', 'metadata') GROUP BY ALL",

@@ -178,15 +178,37 @@ def loose_labels(spark, folder):
 
 
 ORACLE = {
-    "loose_labels": f"SELECT s_suppkey, ['document thumbnail', 'slide master graphic', 'slide layout graphic', 'SmartArt graphic', 'header graphic', 'header graphic', 'footer graphic', '{packages.OTHER_LABEL}'][s_suppkey % 8 + 1] AS label FROM supplier",
-    "package_chunks": f"WITH f AS (SELECT s_suppkey AS k, s_name AS n FROM supplier) SELECT * FROM ({_expected(_WORD, 0)} UNION ALL {_expected(_DECK, 1)} UNION ALL {_expected(_BOOK, 2)}) x WHERE text IS NOT NULL",
+    "loose_labels": (
+        f"SELECT s_suppkey, ['document thumbnail', 'slide master graphic', 'slide layout graphic', 'SmartArt graphic', 'header graphic', 'header graphic', "
+        f"'footer graphic', '{packages.OTHER_LABEL}'][s_suppkey % 8 + 1] AS label FROM supplier"
+    ),
+    "package_chunks": (
+        f"WITH f AS (SELECT s_suppkey AS k, s_name AS n FROM supplier) SELECT * FROM ({_expected(_WORD, 0)} UNION ALL {_expected(_DECK, 1)} "
+        f"UNION ALL {_expected(_BOOK, 2)}) x WHERE text IS NOT NULL"
+    ),
     "package_alt_texts": "SELECT s_name AS path, 'Logo of ' || s_name AS text FROM supplier WHERE s_suppkey % 3 = 1",
-    "package_identities": "SELECT s_name AS path, 'docProps/core.xml' AS part, s_name AS value FROM supplier WHERE s_suppkey % 2 = 1 UNION ALL SELECT s_name, 'ppt/authors.xml', unnest([s_name, 'u' || s_suppkey]) FROM supplier WHERE s_suppkey % 3 = 1",
-    "package_links": "SELECT s_name AS path, 'ppt/slides/_rels/slide1.xml.rels' AS part, 'https://' || lower(s_name) || '.example.org/' AS target FROM supplier WHERE s_suppkey % 3 = 1",
-    "package_images": "SELECT s_name AS path, 'word/media/image1.png' AS part, 'document image' AS label, 'png' AS format, sha256(from_hex('89504E470D0A1A0A' || lpad(to_hex(s_suppkey % 256), 2, '0'))) AS digest, 9::BIGINT AS n_bytes FROM supplier WHERE s_suppkey % 3 = 0 UNION ALL SELECT s_name, 'ppt/media/image1.jpg', 'slide image', 'jpeg', sha256(from_hex('FFD8FF00')), 4 FROM supplier WHERE s_suppkey % 3 = 1",
-    "package_media": "SELECT s_name AS path, CASE s_suppkey % 3 WHEN 0 THEN 'word/media/image1.png' ELSE 'ppt/media/image1.jpg' END AS part, s_suppkey % 3 = 1 AS shown FROM supplier WHERE s_suppkey % 3 < 2",
+    "package_identities": (
+        "SELECT s_name AS path, 'docProps/core.xml' AS part, s_name AS value FROM supplier WHERE s_suppkey % 2 = 1 UNION ALL SELECT s_name, 'ppt/authors.xml', "
+        "unnest([s_name, 'u' || s_suppkey]) FROM supplier WHERE s_suppkey % 3 = 1"
+    ),
+    "package_links": (
+        "SELECT s_name AS path, 'ppt/slides/_rels/slide1.xml.rels' AS part, 'https://' || lower(s_name) || '.example.org/' AS target FROM supplier "
+        "WHERE s_suppkey % 3 = 1"
+    ),
+    "package_images": (
+        "SELECT s_name AS path, 'word/media/image1.png' AS part, 'document image' AS label, 'png' AS format, "
+        "sha256(from_hex('89504E470D0A1A0A' || lpad(to_hex(s_suppkey % 256), 2, '0'))) AS digest, 9::BIGINT AS n_bytes FROM supplier WHERE s_suppkey % 3 = 0 "
+        "UNION ALL SELECT s_name, 'ppt/media/image1.jpg', 'slide image', 'jpeg', sha256(from_hex('FFD8FF00')), 4 FROM supplier WHERE s_suppkey % 3 = 1"
+    ),
+    "package_media": (
+        "SELECT s_name AS path, CASE s_suppkey % 3 WHEN 0 THEN 'word/media/image1.png' ELSE 'ppt/media/image1.jpg' END AS part, s_suppkey % 3 = 1 AS shown "
+        "FROM supplier WHERE s_suppkey % 3 < 2"
+    ),
     "package_scrubbed": "SELECT s_name AS path, unnest(['[LOGO] of ' || s_name, 'https://' || lower(s_name) || '.[SITE].org/']) AS text FROM supplier WHERE s_suppkey % 3 = 1",
-    "redacted_parts": "SELECT CASE s_suppkey % 3 WHEN 0 THEN 'document image' ELSE 'slide image' END AS label, 1::BIGINT AS parts, count(DISTINCT CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey % 256 ELSE 0 END)::BIGINT AS images FROM supplier WHERE s_suppkey % 3 < 2 GROUP BY ALL",
+    "redacted_parts": (
+        "SELECT CASE s_suppkey % 3 WHEN 0 THEN 'document image' ELSE 'slide image' END AS label, 1::BIGINT AS parts, count(DISTINCT CASE "
+        "WHEN s_suppkey % 3 = 0 THEN s_suppkey % 256 ELSE 0 END)::BIGINT AS images FROM supplier WHERE s_suppkey % 3 < 2 GROUP BY ALL"
+    ),
     "package_comment_parts": "SELECT s_name AS path, ['word/remarks.xml', 'ppt/authors.xml', 'xl/threadedComments/threadedComment1.xml'][s_suppkey % 3 + 1] AS part FROM supplier",
 }
 QUERIES = {name: globals()[name] for name in ORACLE}

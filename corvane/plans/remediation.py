@@ -126,16 +126,31 @@ s AS MATERIALIZED (SELECT user_id AS run_id, event_id AS step_order, 'detect' AS
 """
 _FLAG = ", ".join(f"CASE WHEN NOT clean_{c} THEN ('blocking', 'Verification failed ({c}) after remediation: ' || len(left_{c}) || ' left - ' || array_to_string(left_{c}[1:5], ', ')) END" for c in ("text", "metadata", "comments", "hyperlinks"))
 _FLAG += ", CASE WHEN NOT clean_images THEN ('blocking', 'Verification failed (images) after remediation: ' || surviving || ' still there, ' || unlocated || ' not located') END, ('info', 'Remediation: ' || redacted || ' images covered, ' || (fixed_metadata + fixed_hyperlinks + fixed_comments) || ' fragments scrubbed')"
-_STEP = "CASE WHEN fixed_metadata + fixed_hyperlinks + fixed_comments > 0 THEN ('re-scrub channels', fixed_metadata || ' metadata, ' || fixed_hyperlinks || ' hyperlinks, ' || fixed_comments || ' comments') END, CASE WHEN len(had_text) > 0 THEN ('re-mask text', len(had_text) || ' surfaces: ' || array_to_string(had_text[1:5], ', ')) END, ('redact flagged images', CASE WHEN stored > 0 THEN 'stored groups' ELSE 'fresh scan' END || '; ' || targets || ' targeted, ' || redacted || ' redacted, ' || unlocated || ' not located'), ('verify again', CASE WHEN clean THEN 'clean' ELSE 'still exposed' END)"
+_STEP = (
+    "CASE WHEN fixed_metadata + fixed_hyperlinks + fixed_comments > 0 THEN ('re-scrub channels', fixed_metadata || ' metadata, "
+    "' || fixed_hyperlinks || ' hyperlinks, ' || fixed_comments || ' comments') END, CASE WHEN len(had_text) > 0 THEN ('re-mask text', len(had_text) "
+    "|| ' surfaces: ' || array_to_string(had_text[1:5], ', ')) END, ('redact flagged images', CASE WHEN stored > 0 THEN 'stored groups' "
+    "ELSE 'fresh scan' END || '; ' || targets || ' targeted, ' || redacted || ' redacted, ' || unlocated || ' not located'), ('verify again', CASE "
+    "WHEN clean THEN 'clean' ELSE 'still exposed' END)"
+)
 
 
 def _entries(rows: str, base: str, number: str, a: str, b: str) -> str:
-    return f"SELECT n.run_id, (coalesce(m, 0) + generate_subscripts(l, 1))::BIGINT AS {number}, unnest(list_transform(l, lambda x: x[1])) AS {a}, unnest(list_transform(l, lambda x: x[2])) AS {b} FROM (SELECT run_id, list_filter([{rows}], lambda x: x IS NOT NULL) AS l FROM r) n LEFT JOIN (SELECT run_id, max({number}) AS m FROM {base} GROUP BY run_id) e USING (run_id)"
+    return (
+        f"SELECT n.run_id, (coalesce(m, 0) + generate_subscripts(l, 1))::BIGINT AS {number}, unnest(list_transform(l, lambda x: x[1])) AS {a}, "
+        f"unnest(list_transform(l, lambda x: x[2])) AS {b} FROM (SELECT run_id, list_filter([{rows}], lambda x: x IS NOT NULL) AS l FROM r) n LEFT "
+        f"JOIN (SELECT run_id, max({number}) AS m FROM {base} GROUP BY run_id) e USING (run_id)"
+    )
 
 
 _GONE = " OR ".join(["(clean_images AND contains(message, 'appear to reveal the client'))", *(f"(clean_{c} AND contains(message, 'Verification failed ({c})'))" for c in remediation.CHANNELS)])
 ORACLE = {
-    "remediation_refused": "SELECT * FROM (SELECT q.run_id, CASE WHEN page_id IS NULL THEN 'no such run' WHEN q.run_id % 17 = 0 THEN 'not a sanitization run' WHEN q.run_id % 5 = 0 THEN 'run is completed' WHEN q.run_id % 13 = 0 THEN 'no masked file' END AS reason FROM (SELECT page_id AS run_id FROM pages WHERE page_id % 2 = 0 UNION SELECT page_id + 1000000 FROM pages WHERE page_id % 50 = 0) q LEFT JOIN pages ON page_id = q.run_id) x WHERE reason IS NOT NULL",
+    "remediation_refused": (
+        "SELECT * FROM (SELECT q.run_id, CASE WHEN page_id IS NULL THEN 'no such run' WHEN q.run_id % 17 = 0 THEN 'not a sanitization run' "
+        "WHEN q.run_id % 5 = 0 THEN 'run is completed' WHEN q.run_id % 13 = 0 THEN 'no masked file' END AS reason FROM (SELECT page_id AS run_id FROM pages "
+        "WHERE page_id % 2 = 0 UNION SELECT page_id + 1000000 FROM pages WHERE page_id % 50 = 0) q LEFT JOIN pages ON page_id = q.run_id) x "
+        "WHERE reason IS NOT NULL"
+    ),
     "remediated_items": _SQL + f"SELECT run_id, channel, item, md5(text) AS digest FROM done UNION ALL SELECT run_id, channel, item, md5(text) FROM pg WHERE NOT ({_WORK})",
     "remediated_images": _SQL + f"SELECT run_id, idx, CASE WHEN swapped THEN 'cover' ELSE digest END AS digest, cover OR swapped AS cover, locatable FROM shot UNION ALL SELECT run_id, idx, digest, cover, locatable FROM v WHERE NOT ({_WORK} AND run_id IN (SELECT run_id FROM known))",
     "remediated_groups": _SQL + "SELECT run_id, label AS group_id, list(idx ORDER BY idx) AS indices FROM stored WHERE run_id NOT IN (SELECT run_id FROM r WHERE clean_images) GROUP BY run_id, label",

@@ -65,7 +65,15 @@ ORACLE = {
     "reviews_submitted": _ASKED + "SELECT request, outcome FROM s",
     "review_audit": _ASKED + "SELECT run_id, reviewer AS actor, 'review_' || decision || ': ' || agent AS action FROM ok",
     "review_items_after": _ASKED + "SELECT i.run_id, i.item, CASE WHEN item = m THEN reviewer END AS reviewer, CASE WHEN item = m THEN coalesce(decision, 'waiting') ELSE 'waiting' END AS decision FROM (SELECT *, max(item) OVER (PARTITION BY run_id) AS m FROM i) i LEFT JOIN ok ON ok.run_id = i.run_id UNION ALL SELECT run_id, 1, reviewer, decision FROM ok WHERE run_id NOT IN (SELECT run_id FROM i)",
-    "accounts_created": "SELECT c_custkey AS request, CASE WHEN name IN (SELECT n_name FROM nation WHERE n_nationkey % 2 = 0) OR c_custkey < max(c_custkey) OVER (PARTITION BY name) THEN 'conflict' ELSE 'created' END AS outcome FROM (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN n_name ELSE c_mktsegment || ' ' || n_name END AS name FROM customer JOIN nation ON n_nationkey = c_nationkey)",
-    "aliases_set": "SELECT s_suppkey AS entity_id, CASE WHEN k IS NULL THEN CASE WHEN s_suppkey % 2 = 0 THEN 'Before' END WHEN k % 3 = 1 THEN 'Partner ' || k END AS custom FROM supplier LEFT JOIN (SELECT o_custkey, max(o_orderkey) AS k FROM orders GROUP BY o_custkey) ON o_custkey = s_suppkey",
+    "accounts_created": (
+        "SELECT c_custkey AS request, CASE WHEN name IN (SELECT n_name FROM nation WHERE n_nationkey % 2 = 0) OR c_custkey < max(c_custkey) "
+        "OVER (PARTITION BY name) THEN 'conflict' ELSE 'created' END AS outcome FROM (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN n_name "
+        "ELSE c_mktsegment || ' ' || n_name END AS name FROM customer JOIN nation ON n_nationkey = c_nationkey)"
+    ),
+    "aliases_set": (
+        "SELECT s_suppkey AS entity_id, CASE WHEN k IS NULL THEN CASE WHEN s_suppkey % 2 = 0 THEN 'Before' END "
+        "WHEN k % 3 = 1 THEN 'Partner ' || k END AS custom FROM supplier LEFT JOIN (SELECT o_custkey, max(o_orderkey) AS k FROM orders GROUP BY o_custkey) "
+        "ON o_custkey = s_suppkey"
+    ),
 }
 QUERIES = {name: globals()[name] for name in ORACLE}

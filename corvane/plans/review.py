@@ -139,7 +139,10 @@ def residual_messages(spark, folder):
     return rows.select("vec_id", message.alias("message"))
 
 
-_WORDS = r"list_transform(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> ''), lambda x: regexp_replace(lower(x), '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g'))"
+_WORDS = (
+    r"list_transform(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> ''), lambda x: regexp_replace(lower(x), "
+    r"'^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g'))"
+)
 _D = values("dictionary")
 
 
@@ -147,10 +150,16 @@ def _phrase(phrase: str) -> str:
     words = phrase.split(" ")
     tests = " AND ".join(f"ws[i + {k}] = '{w}'" for k, w in enumerate(words[:-1])) or "true"
     last = f"ws[i + {len(words) - 1}]"
-    return f"SELECT doc_id, '{phrase}' AS phrase, count(*)::BIGINT AS n FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws))) AS i FROM w) WHERE {tests} AND ({last} IN ('{words[-1]}', '{words[-1]}''s', '{words[-1]}’s')) GROUP BY doc_id"
+    return (
+        f"SELECT doc_id, '{phrase}' AS phrase, count(*)::BIGINT AS n FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws))) AS i FROM w) WHERE {tests} "
+        f"AND ({last} IN ('{words[-1]}', '{words[-1]}''s', '{words[-1]}’s')) GROUP BY doc_id"
+    )
 
 
-_GROUPS = "(SELECT vec_id AS group_id, upper(s_name) AS ocr, CASE WHEN vec_id % 2 = 0 THEN '[CLIENT_' || (vec_id % 40) || ']' END AS token FROM embeddings LEFT JOIN supplier ON vec_id = s_suppkey * 3)"
+_GROUPS = (
+    "(SELECT vec_id AS group_id, upper(s_name) AS ocr, CASE WHEN vec_id % 2 = 0 THEN '[CLIENT_' || (vec_id % 40) || ']' END AS token FROM embeddings LEFT "
+    "JOIN supplier ON vec_id = s_suppkey * 3)"
+)
 _NAME_KEY = r"regexp_replace(regexp_replace(trim(lower({}), ' '), '[^\w@.\s-]', '', 'g'), '\s+', ' ', 'g')"
 #: The rule taken step by step: the surfaces of a run in order, with a map of what has been resolved so far.
 _MERGES = """WITH RECURSIVE s AS (SELECT s_nationkey AS run_id, s_suppkey AS entity, s_name, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS place, s_suppkey % 6 AS kind FROM supplier),
@@ -167,22 +176,56 @@ done AS (SELECT * FROM walk WHERE p > 0)"""
 
 ORACLE = {
     "clear_identity_fields": r"""SELECT page_id, md5(regexp_replace(regexp_replace(html, '(?s)(<title(?: [^>]*)?>).*?(</title>)', '\1\2', 'g'), '\b((?:\w+:)?content=)"[^"]*"', '\1""', 'g')) AS digest FROM pages""",
-    "scrub_hyperlinks": f"SELECT page_id, count(*) FILTER (text <> {_replaced('text', lambda s, t: t)})::BIGINT AS changed FROM {_PAGE} p WHERE channel = 'hyperlinks' GROUP BY page_id",
+    "scrub_hyperlinks": (
+        f"SELECT page_id, count(*) FILTER (text <> {_replaced('text', lambda s, t: t)})::BIGINT AS changed FROM {_PAGE} p WHERE channel = 'hyperlinks' "
+        f"GROUP BY page_id"
+    ),
     "brand_keys": "SELECT s_suppkey, lower(trim(regexp_replace(replace(s_name, '#', '  ' || chr(10) || ' '), '\\s+', ' ', 'g'))) AS brand FROM supplier",
     "phrase_places": f"WITH w AS MATERIALIZED (SELECT doc_id, {_WORDS} AS ws FROM documents) " + " UNION ALL ".join(map(_phrase, ("of the", "the", "and the"))),
     "masked_runs": f"SELECT doc_id, {_replaced('text', lambda s, t: t)} AS masked FROM documents WHERE text IS NOT NULL",
     "alt_text_ladder": f"""SELECT page_id, item::BIGINT AS item, CASE WHEN page_id % 9 = 0 THEN 'merged' WHEN a THEN 'of the' WHEN b THEN 'the' WHEN n <> '' THEN n ELSE trim(text, ' ') END AS entity, CASE WHEN page_id % 9 = 0 OR a OR b THEN 1.0 WHEN n <> '' THEN 0.9 ELSE 0.5 END::DOUBLE AS confidence FROM (SELECT *, regexp_matches(text, '(?i)(^|[^A-Za-z0-9])of\\s+the([^A-Za-z0-9]|$)') AS a, regexp_matches(text, '(?i)(^|[^A-Za-z0-9])the([^A-Za-z0-9]|$)') AS b, regexp_extract(text, '\\d{{4,}}') AS n FROM {_PAGE} p WHERE channel = 'metadata' AND page_id % 11 <> 0 AND length(trim(text, ' ')) >= 2 AND NOT regexp_matches(text, '(?i)(^|[^A-Za-z0-9])(anon|firm)([^A-Za-z0-9]|$)'))""",
     "entity_merges": f"{_MERGES} SELECT run_id, surface, arg_max(entity, p) AS entity, arg_max(missed, p) AS missed FROM done GROUP BY run_id, surface",
-    "merge_aliases": f"{_MERGES}, last AS (SELECT run_id, surface, arg_max(entity, p) AS entity, arg_max(merged, p) AS merged FROM done GROUP BY run_id, surface) SELECT arg_min(entity, (surface, entity)) AS entity, min(surface) AS surface FROM (SELECT surface, entity, {_NAME_KEY.format('surface')} AS k FROM last WHERE merged) n WHERE k NOT IN (SELECT {_NAME_KEY.format('surface')} FROM e WHERE run_id = 0) GROUP BY k",
-    "run_mask_map": f"SELECT run_id, surface, token FROM (SELECT l_orderkey AS run_id, CASE WHEN l_partkey % 2 = 0 THEN upper(l_returnflag) ELSE lower(l_returnflag) END AS surface, l_partkey % 9 AS e FROM lineitem WHERE l_partkey % 9 <> 0 QUALIFY row_number() OVER (PARTITION BY l_orderkey, lower(l_returnflag) ORDER BY l_linenumber, l_partkey) = 1) o JOIN (SELECT entity_id, arg_min(token, alias_id) AS token FROM {_D} d GROUP BY entity_id) t ON t.entity_id = o.e",
-    "redacted_images": "SELECT label AS group_id, vec_id AS idx FROM embeddings WHERE label <> 1 UNION ALL SELECT 1, arg_min(vec_id, md5(vec_id::VARCHAR)) FROM embeddings WHERE label = 1",
+    "merge_aliases": (
+        f"{_MERGES}, last AS (SELECT run_id, surface, arg_max(entity, p) AS entity, arg_max(merged, p) AS merged FROM done GROUP BY run_id, surface) "
+        f"SELECT arg_min(entity, (surface, entity)) AS entity, min(surface) AS surface FROM (SELECT surface, entity, {_NAME_KEY.format('surface')} AS k "
+        f"FROM last WHERE merged) n WHERE k NOT IN (SELECT {_NAME_KEY.format('surface')} FROM e WHERE run_id = 0) GROUP BY k"
+    ),
+    "run_mask_map": (
+        f"SELECT run_id, surface, token FROM (SELECT l_orderkey AS run_id, CASE WHEN l_partkey % 2 = 0 THEN upper(l_returnflag) ELSE lower(l_returnflag) "
+        f"END AS surface, l_partkey % 9 AS e FROM lineitem WHERE l_partkey % 9 <> 0 QUALIFY row_number() OVER (PARTITION BY l_orderkey, lower(l_returnflag) "
+        f"ORDER BY l_linenumber, l_partkey) = 1) o JOIN (SELECT entity_id, arg_min(token, alias_id) AS token FROM {_D} d GROUP BY entity_id) "
+        f"t ON t.entity_id = o.e"
+    ),
+    "redacted_images": (
+        "SELECT label AS group_id, vec_id AS idx FROM embeddings WHERE label <> 1 UNION ALL SELECT 1, arg_min(vec_id, md5(vec_id::VARCHAR)) FROM embeddings "
+        "WHERE label = 1"
+    ),
     "surviving_images": "SELECT vec_id AS idx FROM embeddings WHERE label = 2 AND vec_id % 3 = 0",
-    "image_labels": f"SELECT group_id, coalesce(nullif(d.custom, ''), (SELECT min(nullif(custom, '')) FROM {governance.DICTIONARY} c WHERE lower(surface) = 'supplier#000000001')) AS label FROM {_GROUPS} g LEFT JOIN {governance.DICTIONARY} d ON lower(d.surface) = lower(g.ocr)",
-    "logo_attribution": f"SELECT group_id, entity_id FROM (SELECT group_id, coalesce(d.entity_id, t.entity_id) AS entity_id FROM {_GROUPS} g LEFT JOIN {governance.DICTIONARY} d ON lower(d.surface) = lower(g.ocr) LEFT JOIN (SELECT token, min(entity_id) AS entity_id FROM {governance.DICTIONARY} x GROUP BY token) t ON t.token = g.token) a WHERE entity_id IS NOT NULL",
-    "approved_residuals": "SELECT o_orderkey AS run_id, (o_custkey % 9)::BIGINT AS place, residual FROM orders JOIN (SELECT l_orderkey, l_partkey AS residual, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS p FROM lineitem) l ON l_orderkey = o_orderkey AND p = o_custkey % 9",
-    "resolved_flags": "SELECT user_id AS run_id, CASE WHEN event_type = 'error' THEN 'blocking' ELSE 'info' END AS severity, count(*)::BIGINT AS n FROM events WHERE NOT (event_type = 'error' AND (event_id % 3 = 1 OR (event_id % 3 = 0 AND user_id % 2 = 0))) GROUP BY ALL",
-    "reviewed_tags": "SELECT source AS value, CASE WHEN doc_id % 3 = 0 THEN 'applied' ELSE 'confirmed' END AS status, count(*)::BIGINT AS n FROM documents WHERE source IN ('src0', 'src2') GROUP BY ALL",
-    "residual_messages": f"SELECT e.vec_id, CASE WHEN e.vec_id % 2 <> 0 THEN h.phash ELSE coalesce(v.ocr, 'a, b') END AS message FROM embeddings e JOIN {values('verdicts')} v ON v.label = e.vec_id % 10 JOIN (@PHASH@) h USING (vec_id)",
+    "image_labels": (
+        f"SELECT group_id, coalesce(nullif(d.custom, ''), (SELECT min(nullif(custom, '')) FROM {governance.DICTIONARY} c WHERE lower(surface) "
+        f"= 'supplier#000000001')) AS label FROM {_GROUPS} g LEFT JOIN {governance.DICTIONARY} d ON lower(d.surface) = lower(g.ocr)"
+    ),
+    "logo_attribution": (
+        f"SELECT group_id, entity_id FROM (SELECT group_id, coalesce(d.entity_id, t.entity_id) AS entity_id FROM {_GROUPS} g LEFT "
+        f"JOIN {governance.DICTIONARY} d ON lower(d.surface) = lower(g.ocr) LEFT JOIN (SELECT token, min(entity_id) AS entity_id FROM {governance.DICTIONARY} x "
+        f"GROUP BY token) t ON t.token = g.token) a WHERE entity_id IS NOT NULL"
+    ),
+    "approved_residuals": (
+        "SELECT o_orderkey AS run_id, (o_custkey % 9)::BIGINT AS place, residual FROM orders JOIN (SELECT l_orderkey, l_partkey AS residual, row_number() "
+        "OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS p FROM lineitem) l ON l_orderkey = o_orderkey AND p = o_custkey % 9"
+    ),
+    "resolved_flags": (
+        "SELECT user_id AS run_id, CASE WHEN event_type = 'error' THEN 'blocking' ELSE 'info' END AS severity, count(*)::BIGINT AS n FROM events "
+        "WHERE NOT (event_type = 'error' AND (event_id % 3 = 1 OR (event_id % 3 = 0 AND user_id % 2 = 0))) GROUP BY ALL"
+    ),
+    "reviewed_tags": (
+        "SELECT source AS value, CASE WHEN doc_id % 3 = 0 THEN 'applied' ELSE 'confirmed' END AS status, count(*)::BIGINT AS n FROM documents "
+        "WHERE source IN ('src0', 'src2') GROUP BY ALL"
+    ),
+    "residual_messages": (
+        f"SELECT e.vec_id, CASE WHEN e.vec_id % 2 <> 0 THEN h.phash ELSE coalesce(v.ocr, 'a, b') END AS message FROM embeddings e "
+        f"JOIN {values('verdicts')} v ON v.label = e.vec_id % 10 JOIN (@PHASH@) h USING (vec_id)"
+    ),
 }
 ORACLE["residual_messages"] = ORACLE["residual_messages"].replace("@PHASH@", similarity.ORACLE["phash_from_embedding"])
 QUERIES = {name: globals()[name] for name in ORACLE}

@@ -125,7 +125,13 @@ ORACLE = {
     "phash_from_embedding": "SELECT vec_id, string_agg(format('{:x}', (bits[4 * i + 1]::INT * 8 + bits[4 * i + 2]::INT * 4 + bits[4 * i + 3]::INT * 2 + bits[4 * i + 4]::INT)), '' ORDER BY i) AS phash FROM " + _H + " h, generate_series(0, 15) AS g(i) GROUP BY vec_id",
     "hamming_matches": f"SELECT * FROM {_PAIRS} p",
     "band_vs_full_scan": "SELECT vec_id AS probe, vec_id AS ref FROM embeddings WHERE false",
-    "logo_levels": f"WITH h AS MATERIALIZED {_H}, p AS (SELECT e.vec_id AS probe, b.bits, e.vec_id % 20 AS k FROM h e JOIN h b ON b.vec_id = e.vec_id - e.vec_id % 100), m AS (SELECT probe, r.vec_id AS ref, list_sum(list_transform(generate_series(1, 64), lambda i: ((p.bits[i] <> r.bits[i]) <> (i > 64 - k))::INT))::INTEGER AS distance FROM p, h r WHERE r.vec_id % 100 = 0), b AS (SELECT probe, arg_min(ref, distance * 1000000 + ref) AS ref, min(distance) AS distance FROM m WHERE distance <= 10 GROUP BY probe) SELECT p.probe, b.ref, b.distance, CASE WHEN b.distance <= 4 THEN 'confident' WHEN b.distance <= 10 THEN 'uncertain' ELSE 'none' END AS level FROM p LEFT JOIN b USING (probe)",
+    "logo_levels": (
+        f"WITH h AS MATERIALIZED {_H}, p AS (SELECT e.vec_id AS probe, b.bits, e.vec_id % 20 AS k FROM h e JOIN h b ON b.vec_id = e.vec_id - e.vec_id % 100), "
+        f"m AS (SELECT probe, r.vec_id AS ref, list_sum(list_transform(generate_series(1, 64), lambda i: ((p.bits[i] <> r.bits[i]) "
+        f"<> (i > 64 - k))::INT))::INTEGER AS distance FROM p, h r WHERE r.vec_id % 100 = 0), b AS (SELECT probe, arg_min(ref, distance * 1000000 + ref) "
+        f"AS ref, min(distance) AS distance FROM m WHERE distance <= 10 GROUP BY probe) SELECT p.probe, b.ref, b.distance, CASE "
+        f"WHEN b.distance <= 4 THEN 'confident' WHEN b.distance <= 10 THEN 'uncertain' ELSE 'none' END AS level FROM p LEFT JOIN b USING (probe)"
+    ),
     "best_logo": f"SELECT * FROM {_BEST} b",
     # One image after another, with the heads of the clusters so far in a list.
     "greedy_clusters": f"""WITH RECURSIVE h AS MATERIALIZED (SELECT vec_id // 50 AS g, vec_id, bits, row_number() OVER (PARTITION BY vec_id // 50 ORDER BY vec_id) AS i FROM {_H} x),
@@ -134,9 +140,19 @@ UNION ALL SELECT g, i, idx, CASE WHEN place IS NULL THEN list_append(heads, bits
 (SELECT h.g, h.i, h.vec_id AS idx, heads, bits, list_position(list_transform(heads, lambda x: list_sum(list_transform(generate_series(1, 64), lambda k: (x[k] <> bits[k])::INT)) <= {NEAR}), true) AS place FROM r JOIN h ON h.g = r.g AND h.i = r.i + 1))
 SELECT g AS owner, idx, (place - 1)::INTEGER AS cluster, place <= 150 AS scanned FROM r WHERE i > 0""",
     "similarity_components": f"SELECT * FROM {_COMPONENTS} c",
-    "merged_clusters": f"WITH m AS MATERIALIZED (SELECT c.component, c.node AS idx, v.flagged, v.confidence::DOUBLE AS confidence, v.ocr, b.distance FROM {_COMPONENTS} c JOIN {values('verdicts')} v ON v.label = c.node % 10 LEFT JOIN {_BEST} b ON b.probe = c.node) SELECT component, max(confidence) AS confidence, bool_or(flagged) AS flagged, string_agg(idx, ',' ORDER BY idx) AS indices, arg_max(idx, confidence * 1000000 - idx) AS primary_idx, min(distance)::INTEGER AS logo_distance, arg_min(ocr, idx) FILTER (ocr IS NOT NULL) AS ocr, coalesce((SELECT string_agg(o, ',' ORDER BY i) FROM (SELECT q.ocr AS o, min(q.idx) AS i FROM m q WHERE q.component = m.component AND q.ocr IS NOT NULL GROUP BY q.ocr)), '') AS ocrs, row_number() OVER (ORDER BY min(idx)) - 1 AS number FROM m GROUP BY component",
+    "merged_clusters": (
+        f"WITH m AS MATERIALIZED (SELECT c.component, c.node AS idx, v.flagged, v.confidence::DOUBLE AS confidence, v.ocr, b.distance FROM {_COMPONENTS} c "
+        f"JOIN {values('verdicts')} v ON v.label = c.node % 10 LEFT JOIN {_BEST} b ON b.probe = c.node) SELECT component, max(confidence) AS confidence, "
+        f"bool_or(flagged) AS flagged, string_agg(idx, ',' ORDER BY idx) AS indices, arg_max(idx, confidence * 1000000 - idx) AS primary_idx, "
+        f"min(distance)::INTEGER AS logo_distance, arg_min(ocr, idx) FILTER (ocr IS NOT NULL) AS ocr, coalesce((SELECT string_agg(o, ',' ORDER BY i) "
+        f"FROM (SELECT q.ocr AS o, min(q.idx) AS i FROM m q WHERE q.component = m.component AND q.ocr IS NOT NULL GROUP BY q.ocr)), '') AS ocrs, row_number() "
+        f"OVER (ORDER BY min(idx)) - 1 AS number FROM m GROUP BY component"
+    ),
     "memo_misses": "SELECT label AS run_id, count(DISTINCT vec_id)::BIGINT AS misses FROM embeddings WHERE label % 2 <> 0 GROUP BY label",
     "image_identity_rules": f"SELECT vec_id, identity, round(c, 3) AS confidence, judgment FROM {_RULES} r",
-    "image_approval": f"SELECT vec_id FROM {_RULES} r WHERE (identity AND vec_id % 7 <> 0) OR vec_id % 11 = 0 OR vec_id IN (SELECT probe FROM {_PAIRS} p JOIN {values('dictionary')} d ON d.entity_id = ref // 100 % 8 + 1 WHERE d.status = 'approved')",
+    "image_approval": (
+        f"SELECT vec_id FROM {_RULES} r WHERE (identity AND vec_id % 7 <> 0) OR vec_id % 11 = 0 OR vec_id IN (SELECT probe FROM {_PAIRS} p "
+        f"JOIN {values('dictionary')} d ON d.entity_id = ref // 100 % 8 + 1 WHERE d.status = 'approved')"
+    ),
 }
 QUERIES = {name: globals()[name] for name in ORACLE}

@@ -72,8 +72,15 @@ w(run_id, p, seq, consumer, outcome, status, holder, since, until, told) AS (
 
 _SIX_HOURS = 6 * 3600 * 1000000
 ORACLE = {
-    "stream_sessions": f"SELECT user_id, min(us) AS start_us, max(us) + {_SIX_HOURS} AS end_us, count(*)::BIGINT AS n FROM (SELECT user_id, us, sum(CASE WHEN us - before < {_SIX_HOURS} THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS session FROM (SELECT user_id, epoch_us(ts) AS us, lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events)) GROUP BY user_id, session",
-    "stream_leases": f"{_LEASES} SELECT w.run_id, w.seq, w.consumer, outcome, told AS since_ms, CASE WHEN outcome IN ('granted', 'renewed') THEN until WHEN outcome IN ('released', 'completed') THEN q.ms END AS until_ms FROM w JOIN q USING (run_id, p) WHERE p > 0",
+    "stream_sessions": (
+        f"SELECT user_id, min(us) AS start_us, max(us) + {_SIX_HOURS} AS end_us, count(*)::BIGINT AS n FROM (SELECT user_id, us, sum(CASE "
+        f"WHEN us - before < {_SIX_HOURS} THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS session FROM (SELECT user_id, "
+        f"epoch_us(ts) AS us, lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events)) GROUP BY user_id, session"
+    ),
+    "stream_leases": (
+        f"{_LEASES} SELECT w.run_id, w.seq, w.consumer, outcome, told AS since_ms, CASE WHEN outcome IN ('granted', 'renewed') THEN until "
+        f"WHEN outcome IN ('released', 'completed') THEN q.ms END AS until_ms FROM w JOIN q USING (run_id, p) WHERE p > 0"
+    ),
     "stream_dictionary": "SELECT entity_type, count(DISTINCT surface)::BIGINT AS surfaces, string_agg(token, ',' ORDER BY token) AS tokens FROM (" + governance.allocated("SELECT DISTINCT 'Client ' || (user_id % 40) AS surface, 'CLIENT_NAME' AS kind, 'CLIENT' AS p FROM events", f"(SELECT list(token) FROM {values('dictionary')} d)") + ") t GROUP BY entity_type",
     "stream_run_status": governance.ORACLE["run_status_latest"],
     "stream_stale": governance.ORACLE["stale_runs"],

@@ -258,17 +258,34 @@ def page_node_text(spark, folder):
     return table(spark, folder, "pages").select("page_id", F.md5(scrub.node_text(F.col("html"))).alias("digest"))
 
 
-_REQUESTS = "(SELECT c_nationkey AS account, c_custkey AS user_id, o_orderkey AS seq, CASE WHEN o_orderkey % 3 = 0 THEN 'remove' ELSE 'assign' END AS action FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 3 = 0 OR c_custkey % 6 = 3)"
+_REQUESTS = (
+    "(SELECT c_nationkey AS account, c_custkey AS user_id, o_orderkey AS seq, CASE WHEN o_orderkey % 3 = 0 THEN 'remove' ELSE 'assign' END AS action "
+    "FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 3 = 0 OR c_custkey % 6 = 3)"
+)
 _ROLE = f"{list(ROLES)}[c_custkey % 6 + 1]"
-_ROLES = f"(SELECT o_custkey AS user_id, o_orderkey AS seq, {list(ASKED)}[o_orderkey % 4 + 1] AS role FROM orders WHERE o_orderkey % 4 <> 2 AND o_custkey IN (SELECT c_custkey FROM customer))"
+_ROLES = (
+    f"(SELECT o_custkey AS user_id, o_orderkey AS seq, {list(ASKED)}[o_orderkey % 4 + 1] AS role FROM orders WHERE o_orderkey % 4 <> 2 "
+    f"AND o_custkey IN (SELECT c_custkey FROM customer))"
+)
 _TERMS = f"""(SELECT category, value, status FROM {values('vocabulary')} v UNION ALL SELECT category, value, arg_min(CASE WHEN doc_id % 2 = 0 THEN 'approved' ELSE 'pending_approval' END, doc_id) FROM
 (SELECT doc_id, unnest(['technology', 'domain', 'geography']) AS category, unnest([lower(source), lower(lang), lower(lang)]) AS value FROM documents) d WHERE (category, value) NOT IN (SELECT category, value FROM {values('vocabulary')} w) GROUP BY category, value)"""
-_IMAGES = f"(SELECT key, sum(size)::BIGINT AS n FROM (SELECT DISTINCT vec_id // 50 AS g, ocr AS key FROM embeddings JOIN {values('verdicts')} v ON v.label = vec_id % 10 WHERE ocr IS NOT NULL) k JOIN (SELECT vec_id // 50 AS g, count(*) AS size FROM embeddings GROUP BY ALL) s USING (g) GROUP BY key)"
+_IMAGES = (
+    f"(SELECT key, sum(size)::BIGINT AS n FROM (SELECT DISTINCT vec_id // 50 AS g, ocr AS key FROM embeddings "
+    f"JOIN {values('verdicts')} v ON v.label = vec_id % 10 WHERE ocr IS NOT NULL) k JOIN (SELECT vec_id // 50 AS g, count(*) AS size FROM embeddings "
+    f"GROUP BY ALL) s USING (g) GROUP BY key)"
+)
 _ALT = f"(SELECT lower(entity) AS key, count(*)::BIGINT AS n FROM ({review.ORACLE['alt_text_ladder']}) a GROUP BY ALL)"
 _TEXT = f"(SELECT surface AS key, sum(occurrences)::BIGINT AS n FROM ({detection.ORACLE['occurrence_counts']}) o GROUP BY ALL)"
-_SAID = "(SELECT conv_id, turn, unnest(w) AS text, generate_subscripts(w, 1) AS i FROM (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '[ \\n]+'), lambda x: x <> '') AS w FROM conversations))"
+_SAID = (
+    "(SELECT conv_id, turn, unnest(w) AS text, generate_subscripts(w, 1) AS i FROM (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, "
+    "'[ \\n]+'), lambda x: x <> '') AS w FROM conversations))"
+)
 _NUMBER = "(700000 + conv_id * 10 + turn)"
-_READ = f"(SELECT conv_id || '-' || turn AS key, i, text FROM {_SAID} w UNION ALL SELECT conv_id || '-' || turn, 1000000, {_NUMBER}::VARCHAR FROM conversations UNION ALL SELECT conv_id || '-' || turn, -1, CASE conv_id % 4 WHEN 0 THEN 'Anon ' || {_NUMBER} WHEN 1 THEN ' AB-' || {_NUMBER} ELSE ' ' END FROM conversations WHERE conv_id % 4 < 3)"
+_READ = (
+    f"(SELECT conv_id || '-' || turn AS key, i, text FROM {_SAID} w UNION ALL SELECT conv_id || '-' || turn, 1000000, {_NUMBER}::VARCHAR FROM conversations "
+    f"UNION ALL SELECT conv_id || '-' || turn, -1, CASE conv_id % 4 WHEN 0 THEN 'Anon ' || {_NUMBER} WHEN 1 THEN ' AB-' || {_NUMBER} ELSE ' ' END "
+    f"FROM conversations WHERE conv_id % 4 < 3)"
+)
 _NOT_OWN = "NOT regexp_matches(text, '(?i)(^|[^A-Za-z0-9])(anon|firm)([^A-Za-z0-9]|$)')"
 _COVER = f"(SELECT vec_id, vec_id % 10 = 3 OR len(list_filter(embedding, lambda x: abs(90 * x::DOUBLE) <= 15)) > 0.85::DOUBLE * len(embedding) AS cover FROM embeddings)"
 _MERGED = f"""(WITH RECURSIVE h AS MATERIALIZED {images._H}, e AS MATERIALIZED (SELECT a.vec_id AS x, b.vec_id AS y FROM h a, h b WHERE {images._D} <= {images.WIDE} OR (a.vec_id % 13 = 0 AND b.vec_id % 13 = 0 AND a.vec_id % 7 = b.vec_id % 7) OR (a.vec_id % 17 = 0 AND b.vec_id % 17 = 0 AND a.vec_id % 5 = b.vec_id % 5)),
@@ -277,34 +294,93 @@ _TITLE = "regexp_extract(html, '(?s)<title>(.*?)</title>', 1)"
 _PLAIN_TITLE = f"replace(replace(replace(replace(replace({_TITLE}, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&apos;', chr(39)), '&amp;', '&')"
 
 ORACLE = {
-    "owner_changes": f"SELECT account, user_id, seq, action FROM (SELECT *, coalesce(lag(action) OVER (PARTITION BY account, user_id ORDER BY seq) = 'assign', user_id % 12 = 3) AS owned FROM {_REQUESTS} q) w WHERE (action = 'assign') <> owned",
-    "owners_after": f"SELECT c_nationkey AS account, c_custkey AS user_id FROM customer LEFT JOIN (SELECT user_id, arg_max(action, seq) AS final FROM {_REQUESTS} q GROUP BY user_id) l ON user_id = c_custkey WHERE coalesce(final = 'assign', c_custkey % 12 = 3)",
-    "role_changes": f"SELECT user_id, seq, coalesce(lag(role) OVER (PARTITION BY user_id ORDER BY seq), {_ROLE}) AS old, role FROM {_ROLES} q JOIN customer ON c_custkey = user_id",
-    "roles_after": f"SELECT c_custkey AS user_id, coalesce(final, {_ROLE}) AS role FROM customer LEFT JOIN (SELECT user_id, arg_max(role, seq) AS final FROM {_ROLES} q GROUP BY user_id) l ON user_id = c_custkey",
+    "owner_changes": (
+        f"SELECT account, user_id, seq, action FROM (SELECT *, coalesce(lag(action) OVER (PARTITION BY account, user_id ORDER BY seq) = 'assign', "
+        f"user_id % 12 = 3) AS owned FROM {_REQUESTS} q) w WHERE (action = 'assign') <> owned"
+    ),
+    "owners_after": (
+        f"SELECT c_nationkey AS account, c_custkey AS user_id FROM customer LEFT JOIN (SELECT user_id, arg_max(action, seq) AS final FROM {_REQUESTS} q "
+        f"GROUP BY user_id) l ON user_id = c_custkey WHERE coalesce(final = 'assign', c_custkey % 12 = 3)"
+    ),
+    "role_changes": (
+        f"SELECT user_id, seq, coalesce(lag(role) OVER (PARTITION BY user_id ORDER BY seq), {_ROLE}) AS old, role FROM {_ROLES} q "
+        f"JOIN customer ON c_custkey = user_id"
+    ),
+    "roles_after": (
+        f"SELECT c_custkey AS user_id, coalesce(final, {_ROLE}) AS role FROM customer LEFT JOIN (SELECT user_id, arg_max(role, seq) AS final FROM {_ROLES} q "
+        f"GROUP BY user_id) l ON user_id = c_custkey"
+    ),
     "term_requests": f"SELECT * FROM {_TERMS} t",
-    "terms_decided": f"SELECT category, value, CASE WHEN approved THEN 'approved' ELSE status END AS status FROM {_TERMS} t LEFT JOIN (SELECT category, value, bool_or(doc_id % 97 = 5) AS gone, bool_or(doc_id % 97 <> 5 AND doc_id % 3 = 1) AS approved FROM (SELECT 'technology' AS category, source AS value, doc_id FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT 'domain', lang, doc_id FROM documents) k WHERE value <> 'en' AND (doc_id % 97 = 5 OR doc_id % 3 = 1) GROUP BY ALL) d USING (category, value) WHERE NOT coalesce(gone, false)",
-    "statuses_decided": "SELECT s_suppkey AS entity_id, coalesce(d.status, ['pending_approval', 'approved', 'skipped'][s_suppkey % 3 + 1]) AS status, coalesce(d.account, CASE WHEN s_suppkey % 2 = 0 THEN s_nationkey END)::INTEGER AS account FROM supplier LEFT JOIN (SELECT o_custkey, arg_max(['approved', 'skipped', 'pending_approval'][o_orderkey % 4 + 1], o_orderkey) FILTER (o_orderkey % 4 < 3) AS status, arg_max(o_custkey % 25, o_orderkey) FILTER (o_orderkey % 8 = 0) AS account FROM orders GROUP BY o_custkey) d ON o_custkey = s_suppkey",
+    "terms_decided": (
+        f"SELECT category, value, CASE WHEN approved THEN 'approved' ELSE status END AS status FROM {_TERMS} t LEFT JOIN (SELECT category, value, "
+        f"bool_or(doc_id % 97 = 5) AS gone, bool_or(doc_id % 97 <> 5 AND doc_id % 3 = 1) AS approved FROM (SELECT 'technology' AS category, source AS value, "
+        f"doc_id FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT 'domain', lang, doc_id FROM documents) k WHERE value <> 'en' AND (doc_id % 97 = 5 "
+        f"OR doc_id % 3 = 1) GROUP BY ALL) d USING (category, value) WHERE NOT coalesce(gone, false)"
+    ),
+    "statuses_decided": (
+        "SELECT s_suppkey AS entity_id, coalesce(d.status, ['pending_approval', 'approved', 'skipped'][s_suppkey % 3 + 1]) AS status, coalesce(d.account, CASE "
+        "WHEN s_suppkey % 2 = 0 THEN s_nationkey END)::INTEGER AS account FROM supplier LEFT JOIN (SELECT o_custkey, arg_max(['approved', 'skipped', "
+        "'pending_approval'][o_orderkey % 4 + 1], o_orderkey) FILTER (o_orderkey % 4 < 3) AS status, arg_max(o_custkey % 25, o_orderkey) "
+        "FILTER (o_orderkey % 8 = 0) AS account FROM orders GROUP BY o_custkey) d ON o_custkey = s_suppkey"
+    ),
     "entities_created": governance.allocated(f"SELECT *, {governance.PREFIX_OF} FROM (SELECT min(surface) AS surface, min(entity_type) AS kind FROM (SELECT surface, entity_type, {detection._KEY.format('surface')} AS key FROM ({detection._CAND})) WHERE key NOT IN (SELECT {detection._KEY.format('surface')} FROM {values('dictionary')} d) GROUP BY key)", f"(SELECT list(token) FROM {values('dictionary')} d)"),
     "references_stored": "SELECT label AS entity_id, count(*)::BIGINT AS n FROM embeddings WHERE vec_id % 2 = 0 GROUP BY label",
-    "step_order": "SELECT run_id, seq, coalesce(CASE WHEN l_partkey % 5 = 0 THEN l_linenumber + 100 END, place + (SELECT count(*) FROM lineitem b WHERE b.l_orderkey = run_id AND b.l_linenumber <= 2))::BIGINT AS step_order FROM (SELECT l_orderkey AS run_id, l_linenumber * 10000000 + l_partkey AS seq, l_partkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber * 10000000 + l_partkey) AS place FROM lineitem WHERE l_linenumber > 2) n",
-    "run_confidence": "SELECT c_custkey AS run_id, coalesce(min(o_orderkey % 100 / 100), 1.0)::DOUBLE AS confidence FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey",
+    "step_order": (
+        "SELECT run_id, seq, coalesce(CASE WHEN l_partkey % 5 = 0 THEN l_linenumber + 100 END, place + (SELECT count(*) FROM lineitem b "
+        "WHERE b.l_orderkey = run_id AND b.l_linenumber <= 2))::BIGINT AS step_order FROM (SELECT l_orderkey AS run_id, "
+        "l_linenumber * 10000000 + l_partkey AS seq, l_partkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey "
+        "ORDER BY l_linenumber * 10000000 + l_partkey) AS place FROM lineitem WHERE l_linenumber > 2) n"
+    ),
+    "run_confidence": (
+        "SELECT c_custkey AS run_id, coalesce(min(o_orderkey % 100 / 100), 1.0)::DOUBLE AS confidence FROM customer LEFT JOIN orders ON o_custkey = c_custkey "
+        "GROUP BY c_custkey"
+    ),
     "image_occurrences": f"SELECT * FROM {_IMAGES} i",
     "alt_text_occurrences": f"SELECT * FROM {_ALT} a",
-    "total_occurrences": f"SELECT key, sum(t)::BIGINT AS in_text, sum(i)::BIGINT AS in_images, sum(a)::BIGINT AS in_alt, sum(t + i + a)::BIGINT AS total FROM (SELECT key, n AS t, 0 AS i, 0 AS a FROM {_TEXT} x UNION ALL SELECT key, 0, n, 0 FROM {_IMAGES} y UNION ALL SELECT key, 0, 0, n FROM {_ALT} z) GROUP BY key",
-    "first_known": f"SELECT key, nullif(arg_min(entity, i), -1) AS entity, arg_min(text, i) AS surface FROM (SELECT s.*, coalesce(d.entity, -1) AS entity FROM {_READ} s LEFT JOIN (SELECT {detection._KEY.format('surface')} AS k, min(entity_id) AS entity FROM {values('dictionary')} d WHERE status = 'approved' GROUP BY ALL) d ON d.k = {detection._KEY.format('text')} WHERE {_NOT_OWN} AND (d.entity IS NOT NULL OR regexp_matches(text, '\\b([A-Z]{{2,}}-?\\d{{4,}}|\\d{{6,}})\\b'))) h GROUP BY key",
-    "readable_fragments": f"SELECT conv_id, count(*)::BIGINT AS n FROM {_SAID} s WHERE length(text) >= 2 AND NOT regexp_full_match(text, '\\d+') AND {_NOT_OWN} AND {detection._KEY.format('text')} NOT IN (SELECT {detection._KEY.format('surface')} FROM {values('dictionary')} d WHERE status = 'skipped') GROUP BY ALL",
+    "total_occurrences": (
+        f"SELECT key, sum(t)::BIGINT AS in_text, sum(i)::BIGINT AS in_images, sum(a)::BIGINT AS in_alt, sum(t + i + a)::BIGINT AS total FROM (SELECT key, "
+        f"n AS t, 0 AS i, 0 AS a FROM {_TEXT} x UNION ALL SELECT key, 0, n, 0 FROM {_IMAGES} y UNION ALL SELECT key, 0, 0, n FROM {_ALT} z) GROUP BY key"
+    ),
+    "first_known": (
+        f"SELECT key, nullif(arg_min(entity, i), -1) AS entity, arg_min(text, i) AS surface FROM (SELECT s.*, coalesce(d.entity, -1) AS entity FROM {_READ} s "
+        f"LEFT JOIN (SELECT {detection._KEY.format('surface')} AS k, min(entity_id) AS entity FROM {values('dictionary')} d WHERE status = 'approved' "
+        f"GROUP BY ALL) d ON d.k = {detection._KEY.format('text')} WHERE {_NOT_OWN} AND (d.entity IS NOT NULL OR regexp_matches(text, "
+        f"'\\b([A-Z]{{2,}}-?\\d{{4,}}|\\d{{6,}})\\b'))) h GROUP BY key"
+    ),
+    "readable_fragments": (
+        f"SELECT conv_id, count(*)::BIGINT AS n FROM {_SAID} s WHERE length(text) >= 2 AND NOT regexp_full_match(text, '\\d+') AND {_NOT_OWN} "
+        f"AND {detection._KEY.format('text')} NOT IN (SELECT {detection._KEY.format('surface')} FROM {values('dictionary')} d WHERE status = 'skipped') "
+        f"GROUP BY ALL"
+    ),
     "placeholders": f"SELECT * FROM {_COVER} c",
     "residual_images": f"SELECT group_id, idx FROM ({review.ORACLE['redacted_images']}) r WHERE idx NOT IN (SELECT vec_id FROM {_COVER} c WHERE cover)",
     "fresh_hits": "SELECT page_id, url AS text FROM pages WHERE page_id % 5 > 2 AND NOT regexp_matches(url, '(?i)(^|[^A-Za-z0-9])(anon|firm)([^A-Za-z0-9]|$)')",
     "reidentifiable": "SELECT doc_id, doc_id % 10 / 10 AS confidence FROM documents WHERE doc_id % 10 >= 5",
-    "precision_misses": f"SELECT doc_id AS run_id, entity_type, count(*)::BIGINT AS n FROM ({detection._CAND}) c WHERE (doc_id, key) IN (SELECT doc_id, lower(upper(surface)) FROM ({detection._CAND}) r WHERE doc_id % 3 = 0 AND length(surface) % 2 = 0) GROUP BY ALL",
+    "precision_misses": (
+        f"SELECT doc_id AS run_id, entity_type, count(*)::BIGINT AS n FROM ({detection._CAND}) c WHERE (doc_id, key) IN (SELECT doc_id, lower(upper(surface)) "
+        f"FROM ({detection._CAND}) r WHERE doc_id % 3 = 0 AND length(surface) % 2 = 0) GROUP BY ALL"
+    ),
     "visual_merge": f"SELECT * FROM {_MERGED} m",
     "own_firm_logos": f"SELECT vec_id FROM {images._H} a WHERE EXISTS (SELECT 1 FROM {images._H} b WHERE b.vec_id % 100 = 0 AND {images._D} <= {images.NEAR})",
-    "entity_children": f"SELECT n_name, array_to_string(a.l[1:{SHOWN_NAMES}], '|') AS aliases, r_name AS account, array_to_string(g.l[1:{SHOWN_LOGOS}], ',') AS logos FROM nation LEFT JOIN (SELECT s_nationkey, list(s_name ORDER BY s_name) AS l FROM supplier GROUP BY ALL) a ON s_nationkey = n_nationkey LEFT JOIN (SELECT vec_id % 30 AS k, list(vec_id ORDER BY vec_id DESC) AS l FROM embeddings GROUP BY ALL) g ON k = n_nationkey LEFT JOIN region ON r_regionkey = n_regionkey",
+    "entity_children": (
+        f"SELECT n_name, array_to_string(a.l[1:{SHOWN_NAMES}], '|') AS aliases, r_name AS account, array_to_string(g.l[1:{SHOWN_LOGOS}], ',') AS logos "
+        f"FROM nation LEFT JOIN (SELECT s_nationkey, list(s_name ORDER BY s_name) AS l FROM supplier GROUP BY ALL) a ON s_nationkey = n_nationkey LEFT "
+        f"JOIN (SELECT vec_id % 30 AS k, list(vec_id ORDER BY vec_id DESC) AS l FROM embeddings GROUP BY ALL) g ON k = n_nationkey LEFT "
+        f"JOIN region ON r_regionkey = n_regionkey"
+    ),
     "tagging_source": f"SELECT user_id, event_id, c_name AS name FROM {governance._LATEST} l JOIN customer ON c_custkey = user_id WHERE status = 'completed'",
-    "group_totals": f"SELECT vec_id // 50 AS group_id, count(*)::BIGINT AS images, count(*) FILTER (identity)::BIGINT AS flagged, count(*) FILTER (judgment)::BIGINT AS judgment FROM {images._RULES} r GROUP BY ALL",
-    "skipped_clusters": f"SELECT owner, least(n, {CAP})::BIGINT AS shown, greatest(n - {CAP}, 0)::BIGINT AS skipped FROM (SELECT owner, count(DISTINCT cluster) AS n FROM ({images.ORACLE['greedy_clusters']}) c GROUP BY owner)",
-    "thresholds_used": f"SELECT doc_id, string_agg(t, ',' ORDER BY t) AS thresholds FROM (SELECT DISTINCT doc_id, printf('%.2f', threshold) AS t FROM {detection._GATED} g) GROUP BY doc_id",
+    "group_totals": (
+        f"SELECT vec_id // 50 AS group_id, count(*)::BIGINT AS images, count(*) FILTER (identity)::BIGINT AS flagged, count(*) "
+        f"FILTER (judgment)::BIGINT AS judgment FROM {images._RULES} r GROUP BY ALL"
+    ),
+    "skipped_clusters": (
+        f"SELECT owner, least(n, {CAP})::BIGINT AS shown, greatest(n - {CAP}, 0)::BIGINT AS skipped FROM (SELECT owner, count(DISTINCT cluster) AS n "
+        f"FROM ({images.ORACLE['greedy_clusters']}) c GROUP BY owner)"
+    ),
+    "thresholds_used": (
+        f"SELECT doc_id, string_agg(t, ',' ORDER BY t) AS thresholds FROM (SELECT DISTINCT doc_id, printf('%.2f', threshold) AS t FROM {detection._GATED} g) "
+        f"GROUP BY doc_id"
+    ),
     "excerpts": f"SELECT doc_id, md5(substring(text, 1, {EXCERPT_CHARS})) AS digest FROM documents",
     "runs_newest": "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC)::INTEGER AS place FROM events",
     "documents_newest": "SELECT doc_id, lang FROM documents WHERE source = 'src1'",
@@ -313,7 +389,10 @@ ORACLE = {
     "proposals": f"SELECT category, value FROM {_TERMS} t WHERE status = 'pending_approval'",
     "accounts_by_name": "SELECT n_name, n_regionkey FROM nation",
     "mask_maps": "SELECT c_custkey, CASE WHEN c_mktsegment < 'x' THEN c_mktsegment || '=new,x=old' ELSE 'x=old,' || c_mktsegment || '=new' END AS entries FROM customer",
-    "scrub_titles": f"SELECT page_id, replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS title FROM (SELECT page_id, {_replaced(_PLAIN_TITLE, lambda s, t: t)} AS t FROM pages)",
+    "scrub_titles": (
+        f"SELECT page_id, replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS title FROM (SELECT page_id, "
+        f"{_replaced(_PLAIN_TITLE, lambda s, t: t)} AS t FROM pages)"
+    ),
     "page_node_text": "SELECT page_id, md5(array_to_string(list_filter(regexp_extract_all(html, '>([^<>]+)<', 1), lambda t: trim(t, ' ') <> ''), ' ')) AS digest FROM pages",
 }
 QUERIES = {name: globals()[name] for name in ORACLE}
