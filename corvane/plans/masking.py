@@ -214,5 +214,15 @@ ORACLE = {
     "revalidation": _score(approved() + ADDED),
     "verify_corpus": f"SELECT page_id, count(*)::BIGINT AS texts, sum(length(text))::BIGINT AS n_chars FROM {_PAGE} p WHERE channel IN ('text', 'metadata') GROUP BY ALL",
 } | {f"residual_{c}": _left(f"(SELECT page_id, item, text FROM {_PAGE} p WHERE channel = '{c}')", "page_id, item::BIGINT AS item", LEAKY) for c in ("hyperlinks", "comments", "metadata")}
+# Every place where a word starts, tested for the nested surfaces; a surface inside a longer one that begins before it is not claimed.
+ORACLE["occurrence_rows"] = (
+    "WITH c AS (SELECT doc_id, text, unnest(generate_series(1, length(text))) AS i FROM documents WHERE text IS NOT NULL), "
+    "s AS (SELECT doc_id, (i - 1)::INTEGER AS start, regexp_extract(substr(text, i, 80), '^((?:and|of)\\s+the|the|ing)(?:[^A-Za-z0-9]|$)', 1, 'i') AS surface "
+    "FROM c WHERE lower(substr(text, i, 1)) IN ('a', 'o', 't', 'i') AND (i = 1 OR NOT regexp_matches(substr(text, i - 1, 1), '[A-Za-z0-9]'))), "
+    "f AS MATERIALIZED (SELECT doc_id, start, (start + length(surface))::INTEGER AS stop, surface FROM s WHERE surface <> '') "
+    "SELECT doc_id, start, stop, surface, entity_id FROM f a LEFT JOIN (SELECT lower(surface) AS key, min(entity_id) AS entity_id "
+    f"FROM {values('dictionary')} d WHERE status = 'approved' GROUP BY ALL) e ON key = lower(surface) "
+    "WHERE NOT EXISTS (SELECT 1 FROM f b WHERE b.doc_id = a.doc_id AND b.start < a.start AND b.stop >= a.stop)"
+)
 ORACLE["residual_union"] = f"SELECT doc_id, leaked AS surface FROM ({ORACLE['boundary_leaks']}) a UNION ALL SELECT * FROM ({ORACLE['residual_text']}) b"
-QUERIES = {name: globals()[name] for name in [*ORACLE, "occurrence_rows"]}
+QUERIES = {name: globals()[name] for name in ORACLE}
