@@ -30,7 +30,7 @@ from corvane.llm import kernels as K
 from corvane.sources.shared import new_folder
 
 #: Distinct pieces, and distinct stems, that a Python worker remembers; it starts anew beyond that.
-REMEMBERED_PIECES, REMEMBERED_STEMS = 300_000, 600_000
+REMEMBERED_PIECES, REMEMBERED_STEMS = 600_000, 600_000
 TEXT_CHUNK_BYTES = 4 << 20
 ROW_GROUP_BYTES = 64 << 20
 PAGE_BYTES = 256 << 10
@@ -79,10 +79,13 @@ class PieceEncoder:
             self.stems = {}
         stems, pieces, other = self.stems, self.pieces, []
         for piece in new:
+            if (ids := stems.get(piece)) is not None:  # a known stem as it is
+                pieces[piece] = ids
+                continue
             said = piece.lower()
             stem = said.rstrip(MARKS)
             # "<|" may begin a special token, whose case counts.
-            if not stem.isalpha() or max(piece) >= PLAIN_BELOW or "<|" in piece:
+            if not stem.isalpha() or not (piece.isascii() or max(piece) < PLAIN_BELOW) or "<|" in piece:
                 other.append(piece)
                 continue
             ids = stems.get(stem)
