@@ -231,7 +231,7 @@ def _encoded(path: str, pattern: str, keep_ids: bool):
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids of every text. ``path`` must be readable on every executor."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_encoded(path, pattern, True), "doc_id long, n_tokens long, ids array<int>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(K.trimmed(_encoded(path, pattern, True)), "doc_id long, n_tokens long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -248,4 +248,4 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 def digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """One row per document for the contract of operator 10: each text is encoded, and its ids decoded, in one pass."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_encoded(path, pattern, False), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(K.trimmed(_encoded(path, pattern, False)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -216,7 +216,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW_WO
         return _joined(out, items, window)
     shared = spark.sparkContext.broadcast(Windows([(r["item"], r["text"]) for r in items.collect()], window))
     schema = T.StructType(T.StructType.fromDDL(_SCAN).fields + [f for f in out.schema.fields if f.name == "carry"])
-    return out.mapInArrow(_scan(shared), schema)
+    return out.mapInArrow(K.trimmed(_scan(shared)), schema)
 
 
 def judged(scan: DataFrame) -> DataFrame:

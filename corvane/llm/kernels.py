@@ -7,7 +7,8 @@ chunk (``CHUNK_BYTES``, or one text if that is longer).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -200,6 +201,21 @@ def winnow(symbols: np.ndarray, bounds: np.ndarray, window: int, k: int) -> dict
     return {"doc": doc, "low": low - base, "high": high - base, "at": at - base, "anchor": grams[at], "span": span_hashes(grams, low, high + (window - k + 1))}
 
 
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same task, which gives freed memory back at its end: workers wait for the next stage, and the JVM needs it then."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            release = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if release is not None:
+                release(0)
+
+    return wrapped
+
+
 def covered(n: int, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Which of n places lie in any of the ranges [begin, end)."""
     if not len(begin):

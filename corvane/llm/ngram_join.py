@@ -241,7 +241,7 @@ def _different(table: pa.Table) -> pa.Table:
 def candidate_groups(docs: DataFrame, k: int, percent: int, slots: int) -> DataFrame:
     """(node, component): documents that share as many signatures with others as a link needs, by the group that signatures connect."""
     schema = "bucket int, kind int, payload binary"
-    rows = docs.mapInArrow(_signed(k, percent, 2 * slots), schema)
+    rows = docs.mapInArrow(K.trimmed(_signed(k, percent, 2 * slots)), schema)
     stars = rows.groupBy("bucket").applyInArrow(_grouped(slots), schema)
     edges = materialize(stars.groupBy("bucket").applyInArrow(_different, "a long, b long"), "candidate-edges")
     able = edges.where("a = b").select(F.col("a").alias("node"))
@@ -375,7 +375,7 @@ def components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     groups = materialize(candidate_groups(texts, k, percent, slots), "groups").withColumnRenamed("node", "doc_id")
     schema = "doc_id long, n long, h1 long, h2 long, candidate long, grams binary"
     # The groups grow with the corpus: they meet the texts by a shuffle at every size, and the texts pass batch by batch.
-    sets = materialize(texts.join(groups.hint("merge"), "doc_id", "left").mapInArrow(_sets(k), schema), "sets")
+    sets = materialize(texts.join(groups.hint("merge"), "doc_id", "left").mapInArrow(K.trimmed(_sets(k)), schema), "sets")
 
     # One document for each different set of a candidate group, with its size class.
     same = ["candidate", "h1", "h2"]

@@ -186,7 +186,7 @@ _STATS = "doc_id long, " + ", ".join(f"{c} long" for c in BASE) + ", " + ", ".jo
 
 def measure(docs: DataFrame) -> DataFrame:
     """doc_id, the base counts and the features of every text (null: no words)."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_measured, _STATS)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(K.trimmed(_measured), _STATS)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -247,4 +247,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS
                 stats = statistics(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 yield batch.slice(a, b - a).filter(pa.array(~base_failed(stats) & (trees.score(_features(stats)) >= KEEP_FROM)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(K.trimmed(run), docs.schema)
