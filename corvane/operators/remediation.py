@@ -22,7 +22,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.functions.patterns import LEGAL_SUFFIXES
 from corvane.operators.automaton import Automaton, claimed
+from corvane.operators.channels import completeness
 from corvane.operators.spans import replaced
 from corvane.sources.shared import materialize
 from corvane.sources.snapshots import Snapshots
@@ -223,3 +225,80 @@ def remediate_snapshot(store: Snapshots, requests: DataFrame) -> int:
     """
     base = store.version()
     return store.commit(remediate(store.tables(base), requests), base)
+
+
+_LEAK = "\\E\\s*((?:[A-Z][A-Za-z&]*\\s+){0,3}(?:" + "|".join(LEGAL_SUFFIXES) + ")\\.?)(?!\\w)"
+# Fixed value: how a flag of an earlier look begins.
+FOUND = "Revalidation found"
+
+
+def _fresh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans that a run's new names claim in a text."""
+    own, automaton = None, None
+    for batch in batches:
+        at, spans = [], []
+        for i, (run, text, rows) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("run_id", "before", "map")))):
+            if automaton is None or run != own:
+                own, automaton = run, Automaton([(m["ord"], m["surface"], m["token"]) for m in rows])
+            found = claimed([(a, b, automaton.aliases[k]) for k, places in automaton.found(text or "").items() for a, b in places], len(text or ""))
+            at += [i] * len(found)
+            spans += [(a, b, text[a:b]) for a, b, _, _ in found]
+        rows = batch.select(["run_id", "item"]).take(pa.array(at, pa.int64()))
+        columns = list(zip(*spans)) if spans else [(), (), ()]
+        yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.string())], names=["run_id", "item", "start", "stop", "surface"])
+
+
+def reapply(tables: dict[str, DataFrame], approved: DataFrame) -> dict[str, DataFrame]:
+    """The tables after reviewers approved residual names (run_id, ord, surface, token) of finished sanitization runs with a file.
+
+    Blank names and those that a run masks already do not count; of one name
+    the first does. The masked file is scrubbed and masked again by all names;
+    ``occurrences`` (run_id, item, start, stop, surface) are the places of the
+    new ones in its text before. Then what follows a token like the rest of a
+    name is looked for; ``revalidations`` (run_id, applied, occurrences,
+    remaining, score) tells what was found. Flags of earlier looks and of the
+    four channels go, new ones follow; images keep their verdict.
+    """
+    runs, items, flags, mask_map = (tables[t] for t in ("runs", "items", "flags", "mask_map"))
+    able = runs.where((F.col("agent") == AGENT) & F.col("has_file")).select("run_id")
+    asked = approved.select("run_id", "ord", F.trim("surface").alias("surface"), "token").where("surface <> ''").join(able, "run_id", "left_semi")
+    new = asked.join(mask_map.select("run_id", "surface"), ["run_id", "surface"], "left_anti").groupBy("run_id", "surface").agg(F.min_by("token", "ord").alias("token"), F.min("ord").alias("ord"))
+    new = materialize(new.select("run_id", "surface", "token", (F.col("ord") + F.lit(1 << 32)).alias("ord")), "new-names")
+    work = runs.join(new.select("run_id").distinct(), "run_id", "left_semi").select("run_id", "style")
+    combined = mask_map.select("run_id", "surface", "token", "ord").unionByName(new)
+    done = materialize(scrubbed_items(items, _maps(combined), work), "reapplied")
+    body = done.where("channel = 'text'")
+    fresh = body.select("run_id", "item", "before").join(_maps(new), "run_id").sortWithinPartitions("run_id").mapInArrow(_fresh, "run_id long, item long, start int, stop int, surface string")
+    fresh = materialize(fresh, "new-occurrences")
+
+    tokens = combined.join(work.select("run_id"), "run_id", "left_semi").groupBy("run_id").agg(F.collect_set("token").alias("tokens"), F.count(F.lit(1)).alias("names"))
+    leaks = F.flatten(F.transform("tokens", lambda t: F.transform(F.regexp_extract_all("text", F.concat(F.lit("\\Q"), t, F.lit(_LEAK)), F.lit(1)), lambda x: F.struct(t.alias("token"), F.lower(F.trim(x)).alias("leak")))))
+    found = body.join(tokens, "run_id").select("run_id", F.explode(leaks).alias("x")).select("run_id", "x.*").distinct().groupBy("run_id").agg(F.count(F.lit(1)).alias("remaining"))
+    left = done.select("run_id", "channel", F.explode("left").alias("surface")).distinct().groupBy("run_id").agg(*[F.array_sort(F.collect_list(F.when(F.col("channel") == c, F.col("surface")))).alias(f"left_{c}") for c in CHANNELS if c != "images"])
+    told = work.join(tokens.select("run_id", "names"), "run_id").join(new.groupBy("run_id").agg(F.count(F.lit(1)).alias("applied")), "run_id").join(fresh.groupBy("run_id").agg(F.count(F.lit(1)).alias("occurrences")), "run_id", "left")
+    told = told.join(found, "run_id", "left").join(left, "run_id", "left").na.fill(0, ["occurrences", "remaining"])
+    told = materialize(told.withColumn("score", completeness(F.col("names"), F.col("remaining"))), "revalidations")
+
+    clean = {c: F.coalesce(F.size(f"left_{c}") == 0, F.lit(True)) for c in CHANNELS if c != "images"}
+    joined = runs.join(told.drop("style"), "run_id", "left")
+    changed = F.col("applied").isNotNull()
+    now = {f"verified_{c}": F.when(changed, x).otherwise(F.col(f"verified_{c}")) for c, x in clean.items()}
+    every = F.coalesce(F.col("verified_images"), F.lit(False))
+    for x in clean.values():
+        every = every & x
+    now |= {"verified": F.when(changed, every).otherwise(F.col("verified")), "status": F.when(changed, F.when(every & (F.col("remaining") == 0), DONE).otherwise(OPEN)).otherwise(F.col("status"))}
+    named = F.startswith("message", F.lit(FOUND))
+    for c in clean:
+        named = named | F.contains("message", F.lit(FAILED.format(c)))
+    kept = flags.join(told.select("run_id", "applied"), "run_id", "left").where(~F.coalesce(F.col("applied").isNotNull() & (F.col("severity") == "blocking") & named, F.lit(False))).select(*flags.columns)
+    flag = lambda message: F.struct(F.lit("blocking").alias("severity"), message.alias("message"))
+    fresh_flags = [
+        F.when(F.size(f"left_{c}") > 0, flag(F.concat(F.lit(FAILED.format(c) + " after a fix: "), F.format_string("%d left - %s", F.size(f"left_{c}"), F.array_join(F.slice(f"left_{c}", 1, SHOWN), ", ")))))
+        for c in ("text", "metadata", "comments", "hyperlinks")
+    ]
+    more = F.when(F.col("remaining") > 0, flag(F.format_string(FOUND + " %d more", "remaining")))
+    others = items.join(work.select("run_id"), "run_id", "left_anti")
+    return {
+        "mask_map": combined, "items": others.unionByName(done.select(*items.columns)), "occurrences": fresh, "revalidations": told.select("run_id", "applied", "occurrences", "remaining", "score"),
+        "runs": joined.withColumns(now).select(*runs.columns), "flags": kept.unionByName(_listed(F.array(*fresh_flags, more), flags, told, "seq", "severity", "message")),
+    }

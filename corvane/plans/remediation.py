@@ -75,6 +75,29 @@ def remediation_refused(spark, folder):
 
 remediated_images, remediated_groups, remediated_flags, remediated_steps, remediated_tagging = map(_after, ("images", "groups", "flags", "steps", "tagging"))
 
+#: Names that reviewers approve later; the last one is masked already, the third is blank.
+LATER = [("is", "[CLIENT_5]"), ("on", "[CLIENT_6]"), (" ", "[CLIENT_7]"), ("the", "[CLIENT_1]")]
+
+
+def _reapplied(name):
+    def query(spark, folder):
+        """Every third run gets further names; some texts end in what is left of a name."""
+        tables = _inputs(spark, folder)
+        rest = F.when((F.col("channel") == "text") & (F.col("run_id") % 7 == 1), F.concat("text", F.lit(" [CLIENT_5] Turbine Ltd. and"))).otherwise(F.col("text"))
+        names = F.array(*[F.struct(F.lit(i).cast("long").alias("ord"), F.lit(s).alias("surface"), F.lit(t).alias("token")) for i, (s, t) in enumerate(LATER)])
+        approved = tables["runs"].where("run_id % 3 = 0").select("run_id", F.inline(names))
+        return remediation.reapply(tables | {"items": tables["items"].withColumn("text", rest)}, approved)[name]
+
+    return query
+
+
+reapplied_summary = _reapplied("revalidations")
+
+
+def reapplied_occurrences(spark, folder):
+    return _reapplied("occurrences")(spark, folder).groupBy("run_id", F.lower("surface").alias("surface")).agg(F.count(F.lit(1)).alias("n"))
+
+
 _DOUBLE = r"regexp_replace({}, '([^A-Za-z0-9])', '\1\1', 'g')"
 
 
@@ -159,4 +182,18 @@ ORACLE = {
     "remediated_steps": _SQL + f"SELECT * FROM s UNION ALL {_entries(_STEP, 's', 'step_order', 'name', 'detail')}",
     "remediated_tagging": _SQL + "SELECT run_id FROM known WHERE run_id % 9 = 0 UNION ALL SELECT run_id FROM r WHERE clean AND run_id % 9 <> 0",
 }
+_LATER = "run_id % 3 = 0 AND run_id % 17 <> 0 AND run_id % 13 <> 0"
+_COUNT = lambda s: f"len(regexp_extract_all({_DOUBLE.format('text')}, '(?i)(?:^|[^A-Za-z0-9]){s}(?:[^A-Za-z0-9]|$)'))"
+_THEN = (
+    f"WITH b AS MATERIALIZED (SELECT page_id AS run_id, text || CASE WHEN page_id % 7 = 1 THEN ' [CLIENT_5] Turbine Ltd. and' ELSE '' END AS text FROM {_PAGE} p WHERE channel = 'text'), "
+    f"n AS MATERIALIZED (SELECT run_id, {_COUNT('is')} AS n_is, {_COUNT('on')} AS n_on, CASE WHEN (run_id + 2) % 4 = 0 THEN {_COUNT('the')} END AS n_the FROM b WHERE {_LATER}) "
+)
+ORACLE |= {
+    "reapplied_occurrences": _THEN + "SELECT * FROM (SELECT run_id, 'is' AS surface, n_is::BIGINT AS n FROM n UNION ALL SELECT run_id, 'on', n_on FROM n UNION ALL SELECT run_id, 'the', n_the FROM n) x WHERE n > 0",
+    "reapplied_summary": (
+        _THEN + "SELECT run_id, applied, n_is + n_on + coalesce(n_the, 0) AS occurrences, (run_id % 7 = 1)::BIGINT AS remaining, "
+        "CASE WHEN run_id % 7 = 1 THEN round_even(100.0::DOUBLE * names / (names + 1), 1)::DOUBLE ELSE 100.0::DOUBLE END AS score "
+        "FROM (SELECT *, (2 + (n_the IS NOT NULL)::INT)::BIGINT AS applied, (2 + (n_the IS NOT NULL)::INT + (run_id % 4 <> 0)::INT + ((run_id + 1) % 4 <> 0)::INT + ((run_id + 2) % 4 <> 0)::INT) AS names FROM n)"
+    ),
+}
 QUERIES = {name: globals()[name] for name in ORACLE}

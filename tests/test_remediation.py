@@ -95,3 +95,26 @@ def test_surfaces_with_signs_of_patterns(spark):
     out = {r["channel"]: (r["text"], r["left"]) for r in remediation.scrubbed_items(items, remediation._maps(names), work).collect()}
     want = "$1\\ axb [T]) [Q] $1\\"
     assert out == {"metadata": (want, []), "text": (want, []), "comments": (None, [])}
+
+
+def test_an_approved_residual_is_masked_and_the_old_token_stays(spark):
+    """One name masked before, one that a reviewer approves: one is applied, it is gone, the old token is kept, a repeat changes nothing."""
+    verified = ", ".join(f"verified_{c} boolean" for c in remediation.CHANNELS)
+    known = [(r, "sanitization", "completed_with_issues", True, "token", 0, False, *[True] * 5) for r in (1, 2)]
+    tables = {
+        "runs": spark.createDataFrame(known, f"run_id long, agent string, status string, has_file boolean, style string, images_redacted long, verified boolean, {verified}"),
+        "items": spark.createDataFrame([(1, "text", 0, "[CLIENT_1] meets Acme Corp and acme corp. [CLIENT_2] Turbine Ltd."), (1, "metadata", 0, "by Acme Corp"), (2, "text", 0, "Acme Corp stays")], "run_id long, channel string, item long, text string"),
+        "mask_map": spark.createDataFrame([(1, "Tata", "[CLIENT_1]", 0), (2, "Tata", "[CLIENT_1]", 0)], "run_id long, surface string, token string, ord long"),
+        "flags": spark.createDataFrame([(1, 1, "blocking", "Revalidation found 1 more"), (1, 2, "info", "low confidence"), (2, 1, "blocking", "Revalidation found 1 more")], "run_id long, seq long, severity string, message string"),
+    }
+    approved = spark.createDataFrame([(1, 0, " Acme Corp ", "[CLIENT_2]"), (1, 1, "Tata", "[X]"), (1, 2, "", "[Y]"), (1, 3, "Acme Corp", "[Z]"), (9, 0, "Acme", "[A]")], "run_id long, ord long, surface string, token string")
+    out = remediation.reapply(tables, approved)
+    texts = {(r["run_id"], r["channel"]): r["text"] for r in out["items"].collect()}
+    assert texts == {(1, "text"): "[CLIENT_1] meets [CLIENT_2] and [CLIENT_2]. [CLIENT_2] Turbine Ltd.", (1, "metadata"): "by [CLIENT_2]", (2, "text"): "Acme Corp stays"}
+    assert sorted(r["start"] for r in out["occurrences"].collect()) == [17, 31]
+    assert [tuple(r) for r in out["revalidations"].collect()] == [(1, 1, 2, 1, 66.7)]
+    flags = sorted((r["run_id"], r["seq"], r["message"]) for r in out["flags"].collect())
+    assert flags == [(1, 2, "low confidence"), (1, 3, "Revalidation found 1 more"), (2, 1, "Revalidation found 1 more")]
+    again = remediation.reapply(tables | {n: out[n] for n in ("items", "mask_map", "flags", "runs")}, approved)
+    assert again["occurrences"].count() == 0 and rows(again["items"]) == rows(out["items"])
+
