@@ -79,7 +79,7 @@ def merge_aliases(spark, folder):
 
 def run_mask_map(spark, folder):
     entities = literal(spark, "dictionary").groupBy("entity_id").agg(F.min_by("token", "alias_id").alias("token"))
-    rows = table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("run_id"), ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100000 + F.col("l_partkey")).alias("occurrence_id"), F.when(F.col("l_partkey") % 2 == 0, F.upper("l_returnflag")).otherwise(F.lower("l_returnflag")).alias("surface"), F.when(F.col("l_partkey") % 9 != 0, (F.col("l_partkey") % 9).cast("int")).alias("entity_id"))
+    rows = table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("run_id"), F.struct(F.col("l_linenumber").isNull().alias("last"), "l_linenumber", "l_partkey").alias("occurrence_id"), F.when(F.col("l_partkey") % 2 == 0, F.upper("l_returnflag")).otherwise(F.lower("l_returnflag")).alias("surface"), F.when(F.col("l_partkey") % 9 != 0, (F.col("l_partkey") % 9).cast("int")).alias("entity_id"))
     return review.run_map(rows, entities)
 
 
