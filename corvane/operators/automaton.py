@@ -14,7 +14,7 @@ the places kept; a find is then confirmed on the text itself.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import ahocorasick
@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corvane.functions.batches import pieces, released
 from corvane.operators.spans import _python_pattern, replaced
 
 #: Bytes of aliases in one automaton: about 100 bytes of a worker's memory for each.
@@ -71,7 +72,7 @@ class Automaton:
             elif surface.strip():
                 self.odd.append(at)  # blanks at an edge: by the pattern itself
         for key, ats in by.items():
-            self.machine.add_word(key, (len(key), ats))
+            self.machine.add_word(key, (len(key), ats, all(aliases[at][1].isascii() for at in ats)))
         self.some = bool(by)
         if self.some:
             self.machine.make_automaton()
@@ -86,19 +87,22 @@ class Automaton:
         """Places of each alias (by number) as its pattern finds them: from left to right, none overlapping the one before."""
         out: dict[int, list[tuple[int, int]]] = {}
         low, places = folded(text)
-        end = len(text)
-        for last, (length, ats) in self.machine.iter(low) if self.some else ():
+        end, plain = len(text), text.isascii()
+        for last, (length, ats, ascii_only) in self.machine.iter(low) if self.some else ():
             first = last - length + 1
             start, stop = (first, last + 1) if places is None else (int(places[first]), int(places[last]) + 1)
             if (start and text[start - 1] in _BORDER) or (stop < end and text[stop] in _BORDER):
                 continue
-            said = text[start:stop]
+            sure = ascii_only and (plain or text[start:stop].isascii())
             for at in ats:
                 own = out.get(at)
                 if own and own[-1][1] > start:
                     continue
-                if (said.isascii() and self.aliases[at][1].isascii()) or ((m := self._pattern(at).match(text, start)) and m.end() == stop):
-                    out.setdefault(at, []).append((start, stop))
+                if sure or ((m := self._pattern(at).match(text, start)) and m.end() == stop):
+                    if own is None:
+                        out[at] = [(start, stop)]
+                    else:
+                        own.append((start, stop))
         for at in self.odd:
             spans = [m.span() for m in self._pattern(at).finditer(text)]
             if spans:
@@ -126,6 +130,20 @@ def _automaton(shared: Broadcast) -> Automaton:
     return _built[1]
 
 
+_owned: list = [None, None]
+
+
+def _entities(shared: Broadcast) -> tuple[Automaton, list[np.ndarray], list[pa.Array]]:
+    """An automaton of the block's different surfaces; for each, its entities' numbers and its aliases' places; and columns (entity, ord, surface) by place."""
+    if _owned[0] is not shared.value:
+        numbers, by = {}, {}
+        for at, (_, surface, entity) in enumerate(shared.value):
+            by.setdefault(surface, []).append(numbers.setdefault(entity, len(numbers)) << 32 | at)
+        columns = [pa.array([row[2] for row in shared.value], pa.string()), pa.array([row[0] for row in shared.value], pa.int64()), pa.array([row[1] for row in shared.value], pa.string())]
+        _owned[:] = shared.value, (Automaton([(n, surface, "") for n, surface in enumerate(by)]), [np.array(x, np.int64) for x in by.values()], columns)
+    return _owned[1]
+
+
 def _blocks(aliases: DataFrame, block_bytes: int) -> Iterator[Broadcast]:
     """The aliases (ord, surface, token) in blocks, each collected and broadcast on its own."""
     sized = aliases.where("surface is not null and trim(surface) <> ''").select(F.col("ord").cast("long").alias("ord"), "surface", "token")
@@ -143,10 +161,10 @@ def occurrences(texts: DataFrame, aliases: DataFrame, key: str = "doc_id", block
     def scan(shared: Broadcast):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             automaton = _automaton(shared)
-            for batch in batches:
+            for batch in (piece for whole in batches for piece in pieces(whole, "text")):
                 at, order, n = [], [], []
-                for i, text in enumerate(batch.column("text")):
-                    for alias, spans in automaton.found(text.as_py() or "").items():
+                for i, text in enumerate(batch.column("text").to_pylist()):
+                    for alias, spans in automaton.found(text or "").items():
                         at.append(i)
                         order.append(automaton.aliases[alias][0])
                         n.append(len(spans))
@@ -155,7 +173,7 @@ def occurrences(texts: DataFrame, aliases: DataFrame, key: str = "doc_id", block
         return run
 
     rows = texts.select(F.col(key).alias("key"), "text")
-    parts = [rows.mapInArrow(scan(shared), schema) for shared in _blocks(aliases, block_bytes)]
+    parts = [rows.mapInArrow(released(scan(shared)), schema) for shared in _blocks(aliases, block_bytes)]
     return reduce(DataFrame.unionByName, parts).withColumnRenamed("key", key)
 
 
@@ -163,49 +181,68 @@ def sweep(docs: DataFrame, aliases: DataFrame, block_bytes: int = BLOCK_BYTES) -
     """doc_id, entity_id, surface: for each document and entity its first alias (entity_id, alias_id, surface) that the text contains.
 
     Aliases under three characters do not count; the result is that of
-    ``detect.sweep``, which writes its aliases into the plan.
+    ``detect.sweep``, which writes its aliases into the plan. A task keeps the
+    first of each entity, so what is shuffled does not grow with the aliases found.
     """
-    told = aliases.where(F.length(F.trim("surface")) >= 3).select("entity_id", F.col("alias_id").cast("long").alias("ord"), F.trim("surface").alias("surface"), F.lit("").alias("token"))
-    found = occurrences(docs, told, block_bytes=block_bytes).join(told.select("ord", "entity_id", "surface"), "ord")
-    return found.groupBy("doc_id", "entity_id").agg(F.min_by("surface", "ord").alias("surface"))
-
+    told = aliases.where(F.length(F.trim("surface")) >= 3).select(F.col("alias_id").cast("long").alias("ord"), F.trim("surface").alias("surface"), F.col("entity_id").cast("string").alias("token"))
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *T.StructType.fromDDL("entity string, ord long, surface string").fields])
 
-def _spans(text: str, found: list[tuple[int, int, tuple[int, str, str]]]) -> list[dict]:
-    return [{"start": a, "stop": b, "surface": text[a:b], "ord": o, "token": t} for a, b, o, t in claimed(found, len(text))]
+    def scan(shared: Broadcast):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            automaton, owners, columns = _entities(shared)
+            for batch in (piece for whole in batches for piece in pieces(whole, "text")):
+                docs, firsts = [], []
+                for i, text in enumerate(batch.column("text").to_pylist()):
+                    if found := automaton.found(text or ""):
+                        # An entity's number and an alias' place in one value: after sorting, the first of each entity is its first alias.
+                        own = np.concatenate([owners[at] for at in found])
+                        own.sort()
+                        firsts.append(own[np.r_[True, own[1:] >> 32 != own[:-1] >> 32]] & 0xFFFFFFFF)
+                        docs.append(np.full(len(firsts[-1]), i))
+                at, doc = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (firsts, docs))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(doc)), *(c.take(pa.array(at)) for c in columns)], names=["doc_id", "entity", "ord", "surface"])
 
+        return run
 
-def _rows(batch: pa.RecordBatch, name: str, values: list, kind: pa.DataType) -> pa.RecordBatch:
-    kept = [c for c in batch.schema.names if c != name]
-    return pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(values, kind)], names=[*kept, name])
+    rows = docs.select("doc_id", "text")
+    found = reduce(DataFrame.unionByName, [rows.mapInArrow(released(scan(shared)), schema) for shared in _blocks(told, block_bytes)])
+    kind = aliases.schema["entity_id"].dataType
+    return found.groupBy("doc_id", F.col("entity").cast(kind).alias("entity_id")).agg(F.min_by("surface", "ord").alias("surface"))
 
 
-def claims(texts: DataFrame, aliases: DataFrame, key: str = "doc_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``texts`` (key, text, …) with ``spans``: non-overlapping half-open code-point spans, longest alias first, sorted by start; null of null.
+def _settled(texts: DataFrame, aliases: DataFrame, key: str, block_bytes: int, names: list[str], made: Callable[[str | None, list[tuple[int, int, int, str]]], tuple], kinds: list[pa.DataType], fields: str) -> DataFrame:
+    """``texts`` with further columns made of each text and its claims (start, stop, ord, token), in pieces of bounded size.
 
     Several blocks send what they find, not the texts: the finds of a text meet
-    it once, by its key, which must tell the texts apart. A column named spans is replaced.
+    it once, by its key, which must tell the texts apart.
     """
-    texts = texts.drop("spans")
     blocks = list(_blocks(aliases, block_bytes))
-    schema = T.StructType([*texts.schema.fields, *T.StructType.fromDDL(f"spans {SPANS}").fields])
+    schema = T.StructType([*texts.schema.fields, *T.StructType.fromDDL(fields).fields])
+
+    def added(piece: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
+        kept = [c for c in piece.schema.names if c != "_found"]
+        columns = [pa.array(values, kind) for values, kind in zip(zip(*rows), kinds)]
+        return pa.RecordBatch.from_arrays([*(piece.column(c) for c in kept), *columns], names=[*kept, *names])
+
     if len(blocks) == 1:
 
         def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             automaton = _automaton(blocks[0])
+
+            def claims_of(text: str | None) -> list[tuple[int, int, int, str]]:
+                found = ((a, b, automaton.aliases[at]) for at, spans in automaton.found(text or "").items() for a, b in spans)
+                return claimed(found, len(text or ""))
+
             for batch in batches:
-                out = []
-                for text in batch.column("text").to_pylist():
-                    if text is not None:
-                        found = [(a, b, automaton.aliases[at]) for at, spans in automaton.found(text).items() for a, b in spans]
-                    out.append(None if text is None else _spans(text, found))
-                yield _rows(batch, "spans", out, _SPAN)
+                for piece in pieces(batch, "text"):
+                    yield added(piece, [made(text, claims_of(text)) for text in piece.column("text").to_pylist()])
 
-        return texts.mapInArrow(alone, schema)
+        return texts.mapInArrow(released(alone), schema)
 
     def places(shared: Broadcast):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             automaton = _automaton(shared)
-            for batch in batches:
+            for batch in (piece for whole in batches for piece in pieces(whole, "text")):
                 out = [
                     [{"start": a, "stop": b, "surface": s, "ord": o, "token": t} for at, spans in automaton.found(text or "").items() for o, s, t in [automaton.aliases[at]] for a, b in spans]
                     for text in batch.column("text").to_pylist()
@@ -217,37 +254,41 @@ def claims(texts: DataFrame, aliases: DataFrame, key: str = "doc_id", block_byte
 
     found_schema = T.StructType([T.StructField("key", texts.schema[key].dataType), *T.StructType.fromDDL(f"spans {SPANS}").fields])
     keyed = texts.select(F.col(key).alias("key"), "text")
-    found = reduce(DataFrame.unionByName, [keyed.mapInArrow(places(b), found_schema) for b in blocks])
+    found = reduce(DataFrame.unionByName, [keyed.mapInArrow(released(places(b)), found_schema) for b in blocks])
     met = found.groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("_found"))
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text, own in zip(batch.column("text").to_pylist(), batch.column("_found").to_pylist()):
-                out.append(None if text is None else _spans(text, [(x["start"], x["stop"], (x["ord"], x["surface"], x["token"])) for x in own or []]))
-            kept = [c for c in batch.schema.names if c != "_found"]
-            yield _rows(batch.select(kept), "spans", out, _SPAN)
+            for piece in pieces(batch, "text"):
+                rows = zip(piece.column("text").to_pylist(), piece.column("_found").to_pylist())
+                yield added(piece, [made(text, claimed(((x["start"], x["stop"], (x["ord"], x["surface"], x["token"])) for x in own or []), len(text or ""))) for text, own in rows])
 
     joined = texts.join(met.withColumnRenamed("key", "_key"), F.col(key) == F.col("_key"), "left").select(*texts.columns, "_found")
-    return joined.mapInArrow(settle, schema)
+    return joined.mapInArrow(released(settle), schema)
+
+
+def claims(texts: DataFrame, aliases: DataFrame, key: str = "doc_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``texts`` (key, text, …) with ``spans``: non-overlapping half-open code-point spans, longest alias first, sorted by start; null of null.
+
+    The key must tell the texts apart. A column named spans is replaced.
+    """
+
+    def spans(text: str | None, own: list[tuple[int, int, int, str]]) -> tuple:
+        return (None if text is None else [{"start": a, "stop": b, "surface": text[a:b], "ord": o, "token": t} for a, b, o, t in own],)
+
+    return _settled(texts.drop("spans"), aliases, key, block_bytes, ["spans"], spans, [_SPAN], f"spans {SPANS}")
 
 
 def masked(texts: DataFrame, aliases: DataFrame, style: str = "token", key: str = "doc_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``texts`` with ``masked``, the text with its claimed spans replaced, and ``n``, their number; columns of these names are replaced."""
-    texts = texts.drop("masked", "n")
-    schema = T.StructType([*texts.schema.fields, *T.StructType.fromDDL("masked string, n long").fields])
 
-    def splice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out, n = [], []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
-                parts, at = [], 0
-                for x in spans or []:
-                    parts += [text[at : x["start"]], replaced(x["surface"], x["token"], style)]
-                    at = x["stop"]
-                out.append(None if text is None else "".join([*parts, text[at:]]))
-                n.append(len(spans or []))
-            rows = batch.select([c for c in batch.schema.names if c != "spans"])
-            yield _rows(_rows(rows, "masked", out, pa.string()), "n", n, pa.int64())
-
-    return claims(texts, aliases, key, block_bytes).mapInArrow(splice, schema)
+    def splice(text: str | None, own: list[tuple[int, int, int, str]]) -> tuple:
+        if text is None:
+            return None, 0
+        parts, at = [], 0
+        for start, stop, _, token in own:
+            parts += [text[at:start], replaced(text[start:stop], token, style)]
+            at = stop
+        return "".join([*parts, text[at:]]), len(own)
+
+    return _settled(texts.drop("masked", "n"), aliases, key, block_bytes, ["masked", "n"], splice, [pa.string(), pa.int64()], "masked string, n long")

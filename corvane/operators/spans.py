@@ -4,7 +4,8 @@ The claim goes over the surfaces longest first (ties in dictionary order), and
 takes every match that does not overlap an earlier claim. Spark's expressions
 have no match offsets, and arrays that grow match by match cost the square of
 a text's matches; so one Arrow pass per batch searches each text once for each
-surface and marks what is claimed, in time linear in the text.
+surface and marks what is claimed, in time linear in the text. A batch is taken
+in pieces of bounded size.
 """
 
 from __future__ import annotations
@@ -12,13 +13,15 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corvane.functions.batches import mapped
 from corvane.functions.patterns import surface_regex
 
 SPAN = "array<struct<start:int,stop:int,surface:string,token:string>>"
+_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("surface", pa.string()), ("token", pa.string())]))
 Claim = Callable[[str], list[tuple[int, int, str]]]
 
 
@@ -62,32 +65,36 @@ def claimed_spans(text: Column, dictionary: Sequence[tuple[str, str]]) -> Column
     """array<struct<start, stop, surface, token>>: non-overlapping half-open code-point spans, longest surface first, sorted by start; null of null."""
     claim = _claimer(dictionary)
 
-    def run(texts: pd.Series) -> pd.Series:
-        spans = lambda t: [{"start": a, "stop": b, "surface": t[a:b], "token": token} for a, b, token in claim(t)]
-        return texts.map(lambda t: None if t is None else spans(t))
+    def spans(texts: list) -> list:
+        return [None if t is None else [{"start": a, "stop": b, "surface": t[a:b], "token": token} for a, b, token in claim(t)] for t in texts]
 
-    return F.pandas_udf(run, SPAN)(text)
+    def run(texts: pa.Array) -> pa.Array:
+        return mapped(_SPANS, spans, texts)
+
+    return F.arrow_udf(run, SPAN)(text)
 
 
 def masked(text: Column, dictionary: Sequence[tuple[str, str]], style: str | Column = "token") -> Column:
     """Longest-first masked text."""
     claim = _claimer(dictionary)
 
-    def run(texts: pd.Series, styles: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else _spliced(t, claim(t), s) for t, s in zip(texts, styles)], dtype=object)
+    def run(texts: pa.Array, styles: pa.Array) -> pa.Array:
+        return mapped(pa.string(), lambda *rows: [None if t is None else _spliced(t, claim(t), s) for t, s in zip(*rows)], texts, styles)
 
-    return F.pandas_udf(run, "string")(text, F.lit(style) if isinstance(style, str) else style)
+    return F.arrow_udf(run, "string")(text, F.lit(style) if isinstance(style, str) else style)
 
 
 def masked_and_counted(text: Column, dictionary: Sequence[tuple[str, str]], style: str = "token") -> Column:
     """struct<masked, n>: the masked text and the number of its spans, found in one pass."""
     claim = _claimer(dictionary)
 
-    def run(texts: pd.Series) -> pd.DataFrame:
-        found = [(None, 0) if t is None else (_spliced(t, spans := claim(t), style), len(spans)) for t in texts]
-        return pd.DataFrame(found, columns=["masked", "n"])
+    def found(texts: list) -> list:
+        return [{"masked": None, "n": 0} if t is None else {"masked": _spliced(t, spans := claim(t), style), "n": len(spans)} for t in texts]
+
+    def run(texts: pa.Array) -> pa.Array:
+        return mapped(pa.struct([("masked", pa.string()), ("n", pa.int64())]), found, texts)
 
-    return F.pandas_udf(run, "masked string, n long")(text)
+    return F.arrow_udf(run, "masked string, n long")(text)
 
 
 def masked_pieces(pieces: Column, dictionary: Sequence[tuple[str, str]], style: str = "token") -> Column:
@@ -114,7 +121,10 @@ def masked_pieces(pieces: Column, dictionary: Sequence[tuple[str, str]], style:
             at = end
         return out
 
-    return F.pandas_udf(lambda rows: rows.map(lambda runs: None if runs is None else one(list(runs))), "array<string>")(pieces)
+    def run(rows: pa.Array) -> pa.Array:
+        return mapped(pa.list_(pa.string()), lambda own: [None if runs is None else one(runs) for runs in own], rows)
+
+    return F.arrow_udf(run, "array<string>")(pieces)
 
 
 def substituted(text: Column, dictionary: Sequence[tuple[str, str]], style: str = "token") -> Column:

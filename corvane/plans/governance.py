@@ -45,7 +45,9 @@ def _words(spark, folder):
 
 
 def _proposed(spark, folder):
-    return _words(spark, folder).where("length(surface) > 3").select("run_id", "surface").distinct()
+    """Each document's different words of four letters or more."""
+    words = F.array_distinct(F.filter(F.split("text", "[ \n]+"), lambda x: F.length(x) > 3))
+    return table(spark, folder, "documents").where("text is not null").select(F.col("doc_id").alias("run_id"), F.explode(words).alias("surface"))
 
 
 def review_removals(spark, folder):
