@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corvane.operators import scrub
 from corvane.sources import chunks, packages
+from corvane.sources.shared import materialize
 from corvane.sources.tables import table
 
 _NS = 'xmlns:w="urn:w" xmlns:p="urn:p" xmlns:a="urn:a" xmlns:c="urn:c" xmlns:r="urn:r"'
@@ -94,7 +95,9 @@ def _files(spark, folder):
                 blobs.append(out.getvalue())
             yield pa.RecordBatch.from_arrays([batch.column("s_name"), pa.array(blobs, pa.binary())], names=["path", "content"])
 
-    return table(spark, folder, "supplier").select("s_suppkey", "s_name").mapInArrow(run, "path string, content binary")
+    # A row becomes a file, so the rows of one small file are dealt to all cores.
+    rows = table(spark, folder, "supplier").select("s_suppkey", "s_name").repartition(spark.sparkContext.defaultParallelism * 3, "s_suppkey")
+    return rows.mapInArrow(run, "path string, content binary")
 
 
 def package_chunks(spark, folder):
@@ -127,7 +130,7 @@ def package_media(spark, folder):
 
 def package_scrubbed(spark, folder):
     """What a scrubbed package still tells: alternative texts, link targets and identities."""
-    parts = packages.parts(_files(spark, folder))
+    parts = materialize(packages.parts(_files(spark, folder)).select("path", "part", "xml"), "package-parts")
     words, part = [("Logo", "[LOGO]"), ("example", "[SITE]")], F.col("part")
     xml = F.when(part.endswith(".rels"), scrub.scrubbed_links(F.col("xml"), words)).when(part.startswith("docProps/"), scrub.scrubbed_metadata(F.col("xml"), ["creator"], ["title"], words)).otherwise(scrub.scrubbed_attributes(F.col("xml"), ["descr", "title"], words))
     clean = parts.withColumn("xml", xml)

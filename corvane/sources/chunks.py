@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.sources.packages import blocks, relations
+from corvane.sources.shared import materialize
 
 PER_CHUNK = 8
 COLUMNS = ("path", "kind", "chunk_id", "label", "text")
@@ -111,7 +112,8 @@ def sheet_chunks(found: DataFrame, related: DataFrame) -> DataFrame:
 
 
 def text_chunks(parts: DataFrame) -> DataFrame:
-    """path, kind, chunk_id, label, text of every chunk of the packages' parts."""
-    found, related = blocks(parts), relations(parts)
+    """path, kind, chunk_id, label, text of every chunk of the packages' parts; the packages are opened, and their parts read, once."""
+    parts = materialize(parts.select("path", "part", "xml"), "package-parts")
+    found, related = materialize(blocks(parts), "package-blocks"), materialize(relations(parts), "package-relations")
     return word_chunks(found).unionByName(deck_chunks(parts, found, related)).unionByName(sheet_chunks(found, related))
 
