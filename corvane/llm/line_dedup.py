@@ -18,7 +18,9 @@ share brings these together. One that more lines share is cut again: the places
 left are parted in ``PIECES``, and only lines that still agree meet, until one
 place is left, where all lines of a key are within one edit, and the earliest
 speaks for it. So thousands of near copies of one line cost a few keys each
-and never meet pair by pair.
+and never meet pair by pair: a cut makes ``PIECES`` keys of one, however many
+lines share it. A key of an insertion or deletion whose lines all have one
+length holds no pair and is not cut.
 
 More edits. Lines are indexed by length band (``BAND`` code points; one for
 each length below 2 * BAND): a band whose shortest line has n code points cuts
@@ -144,6 +146,12 @@ def _shared(states: DataFrame) -> DataFrame:
     return states.join(shared.hint("merge"), "key")
 
 
+def _of_both_lengths(met: DataFrame) -> DataFrame:
+    """Without the keys of a deletion whose lines all have one length: a pair in one of them has the key of a substitution as well."""
+    lengths = met.where("kind = 1").groupBy("key").agg(F.min("n").alias("low"), F.max("n").alias("high")).where("low < high").select("key")
+    return met.where("kind = 0").unionByName(met.where("kind = 1").join(lengths.hint("merge"), "key"))
+
+
 def _led(met: DataFrame) -> DataFrame:
     """With the place of each key's earliest line."""
     return met.join(met.groupBy("key").agg(F.min(F.struct("doc_id", "line_no")).alias("lead")).hint("merge"), "key")
@@ -162,16 +170,18 @@ def one_edit_pairs(first: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFr
     one_place = F.col("short") - F.col("before") - F.col("after") + F.col("kind") <= 1
     while True:
         few = met.where((F.col("lines") <= MET) & ~one_place)
-        pairs.append(_pairs(few, few, "key").select(*_PAIR))
+        # A substitution leaves the length, a deletion takes one.
+        pairs.append(_pairs(few, few, "key", "kind").where(F.abs(F.col("x_n") - F.col("y_n")) == F.col("kind")).select(*_PAIR))
         led = _led(met.where(one_place)).where((F.col("doc_id") != F.col("lead.doc_id")) | (F.col("line_no") != F.col("lead.line_no")))
         pairs.append(led.select(F.col("lead.doc_id").alias("x_doc"), F.col("lead.line_no").alias("x_line"), F.col("doc_id").alias("y_doc"), F.col("line_no").alias("y_line")))
-        many = met.where((F.col("lines") > MET) & ~one_place).select("doc_id", "line_no", "n", *_STATE)
+        many = _of_both_lengths(met.where((F.col("lines") > MET) & ~one_place)).select("doc_id", "line_no", "n", *_STATE)
         if many.isEmpty():
             break
         again = many.join(said.hint("merge"), ["doc_id", "line_no"])
         parts = again.select("doc_id", "line_no", "n", "line", F.explode(_parted(*(F.col(c) for c in _STATE), PIECES)).alias("s"))
         states = parts.select("doc_id", "line_no", "n", *[F.col("s")[c].alias(c) for c in _STATE], _key(*[F.col("s")[c] for c in _STATE], F.col("line"), F.col("n")).alias("key"))
-        met = materialize(_shared(states), "line-keys")
+        # Written first: else the lines are cut once to count a key's lines and once more to join the count.
+        met = materialize(_shared(materialize(states, "line-states")), "line-keys")
     out = pairs[0]
     for more in pairs[1:]:
         out = out.unionByName(more)

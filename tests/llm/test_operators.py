@@ -3,6 +3,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -243,6 +244,33 @@ def test_line_dedup_in_a_large_group_of_near_copies(spark, n, size):
     assert line_dedup.one_edit_pairs(rows, table(spark, docs))[0].count() < 12 * len(docs)
 
 
+def rows_cut(spark, since):
+    """Rows that cutting keys made in executions from ``since`` on, each time a plan did it, and the next execution's number."""
+    spark._jsparkSession.sparkContext().listenerBus().waitUntilEmpty()
+    store, made, following = spark._jsparkSession.sharedState().statusStore(), 0, since
+    runs = store.executionsList()
+    for run in (runs.apply(i).executionId() for i in range(runs.size())):
+        if run >= since:
+            following, values, nodes = max(following, run + 1), store.executionMetrics(run), store.planGraph(run).allNodes()
+            for node in (nodes.apply(i) for i in range(nodes.size())):
+                if node.name().startswith("Generate") and re.search(r"\bbefore\b", node.desc()):
+                    metrics = [node.metrics().apply(i) for i in range(node.metrics().size())]
+                    made += sum(int(values.get(m.accumulatorId()).get().replace(",", "")) for m in metrics if m.name() == "number of output rows" and values.contains(m.accumulatorId()))
+    return made, following
+
+
+def test_line_dedup_cuts_a_large_group_once(spark):
+    """Numbered lines of one length: keys are cut for substitutions alone, once each, and twice the lines make twice the rows."""
+    text, made, following = "request {:06d} was answered in time", {}, rows_cut(spark, 0)[1]
+    for size in (100, 200):
+        docs = [(d, text.format(d * 7919 % 1000000)) for d in range(size)] + [(size, text.format(7919 * 3 + 1))]
+        got = by_id(line_dedup.digest(table(spark, docs)), "n_lines", "n_exact", "n_near", "removed_lines")
+        assert got == brute.line_dedup(docs, 1, 30) and got[size][2] == 1
+        made[size], following = rows_cut(spark, following)
+        assert 0 < made[size] < 20 * size
+    assert made[200] < 2.2 * made[100]
+
+
 def test_first_halves_are_parts(spark):
     """What is written out for the first states is the general rule for two pieces."""
     n, zero = F.col("n"), F.lit(0)
