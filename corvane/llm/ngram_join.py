@@ -17,10 +17,12 @@ sets as connected components.
    and a passage that many documents share does not bring them together.
 2. Equal signatures join into candidate groups, as stars: one row for each
    document and bucket, however many signatures or copies there are.
-3. Equal sets collapse to one. Inside a candidate group the incidence matrix is
-   multiplied block by block, accumulating overlap counts; pairs below the
-   overlap that their sizes ask for are discarded, and what is emitted is a
-   spanning forest of the links, never the pairs.
+3. Equal sets collapse to one, by their hashes, before any set is written or
+   sent: only texts of sets that have another one in their group are read
+   again. Inside a candidate group the incidence matrix is multiplied block by
+   block, accumulating overlap counts; pairs below the overlap that their sizes
+   ask for are discarded, and what is emitted is a spanning forest of the links,
+   never the pairs.
 4. Large groups are first multiplied along a chain of blocks, so thousands of
    near copies of one text do not meet pair by pair. Where that leaves several
    components, the group is blocked anew by rarer evidence: the n-grams of each
@@ -36,23 +38,27 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corvane.llm import kernels as K
 from corvane.llm.own_ids import by_own_ids
 from corvane.llm.repeats import NO_ID, numbered, slot_of, slots_for
 from corvane.operators.components import connected_components
-from corvane.sources.shared import materialize
+from corvane.sources.shared import discard, freeing_shuffles, materialize, scratch
 
 #: Signatures that a task gathers before it groups them and sends them on.
 SHARE_SIGNATURES = 800_000
 BLOCK_DOCS, BLOCK_GRAMS = 512, 1 << 20
 #: Counts that a product makes at once; columns of more sets than this, and than an eighth of all, are a dense panel.
 PRODUCT_ENTRIES, DENSE_FROM = 1 << 20, 16
+#: Bits of a piece of the bitmap of wanted documents (Spark's bitmap functions fix it); pieces at most, 32 MiB; bits for each document.
+PIECE_BITS, PIECES, BITS = 1 << 15, 1 << 13, 16
 SIGNATURES, EDGES, NEEDS = range(3)
 #: Parts beyond those that size bounds ask for, as a share of these: so many more signatures must linked sets share.
 EXTRA_PARTS = 0.3
@@ -248,32 +254,85 @@ def candidate_groups(docs: DataFrame, k: int, percent: int, slots: int) -> DataF
     return connected_components(edges.where("a <> b")).join(able.hint("merge"), "node", "left_semi")
 
 
-def _sets(k: int):
+def _set_hashes(grams: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+    """Two hashes of each set, which tell it from others."""
+    ends, sums = np.cumsum(counts), []
+    for salt in (1, 2):
+        total = np.r_[K.U64(0), np.cumsum(K.mix(grams + K.U64(salt)), dtype=K.U64)]
+        sums.append((total[ends] - total[ends - counts]).view(np.int64))
+    return sums
+
+
+def _told(k: int):
+    """What tells each document's set: its size and two hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = K.utf8(batch.column("text"))
+            for x, y in K.chunks(offsets, 1 << 20):
+                grams, n = shingles(data[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x], k)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(x, y - x), pa.array(n), *map(pa.array, _set_hashes(grams, n))], names=["doc_id", "n", "h1", "h2"])
+
+    return run
+
+
+def _marked(bitmap):
+    """The texts whose bit is set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(bitmap.value, np.uint8)
+        for batch in batches:
+            bit = batch.column("bit").to_numpy()
+            yield batch.select(["doc_id", "text"]).filter(pa.array(((bits[bit >> 3] >> (bit & 7)) & 1).astype(bool)))
+
+    return run
+
+
+def _shingled(k: int):
+    """Sets in place of texts. Rows of one id follow each other; of its equal sets one stays."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Of equal sets in this task only the smallest document's is needed.
-        first: dict[tuple, int] = {}
+        last, seen = None, set()
         for batch in batches:
             data, offsets = K.utf8(batch.column("text"))
             for x, y in K.chunks(offsets, 1 << 20):
                 rows = batch.slice(x, y - x)
-                ids, candidate = rows.column("doc_id").to_pylist(), rows.column("component").to_pylist()
                 grams, n = shingles(data[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x], k)
-                ends, sums = np.cumsum(n), []
-                for salt in (1, 2):
-                    total = np.r_[K.U64(0), np.cumsum(K.mix(grams + K.U64(salt)), dtype=K.U64)]
-                    sums.append((total[ends] - total[ends - n]).view(np.int64))
-                sets: list[bytes | None] = []
-                for doc, group, end, count, one, two in zip(ids, candidate, ends.tolist(), n.tolist(), *(h.tolist() for h in sums)):
-                    needed = group is not None and count and doc < first.get((one, two), doc + 1)
-                    if needed:
-                        first[one, two] = doc
-                    sets.append(grams[end - count : end].tobytes() if needed else None)
-                told = pa.array([g if c else None for g, c in zip(candidate, n.tolist())], pa.int64())
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(n), *(pa.array(h) for h in sums), told, pa.array(sets, pa.binary())], names=["doc_id", "n", "h1", "h2", "candidate", "grams"])
+                kept: list[bool] = []
+                sets: list[bytes] = []
+                for doc, end, count, one, two in zip(rows.column("doc_id").to_pylist(), np.cumsum(n).tolist(), n.tolist(), *(h.tolist() for h in _set_hashes(grams, n))):
+                    if doc != last:
+                        last, seen = doc, set()
+                    kept.append(count > 0 and (one, two) not in seen)
+                    if kept[-1]:
+                        seen.add((one, two))
+                        sets.append(grams[end - count : end].tobytes())
+                names = [c for c in rows.schema.names if c != "text"]
+                yield pa.RecordBatch.from_arrays([*rows.select(names).filter(pa.array(kept, pa.bool_())).columns, pa.array(sets, pa.binary())], names=[*names, "grams"])
 
     return run
 
 
+@contextmanager
+def _sets(texts: DataFrame, wanted: DataFrame, k: int) -> Iterator[DataFrame]:
+    """``wanted``, a written table with one row for each doc_id, with the sets of these documents as ``grams``.
+
+    Texts meet it in a shuffle; a bitmap, whose size has a bound, first keeps
+    back nearly all texts that it does not name.
+    """
+    pieces = min(PIECES, 1 << max(0, wanted.count() * BITS // PIECE_BITS).bit_length())
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(pieces * PIECE_BITS))
+    place = wanted.select((bit + 1).alias("bit")).select((F.bitmap_bucket_number("bit") - 1).alias("piece"), F.bitmap_bit_position("bit").alias("at"))
+    bitmap = bytearray(pieces * PIECE_BITS // 8)
+    for r in place.repartition("piece").groupBy("piece").agg(F.bitmap_construct_agg("at").alias("bits")).collect():
+        bitmap[r["piece"] * PIECE_BITS // 8 : (r["piece"] + 1) * PIECE_BITS // 8] = r["bits"]
+    shared = texts.sparkSession.sparkContext.broadcast(bytes(bitmap))
+    met = texts.withColumn("bit", bit).mapInArrow(K.trimmed(_marked(shared)), "doc_id long, text string").join(wanted.hint("merge"), "doc_id")
+    schema = T.StructType([f for f in met.schema.fields if f.name != "text"] + [T.StructField("grams", T.BinaryType())])
+    yield met.mapInArrow(K.trimmed(_shingled(k)), schema)
+    shared.unpersist()
+
+
 def _product(sets: list[np.ndarray], left: list[int], right: list[int], percent: int) -> tuple[list[int], list[int]]:
     """Linked pairs of left and right sets: incidence times transposed incidence, overlap counts accumulated block by block of columns.
 
@@ -359,8 +418,9 @@ def _multiplied(percent: int):
     return run
 
 
-def _run_tasks(tasks: DataFrame, percent: int, slots: int) -> DataFrame:
-    bucketed = tasks.select("task", "doc_id", "grams").withColumn("bucket", F.pmod("task", F.lit(4 * slots)))
+def _run_tasks(sets: DataFrame, percent: int, slots: int) -> DataFrame:
+    """sets: doc_id, the tasks that it takes part in, grams."""
+    bucketed = sets.select(F.explode("tasks").alias("task"), "doc_id", "grams").withColumn("bucket", F.pmod("task", F.lit(4 * slots)))
     return bucketed.groupBy("bucket").applyInArrow(_multiplied(percent), "a long, b long")
 
 
@@ -372,15 +432,15 @@ def components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     ids count as one id, larger than all others. Other columns are not read.
     """
     texts, slots = numbered(docs), slots_for(docs)
-    groups = materialize(candidate_groups(texts, k, percent, slots), "groups").withColumnRenamed("node", "doc_id")
-    schema = "doc_id long, n long, h1 long, h2 long, candidate long, grams binary"
-    # The groups grow with the corpus: they meet the texts by a shuffle at every size, and the texts pass batch by batch.
-    sets = materialize(texts.join(groups.hint("merge"), "doc_id", "left").mapInArrow(K.trimmed(_sets(k)), schema), "sets")
-
-    # One document for each different set of a candidate group, with its size class.
-    same = ["candidate", "h1", "h2"]
-    classes = sets.where("candidate is not null").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"))
-    linked = _linked(materialize(classes, "classes"), sets.where("grams is not null").select("doc_id", "grams"), percent, slots)
+    with freeing_shuffles(docs.sparkSession):
+        groups = materialize(candidate_groups(texts, k, percent, slots), "groups").withColumnRenamed("node", "doc_id")
+        told = texts.mapInArrow(K.trimmed(_told(k)), "doc_id long, n long, h1 long, h2 long").join(groups.hint("merge"), "doc_id", "left")
+        sets = materialize(told.select("doc_id", "n", "h1", "h2", F.when(F.col("n") > 0, F.col("component")).alias("candidate")), "told")
+
+        # One document for each different set of a candidate group, with its size class.
+        same = ["candidate", "h1", "h2"]
+        classes = materialize(sets.where("candidate is not null").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.min("n").alias("n")), "classes")
+        linked = _linked(classes, texts, k, percent, slots)
     final = linked.select(F.col("node").alias("rep"), "component")
 
     found = classes.join(final, "rep", "left").select(*same, F.coalesce("component", "rep").alias("component"))
@@ -389,11 +449,11 @@ def components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     return rows.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(component, F.lit(NO_ID)).alias("component_id"))
 
 
-def _linked(classes: DataFrame, grams: DataFrame, percent: int, slots: int) -> DataFrame:
+def _linked(classes: DataFrame, texts: DataFrame, k: int, percent: int, slots: int) -> DataFrame:
     """(node, component) of the different sets of each candidate group that have links.
 
-    Tasks are dealt out on rows of ids alone; a set is read only by the tasks
-    that it takes part in.
+    Tasks are dealt out on rows of ids alone; a text is read again only if its
+    set takes part in one, and a set is sent only to those.
     """
     families = Families(percent)
     largest = classes.agg(F.coalesce(F.max("n"), F.lit(1)).alias("n")).first()["n"]
@@ -415,13 +475,16 @@ def _linked(classes: DataFrame, grams: DataFrame, percent: int, slots: int) -> D
         chain = F.transform(ring, lambda i: F.xxhash64(F.lit("ring"), "candidate", "c", i))
         steps = F.when(F.col("block") == 0, F.transform(F.array(F.col("c"), F.col("c") - 1), lambda c: F.xxhash64(F.lit("step"), "candidate", c))).otherwise(F.expr("cast(array() as array<bigint>)"))
         tasks = tasks.unionByName(placed.select(F.explode(F.concat(chain, steps)).alias("task"), "doc_id"))
-    edges = materialize(_run_tasks(tasks.join(grams.hint("merge"), "doc_id"), percent, slots), "links")
+    dealt = materialize(tasks.groupBy("doc_id").agg(F.collect_set("task").alias("tasks")), "tasks")
+    with _sets(texts, dealt, k) as sets:
+        edges = materialize(_run_tasks(sets, percent, slots), "links")
     component = connected_components(edges)
     if not some_large:
         return component
 
     # Large groups that are not one component yet: sets of different components that share rare n-grams meet.
     # Twice: once each with its column's first set, then, of what is still apart, all.
+    grams, written = None, []
     for stars in (True, False):
         label = component.withColumnRenamed("node", "doc_id")
         labelled = placed.join(label, "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id"))
@@ -430,9 +493,15 @@ def _linked(classes: DataFrame, grams: DataFrame, percent: int, slots: int) -> D
         total = apart.agg(F.sum("total").alias("n")).first()["n"]
         if not total:
             break
-        pairs = _rare_pairs(labelled.join(apart, "candidate"), grams, percent, stars, max(slots, -(-total // BLOCK_GRAMS)))
+        labelled = labelled.join(apart, "candidate")
+        if grams is None:  # components only grow, so the second time asks for some of the same sets
+            wanted = materialize(labelled.select("doc_id").distinct(), "apart-docs")
+            with _sets(texts, wanted, k) as sets, scratch() as written:
+                grams = materialize(sets, "sets")
+        pairs = _rare_pairs(labelled, grams, percent, stars, max(slots, -(-total // BLOCK_GRAMS)))
         edges = materialize(edges.unionByName(_verified_pairs(pairs, grams, percent)), "links")
         component = connected_components(edges)
+    discard(texts.sparkSession, written)
     return component
 
 

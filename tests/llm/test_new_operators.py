@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import pathlib
 import random
+from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
@@ -193,6 +195,37 @@ def test_many_small_clusters_in_one_group(spark, monkeypatch):
         assert by_id(ngram_join.components(table(spark, rows), k, percent), "n_shingles", "component_id") == brute.near_components(rows, k, percent)
 
 
+def test_disk_of_near_duplicates(spark, monkeypatch):
+    """Sets of unrelated texts and of copies are neither sent nor written, and shuffle files go once they are read."""
+    rng, docs = random.Random(12), []
+    prose = [[f"w{rng.randrange(10**6)}" for _ in range(2000)] for _ in range(60)]
+    for words in prose[:40] + prose[40:44] * 30 + prose[44:]:
+        docs.append(" ".join(words))
+    for words in prose[44:48]:  # near copies
+        docs.append(" ".join([*words[:-3], "and", "other", "words"]))
+    rng.shuffle(docs)  # copies are in different tasks
+    rows = list(enumerate(docs))
+    folders = [f.getPath() for f in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    shuffled = lambda: {p: p.stat().st_size for f in folders for p in pathlib.Path(f).rglob("shuffle_*.data")}
+    before, tables, peaks, sent = shuffled(), [], [], []
+    write = ngram_join.materialize
+
+    def watched(df, name):
+        out = write(df, name)
+        tables.append(sum(pathlib.Path(urlparse(f).path).stat().st_size for f in out.inputFiles()))
+        peaks.append(sum(size for p, size in shuffled().items() if p not in before) + sum(tables))
+        sent.extend(r["doc_id"] for r in out.collect() if name == "tasks")
+        return out
+
+    monkeypatch.setattr(ngram_join, "materialize", watched)
+    got = by_id(ngram_join.components(table(spark, rows)), "n_shingles", "component_id")
+    assert got == brute.near_components(rows)
+    assert {tuple(docs[d].split(" ")[:9]) for d in sent} == {tuple(words[:9]) for words in prose[44:48]} and len(sent) == 8
+    assert sum(tables) < 4 * 16_000  # of the sets, which take 16 kB each, none
+    assert max(peaks) < sum(len(t) for t in docs) / 4
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_the_largest_id_is_no_null(spark):
     """A document with the largest id and one without are different documents, each with its own verdict."""
     last, rng = (1 << 63) - 1, random.Random(9)
