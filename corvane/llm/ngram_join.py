@@ -329,8 +329,10 @@ def _sets(texts: DataFrame, wanted: DataFrame, k: int) -> Iterator[DataFrame]:
     shared = texts.sparkSession.sparkContext.broadcast(bytes(bitmap))
     met = texts.withColumn("bit", bit).mapInArrow(K.trimmed(_marked(shared)), "doc_id long, text string").join(wanted.hint("merge"), "doc_id")
     schema = T.StructType([f for f in met.schema.fields if f.name != "text"] + [T.StructField("grams", T.BinaryType())])
-    yield met.mapInArrow(K.trimmed(_shingled(k)), schema)
-    shared.unpersist()
+    try:
+        yield met.mapInArrow(K.trimmed(_shingled(k)), schema)
+    finally:
+        shared.unpersist()
 
 
 def _product(sets: list[np.ndarray], left: list[int], right: list[int], percent: int) -> tuple[list[int], list[int]]:
